@@ -1 +1,230 @@
-"""Checked queries (filled in below)."""
+"""Checked queries: scans and the ingest job (J1)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidepool.functions import dates as Dt
+from tidepool.operators import ingest as G
+from tidepool.plans import fixtures as fx
+from tidepool.plans import sqlfn as S
+from tidepool.plans.catalog import register
+from tidepool.plans.oracle_views import with_views
+from tidepool.sources import scans as SC
+
+NL = "chr(10)"
+
+# ---------------------------------------------------------------------------
+# Feed entries
+# ---------------------------------------------------------------------------
+
+
+def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parsed feed entries; a source's feed order is (document, entry position)."""
+    e = SC.scan_feed(fx.v_feed(spark, sf_dir))
+    return e.withColumn("pos", F.col("doc_id") * 1000 + F.col("pos"))
+
+
+_UTC_DATE_SQL = ("strftime(CAST(published || ' ' || lpad(CAST(doc_id % 24 AS VARCHAR), 2, '0') || ':30:00' AS TIMESTAMP)"
+                 " + to_hours(CASE doc_id % 4 WHEN 1 THEN 5 WHEN 2 THEN -9 ELSE 0 END), '%Y-%m-%d')")
+
+_ENTRIES_SQL = f"""
+SELECT doc_id, source, doc_id * 1000 AS pos, {S.strip_html('title')} AS title, link,
+       {S.strip_html('description')} AS description, {S.strip_html('description')} AS content,
+       guid AS entry_id, {_UTC_DATE_SQL} AS date
+FROM v_items"""
+
+
+@register("scan_feed", with_views("""
+SELECT doc_id, source, pos, title, link, description, content, entry_id, date FROM entries""", "v_items",
+    extra={"entries": _ENTRIES_SQL}))
+def q_scan_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RSS 2.0 and Atom documents parsed into one entry shape."""
+    return _entries(spark, sf_dir).select("doc_id", "source", "pos", "title", "link", "description", "content",
+                                          "entry_id", "date")
+
+
+@register("parse_pub_date", with_views(f"""
+SELECT doc_id, {_UTC_DATE_SQL} AS date FROM v_items""", "v_items"))
+def q_parse_pub_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RFC 2822 (with offsets and GMT) and ISO 8601 feed dates → UTC day."""
+    raw = SC.scan_feed(fx.v_feed(spark, sf_dir))
+    return raw.select("doc_id", Dt.parse_pub_date(F.col("pub_raw")).alias("date"))
+
+
+# ---------------------------------------------------------------------------
+# Registry, limit, keyword filter
+# ---------------------------------------------------------------------------
+
+_JOIN_SQL = """
+SELECT e.*, r.source_ord, r.tags, coalesce(r.perspective, '') AS perspective, r.scrape_limit,
+       r.scrape_full_content, r.kf_mode, r.kf_include, r.output_dir AS namespace
+FROM entries e JOIN v_registry r ON e.source = r.name WHERE r.enabled"""
+
+
+@register("join_registry", with_views("""
+SELECT source, pos, array_to_string(tags, '|') AS tags, perspective, CAST(scrape_limit AS BIGINT) AS scrape_limit,
+       kf_mode, array_to_string(kf_include, '|') AS kf_include FROM j""", "v_items", "v_registry",
+    extra={"entries": _ENTRIES_SQL, "j": _JOIN_SQL}))
+def q_join_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    j = G.join_registry(_entries(spark, sf_dir), fx.v_registry(spark, sf_dir))
+    return j.select("source", "pos", F.array_join("tags", "|").alias("tags"), "perspective",
+                    F.col("scrape_limit").cast("long").alias("scrape_limit"), "kf_mode",
+                    F.array_join("kf_include", "|").alias("kf_include"))
+
+
+_LIMIT_SQL = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY pos) AS rn FROM j)
+WHERE rn <= scrape_limit"""
+
+
+@register("limit_per_source", with_views("""
+SELECT source, pos FROM lim""", "v_items", "v_registry",
+    extra={"entries": _ENTRIES_SQL, "j": _JOIN_SQL, "lim": _LIMIT_SQL}))
+def q_limit_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reg = fx.v_registry(spark, sf_dir)
+    j = G.join_registry(_entries(spark, sf_dir), reg)
+    return G.limit_per_source(j, max_limit=G.registry_max_limit(reg)).select("source", "pos")
+
+
+@register("keyword_filter", with_views(f"""
+SELECT source, pos FROM j WHERE {S.keyword_match("title || ' ' || description", 'kf_mode', 'kf_include')}""",
+    "v_items", "v_registry", extra={"entries": _ENTRIES_SQL, "j": _JOIN_SQL}))
+def q_keyword_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Case-insensitive substring any/all on title + ' ' + description (every entry, no limit)."""
+    j = G.join_registry(_entries(spark, sf_dir), fx.v_registry(spark, sf_dir))
+    return G.keyword_filter(j, G.feed_filter_text()).select("source", "pos")
+
+
+# ---------------------------------------------------------------------------
+# Dedup: key, first wins, seen files
+# ---------------------------------------------------------------------------
+
+def _dedup_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = fx.v_dedup(spark, sf_dir)
+    n = F.regexp_extract("source", r"(\d+)$", 1).cast("int")
+    return v.select("pos", "source", n.alias("source_ord"), "namespace", "title", "link",
+                    F.col("guid").alias("entry_id"), "description")
+
+
+_KEYED_SQL = f"""
+SELECT *, {S.sanitize_title('title')} || '-' || {S.url_hash('dedup_id')} AS stem FROM (
+  SELECT pos, source, CAST(regexp_extract(source, '(\\d+)$', 1) AS INTEGER) AS source_ord, namespace, title,
+         link, guid AS entry_id, description,
+         coalesce(nullif(link, ''), nullif(guid, ''), title || {NL} || description) AS dedup_id
+  FROM v_dedup)"""
+
+
+@register("dedup_key", with_views("""
+SELECT pos, dedup_id, stem FROM keyed""", "v_dedup", extra={"keyed": _KEYED_SQL}))
+def q_dedup_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.dedup_key(_dedup_items(spark, sf_dir)).select("pos", "dedup_id", "stem")
+
+
+_FIRSTS_SQL = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY namespace, stem ORDER BY source_ord, pos) AS rk
+FROM keyed) WHERE rk = 1"""
+
+
+@register("first_wins_dedup", with_views("""
+SELECT namespace, stem, pos FROM firsts""", "v_dedup", extra={"keyed": _KEYED_SQL, "firsts": _FIRSTS_SQL}))
+def q_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.first_wins_dedup(G.dedup_key(_dedup_items(spark, sf_dir))).select("namespace", "stem", "pos")
+
+
+_SEEN_STEM_SQL = "regexp_replace(regexp_replace(file_name, '\\.md$', ''), '^[0-9]{4}-[0-9]{2}-[0-9]{2} - ', '')"
+
+
+@register("anti_join_seen", with_views(f"""
+SELECT namespace, stem, pos FROM firsts f
+WHERE NOT EXISTS (SELECT 1 FROM v_seen s WHERE s.namespace = f.namespace AND {_SEEN_STEM_SQL} = f.stem)""",
+    "v_dedup", "v_seen", extra={"keyed": _KEYED_SQL, "firsts": _FIRSTS_SQL}))
+def q_anti_join_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items whose (namespace, stem) already exists under any date are dropped."""
+    firsts = G.first_wins_dedup(G.dedup_key(_dedup_items(spark, sf_dir)))
+    return G.anti_join_seen(firsts, fx.v_seen(spark, sf_dir)).select("namespace", "stem", "pos")
+
+
+@register("strip_date_prefix", with_views(f"""
+SELECT namespace, file_name, {_SEEN_STEM_SQL} AS stem FROM v_seen""", "v_seen"))
+def q_strip_date_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = fx.v_seen(spark, sf_dir)
+    return s.select("namespace", "file_name", Dt.file_stem(F.col("file_name")).alias("stem"))
+
+
+# ---------------------------------------------------------------------------
+# Bodies and the whole feed job
+# ---------------------------------------------------------------------------
+
+def _fetched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fetched article bodies keyed by the entry link (the article view of the same item)."""
+    i = fx.v_items(spark, sf_dir).select("doc_id", F.col("link").alias("url"))
+    a = fx.v_article(spark, sf_dir).select("doc_id", "body")
+    return i.join(a, "doc_id").where(F.col("url") != "").select("url", "body")
+
+
+_FETCHED_SQL = """SELECT i.link AS url, a.body FROM v_items i JOIN v_article a ON a.doc_id = i.doc_id
+WHERE i.link <> ''"""
+
+
+@register("full_body_join", with_views(f"""
+SELECT j.source, j.pos,
+       CASE WHEN coalesce(j.scrape_full_content, false) AND j.link <> '' AND f.body IS NOT NULL
+                 AND {S.words('f.body')} >= 100 THEN 'fetched' ELSE 'excerpt' END AS content_from
+FROM j LEFT JOIN fetched f ON f.url = j.link""", "v_items", "v_registry", "v_article",
+    extra={"entries": _ENTRIES_SQL, "j": _JOIN_SQL, "fetched": _FETCHED_SQL}))
+def q_full_body_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    j = G.join_registry(_entries(spark, sf_dir), fx.v_registry(spark, sf_dir))
+    return G.full_body_join(j, _fetched(spark, sf_dir)).select("source", "pos", "content_from")
+
+
+def _doc_text_sql(title, source, url, date, tags, perspective, body) -> str:
+    parts = [f"'title: ' || to_json({title})", f"'source: ' || to_json({source})", f"'url: ' || to_json({url})",
+             f"'published: ' || to_json({date})", f"'tags: ' || coalesce(to_json({tags}), '[]')",
+             f"'perspective: ' || to_json(coalesce({perspective}, ''))"]
+    fm = f" || {NL} || ".join(["'---'"] + parts + ["'---'"])
+    return f"({fm} || {NL} || {NL} || coalesce({body}, '') || {NL})"
+
+
+_INGEST_SQL = f"""
+, lim AS ({_LIMIT_SQL}),
+flt AS (SELECT * FROM lim WHERE {S.keyword_match("title || ' ' || description", 'kf_mode', 'kf_include')}),
+keyed AS (SELECT *, {S.sanitize_title('title')} || '-' || {S.url_hash('dedup_id')} AS stem FROM (
+   SELECT *, coalesce(nullif(link, ''), nullif(entry_id, ''), title || {NL} || description) AS dedup_id FROM flt)),
+firsts AS ({_FIRSTS_SQL}),
+new AS (SELECT * FROM firsts f WHERE NOT EXISTS (
+   SELECT 1 FROM v_seen s WHERE s.namespace = f.namespace AND {_SEEN_STEM_SQL} = f.stem)),
+bodies AS (SELECT n.*, CASE WHEN coalesce(n.scrape_full_content, false) AND n.link <> '' AND f.body IS NOT NULL
+                          AND {S.words('f.body')} >= 100 THEN true ELSE false END AS use_fetched, f.body AS fbody
+           FROM new n LEFT JOIN fetched f ON f.url = n.link)
+SELECT namespace, CASE WHEN date <> '' THEN date || ' - ' || stem || '.md' ELSE stem || '.md' END AS file_name,
+       source, link AS url, date, CASE WHEN use_fetched THEN 'fetched' ELSE 'excerpt' END AS content_from,
+       {_doc_text_sql('title', 'source', 'link', 'date', 'tags', 'perspective',
+                      'CASE WHEN use_fetched THEN fbody ELSE content END')} AS doc_text
+FROM bodies"""
+
+
+def _ingest_sql() -> str:
+    head = with_views("SELECT 1", "v_items", "v_registry", "v_article", "v_seen", "v_dedup",
+                      extra={"entries": _ENTRIES_SQL, "j": _JOIN_SQL, "fetched": _FETCHED_SQL})
+    return head[: head.rindex("\nSELECT 1")] + _INGEST_SQL
+
+
+def ingest_feed_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.ingest_feed_items(_entries(spark, sf_dir), fx.v_registry(spark, sf_dir), fx.v_seen(spark, sf_dir),
+                               _fetched(spark, sf_dir))
+
+
+@register("ingest_feed", _ingest_sql())
+def q_ingest_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole feed adapter: new documents with their file names and rendered text."""
+    d = ingest_feed_docs(spark, sf_dir)
+    return d.select("namespace", "file_name", "source", F.col("link").alias("url"), "date", "content_from", "doc_text")
+
+
+@register("scrape_counts", with_views("""
+SELECT coalesce(source, 'TOTAL') AS source, CAST(count(*) AS BIGINT) AS new_documents
+FROM docs GROUP BY ROLLUP (source)""", extra={"docs": "SELECT source FROM (" + _ingest_sql() + ")"}))
+def q_scrape_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New documents per source plus a TOTAL row (rollup)."""
+    from tidepool.operators.audit import scrape_counts
+    return scrape_counts(ingest_feed_docs(spark, sf_dir))

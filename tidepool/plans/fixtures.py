@@ -200,6 +200,20 @@ def v_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 LISTING_LINK_OVERRIDE = r'href="(/[^"#?]+)"'
 
 
+def v_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One small listing page per article: navigation links that must not match
+    the default pattern, the article link twice, and a feed link."""
+    a = v_items(spark, sf_dir)
+    art = F.concat(F.lit("/posts/"), F.col("lang"), F.lit("-report_"), _s("doc_id"))
+    html = F.concat(
+        F.lit('<html><body><nav><a href="/login">Log in</a> <a href="/signup">Sign up</a></nav><h2><a href="'), art,
+        F.lit('">'), _xml_escape(F.col("title")), F.lit('</a></h2><p><a href="'), art,
+        F.lit('">more</a> · <a href="/feed.xml">feed</a></p></body></html>'))
+    return a.select(F.col("doc_id").alias("page_id"), "source",
+                    F.concat(F.lit("https://"), F.col("source"), F.lit(".example.com/blog/")).alias("feed_url"),
+                    html.alias("html"))
+
+
 def v_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tbl(spark, sf_dir, "pages").select("page_id", "url", "html")
 

@@ -148,4 +148,7 @@ def with_views(body: str, *names: str, extra: dict[str, str] | None = None) -> s
     ctes += [f"{k} AS ({v}\n)" for k, v in (extra or {}).items()]
     if not ctes:
         return body
+    stripped = body.lstrip()
+    if stripped[:5].upper() == "WITH ":
+        return "WITH " + ",\n".join(ctes) + ",\n" + stripped[5:]
     return "WITH " + ",\n".join(ctes) + "\n" + body
