@@ -29,6 +29,7 @@ from tidepool import contracts as C
 from tidepool.functions.dates import file_stem
 from tidepool.functions.text import keyword_match, sanitize_title, word_count
 from tidepool.functions.urls import url_hash
+from tidepool.session import cut_lineage
 
 BROADCAST_MAX_ROWS = 200_000
 
@@ -44,13 +45,45 @@ def union_adapters(*items: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), items)
 
 
-def join_registry(items: DataFrame, registry: DataFrame, source_col: str = "source") -> DataFrame:
+def registry_stats(registry: DataFrame) -> dict:
+    """Enabled-source count, largest and summed per-source limit — one small
+    aggregation over the dimension, used for broadcast decisions and bounds."""
+    r = registry.where(F.col("enabled")).agg(
+        F.count(F.lit(1)).alias("n"), F.max("scrape_limit").alias("max_limit"),
+        F.sum("scrape_limit").alias("sum_limit")).first()
+    return {"n": int(r["n"] or 0), "max_limit": int(r["max_limit"] or C.DEFAULT_SCRAPE_LIMIT),
+            "sum_limit": int(r["sum_limit"] or 0)}
+
+
+def join_registry(items: DataFrame, registry: DataFrame, source_col: str = "source",
+                  n_sources: int | None = None) -> DataFrame:
     """Each item carries its (enabled) source's settings; items of disabled or
-    unknown sources drop out.  ``perspective`` defaults to ''."""
+    unknown sources drop out.  ``perspective`` defaults to ''.
+
+    The registry is broadcast when its enabled row count (given, or counted
+    here) is at most :data:`BROADCAST_MAX_ROWS`; otherwise a shuffle join.
+    """
     reg = registry.where(F.col("enabled")).withColumnRenamed("name", source_col) \
         .withColumn("perspective", F.coalesce(F.col("perspective"), F.lit("")))
     reg = reg.drop(*[c for c in reg.columns if c in items.columns and c != source_col])
-    return items.join(checked_broadcast(reg), source_col, "inner")
+    if n_sources is None:
+        reg = checked_broadcast(reg)
+    elif n_sources <= BROADCAST_MAX_ROWS:
+        reg = F.broadcast(reg)
+    return items.join(reg, source_col, "inner")
+
+
+def restrict_to(big: DataFrame, small_keys: DataFrame, keys: list[str], bound: int | None) -> DataFrame:
+    """Rows of ``big`` whose keys occur in ``small_keys``.
+
+    When ``bound`` (a proven upper bound on ``small_keys`` rows) is within the
+    broadcast limit, this is a broadcast semi-join: ``big`` is scanned once and
+    never shuffled.  Otherwise ``big`` is returned as is (the caller's join
+    shuffles both sides).
+    """
+    if bound is not None and bound <= BROADCAST_MAX_ROWS:
+        return big.join(F.broadcast(small_keys.select(*keys).distinct()), keys, "left_semi")
+    return big
 
 
 def limit_per_source(items: DataFrame, limit_col: str = "scrape_limit", part_col: str = "source",
@@ -110,18 +143,29 @@ def first_wins_dedup(items: DataFrame, keys=("namespace", "stem"), order=("sourc
     return agg.select(*keys, *[F.col("_w")[c].alias(c) for c in cols])
 
 
-def anti_join_seen(items: DataFrame, seen: DataFrame, keys=("namespace",)) -> DataFrame:
-    """Drop items whose stem already exists as a file in the namespace, any date."""
-    existing = seen.select(*keys, file_stem(F.col("file_name")).alias("stem")).distinct()
+def anti_join_seen(items: DataFrame, seen: DataFrame, keys=("namespace",), bound: int | None = None) -> DataFrame:
+    """Drop items whose stem already exists as a file in the namespace, any date.
+
+    With a proven ``bound`` on the item count, the (large, ever-growing) seen
+    table is first cut to the candidate stems by a broadcast semi-join.
+    """
+    existing = seen.select(*keys, file_stem(F.col("file_name")).alias("stem"))
+    existing = restrict_to(existing, items, [*keys, "stem"], bound).distinct()
     return items.join(existing, [*keys, "stem"], "left_anti")
 
 
-def full_body_join(items: DataFrame, fetched: DataFrame, min_words: int = C.MIN_BODY_WORDS_FETCH) -> DataFrame:
+def full_body_join(items: DataFrame, fetched: DataFrame, min_words: int = C.MIN_BODY_WORDS_FETCH,
+                   bound: int | None = None) -> DataFrame:
     """When the source wants full content and the item has a link, a fetched body
     with ≥ ``min_words`` words replaces the excerpt (``content_from`` says which).
 
-    ``fetched`` holds one body per url (the output of a fetch job keyed by url)."""
+    ``fetched`` holds one body per url (the output of a fetch job keyed by
+    url).  With a proven ``bound`` on the item count, only the bodies of the
+    items' links are read past the scan (broadcast semi-join); the body table
+    is never shuffled whole.
+    """
     f = fetched.where(F.col("url") != "").select(F.col("url").alias("link"), F.col("body").alias("_fetched"))
+    f = restrict_to(f, items.where(F.coalesce(F.col("link"), F.lit("")) != ""), ["link"], bound)
     wants = F.coalesce(F.col("scrape_full_content"), F.lit(False)) & (F.coalesce(F.col("link"), F.lit("")) != "")
     j = items.join(f, "link", "left")
     use = wants & F.col("_fetched").isNotNull() & (word_count(F.col("_fetched")) >= min_words)
@@ -138,14 +182,28 @@ def new_documents(items: DataFrame) -> DataFrame:
                                                     F.col("tags"), F.col("perspective"), F.col("content"))))
 
 
-def ingest_feed_items(entries: DataFrame, registry: DataFrame, seen: DataFrame, fetched: DataFrame) -> DataFrame:
-    """The RSS/Atom adapter as one plan: registry → limit → keyword filter →
-    dedup key → first wins → anti-join seen → full body → rendered documents."""
-    j = join_registry(entries, registry).withColumn("namespace", F.col("output_dir"))
-    limited = limit_per_source(j, max_limit=registry_max_limit(registry))
+def ingest_feed_items(entries_raw: DataFrame, registry: DataFrame, seen: DataFrame, fetched: DataFrame,
+                      run_date: str = C.RUN_DATE) -> DataFrame:
+    """The RSS/Atom adapter as one plan: registry → limit → text/date cleaning →
+    keyword filter → dedup key → first wins → anti-join seen → full body →
+    rendered documents.
+
+    ``entries_raw`` comes from :func:`tidepool.sources.scans.scan_feed_raw`;
+    cleaning runs after the per-source limit, so only kept entries pay for it.
+    After the limit at most Σ(per-source limits) rows remain — a bound known
+    from the registry — and the large seen/body tables are cut by broadcast
+    semi-joins instead of being shuffled.  The limited rows are checkpointed
+    so the scan below them runs once.
+    """
+    from tidepool.sources.scans import finish_entries
+    stats = registry_stats(registry)
+    j = join_registry(entries_raw, registry, n_sources=stats["n"]).withColumn("namespace", F.col("output_dir"))
+    # ≤ Σ(limits) rows from here on: freeze them once so the scan is not
+    # recomputed by each of the joins below (reliable checkpoint, shared dir).
+    limited = finish_entries(cut_lineage(limit_per_source(j, max_limit=stats["max_limit"])), run_date)
     filtered = keyword_filter(limited, feed_filter_text())
     keyed = dedup_key(filtered)
     firsts = first_wins_dedup(keyed)
-    new = anti_join_seen(firsts, seen)
-    bodies = full_body_join(new, fetched)
+    new = anti_join_seen(firsts, seen, bound=stats["sum_limit"])
+    bodies = full_body_join(new, fetched, bound=stats["sum_limit"])
     return new_documents(bodies)

@@ -210,8 +210,8 @@ def _ingest_sql() -> str:
 
 
 def ingest_feed_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.ingest_feed_items(_entries(spark, sf_dir), fx.v_registry(spark, sf_dir), fx.v_seen(spark, sf_dir),
-                               _fetched(spark, sf_dir))
+    raw = SC.scan_feed_raw(fx.v_feed(spark, sf_dir)).withColumn("pos", F.col("doc_id") * 1000 + F.col("pos"))
+    return G.ingest_feed_items(raw, fx.v_registry(spark, sf_dir), fx.v_seen(spark, sf_dir), _fetched(spark, sf_dir))
 
 
 @register("ingest_feed", _ingest_sql())

@@ -48,14 +48,9 @@ def feed_dialect(xml: Column) -> Column:
              .when(head.rlike(r"(?s)^\s*(<\?xml[^>]*>\s*)?(<!--.*?-->\s*)*<feed\b"), "atom"))
 
 
-def scan_feed(feeds: DataFrame, xml_col: str = "xml", run_date: str = C.RUN_DATE) -> DataFrame:
-    """One row per feed entry, in feed order (``pos``), both dialects in one shape.
-
-    Output: the input's other columns + pos, title, link, pub_raw, description,
-    content, entry_id, date.  title/description are tag-stripped; content is
-    ``content:encoded`` when present (even if empty), else the description;
-    ``pub_raw`` is the first non-empty of published / updated / pubDate.
-    """
+def scan_feed_raw(feeds: DataFrame, xml_col: str = "xml") -> DataFrame:
+    """Entries as parsed, before any text cleaning: (…, pos, title, link, pub_raw,
+    summary_raw, content_raw, entry_id).  Cheap enough to run before a limit."""
     keep = [c for c in feeds.columns if c != xml_col]
     d = feeds.withColumn("_dialect", feed_dialect(F.col(xml_col)))
     rss = (d.where(F.col("_dialect") == "rss")
@@ -75,13 +70,29 @@ def scan_feed(feeds: DataFrame, xml_col: str = "xml", run_date: str = C.RUN_DATE
                     _first_nonempty(F.col("e.published"), F.col("e.updated")).alias("pub_raw"),
                     F.col("e.summary").alias("summary_raw"), F.col("e.content").alias("content_raw"),
                     F.coalesce(F.col("e.id"), F.lit("")).alias("entry_id")))
-    both = rss.unionByName(atom)
+    return rss.unionByName(atom).withColumn("pos", F.col("pos").cast("long"))
+
+
+def finish_entries(raw: DataFrame, run_date: str = C.RUN_DATE) -> DataFrame:
+    """Tag-strip title/description/content and parse the date.
+
+    content is ``content:encoded`` when present (even if empty), else the
+    description; ``date`` is the UTC day of the first non-empty date field.
+    """
     description = strip_html(F.col("summary_raw"))
-    return both.select(
-        *keep, F.col("pos").cast("long").alias("pos"),
-        strip_html(F.col("title")).alias("title"), "link", "pub_raw", description.alias("description"),
-        F.when(F.col("content_raw").isNotNull(), strip_html(F.col("content_raw"))).otherwise(description).alias("content"),
-        "entry_id", parse_pub_date(F.col("pub_raw"), run_date).alias("date"))
+    return (raw.withColumn("title", strip_html(F.col("title")))
+            .withColumn("description", description)
+            .withColumn("content", F.when(F.col("content_raw").isNotNull(), strip_html(F.col("content_raw")))
+                        .otherwise(description))
+            .withColumn("date", parse_pub_date(F.col("pub_raw"), run_date))
+            .drop("summary_raw", "content_raw"))
+
+
+def scan_feed(feeds: DataFrame, xml_col: str = "xml", run_date: str = C.RUN_DATE) -> DataFrame:
+    """One row per feed entry, in feed order (``pos``), both dialects in one shape:
+    the input's other columns + pos, title, link, pub_raw, description, content,
+    entry_id, date (see :func:`scan_feed_raw` and :func:`finish_entries`)."""
+    return finish_entries(scan_feed_raw(feeds, xml_col), run_date)
 
 
 # ---------------------------------------------------------------------------
