@@ -184,3 +184,19 @@ INDEX_SCHEMA = T.StructType([
     T.StructField("summary", T.StringType()),
     T.StructField("enriched", T.BooleanType()),
 ])
+
+# ---------------------------------------------------------------------------
+# Validation / writeback messages ({…} are filled per record)
+# ---------------------------------------------------------------------------
+MSG_NOT_MAPPING = "enrichment output is not a mapping"
+MSG_NO_YAML = "could not extract a YAML mapping from model output"
+MSG_MISSING = "Missing required field: '{field}'"
+MSG_WRONG_TYPE = "Field '{field}' has wrong type: expected {expected}, got {got}"
+MSG_CONST = "Field '{field}' must equal {const}, got {value}"
+MSG_TOO_SHORT = "Field '{field}' is too short: minimum {min_len} characters, got {n}"
+MSG_TOO_LONG = "Field '{field}' is too long: maximum {max_len} characters, got {n}"
+MSG_MAX_ITEMS = "Field '{field}' exceeds max_items={max_items}: got {n} items"
+MSG_MISSING_SUBKEY = "Field '{field}' is missing required subkey '{subkey}'"
+MSG_SUBKEY_TYPE = "Field '{field}.{subkey}' has wrong type: expected {expected}"
+MSG_NOT_STRING = "topics.primary item {item} is not a string"
+MSG_OFF_VOCAB = "topics.primary item '{item}' not in vocab"
