@@ -207,3 +207,69 @@ def ingest_feed_items(entries_raw: DataFrame, registry: DataFrame, seen: DataFra
     new = anti_join_seen(firsts, seen, bound=stats["sum_limit"])
     bodies = full_body_join(new, fetched, bound=stats["sum_limit"])
     return new_documents(bodies)
+
+
+# ---------------------------------------------------------------------------
+# Listing pages and video listings
+# ---------------------------------------------------------------------------
+
+def ingest_listing_items(pages: DataFrame, registry: DataFrame, seen: DataFrame, fetched: DataFrame,
+                         run_date: str = C.RUN_DATE) -> DataFrame:
+    """Listing adapter: distinct links (first occurrence order) → first N per
+    page → slug keyword filter → fetched article (≥ 100 words, else dropped) →
+    title from the body's first heading / URL slug → date found in the text →
+    keyword filter on title + first 1000 chars → stem (title + hash of the
+    full URL) → first wins → anti-join seen.
+
+    The per-page limit is an array slice (no window); the body table is cut
+    to the kept links by a broadcast semi-join when Σ(limits × pages) is
+    within the broadcast bound, otherwise joined by a shuffle.
+    """
+    from tidepool.functions.text import date_in_text, slug_text, title_from_body
+    from tidepool.functions.urls import resolve_link
+    stats = registry_stats(registry)
+    j = join_registry(pages, registry, n_sources=stats["n"]).withColumn("namespace", F.col("output_dir"))
+    pattern = F.coalesce(F.col("listing_link_pattern"), F.lit(C.DEFAULT_LISTING_LINK_PATTERN))
+    links = F.slice(F.array_distinct(F.regexp_extract_all(F.col("html"), pattern, 1)), 1, F.col("scrape_limit"))
+    ex = j.select("*", F.posexplode(links).alias("link_pos", "link")).drop("html")
+    ex = ex.withColumn("url", resolve_link(F.col("feed_url"), F.col("link")))
+    ex = ex.where(keyword_match(slug_text(F.col("link")), F.col("kf_mode"), F.col("kf_include")))
+    f = fetched.where(F.col("url") != "").select("url", F.col("body").alias("content"))
+    body = ex.join(f, "url", "inner").where(word_count(F.col("content")) >= min_words_default())
+    body = body.withColumn("title", title_from_body(F.col("content"), F.col("url"))) \
+        .withColumn("date", date_in_text(F.col("content"), run_date))
+    text2 = F.concat_ws(" ", F.col("title"), F.substring(F.col("content"), 1, 1000))
+    kept = body.where(keyword_match(text2, F.col("kf_mode"), F.col("kf_include")))
+    kept = kept.withColumn("stem", stem(F.col("title"), F.col("url"))) \
+        .withColumn("pos", F.col("page_id") * 1000 + F.col("link_pos"))
+    firsts = first_wins_dedup(kept)
+    new = anti_join_seen(firsts, seen)
+    return new.withColumn("link", F.col("url")).transform(new_documents)
+
+
+def min_words_default() -> int:
+    return C.MIN_BODY_WORDS_FETCH
+
+
+def ingest_video_items(lines: DataFrame, segments: DataFrame, registry: DataFrame, seen: DataFrame,
+                       run_date: str = C.RUN_DATE) -> DataFrame:
+    """Video adapter: listing lines → first N videos per source (listing order)
+    → transcript of the preferred track (blank ones dropped) → keyword filter
+    on title + transcript → stem (title + hash of the URL) → first wins →
+    anti-join seen.  The document date is the upload date."""
+    from tidepool.operators.transcripts import video_transcripts
+    from tidepool.sources.scans import scan_captions
+    stats = registry_stats(registry)
+    vids = scan_captions(lines, run_date=run_date)
+    j = join_registry(vids, registry, n_sources=stats["n"]).withColumn("namespace", F.col("output_dir"))
+    limited = limit_per_source(j, order_col="line_no", max_limit=stats["max_limit"])
+    tr = video_transcripts(segments).select(F.concat(F.lit("v"), F.col("video").cast("string")).alias("id"),
+                                            F.col("transcript").alias("content"))
+    items = limited.join(tr, "id", "inner")
+    items = items.where(keyword_match(F.concat_ws(" ", F.col("title"), F.col("content")),
+                                      F.col("kf_mode"), F.col("kf_include")))
+    items = (items.withColumn("stem", stem(F.col("title"), F.col("url")))
+             .withColumn("pos", F.col("line_no")).withColumn("date", F.col("upload_date"))
+             .withColumn("link", F.col("url")))
+    firsts = first_wins_dedup(items)
+    return new_documents(anti_join_seen(firsts, seen))

@@ -228,3 +228,172 @@ def q_scrape_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New documents per source plus a TOTAL row (rollup)."""
     from tidepool.operators.audit import scrape_counts
     return scrape_counts(ingest_feed_docs(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# Transcripts and the video adapter
+# ---------------------------------------------------------------------------
+
+_BEST_SQL = """
+SELECT video, arg_min(track, prio * 1000000000 + first) AS track FROM (
+  SELECT video, track, min(seq) AS first,
+         CASE track WHEN 'manual_en' THEN 0 WHEN 'generated_en' THEN 1 ELSE 2 END AS prio
+  FROM v_conv GROUP BY video, track) GROUP BY video"""
+
+_TRANSCRIPT_SQL = f"""
+SELECT c.video, string_agg({S.py_strip("coalesce(c.segment, '')")}, ' ' ORDER BY c.seq) AS transcript
+FROM v_conv c JOIN best b ON b.video = c.video AND b.track = c.track GROUP BY c.video"""
+
+
+@register("best_track", with_views("SELECT video, track FROM best", "v_conv", extra={"best": _BEST_SQL}))
+def q_best_track(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manual English track, else generated English, else the first other track."""
+    from tidepool.operators.transcripts import best_track
+    return best_track(fx.v_conv(spark, sf_dir))
+
+
+@register("transcript_concat", with_views(f"""
+SELECT video, string_agg({S.py_strip("coalesce(segment, '')")}, ' ' ORDER BY seq) AS transcript
+FROM v_conv GROUP BY video""", "v_conv"))
+def q_transcript_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All segments of a video, stripped and joined by one space in order (two-level)."""
+    from tidepool.operators.transcripts import transcript_concat
+    return transcript_concat(fx.v_conv(spark, sf_dir))
+
+
+@register("filter_empty_transcript", with_views("""
+SELECT video, transcript FROM tr WHERE regexp_matches(transcript, '\\S')""", "v_conv",
+    extra={"best": _BEST_SQL, "tr": _TRANSCRIPT_SQL}))
+def q_filter_empty_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Preferred-track transcripts with at least one non-blank character."""
+    from tidepool.operators.transcripts import video_transcripts
+    return video_transcripts(fx.v_conv(spark, sf_dir))
+
+
+def _video_lines_sql() -> str:
+    from tidepool.plans.catalog_text import _listing_lines_sql
+    base = _listing_lines_sql()
+    return base.replace("SELECT conv_id AS line_no,", "SELECT conv_id AS line_no, 'src' || CAST(conv_id % 20 AS VARCHAR) AS source,", 1)
+
+
+def _video_caps_sql() -> str:
+    from tidepool.plans.catalog_text import _CAPTIONS_SQL
+    return _CAPTIONS_SQL.replace("SELECT line_no, id,", "SELECT line_no, source, id,", 1).replace(
+        "FROM (SELECT line_no, json_extract_string", "FROM (SELECT line_no, source, json_extract_string", 1)
+
+
+_VIDEO_SQL = f"""
+, vj AS (SELECT c.*, r.source_ord, r.tags, coalesce(r.perspective, '') AS perspective, r.scrape_limit,
+                r.kf_mode, r.kf_include, r.output_dir AS namespace
+         FROM caps c JOIN v_registry r ON r.name = c.source WHERE r.enabled),
+vl AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY line_no) AS rn FROM vj)
+       WHERE rn <= scrape_limit),
+vt AS (SELECT vl.*, t.transcript AS content FROM vl JOIN tr t ON 'v' || CAST(t.video AS VARCHAR) = vl.id
+       WHERE regexp_matches(t.transcript, '\\S')),
+vf AS (SELECT * FROM vt WHERE {S.keyword_match("title || ' ' || content", 'kf_mode', 'kf_include')}),
+keyed AS (SELECT *, {S.sanitize_title('title')} || '-' || {S.url_hash('url')} AS stem, line_no AS pos FROM vf),
+firsts AS ({_FIRSTS_SQL}),
+new AS (SELECT * FROM firsts f WHERE NOT EXISTS (
+   SELECT 1 FROM v_seen s WHERE s.namespace = f.namespace AND {_SEEN_STEM_SQL} = f.stem))
+SELECT namespace, CASE WHEN upload_date <> '' THEN upload_date || ' - ' || stem || '.md' ELSE stem || '.md' END
+         AS file_name, source, url, upload_date AS date,
+       {_doc_text_sql('title', 'source', 'url', 'upload_date', 'tags', 'perspective', 'content')} AS doc_text
+FROM new"""
+
+
+def _video_ingest_sql() -> str:
+    head = with_views("SELECT 1", "v_conv", "v_registry", "v_seen", "v_dedup",
+                      extra={"lines": _video_lines_sql(), "caps": _video_caps_sql(), "best": _BEST_SQL,
+                             "tr": _TRANSCRIPT_SQL})
+    return head[: head.rindex("\nSELECT 1")] + _VIDEO_SQL
+
+
+def ingest_video_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.ingest_video_items(fx.v_video_listing(spark, sf_dir), fx.v_conv(spark, sf_dir),
+                                fx.v_registry(spark, sf_dir), fx.v_seen(spark, sf_dir))
+
+
+@register("ingest_video", _video_ingest_sql())
+def q_ingest_video(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Video adapter: listing → per-source limit → preferred-track transcript → filter → dedup."""
+    d = ingest_video_docs(spark, sf_dir)
+    return d.select("namespace", "file_name", "source", "url", "date", "doc_text")
+
+
+# ---------------------------------------------------------------------------
+# The listing adapter
+# ---------------------------------------------------------------------------
+
+def _listing_sql_parts():
+    from tidepool import contracts as C
+    from tidepool.plans.catalog_text import _distinct_ordered_sql, _title_from_body_sql
+    pat = C.DEFAULT_LISTING_LINK_PATTERN.replace("'", "''")
+    links = _distinct_ordered_sql(f"regexp_extract_all(html, '{pat}', 1)")
+    slug = "regexp_replace(string_split(regexp_replace(link, '/+$', ''), '/')[-1], '[-_]', ' ', 'g')"
+    kw1 = S.keyword_match(slug, "kf_mode", "kf_include")
+    kw2 = S.keyword_match("title || ' ' || substr(content, 1, 1000)", "kf_mode", "kf_include")
+    date = ("coalesce(nullif(regexp_extract(substr(content, 1, 500), '([0-9]{4}-[0-9]{2}-[0-9]{2})', 1), ''), "
+            "'2024-02-01')")
+    return f"""
+, pj AS (SELECT p.page_id, p.source, p.feed_url, p.html, r.source_ord, r.tags, coalesce(r.perspective, '') AS perspective,
+                r.scrape_limit, r.kf_mode, r.kf_include, r.output_dir AS namespace
+         FROM v_listing p JOIN v_registry r ON r.name = p.source WHERE r.enabled),
+pl AS (SELECT * EXCLUDE (ls), generate_subscripts(ls, 1) - 1 AS link_pos, unnest(ls) AS link
+       FROM (SELECT * EXCLUDE (html), ({links})[1:scrape_limit] AS ls FROM pj)),
+pu AS (SELECT *, regexp_extract(feed_url, '^([A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*)', 1) || link AS url FROM pl),
+p1 AS (SELECT * FROM pu WHERE {kw1}),
+pb AS (SELECT p1.*, a.body AS content FROM p1 JOIN v_article a ON a.url = p1.url WHERE {S.words('a.body')} >= 100),
+pt AS (SELECT *, {_title_from_body_sql('content', 'url')} AS title, {date} AS date FROM pb),
+p2 AS (SELECT * FROM pt WHERE {kw2}),
+keyed AS (SELECT *, {S.sanitize_title('title')} || '-' || {S.url_hash('url')} AS stem,
+                 page_id * 1000 + link_pos AS pos FROM p2),
+firsts AS ({_FIRSTS_SQL}),
+new AS (SELECT * FROM firsts f WHERE NOT EXISTS (
+   SELECT 1 FROM v_seen s WHERE s.namespace = f.namespace AND {_SEEN_STEM_SQL} = f.stem))
+SELECT namespace, CASE WHEN date <> '' THEN date || ' - ' || stem || '.md' ELSE stem || '.md' END AS file_name,
+       source, url, date, {_doc_text_sql('title', 'source', 'url', 'date', 'tags', 'perspective', 'content')} AS doc_text
+FROM new"""
+
+
+def _listing_ingest_sql() -> str:
+    head = with_views("SELECT 1", "v_listing", "v_registry", "v_article", "v_seen", "v_dedup")
+    return head[: head.rindex("\nSELECT 1")] + _listing_sql_parts()
+
+
+def ingest_listing_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fetched = fx.v_article(spark, sf_dir).select("url", "body")
+    return G.ingest_listing_items(fx.v_listing(spark, sf_dir), fx.v_registry(spark, sf_dir),
+                                  fx.v_seen(spark, sf_dir), fetched)
+
+
+@register("ingest_listing", _listing_ingest_sql())
+def q_ingest_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listing adapter: links → limit → slug filter → article body → title/date → filter → dedup."""
+    d = ingest_listing_docs(spark, sf_dir)
+    return d.select("namespace", "file_name", "source", "url", "date", "doc_text")
+
+
+@register("keyword_filter_targets")
+def q_keyword_filter_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which text each dialect filters on: feed title+description, video title+transcript,
+    listing slug then title + first 1000 chars (new documents per dialect)."""
+    f = ingest_feed_docs(spark, sf_dir).select(F.lit("feed").alias("dialect"), "namespace", "file_name")
+    v = ingest_video_docs(spark, sf_dir).select(F.lit("video").alias("dialect"), "namespace", "file_name")
+    li = ingest_listing_docs(spark, sf_dir).select(F.lit("listing").alias("dialect"), "namespace", "file_name")
+    return G.union_adapters(f, v, li).groupBy("dialect").agg(F.count(F.lit(1)).cast("long").alias("new_documents"))
+
+
+def _union_sql() -> str:
+    return (f"SELECT 'feed' AS dialect, namespace, file_name, url FROM ({_ingest_sql()}) "
+            f"UNION ALL SELECT 'video', namespace, file_name, url FROM ({_video_ingest_sql()}) "
+            f"UNION ALL SELECT 'listing', namespace, file_name, url FROM ({_listing_ingest_sql()})")
+
+
+@register("union_adapters", _union_sql())
+def q_union_adapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New documents of all three dialects in one item shape."""
+    f = ingest_feed_docs(spark, sf_dir).select(F.lit("feed").alias("dialect"), "namespace", "file_name",
+                                               F.col("link").alias("url"))
+    v = ingest_video_docs(spark, sf_dir).select(F.lit("video").alias("dialect"), "namespace", "file_name", "url")
+    li = ingest_listing_docs(spark, sf_dir).select(F.lit("listing").alias("dialect"), "namespace", "file_name", "url")
+    return G.union_adapters(f, v, li)

@@ -76,12 +76,12 @@ def q_date_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("doc_id", TX.date_in_text(F.col("body")).alias("date"))
 
 
-def _title_from_body_sql() -> str:
-    lines = "string_split(coalesce(body, ''), chr(10))[1:10]"
+def _title_from_body_sql(body: str = "body", url: str = "url") -> str:
+    lines = f"string_split(coalesce({body}, ''), chr(10))[1:10]"
     heads = f"list_filter({lines}, lambda x: starts_with({S.py_strip('x')}, '# '))"
     first = f"{heads}[1]"
     heading = S.py_strip(f"substr({S.py_strip(first)}, 3)")
-    part = "string_split(regexp_replace(coalesce(url, ''), '/+$', ''), '/')[-1]"
+    part = f"string_split(regexp_replace(coalesce({url}, ''), '/+$', ''), '/')[-1]"
     fallback = f"(CASE WHEN {part} <> '' THEN {S.py_title(f'regexp_replace({part}, {chr(39)}[-_]{chr(39)}, {chr(39)} {chr(39)}, {chr(39)}g{chr(39)})')} ELSE 'Untitled' END)"
     return f"(CASE WHEN len({heads}) = 0 OR {heading} = 'Untitled' THEN {fallback} ELSE {heading} END)"
 

@@ -240,7 +240,8 @@ def v_video_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit('"id":"v'), _s(cid), F.lit('"')))
     line = F.concat(F.lit("{"), id_part, title_part, F.lit(',"upload_date":"'), upload, F.lit('"}'))
     line = F.when(cid % 9 == 4, F.lit("{not json")).when(cid % 9 == 8, F.lit("")).otherwise(line)
-    return c.select(cid.alias("line_no"), line.alias("line"))
+    src = F.concat(F.lit("src"), _s(cid % 20))
+    return c.select(cid.alias("line_no"), src.alias("source"), line.alias("line"))
 
 
 def v_events(spark: SparkSession, sf_dir: str) -> DataFrame:

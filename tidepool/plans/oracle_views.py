@@ -45,6 +45,14 @@ SELECT doc_id, source,
             ELSE content END AS body
 FROM v_items""")
 
+view("v_listing", ("v_items",), """
+SELECT doc_id AS page_id, source, 'https://' || source || '.example.com/blog/' AS feed_url,
+       '<html><body><nav><a href="/login">Log in</a> <a href="/signup">Sign up</a></nav><h2><a href="/posts/' || lang
+       || '-report_' || CAST(doc_id AS VARCHAR) || '">' || replace(replace(replace(title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')
+       || '</a></h2><p><a href="/posts/' || lang || '-report_' || CAST(doc_id AS VARCHAR)
+       || '">more</a> · <a href="/feed.xml">feed</a></p></body></html>' AS html
+FROM v_items""")
+
 view("v_registry", (), """
 SELECT source AS name, n AS source_ord,
        CASE WHEN n % 5 = 3 THEN 'youtube' WHEN n % 5 = 4 THEN 'listing' ELSE 'rss' END AS type,
