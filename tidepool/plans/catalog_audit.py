@@ -118,3 +118,15 @@ def q_leak_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT label, CAST(count(*) AS BIGINT) AS hits FROM ({_leak_sql()}) GROUP BY label"""))
 def q_leak_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.leak_counts(A.leak_scan(fx._tbl(spark, sf_dir, "documents")))
+
+
+@register("sink_usage_log", with_views("""
+SELECT model, input_tokens, cache_read, cache_creation, output_tokens FROM v_usage""", "v_usage"))
+def q_sink_usage_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token usage appended to the JSON-lines log and read back."""
+    from tidepool.session import scratch_path
+    from tidepool.sources.sinks import sink_usage_log
+    u = fx.v_usage(spark, sf_dir).select("model", "input_tokens", "cache_read", "cache_creation", "output_tokens")
+    path = sink_usage_log(u, scratch_path(spark, "usage"))
+    return spark.read.schema("model string, input_tokens long, cache_read long, cache_creation long, "
+                             "output_tokens long").json(path)

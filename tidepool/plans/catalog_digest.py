@@ -322,3 +322,25 @@ SELECT link AS url, min(pos) AS first_pos FROM v_dedup WHERE link <> '' GROUP BY
 def q_distinct_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = fx.v_dedup(spark, sf_dir).select(F.col("link").alias("url"), "pos")
     return V.distinct_urls(d, "pos")
+
+
+@register("sink_digest")
+def q_sink_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest written as one markdown text file and read back line by line."""
+    from tidepool.session import scratch_path
+    from tidepool.sources.sinks import sink_digest
+    lines = D.digest(fx.v_index(spark, sf_dir), since="2024-01-10", limit=50)
+    path = sink_digest(lines, scratch_path(spark, "digest"))
+    return spark.read.text(path, wholetext=True).select(F.col("value").alias("digest"))
+
+
+@register("sink_index", with_views("""
+SELECT CASE WHEN regexp_matches(published, '^[0-9]{4}-[0-9]{2}') THEN substr(published, 1, 7) ELSE '0000-00' END
+         AS month, CAST(count(*) AS BIGINT) AS entries
+FROM v_index GROUP BY 1""", "v_index"))
+def q_sink_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Index written month-partitioned; entries per partition as stored."""
+    from tidepool.session import scratch_path
+    path = I.sink_index(I.index_entry(_index_docs(spark, sf_dir)), scratch_path(spark, "index"))
+    return I.scan_index(spark, path).groupBy(F.col("month").cast("string").alias("month")) \
+        .agg(F.count(F.lit(1)).cast("long").alias("entries"))

@@ -397,3 +397,46 @@ def q_union_adapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = ingest_video_docs(spark, sf_dir).select(F.lit("video").alias("dialect"), "namespace", "file_name", "url")
     li = ingest_listing_docs(spark, sf_dir).select(F.lit("listing").alias("dialect"), "namespace", "file_name", "url")
     return G.union_adapters(f, v, li)
+
+
+# ---------------------------------------------------------------------------
+# Document sinks and the document scan
+# ---------------------------------------------------------------------------
+
+@register("sink_documents", f"SELECT namespace, file_name, CAST(length(doc_text) AS BIGINT) AS doc_chars FROM ({_ingest_sql()})")
+def q_sink_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New documents appended as parquet partitioned by namespace, read back."""
+    from tidepool.session import scratch_path
+    from tidepool.sources.sinks import sink_documents
+    docs = ingest_feed_docs(spark, sf_dir).select("namespace", "file_name", "doc_text")
+    path = sink_documents(docs, scratch_path(spark, "documents"))
+    back = spark.read.parquet(path)
+    return back.select(F.col("namespace").cast("string").alias("namespace"), "file_name",
+                       F.char_length("doc_text").cast("long").alias("doc_chars"))
+
+
+def _exported_root(spark: SparkSession, sf_dir: str) -> str:
+    from tidepool.session import scratch_path
+    from tidepool.sources.sinks import export_markdown
+    root = scratch_path(spark, "content")
+    export_markdown(ingest_feed_docs(spark, sf_dir), root)
+    return root
+
+
+@register("scan_documents", f"""
+SELECT namespace || '/' || file_name AS path, source, url, date AS published, content_from = content_from AS readable
+FROM ({_ingest_sql()})""")
+def q_scan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markdown files (one per document) read back recursively: frontmatter → VARIANT."""
+    from tidepool.sources.scans import meta_str, scan_documents
+    docs, _bad = scan_documents(spark, _exported_root(spark, sf_dir))
+    return docs.select("path", meta_str("source").alias("source"), meta_str("url").alias("url"),
+                       meta_str("published").alias("published"), F.col("readable"))
+
+
+@register("relative_path", f"SELECT namespace || '/' || file_name AS path FROM ({_ingest_sql()})")
+def q_relative_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File paths relative to the content root, POSIX separators, percent-decoded."""
+    from tidepool.sources.scans import scan_documents
+    docs, _bad = scan_documents(spark, _exported_root(spark, sf_dir))
+    return docs.select("path")

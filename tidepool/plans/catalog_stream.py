@@ -1 +1,82 @@
-"""Checked queries (filled in below)."""
+"""Checked queries: incremental runs with Structured Streaming (J10).
+
+Each query stages its input as several parquet files (data Spark derives
+from the driver tables), runs the streaming job with availableNow and
+``maxFilesPerTrigger=1`` so the run spans several micro-batches, and
+returns what the sink holds afterwards.
+"""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidepool.plans import fixtures as fx
+from tidepool.plans.catalog import register
+from tidepool.plans.oracle_views import with_views
+from tidepool.session import read_table, scratch_path
+from tidepool.streaming import jobs as J
+
+EVENTS_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+
+
+def _stage(df: DataFrame, name: str, spark: SparkSession, parts: int, key) -> str:
+    """Write ``df`` as ``parts`` parquet files (rows split by ``key``)."""
+    path = scratch_path(spark, name)
+    df.repartition(parts, key).write.parquet(path)
+    return path
+
+
+@register("stream_ingest", "SELECT event_id, user_id, event_type FROM events")
+def q_stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only new rows are picked up: the driver table streamed with availableNow."""
+    sink, ckpt = scratch_path(spark, "ingest-sink"), scratch_path(spark, "ingest-ckpt")
+    J.stream_ingest(spark, os.path.join(sf_dir, "events.parquet*"), EVENTS_SCHEMA, sink, ckpt,
+                    columns=["event_id", "user_id", "event_type"])
+    return J.read_sink(spark, sink)
+
+
+@register("stream_dedup", "SELECT DISTINCT user_id, event_type FROM events")
+def q_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(user, event type) keys emitted once across four micro-batches."""
+    ev = read_table(spark, sf_dir, "events")
+    src = _stage(ev, "dedup-src", spark, 4, F.col("event_id") % 4)
+    sink, ckpt = scratch_path(spark, "dedup-sink"), scratch_path(spark, "dedup-ckpt")
+    J.stream_dedup(spark, src, EVENTS_SCHEMA, ["user_id", "event_type"], "ts", sink, ckpt, max_files_per_trigger=1)
+    return J.read_sink(spark, sink).select("user_id", "event_type")
+
+
+RAW_SCHEMA = "doc_id long, path string, attempt int, raw string"
+
+
+@register("stream_backlog")
+def q_stream_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model answers drained in micro-batches: written back or queued as failed."""
+    raw = fx.v_raw(spark, sf_dir)
+    src = _stage(raw, "backlog-src", spark, 3, F.col("doc_id") % 3)
+    res, failed = scratch_path(spark, "backlog-ok"), scratch_path(spark, "backlog-failed")
+    J.stream_backlog(spark, src, RAW_SCHEMA, fx.VOCABULARY, fx.ALIASES, res, failed,
+                     scratch_path(spark, "backlog-ckpt"), max_files_per_trigger=1)
+    ok = J.read_sink(spark, res).select("path", F.lit(True).alias("ok"))
+    bad = J.read_sink(spark, failed).select("path", F.lit(False).alias("ok"))
+    return ok.unionByName(bad)
+
+
+INDEX_SRC_SCHEMA = ("doc_id long, path string, title string, source string, url string, published string, "
+                    "tags array<string>, primary_topics array<string>, secondary_topics array<string>, "
+                    "summary string, enriched boolean")
+
+
+@register("stream_index", with_views("""
+SELECT path, published, CASE WHEN regexp_matches(published, '^[0-9]{4}-[0-9]{2}') THEN substr(published, 1, 7)
+                             ELSE '0000-00' END AS month
+FROM v_index""", "v_index"))
+def q_stream_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Index refreshed after each of four batches (only touched months rewritten)."""
+    idx = fx.v_index(spark, sf_dir)
+    src = _stage(idx, "index-src", spark, 4, F.col("doc_id") % 4)
+    out, ckpt = scratch_path(spark, "index-stream"), scratch_path(spark, "index-ckpt")
+    J.stream_index(spark, src, INDEX_SRC_SCHEMA, out, ckpt, max_files_per_trigger=1)
+    return spark.read.parquet(out).select("path", "published", F.col("month").cast("string").alias("month"))
