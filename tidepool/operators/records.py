@@ -92,20 +92,39 @@ def _fmt(template: str, **parts) -> Column:
 # Validation
 # ---------------------------------------------------------------------------
 
-def validation_errors(v: Column, vocabulary) -> Column:
-    """Sorted error messages of one record (``v`` an OBJECT VARIANT); [] when valid."""
+def _field_names():
+    return SPEC["required_fields"] + SPEC["optional_fields"]
+
+
+def field_view(v: Column) -> Column:
+    """Per-field VARIANT values and their Python type names, computed once per
+    record (the checks below only read this struct)."""
+    parts = []
+    for f in _field_names():
+        x = _get(v, f)
+        parts += [x.alias(f"x_{f}"), py_type(x).alias(f"t_{f}")]
+        for sk in SPEC["field_specs"].get(f, {}).get("subkeys", {}):
+            y = _get(x, sk)
+            parts += [y.alias(f"x_{f}_{sk}"), py_type(y).alias(f"t_{f}_{sk}")]
+    return F.struct(*parts)
+
+
+def _vocab_array(vocabulary) -> Column:
+    return F.array(*[F.lit(t) for t in sorted(vocabulary)]) if vocabulary else F.array().cast("array<string>")
+
+
+def _view_errors(fv: Column, vocabulary) -> Column:
     msgs: list[Column] = []
     for f in SPEC["required_fields"]:
-        msgs.append(F.when(_get(v, f).isNull(), F.lit(C.MSG_MISSING.format(field=f))))
-    for f in SPEC["required_fields"] + SPEC["optional_fields"]:
+        msgs.append(F.when(fv[f"x_{f}"].isNull(), F.lit(C.MSG_MISSING.format(field=f))))
+    for f in _field_names():
         spec = SPEC["field_specs"].get(f, {})
-        x = _get(v, f)
+        x, t = fv[f"x_{f}"], fv[f"t_{f}"]
         present = x.isNotNull()
         ty = spec.get("type")
-        ok_type = present & (py_type(x) == ty) if ty else present
+        ok_type = present & (t == ty) if ty else present
         if ty:
-            msgs.append(F.when(present & (py_type(x) != ty),
-                               _fmt(C.MSG_WRONG_TYPE, field=f, expected=ty, got=py_type(x))))
+            msgs.append(F.when(present & (t != ty), _fmt(C.MSG_WRONG_TYPE, field=f, expected=ty, got=t)))
         if "const" in spec:
             const = spec["const"]
             cur = F.try_variant_get(x, "$", "boolean") if isinstance(const, bool) else F.to_json(x)
@@ -113,40 +132,80 @@ def validation_errors(v: Column, vocabulary) -> Column:
                                _fmt(C.MSG_CONST, field=f, const=repr(const), value=py_repr(x))))
         if "min_len" in spec or "max_len" in spec:
             n = F.char_length(F.try_variant_get(x, "$", "string"))
-            is_str = present & (py_type(x) == "str")
+            is_str = ok_type & (t == "str")
             if "min_len" in spec:
-                msgs.append(F.when(ok_type & is_str & (n < spec["min_len"]),
+                msgs.append(F.when(is_str & (n < spec["min_len"]),
                                    _fmt(C.MSG_TOO_SHORT, field=f, min_len=spec["min_len"], n=n.cast("string"))))
             if "max_len" in spec:
-                msgs.append(F.when(ok_type & is_str & (n > spec["max_len"]),
+                msgs.append(F.when(is_str & (n > spec["max_len"]),
                                    _fmt(C.MSG_TOO_LONG, field=f, max_len=spec["max_len"], n=n.cast("string"))))
         if "max_items" in spec:
             n = F.size(F.try_variant_get(x, "$", "array<variant>"))
-            msgs.append(F.when(ok_type & (py_type(x) == "list") & (n > spec["max_items"]),
+            msgs.append(F.when(ok_type & (t == "list") & (n > spec["max_items"]),
                                _fmt(C.MSG_MAX_ITEMS, field=f, max_items=spec["max_items"], n=n.cast("string"))))
         for sk, st in spec.get("subkeys", {}).items():
-            sub = _get(x, sk)
-            is_dict = ok_type & (py_type(x) == "dict")
+            sub, subt = fv[f"x_{f}_{sk}"], fv[f"t_{f}_{sk}"]
+            is_dict = ok_type & (t == "dict")
             msgs.append(F.when(is_dict & sub.isNull(), F.lit(C.MSG_MISSING_SUBKEY.format(field=f, subkey=sk))))
-            msgs.append(F.when(is_dict & sub.isNotNull() & (py_type(sub) != st),
+            msgs.append(F.when(is_dict & sub.isNotNull() & (subt != st),
                                F.lit(C.MSG_SUBKEY_TYPE.format(field=f, subkey=sk, expected=st))))
-    vocab = F.array(*[F.lit(t) for t in sorted(vocabulary)]) if vocabulary else F.array().cast("array<string>")
-    topics = _get(v, "topics")
-    primary = F.when(py_type(topics) == "dict", _get(topics, "primary"))
-    items = F.when(py_type(primary) == "list", F.try_variant_get(primary, "$", "array<variant>"))
-    item_msgs = F.transform(F.coalesce(items, F.array().cast("array<variant>")), lambda e: F.when(
-        py_type(e) != "str", _fmt(C.MSG_NOT_STRING, item=py_repr(e))).when(
-        ~F.array_contains(vocab, F.try_variant_get(e, "$", "string")),
-        _fmt(C.MSG_OFF_VOCAB, item=F.try_variant_get(e, "$", "string"))))
-    all_msgs = F.concat(F.array(*msgs), item_msgs)
-    return F.array_sort(F.filter(all_msgs, lambda m: m.isNotNull()))
+    vocab = _vocab_array(vocabulary)
+    items = F.when((fv["t_topics"] == "dict") & (fv["t_topics_primary"] == "list"),
+                   F.try_variant_get(fv["x_topics_primary"], "$", "array<variant>"))
+
+    def item_msg(e):
+        et = py_type(e)
+        s = F.try_variant_get(e, "$", "string")
+        return F.when(et != "str", _fmt(C.MSG_NOT_STRING, item=py_repr(e))) \
+            .when(~F.array_contains(vocab, s), _fmt(C.MSG_OFF_VOCAB, item=s))
+    item_msgs = F.transform(F.coalesce(items, F.array().cast("array<variant>")), item_msg)
+    return F.array_sort(F.filter(F.concat(F.array(*msgs), item_msgs), lambda m: m.isNotNull()))
 
 
-def validate(df: DataFrame, vocabulary, v_col: str = "v", raw_ok_col: str | None = None) -> DataFrame:
+def validation_errors(v: Column, vocabulary) -> Column:
+    """Sorted error messages of one record (``v`` an OBJECT VARIANT); [] when valid."""
+    return _view_errors(field_view(v), vocabulary)
+
+
+def validate(df: DataFrame, vocabulary, v_col: str = "v") -> DataFrame:
     """Adds ``errors`` and ``ok``.  A null ``v`` (no mapping extracted) gets the
-    single extraction error."""
+    single extraction error.  Field values/types are projected once, then checked."""
     v = F.col(v_col)
-    errs = F.when(v.isNull(), F.array(F.lit(C.MSG_NO_YAML))).otherwise(validation_errors(v, vocabulary))
+    staged = df.withColumn("_fv", field_view(v))
+    errs = F.when(v.isNull(), F.array(F.lit(C.MSG_NO_YAML))).otherwise(_view_errors(F.col("_fv"), vocabulary))
+    return staged.withColumn("errors", errs).withColumn("ok", F.size("errors") == 0).drop("_fv")
+
+
+def validate_typed(df: DataFrame, vocabulary, rec_col: str = "record") -> DataFrame:
+    """The same checks for records already in the typed shape
+    (:data:`tidepool.contracts.RECORD_SCHEMA`): types hold by construction, a
+    null field or subkey counts as missing.  No VARIANT round trip."""
+    r = F.col(rec_col)
+    specs = SPEC["field_specs"]
+    msgs: list[Column] = []
+    for f in SPEC["required_fields"]:
+        msgs.append(F.when(r[f].isNull(), F.lit(C.MSG_MISSING.format(field=f))))
+    msgs.append(F.when(r["enriched"] != F.lit(specs["enriched"]["const"]),
+                       F.lit(C.MSG_CONST.format(field="enriched", const=repr(specs["enriched"]["const"]),
+                                                value=repr(not specs["enriched"]["const"])))))
+    n = F.char_length(r["summary"])
+    msgs.append(F.when(n < specs["summary"]["min_len"], _fmt(C.MSG_TOO_SHORT, field="summary",
+                                                             min_len=specs["summary"]["min_len"], n=n.cast("string"))))
+    msgs.append(F.when(n > specs["summary"]["max_len"], _fmt(C.MSG_TOO_LONG, field="summary",
+                                                             max_len=specs["summary"]["max_len"], n=n.cast("string"))))
+    k = F.size(r["key_takeaways"])
+    msgs.append(F.when(r["key_takeaways"].isNotNull() & (k > specs["key_takeaways"]["max_items"]),
+                       _fmt(C.MSG_MAX_ITEMS, field="key_takeaways", max_items=specs["key_takeaways"]["max_items"],
+                            n=k.cast("string"))))
+    for f in ("topics", "entities"):
+        for sk in specs[f]["subkeys"]:
+            msgs.append(F.when(r[f].isNotNull() & r[f][sk].isNull(),
+                               F.lit(C.MSG_MISSING_SUBKEY.format(field=f, subkey=sk))))
+    vocab = _vocab_array(vocabulary)
+    item_msgs = F.transform(F.filter(F.coalesce(r["topics"]["primary"], F.array().cast("array<string>")),
+                                     lambda x: ~F.array_contains(vocab, x)),
+                            lambda x: _fmt(C.MSG_OFF_VOCAB, item=x))
+    errs = F.array_sort(F.filter(F.concat(F.array(*msgs), item_msgs), lambda m: m.isNotNull()))
     return df.withColumn("errors", errs).withColumn("ok", F.size("errors") == 0)
 
 
@@ -268,6 +327,20 @@ def sanitize(v: Column, amap: Column | None = None) -> Column:
          .alias("key_takeaways"))
 
 
+def sanitize_typed(rec: Column, amap: Column | None = None) -> Column:
+    """:func:`sanitize` for records already in the typed shape: over-long summary
+    dropped, takeaways cut to ``max_items``, entity groups normalised."""
+    specs = SPEC["field_specs"]
+    ents = rec["entities"]
+    groups = [(normalize_list(ents[g], amap) if amap is not None else ents[g]).alias(g) for g in C.ENTITY_GROUPS]
+    return F.struct(
+        rec["enriched"].alias("enriched"),
+        F.when(F.char_length(rec["summary"]) <= specs["summary"]["max_len"], rec["summary"]).alias("summary"),
+        rec["topics"].alias("topics"),
+        F.when(ents.isNotNull(), F.struct(*groups)).alias("entities"),
+        F.slice(rec["key_takeaways"], 1, specs["key_takeaways"]["max_items"]).alias("key_takeaways"))
+
+
 def first_valid_attempt(attempts: DataFrame, key: str = "path", n_col: str = "attempt") -> DataFrame:
     """Per key: the first attempt that validated (its record, errors cleared), or
     — when none did — all attempts' errors in attempt order.
@@ -314,7 +387,10 @@ def writeback(raw: DataFrame, vocabulary, aliases, key: str = "path", n_col: str
     Returns one row per key: ok, attempts, errors, clean (typed record or null).
     """
     amap = alias_map(aliases)
-    parsed = raw.withColumn("v", parse_record(F.col(raw_col)))
+    # The per-key aggregation below needs rows clustered by key anyway: doing
+    # that shuffle first spreads the Python YAML step over all tasks and
+    # leaves the aggregation shuffle-free (attempts per key are bounded).
+    parsed = raw.repartition(F.col(key)).withColumn("v", parse_record(F.col(raw_col)))
     checked = validate(parsed, vocabulary)
     with_clean = checked.withColumn("clean", F.when(F.col("ok"), sanitize(F.col("v"), amap)))
     return first_valid_attempt(with_clean.select(key, n_col, "ok", "errors", "clean"), key, n_col)

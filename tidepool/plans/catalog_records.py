@@ -19,11 +19,19 @@ _VOCAB_SQL = "[" + ", ".join(f"'{t}'" for t in VOCAB) + "]"
 
 
 def _typed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate records as VARIANT (the general, dynamically typed path)."""
     r = fx.v_rec(spark, sf_dir)
     rec = F.struct("enriched", "summary", "topics", "entities", "key_takeaways")
     return r.select("doc_id", "path", "attempt", R.typed_to_variant(rec).alias("v"))
 
 
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate records in the typed shape (fast path)."""
+    r = fx.v_rec(spark, sf_dir)
+    rec = F.struct("enriched", "summary", "topics", "entities", "key_takeaways")
+    return r.select("doc_id", "path", "attempt", rec.alias("record"))
+
+
 def _errors_sql() -> str:
     q = "''"
     msgs = [
@@ -49,7 +57,7 @@ SELECT path, CAST(attempt AS BIGINT) AS attempt, len(errors) = 0 AS ok, array_to
 FROM checked""", "v_rec", extra={"checked": _CHECKED_SQL}))
 def q_validate_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Schema + vocabulary check of every candidate record (all errors collected)."""
-    v = R.validate(_typed_records(spark, sf_dir), VOCAB)
+    v = R.validate_typed(_records(spark, sf_dir), VOCAB)
     return v.select("path", F.col("attempt").cast("long").alias("attempt"), "ok",
                     F.array_join("errors", "|").alias("errors"))
 
@@ -76,7 +84,7 @@ GROUP BY path, win, n"""
 @register("first_valid_attempt", with_views(_FIRST_SQL, "v_rec", extra={"checked": _CHECKED_SQL}))
 def q_first_valid_attempt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Up to three candidates per document: the first valid wins; else all errors in order."""
-    v = R.validate(_typed_records(spark, sf_dir), VOCAB).select("path", "attempt", "ok", "errors")
+    v = R.validate_typed(_records(spark, sf_dir), VOCAB).select("path", "attempt", "ok", "errors")
     f = R.first_valid_attempt(v)
     return f.select("path", "ok", "attempts", F.array_join("errors", "|").alias("errors"))
 
@@ -174,8 +182,8 @@ SELECT d.path, d.title, w.enriched, w.summary, array_to_string(w.primary_topics,
 FROM v_docs d LEFT JOIN win w ON w.path = d.path""", "v_rec", extra={"checked": _CHECKED_SQL}))
 def q_upsert_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Successful records merged into every document; failed ones untouched."""
-    t = R.validate(_typed_records(spark, sf_dir), VOCAB)
-    t = t.withColumn("clean", F.when(F.col("ok"), R.sanitize(F.col("v"), R.alias_map(fx.ALIASES))))
+    t = R.validate_typed(_records(spark, sf_dir), VOCAB)
+    t = t.withColumn("clean", F.when(F.col("ok"), R.sanitize_typed(F.col("record"), R.alias_map(fx.ALIASES))))
     res = R.first_valid_attempt(t.select("path", "attempt", "ok", "errors", "clean"))
     docs = fx.v_docs(spark, sf_dir).select("path", "title", "source")
     m = R.upsert_metadata(docs, res)
@@ -189,7 +197,7 @@ SELECT CAST(count(*) FILTER (WHERE len(errors) = 0) AS BIGINT) AS succeeded,
 FROM checked WHERE attempt = 1""", "v_rec", extra={"checked": _CHECKED_SQL}))
 def q_batch_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One response per document, no retries: succeeded / failed counts."""
-    v = R.validate(_typed_records(spark, sf_dir).where(F.col("attempt") == 1), VOCAB)
+    v = R.validate_typed(_records(spark, sf_dir).where(F.col("attempt") == 1), VOCAB)
     return R.batch_report(v)
 
 

@@ -214,12 +214,13 @@ def _json_default(v):
 def yaml_to_json(s: pd.Series) -> pd.Series:
     """YAML text → JSON text (null when it does not parse); dates become ISO strings."""
     import yaml
+    loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)  # libyaml when built in: same safe schema, ~9x faster
 
     def conv(x):
         if x is None:
             return None
         try:
-            return json.dumps(yaml.safe_load(x), default=_json_default, ensure_ascii=False)
+            return json.dumps(yaml.load(x, Loader=loader), default=_json_default, ensure_ascii=False)
         except Exception:  # noqa: BLE001 — malformed YAML → null (quarantine)
             return None
     return s.map(conv)
