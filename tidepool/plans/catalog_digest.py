@@ -222,10 +222,12 @@ SELECT line_no, CASE WHEN line_no = last THEN regexp_replace(line, '\\s+$', '')
 FROM numbered, last WHERE line_no <= last"""
 
 
-def _digest_query_sql(since, until, limit, tiers_cte=None):
+def _digest_query_sql(since, until, limit, tiers_cte=None, views=("v_index",), extra=None):
     body = _digest_sql(since, until, limit, tiers_cte)
-    extra = {"tiers": tiers_cte} if tiers_cte else None
-    sql = with_views("SELECT 1", "v_index", extra=extra)
+    extra = dict(extra or {})
+    if tiers_cte:
+        extra["tiers"] = tiers_cte
+    sql = with_views("SELECT 1", *views, extra=extra or None)
     head = sql[: sql.rindex("\nSELECT 1")]
     return head + body
 
@@ -300,7 +302,10 @@ def q_verification_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("path", "url", "tier")
 
 
-@register("digest_verified")
+@register("digest_verified", _digest_query_sql(
+    "2024-01-10", None, 50, tiers_cte=f"SELECT url, {_TIER_SQL} AS tier FROM guarded",
+    views=("v_index", "v_items", "v_checks"),
+    extra={"doc_checks": _DOC_CHECKS_SQL, "dns": _dns_cte("doc_checks"), "guarded": _guard_sql("doc_checks")}))
 def q_digest_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
     checks = _doc_checks(spark, sf_dir)
     tiers = V.check_tiers(checks, _hosts_dns(spark, checks))
@@ -324,7 +329,12 @@ def q_distinct_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.distinct_urls(d, "pos")
 
 
-@register("sink_digest")
+def _sink_digest_sql() -> str:
+    inner = _digest_query_sql("2024-01-10", None, 50)
+    return f"SELECT string_agg(line, chr(10) ORDER BY line_no) || chr(10) AS digest FROM ({inner})"
+
+
+@register("sink_digest", _sink_digest_sql())
 def q_sink_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The digest written as one markdown text file and read back line by line."""
     from tidepool.session import scratch_path

@@ -373,7 +373,9 @@ def q_ingest_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("namespace", "file_name", "source", "url", "date", "doc_text")
 
 
-@register("keyword_filter_targets")
+@register("keyword_filter_targets", "SELECT dialect, CAST(count(*) AS BIGINT) AS new_documents FROM ("
+          "SELECT 'feed' AS dialect FROM (" + _ingest_sql() + ") UNION ALL SELECT 'video' FROM (" +
+          _video_ingest_sql() + ") UNION ALL SELECT 'listing' FROM (" + _listing_ingest_sql() + ")) GROUP BY dialect")
 def q_keyword_filter_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which text each dialect filters on: feed title+description, video title+transcript,
     listing slug then title + first 1000 chars (new documents per dialect)."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidepool import contracts as C
 from tidepool.operators import enrich as EN
 from tidepool.operators import index as I
 from tidepool.operators import records as R
@@ -52,6 +53,16 @@ def _errors_sql() -> str:
 _CHECKED_SQL = f"SELECT *, {_errors_sql()} AS errors FROM v_rec"
 
 
+# Expected results for the YAML answers: the same candidate records, plus the
+# three injected variants (no mapping, an extra key, a non-string topic).
+_RAW_CHECKED_SQL = f"""
+SELECT *, k % 19 = 0 AS nomap,
+       CASE WHEN k % 19 = 0 THEN ['{C.MSG_NO_YAML}']
+            WHEN k % 29 = 0 THEN list_sort(errors || ['topics.primary item {{''AI'': ''alignment''}} is not a string'])
+            ELSE errors END AS raw_errors
+FROM checked"""
+
+
 @register("validate_record", with_views("""
 SELECT path, CAST(attempt AS BIGINT) AS attempt, len(errors) = 0 AS ok, array_to_string(errors, '|') AS errors
 FROM checked""", "v_rec", extra={"checked": _CHECKED_SQL}))
@@ -202,7 +213,9 @@ def q_batch_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- raw responses (rows-only)
-@register("extract_block")
+@register("extract_block", with_views("""
+SELECT path, CAST(attempt AS BIGINT) AS attempt, NOT nomap AS has_mapping FROM raw_checked""", "v_rec",
+    extra={"checked": _CHECKED_SQL, "raw_checked": _RAW_CHECKED_SQL}))
 def q_extract_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fenced YAML block → mapping (VARIANT); answers without one yield no mapping."""
     r = fx.v_raw(spark, sf_dir)
@@ -210,7 +223,23 @@ def q_extract_block(spark: SparkSession, sf_dir: str) -> DataFrame:
                     R.parse_record(F.col("raw")).isNotNull().alias("has_mapping"))
 
 
-@register("writeback")
+_RAW_FIRST_SQL = """
+SELECT path, win, win IS NOT NULL AS ok, CAST(coalesce(win, n) AS BIGINT) AS attempts,
+       CASE WHEN win IS NOT NULL THEN '' ELSE array_to_string(flatten(list(raw_errors ORDER BY attempt)), '|') END
+         AS errors
+FROM (SELECT path, raw_errors, attempt,
+             min(CASE WHEN len(raw_errors) = 0 THEN attempt END) OVER (PARTITION BY path) AS win,
+             max(attempt) OVER (PARTITION BY path) AS n FROM raw_checked)
+GROUP BY path, win, n"""
+
+
+@register("writeback", with_views(f"""
+SELECT f.path, f.ok, f.attempts, f.errors, r.summary, o.organizations
+FROM raw_first f
+LEFT JOIN v_rec r ON r.path = f.path AND r.attempt = f.win
+LEFT JOIN ({_group_norm_sql('organizations')}) o ON o.path = f.path AND o.attempt = f.win""", "v_rec",
+    extra={"checked": _CHECKED_SQL, "raw_checked": _RAW_CHECKED_SQL, "raw_first": _RAW_FIRST_SQL,
+           "aliases": _aliases_sql(), "alias_red": _ALIAS_RED_SQL}))
 def q_writeback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """extract → check → first valid attempt → normalise → sanitise, per document."""
     w = R.writeback(fx.v_raw(spark, sf_dir), VOCAB, fx.ALIASES)
@@ -219,7 +248,11 @@ def q_writeback(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.array_join("clean.entities.organizations", "|").alias("organizations"))
 
 
-@register("missing_required")
+@register("missing_required", with_views("""
+SELECT path, CAST(attempt AS BIGINT) AS attempt,
+       CASE WHEN nomap THEN 'enriched|summary|topics|entities' WHEN k % 11 = 0 THEN 'entities' ELSE '' END AS missing,
+       CASE WHEN NOT nomap AND k % 23 = 0 THEN 'injected' ELSE '' END AS dropped
+FROM raw_checked""", "v_rec", extra={"checked": _CHECKED_SQL, "raw_checked": _RAW_CHECKED_SQL}))
 def q_missing_required(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidepool.sources.scans import yaml_to_json
     r = fx.v_raw(spark, sf_dir).withColumn("j", yaml_to_json(R.extract_block(F.col("raw"))))
@@ -229,7 +262,9 @@ def q_missing_required(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.array_join(R.dropped_keys(keys), "|").alias("dropped"))
 
 
-@register("dropped_keys")
+@register("dropped_keys", with_views("""
+SELECT path, CAST(attempt AS BIGINT) AS attempt, 'injected' AS dropped FROM raw_checked
+WHERE NOT nomap AND k % 23 = 0""", "v_rec", extra={"checked": _CHECKED_SQL, "raw_checked": _RAW_CHECKED_SQL}))
 def q_dropped_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidepool.sources.scans import yaml_to_json
     r = fx.v_raw(spark, sf_dir).withColumn("j", yaml_to_json(R.extract_block(F.col("raw"))))
@@ -238,7 +273,11 @@ def q_dropped_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
         "path", F.col("attempt").cast("long").alias("attempt"), F.array_join(R.dropped_keys(keys), "|").alias("dropped"))
 
 
-@register("ensure_list")
+@register("ensure_list", with_views("""
+SELECT path, CAST(attempt AS BIGINT) AS attempt,
+       CASE WHEN nomap THEN '' WHEN k % 29 = 0 THEN '{"AI":"alignment"}|' || array_to_string(primary_topics, '|')
+            ELSE array_to_string(primary_topics, '|') END AS primary_topics
+FROM raw_checked""", "v_rec", extra={"checked": _CHECKED_SQL, "raw_checked": _RAW_CHECKED_SQL}))
 def q_ensure_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """topics.primary of every parsed answer coerced to a list (str → [str], other → [])."""
     from tidepool.sources.scans import ensure_list
@@ -248,7 +287,9 @@ def q_ensure_list(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.array_join(ensure_list(prim), "|").alias("primary_topics"))
 
 
-@register("sink_failed_queue")
+@register("sink_failed_queue", with_views("""
+SELECT path, array_to_string(raw_errors, '|') AS errors FROM raw_checked WHERE attempt = 1 AND len(raw_errors) > 0""",
+    "v_rec", extra={"checked": _CHECKED_SQL, "raw_checked": _RAW_CHECKED_SQL}))
 def q_sink_failed_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Failed writebacks appended to the re-run queue (JSON lines) and read back."""
     from tidepool.sources.sinks import sink_failed_queue
@@ -295,7 +336,9 @@ def q_build_packet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pk.drop("prompt")
 
 
-@register("sink_packets")
+@register("sink_packets", with_views(f"""
+SELECT path, sha256(p) AS prompt_sha256, CAST(length(p) AS BIGINT) AS prompt_chars
+FROM (SELECT path, {_prompt_sql('content')} AS p FROM backlog)""", "v_docs", extra={"backlog": _BACKLOG_SQL}))
 def q_sink_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packets written as JSON lines and read back."""
     from tidepool.sources.sinks import sink_packets
@@ -316,7 +359,10 @@ def q_udf_enricher(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.array_join("record.topics.primary", "|").alias("primary_topics"))
 
 
-@register("enrich_batch")
+@register("enrich_batch", with_views("""
+SELECT path, true AS ok, '' AS errors FROM (
+  SELECT path, row_number() OVER (ORDER BY string_split(path, '/')) AS r FROM backlog) WHERE r <= 25""",
+    "v_docs", extra={"backlog": _BACKLOG_SQL}))
 def q_enrich_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A pluggable enricher run with mapInPandas over the first 25 backlog documents
     (the --max-enrich cap), then written back."""

@@ -51,7 +51,13 @@ def q_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 RAW_SCHEMA = "doc_id long, path string, attempt int, raw string"
 
 
-@register("stream_backlog")
+def _backlog_sql() -> str:
+    from tidepool.plans.catalog_records import _CHECKED_SQL, _RAW_CHECKED_SQL, _RAW_FIRST_SQL
+    return with_views("SELECT path, ok FROM raw_first", "v_rec",
+                      extra={"checked": _CHECKED_SQL, "raw_checked": _RAW_CHECKED_SQL, "raw_first": _RAW_FIRST_SQL})
+
+
+@register("stream_backlog", _backlog_sql())
 def q_stream_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model answers drained in micro-batches: written back or queued as failed."""
     raw = fx.v_raw(spark, sf_dir)
