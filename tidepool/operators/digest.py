@@ -107,7 +107,9 @@ def digest(index: DataFrame, *, since: str | None = None, until: str | None = No
            limit: int = C.WINDOW_LIMIT, run_date: str = C.RUN_DATE,
            checks: DataFrame | None = None) -> DataFrame:
     """The digest as numbered lines; with ``checks`` (url, tier) links get tier labels."""
-    entries = window_query(index, since=since, until=until, limit=limit)
+    # ≤ limit rows: freeze them once; the line builders below read them several times
+    from tidepool.session import cut_lineage
+    entries = cut_lineage(window_query(index, since=since, until=until, limit=limit))
     if checks is not None:
         from tidepool.operators.verify import verification_join
         entries = verification_join(entries, checks)

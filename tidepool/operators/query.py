@@ -25,14 +25,16 @@ def filter_date_range(df: DataFrame, since: str | None = None, until: str | None
 
     A missing date is '' — it fails ``since`` and passes ``until``.
     """
-    p = F.coalesce(F.col("published"), F.lit(""))
+    # Written without coalesce so both bounds reach the parquet scan as
+    # pushed filters: a null date fails `since` and passes `until`.
+    p = F.col("published")
     has_month = "month" in df.columns
     if since:
         df = df.where(p >= since)
         if has_month:
             df = df.where(F.col("month") >= since[:7])
     if until:
-        df = df.where(p <= until)
+        df = df.where((p <= until) | p.isNull())
         if has_month:
             df = df.where(F.col("month") <= until[:7])
     return df

@@ -31,16 +31,13 @@ def resolve_hosts(dns: DataFrame) -> DataFrame:
         F.max(ip_blocked(F.col("ip")).cast("int")).alias("any_blocked"))
 
 
-def url_guard(df: DataFrame, dns: DataFrame, url_col: str = "url") -> DataFrame:
-    """Adds ``host``, ``guard_reason`` (null when allowed) and ``blocked``.
+def host_verdicts(hosts: DataFrame, dns: DataFrame) -> DataFrame:
+    """(host, scheme) → guard_reason (null = allowed), one row per distinct pair.
 
-    Reasons: scheme, empty_host, metadata_host, private_ip, unresolved.
-    Literal IPs are judged directly; names through the host→ip table.
+    Literal IPs are judged directly (IPv6 through Python, only for hosts with
+    ':'); names through the host→ip table, unresolvable names are refused.
     """
-    url = F.col(url_col)
-    with_host = df.withColumn("host", hostname(url)).withColumn("_scheme", scheme(url))
-    hosts = resolve_hosts(dns)
-    j = with_host.join(hosts, "host", "left")
+    j = hosts.join(resolve_hosts(dns), "host", "left")
     h = F.col("host")
     literal = is_literal_ip(h)
     literal_blocked = ip_blocked(F.when(literal, h))
@@ -51,9 +48,21 @@ def url_guard(df: DataFrame, dns: DataFrame, url_col: str = "url") -> DataFrame:
                      F.when(literal_blocked, F.lit("private_ip")))
                .when(F.col("n_ips").isNull() | (F.col("n_ips") == 0), F.lit("unresolved"))
                .when(F.col("any_blocked") == 1, F.lit("private_ip")))
-    return (j.withColumn("guard_reason", reason)
-             .withColumn("blocked", F.col("guard_reason").isNotNull())
-             .drop("_scheme", "n_ips", "any_blocked"))
+    return j.select("host", "_scheme", reason.alias("guard_reason"))
+
+
+def url_guard(df: DataFrame, dns: DataFrame, url_col: str = "url") -> DataFrame:
+    """Adds ``host``, ``guard_reason`` (null when allowed) and ``blocked``.
+
+    Reasons: scheme, empty_host, metadata_host, private_ip, unresolved.  The
+    verdict is computed once per distinct (host, scheme) — a partial
+    aggregation — and joined back, so the per-URL work stays native.
+    """
+    url = F.col(url_col)
+    with_host = df.withColumn("host", hostname(url)).withColumn("_scheme", scheme(url))
+    verdicts = host_verdicts(with_host.select("host", "_scheme").distinct(), dns)
+    j = with_host.join(verdicts, ["host", "_scheme"], "left")
+    return j.withColumn("blocked", F.col("guard_reason").isNotNull()).drop("_scheme")
 
 
 def check_tiers(checks: DataFrame, dns: DataFrame) -> DataFrame:
