@@ -129,6 +129,9 @@ LEAK_PATTERNS = (
     ("ipv4_address", r"(^|[^0-9.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}($|[^0-9.])"),
     ("phone_number", r"\+[0-9]{1,3} \([0-9]{3}\) [0-9]{3}-[0-9]{4}"),
 )
+# A literal every match of the pattern must contain: a cheap test that skips
+# the regex on most lines (same results, far less regex work).
+LEAK_HINTS = {"personal_path": "/", "email": "@", "secret_token": "=", "ipv4_address": ".", "phone_number": "+"}
 LEAK_ALLOW = r"noreply@"
 
 
@@ -143,7 +146,11 @@ def leak_scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     lines = docs.select(id_col, F.posexplode(F.split(F.col(text_col), "\n")).alias("_i", "line"))
     if allow:
         lines = lines.where(~F.col("line").rlike("(?i)" + allow))
-    labels = F.array(*[F.when(F.col("line").rlike("(?i)" + p), F.lit(lbl)) for lbl, p in patterns])
+    def hit(lbl, p):
+        test = F.col("line").rlike("(?i)" + p)
+        hint = LEAK_HINTS.get(lbl) if patterns is LEAK_PATTERNS else None
+        return (F.contains(F.col("line"), F.lit(hint)) & test) if hint else test
+    labels = F.array(*[F.when(hit(lbl, p), F.lit(lbl)) for lbl, p in patterns])
     hits = lines.select(id_col, (F.col("_i") + 1).cast("long").alias("line_no"),
                         F.explode(F.filter(labels, lambda x: x.isNotNull())).alias("label"))
     return hits
