@@ -86,8 +86,9 @@ COST_PRICES = {**C.TIER_PRICES, "user": C.TIER_PRICES["small"], "assistant": C.T
 
 
 @register("cost_estimate", with_views(f"""
-SELECT c.model, CAST(c.items AS BIGINT) AS items, coalesce(p.price, {C.DEFAULT_ARTICLE_COST}) AS price_per_item,
-       c.items * coalesce(p.price, {C.DEFAULT_ARTICLE_COST}) AS estimated_cost
+SELECT c.model, CAST(c.items AS BIGINT) AS items,
+       CAST(coalesce(p.price, {C.DEFAULT_ARTICLE_COST}) AS DOUBLE) AS price_per_item,
+       CAST(c.items AS DOUBLE) * CAST(coalesce(p.price, {C.DEFAULT_ARTICLE_COST}) AS DOUBLE) AS estimated_cost
 FROM (SELECT model, count(*) AS items FROM v_usage GROUP BY model) c
 LEFT JOIN (VALUES {", ".join(f"('{k}', {v})" for k, v in sorted(COST_PRICES.items()))}) p(model, price)
   ON p.model = c.model""", "v_usage"))

@@ -426,7 +426,7 @@ def _exported_root(spark: SparkSession, sf_dir: str) -> str:
 
 
 @register("scan_documents", f"""
-SELECT namespace || '/' || file_name AS path, source, url, date AS published, content_from = content_from AS readable
+SELECT namespace || '/' || file_name AS path, source, url, date AS published, true AS readable
 FROM ({_ingest_sql()})""")
 def q_scan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markdown files (one per document) read back recursively: frontmatter → VARIANT."""
