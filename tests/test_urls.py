@@ -109,3 +109,16 @@ def test_url_hash(spark):
     import hashlib
     u = "https://example.com/é"
     assert ev(spark, U.url_hash, u) == hashlib.sha1(u.encode()).hexdigest()[:6]
+
+
+def test_decode_body_charsets(spark):
+    from tidepool.sources.scans import decode_body
+    text = "café – ok"
+    rows = [(text.encode("utf-8"), "utf-8"), (text.encode("utf-16-le"), "UTF-16LE"),
+            (text.encode("cp1252"), "windows-1252"), (b"\xff\xfeok", "utf-8"),
+            (('<?xml version="1.0" encoding="ISO-8859-1"?><a>' + "é</a>").encode("latin-1"), "utf-8")]
+    df = spark.createDataFrame(rows, "b binary, cs string")
+    got = [r[0] for r in df.select(decode_body(F.col("b"), F.col("cs"))).collect()]
+    assert got[0] == text and got[1] == text and got[2] == text
+    assert got[3].endswith("ok") and "�" in got[3]
+    assert got[4].endswith("é</a>")

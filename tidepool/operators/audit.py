@@ -110,10 +110,11 @@ def cost_estimate(items_per_model: DataFrame, prices: DataFrame,
                   default: float = C.DEFAULT_ARTICLE_COST) -> DataFrame:
     """Per model: items × price (unknown model → default price).
 
-    ``prices`` is a literal table built on the driver (size known), so it is
-    broadcast without a count.
+    ``prices`` is a dimension (one row per model): broadcast after its row
+    count is checked.
     """
-    j = items_per_model.join(F.broadcast(prices), "model", "left")
+    from tidepool.operators.ingest import checked_broadcast
+    j = items_per_model.join(checked_broadcast(prices), "model", "left")
     return j.select("model", F.col("items").cast("long").alias("items"),
                     F.coalesce(F.col("price"), F.lit(default)).alias("price_per_item"),
                     (F.col("items") * F.coalesce(F.col("price"), F.lit(default))).alias("estimated_cost"))

@@ -112,7 +112,7 @@ def digest(index: DataFrame, *, since: str | None = None, until: str | None = No
     entries = cut_lineage(window_query(index, since=since, until=until, limit=limit))
     if checks is not None:
         from tidepool.operators.verify import verification_join
-        entries = verification_join(entries, checks)
+        entries = verification_join(entries, checks, entries_bound=limit)
     return digest_lines(entries, since=since, until=until, run_date=run_date, with_tier=checks is not None)
 
 

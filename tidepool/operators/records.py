@@ -276,8 +276,8 @@ def normalize_entities_table(ents: DataFrame, aliases: DataFrame, id_col: str =
                              pos_col: str = "pos", value_col: str = "token") -> DataFrame:
     """Exploded entities (id, pos, value) → (id, entities sorted).
 
-    The alias table is a small literal dimension: reduced to one canonical per
-    folded key (last wins) and broadcast.  Dedup is a ``min_by`` aggregation
+    The alias table is a dimension: reduced to one canonical per folded key
+    (last wins) and broadcast after its row count is checked.  Dedup is a ``min_by`` aggregation
     (partial) on (id, folded canonical); the final list per id is bounded by
     that record's entities.
     """
@@ -285,7 +285,8 @@ def normalize_entities_table(ents: DataFrame, aliases: DataFrame, id_col: str =
     last = Window.partitionBy("fold").orderBy(F.col("alias_ord").desc())
     a = a.withColumn("_r", F.row_number().over(last)).where(F.col("_r") == 1).select("fold", "canonical")
     e = ents.withColumn("fold", casefold(F.col(value_col)))
-    j = e.join(F.broadcast(a), "fold", "left")
+    from tidepool.operators.ingest import checked_broadcast
+    j = e.join(checked_broadcast(a), "fold", "left")
     canon = F.coalesce(F.col("canonical"), F.col(value_col))
     j = j.select(id_col, pos_col, canon.alias("canon")).withColumn("cfold", casefold(F.col("canon")))
     firsts = j.groupBy(id_col, "cfold").agg(F.min_by("canon", pos_col).alias("canon"))

@@ -71,16 +71,18 @@ def check_tiers(checks: DataFrame, dns: DataFrame) -> DataFrame:
     return g.withColumn("tier", status_tier(F.col("status"), F.col("blocked")))
 
 
-def verification_join(entries: DataFrame, tiers: DataFrame) -> DataFrame:
+def verification_join(entries: DataFrame, tiers: DataFrame, entries_bound: int | None = None) -> DataFrame:
     """Entry → tier by url; unknown url → 'stale'; empty url → no tier (null).
 
-    ``entries`` is small (after the window limit); the tiers table is first
-    cut down with a broadcast semi-join on the entries' urls, so the large
-    side is scanned once and never shuffled.
+    With ``entries_bound`` (a proven row bound, e.g. the window limit) the
+    tiers table is first cut to the entries' urls by a broadcast semi-join,
+    so the large side is scanned once and never shuffled; without one both
+    sides are joined by key (AQE may still broadcast at run time).
     """
-    urls = entries.select(F.col("url")).where(F.col("url") != "").distinct()
-    needed = tiers.select("url", "tier").join(F.broadcast(urls), "url", "left_semi") \
-        .groupBy("url").agg(F.max("tier").alias("tier"))
+    from tidepool.operators.ingest import restrict_to
+    urls = entries.select(F.col("url")).where(F.col("url") != "")
+    needed = restrict_to(tiers.select("url", "tier"), urls, ["url"], entries_bound)
+    needed = needed.groupBy("url").agg(F.max("tier").alias("tier"))
     j = entries.join(needed, "url", "left")
     return j.withColumn("tier", F.when(F.coalesce(F.col("url"), F.lit("")) != "",
                                        F.coalesce(F.col("tier"), F.lit("stale"))))

@@ -177,10 +177,13 @@ def decode_body(body: Column, http_charset: Column) -> Column:
     prolog = F.upper(F.regexp_extract(head, r"(?i)<\?xml[^>]*\bencoding\s*=\s*[\"']?([A-Za-z0-9._-]+)", 1))
     cs = F.upper(F.coalesce(F.nullif(prolog, F.lit("")), F.nullif(F.trim(http_charset), F.lit("")), F.lit("UTF-8")))
     cs = F.when(cs == "LATIN-1", F.lit("ISO-8859-1")).when(cs == "ASCII", F.lit("US-ASCII")).otherwise(cs)
-    utf8 = F.make_valid_utf8(body.cast("string"))
-    return F.when(cs == "UTF-8", utf8).when(cs.isin(*NATIVE_CHARSETS[:2]), F.decode(body, "ISO-8859-1")) \
-        .when(cs.isin(*NATIVE_CHARSETS[3:]), F.decode(body, "UTF-16")) \
-        .otherwise(_decode_udf(body, cs))
+    native = cs.isin(*NATIVE_CHARSETS)
+    # Python decodes only the rows with a charset Spark lacks (others pass null)
+    out = F.when(cs == "UTF-8", F.make_valid_utf8(body.cast("string")))
+    for c in NATIVE_CHARSETS:
+        if c != "UTF-8":
+            out = out.when(cs == c, F.decode(body, c))
+    return out.otherwise(_decode_udf(F.when(~native, body), F.when(~native, cs)))
 
 
 @F.pandas_udf(T.StringType())
