@@ -102,3 +102,10 @@ def test_keyword_match(spark):
 def test_slug_and_words(spark):
     assert ev(spark, TX.slug_text, "/blog/my-post_name/") == "my post name"
     assert ev(spark, TX.word_count, " a  b\nc d ") == 4
+
+
+@pytest.mark.parametrize("text", ["", "   ", "a", " a b ", "w " * 99, "w " * 100, "\nw\t" * 100 + "x", "é " * 150])
+def test_has_min_words_matches_split(spark, text):
+    for n in (1, 2, 100):
+        got = spark.createDataFrame([(text,)], "x string").select(TX.has_min_words(F.col("x"), n)).first()[0]
+        assert got == (len(text.split()) >= n), (repr(text[:20]), n)

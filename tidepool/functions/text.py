@@ -70,6 +70,14 @@ def word_count(c: Column) -> Column:
     return F.regexp_count(c, F.lit(r"(?U)\S+"))
 
 
+def has_min_words(c: Column, n: int) -> Column:
+    """``len(text.split()) >= n`` without counting past the n-th word
+    (possessive quantifiers: the match stops there, no backtracking)."""
+    if n <= 0:
+        return F.lit(True)
+    return F.coalesce(c, F.lit("")).rlike(rf"(?U)^\s*+(?:\S++\s++){{{n - 1}}}\S")
+
+
 def strip_html(c: Column, full_entities: bool = False) -> Column:
     """Tags → space, entity-decode, collapse whitespace, strip; null → ''."""
     t = F.regexp_replace(c, r"<[^>]+>", " ")
@@ -141,7 +149,8 @@ def title_from_body(content: Column, url: Column) -> Column:
     A heading that reads exactly "Untitled" falls through to the URL, and an
     empty slug leaves "Untitled".
     """
-    lines = F.slice(F.split(F.coalesce(content, F.lit("")), "\n"), 1, 10)
+    # split limit 11: at most 10 lines are materialised (the 11th holds the rest)
+    lines = F.slice(F.split(F.coalesce(content, F.lit("")), "\n", 11), 1, 10)
     heads = F.filter(lines, lambda x: py_strip(x).startswith("# "))
     first = F.try_element_at(heads, F.lit(1))
     heading = py_strip(F.substring(py_strip(first), 3, 1 << 30))
@@ -158,9 +167,9 @@ def date_in_text(content: Column, run_date: str = C.RUN_DATE) -> Column:
 
 def classify_content(content: Column, min_body_words: int = C.DEFAULT_MIN_BODY_WORDS) -> Column:
     """'full' (≥500 words, tested first), 'truncated' (≥ min), else 'stub'."""
-    w = word_count(F.coalesce(content, F.lit("")))
-    return (F.when(w >= C.FULL_CONTENT_WORDS, "full")
-             .when(w >= min_body_words, "truncated").otherwise("stub"))
+    c = F.coalesce(content, F.lit(""))
+    return (F.when(has_min_words(c, C.FULL_CONTENT_WORDS), "full")
+             .when(has_min_words(c, min_body_words), "truncated").otherwise("stub"))
 
 
 def is_usable(content: Column, min_body_words: int = C.DEFAULT_MIN_BODY_WORDS) -> Column:

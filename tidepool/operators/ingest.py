@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tidepool import contracts as C
 from tidepool.functions.dates import file_stem
-from tidepool.functions.text import keyword_match, sanitize_title, word_count
+from tidepool.functions.text import has_min_words, keyword_match, sanitize_title
 from tidepool.functions.urls import url_hash
 from tidepool.session import cut_lineage
 
@@ -168,7 +168,7 @@ def full_body_join(items: DataFrame, fetched: DataFrame, min_words: int = C.MIN_
     f = restrict_to(f, items.where(F.coalesce(F.col("link"), F.lit("")) != ""), ["link"], bound)
     wants = F.coalesce(F.col("scrape_full_content"), F.lit(False)) & (F.coalesce(F.col("link"), F.lit("")) != "")
     j = items.join(f, "link", "left")
-    use = wants & F.col("_fetched").isNotNull() & (word_count(F.col("_fetched")) >= min_words)
+    use = wants & F.col("_fetched").isNotNull() & has_min_words(F.col("_fetched"), min_words)
     return (j.withColumn("content", F.when(use, F.col("_fetched")).otherwise(F.col("content")))
              .withColumn("content_from", F.when(use, F.lit("fetched")).otherwise(F.lit("excerpt")))
              .drop("_fetched"))
@@ -235,7 +235,7 @@ def ingest_listing_items(pages: DataFrame, registry: DataFrame, seen: DataFrame,
     ex = ex.withColumn("url", resolve_link(F.col("feed_url"), F.col("link")))
     ex = ex.where(keyword_match(slug_text(F.col("link")), F.col("kf_mode"), F.col("kf_include")))
     f = fetched.where(F.col("url") != "").select("url", F.col("body").alias("content"))
-    body = ex.join(f, "url", "inner").where(word_count(F.col("content")) >= min_words_default())
+    body = ex.join(f, "url", "inner").where(has_min_words(F.col("content"), min_words_default()))
     body = body.withColumn("title", title_from_body(F.col("content"), F.col("url"))) \
         .withColumn("date", date_in_text(F.col("content"), run_date))
     text2 = F.concat_ws(" ", F.col("title"), F.substring(F.col("content"), 1, 1000))

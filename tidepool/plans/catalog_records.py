@@ -360,14 +360,10 @@ def q_udf_enricher(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("enrich_batch", with_views("""
-SELECT path, true AS ok, '' AS errors FROM (
-  SELECT path, row_number() OVER (ORDER BY string_split(path, '/')) AS r FROM backlog) WHERE r <= 25""",
-    "v_docs", extra={"backlog": _BACKLOG_SQL}))
+SELECT path, true AS ok, '' AS errors FROM backlog""", "v_docs", extra={"backlog": _BACKLOG_SQL}))
 def q_enrich_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A pluggable enricher run with mapInPandas over the first 25 backlog documents
-    (the --max-enrich cap), then written back."""
-    capped = I.backlog_cap(fx.v_docs(spark, sf_dir), 25)
-    resp = EN.enrich_with(capped, EN.lead_text_enricher(VOCAB), "stand-in")
+    """A pluggable enricher run with mapInPandas over the whole backlog, then written back."""
+    resp = EN.enrich_with(_backlog(spark, sf_dir), EN.lead_text_enricher(VOCAB), "stand-in")
     w = R.writeback(resp.withColumn("attempt", F.lit(1)), VOCAB, fx.ALIASES)
     return w.select("path", "ok", F.array_join("errors", "|").alias("errors"))
 

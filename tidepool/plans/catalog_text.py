@@ -45,7 +45,7 @@ def q_classify_content(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_filter_min_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listing pages whose readable text has fewer than 100 words are dropped."""
     p = fx.v_pages(spark, sf_dir)
-    return p.where(TX.word_count(TX.main_text(F.col("html"))) >= C.MIN_BODY_WORDS_FETCH).select("page_id")
+    return p.where(TX.has_min_words(TX.main_text(F.col("html")), C.MIN_BODY_WORDS_FETCH)).select("page_id")
 
 
 # --------------------------------------------------------------------------- titles
