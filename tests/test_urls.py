@@ -122,3 +122,24 @@ def test_decode_body_charsets(spark):
     assert got[0] == text and got[1] == text and got[2] == text
     assert got[3].endswith("ok") and "�" in got[3]
     assert got[4].endswith("é</a>")
+
+
+def test_ipv6_native_matches_python(spark):
+    rnd = random.Random(11)
+    cases = ["::1", "::", "fe80::1", "fe80::1%eth0", "FC00::5", "2001:db8::1", "2001:1::1", "2001:4860:4860::8888",
+             "ff02::1", "::ffff:8.8.8.8", "::ffff:10.0.0.1", "64:ff9b:1::5", "2002::1", "1:2:3:4:5:6:7:8",
+             "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "2001:db8::192.0.2.33", "100::1", "2606:4700::1111",
+             "1::2::3", ":1:2::", "g::1", "1:2:3:4:5:6:7:8:9", "12345::1", "1.2.3.4", "", "::ffff:1.2.3"]
+    for _ in range(300):
+        cases.append(str(ipaddress.IPv6Address(rnd.getrandbits(128))))
+        n = rnd.randrange(1, 7)
+        cases.append(":".join(f"{rnd.getrandbits(16):x}" for _ in range(n)) + "::" + f"{rnd.getrandbits(16):x}")
+    df = spark.createDataFrame([(c,) for c in cases], "h string")
+    got = {r.h: r.b for r in df.select("h", U.ip_blocked(F.col("h")).alias("b")).collect()}
+    for c in cases:
+        try:
+            o = ipaddress.ip_address(c)
+            want = o.is_private or o.is_loopback or o.is_link_local or o.is_reserved or o.is_multicast
+        except ValueError:
+            want = None
+        assert got[c] == want, c

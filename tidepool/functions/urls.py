@@ -102,11 +102,94 @@ def ip_blocked_any(s: pd.Series) -> pd.Series:
     return s.map(_ip_blocked_py)
 
 
+# IPv6 ranges refused by the guard, taken from the standard library's own
+# network tables at import time (private minus its exceptions, loopback,
+# link-local, reserved, multicast) as 32-digit hex bounds: fixed-width
+# lower-case hex strings compare like the 128-bit numbers they spell.
+def _v6_bounds(nets):
+    out = []
+    for n in nets:
+        net = ipaddress.ip_network(n)
+        out.append((f"{int(net.network_address):032x}", f"{int(net.broadcast_address):032x}"))
+    return tuple(out)
+
+
+_V6 = ipaddress._IPv6Constants  # noqa: SLF001 — the stdlib's published tables
+V6_PRIVATE = _v6_bounds(_V6._private_networks)
+V6_PRIVATE_EXCEPT = _v6_bounds(_V6._private_networks_exceptions)
+V6_OTHER = _v6_bounds([*_V6._reserved_networks, _V6._multicast_network, _V6._linklocal_network, "::1/128"])
+V6_MAPPED_PREFIX = "0" * 20 + "ffff"
+
+_HEX_GROUP = r"[0-9a-f]{1,4}"
+_V6_FULL = rf"^({_HEX_GROUP}:){{7}}{_HEX_GROUP}$"
+_V6_COMPRESSED = rf"^(({_HEX_GROUP}:)*{_HEX_GROUP})?::(({_HEX_GROUP}:)*{_HEX_GROUP})?$"
+
+
+def let(value: Column, fn) -> Column:
+    """Evaluate ``value`` once and pass it to ``fn`` (a lambda-bound variable),
+    instead of copying its expression tree into every use."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
+def _expand_v6(h: Column) -> Column:
+    """Hex-only IPv6 text (no zone, no dotted tail) → 8 groups, null if invalid."""
+    empty = F.array().cast("array<string>")
+
+    def with_parts(lg, rg):
+        missing = F.lit(8) - F.size(lg) - F.size(rg)
+        compressed = F.concat(lg, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), rg)
+        return (F.when(h.rlike(_V6_FULL), F.split(h, ":"))
+                 .when(h.rlike(_V6_COMPRESSED) & (missing >= 1), compressed))
+    left = F.substring_index(h, "::", 1)
+    right = F.substring_index(h, "::", -1)
+    return let(F.when(left == "", empty).otherwise(F.split(left, ":")), lambda lg: let(
+        F.when(right == "", empty).otherwise(F.split(right, ":")), lambda rg: with_parts(lg, rg)))
+
+
+def ipv6_hex(host: Column) -> Column:
+    """IPv6 text → 32 lower-case hex digits, null when not a valid address.
+
+    Accepts the forms Python's ``ipaddress`` accepts: full, ``::``-compressed
+    (standing for at least one group), an embedded dotted IPv4 tail, and a
+    ``%zone`` suffix (ignored).
+    """
+    def with_tail(h0):
+        def with_v4(tail):
+            def with_num(num):
+                v4_hex = F.lpad(F.lower(F.hex(num)), 8, "0")
+                return F.when(tail == "", h0).when(num.isNotNull(), F.concat(
+                    F.regexp_replace(h0, r"[0-9.]+$", ""), F.substring(v4_hex, 1, 4), F.lit(":"),
+                    F.substring(v4_hex, 5, 4)))
+            return let(ipv4_number(tail), with_num)
+        return let(F.regexp_extract(h0, r":([0-9]+\.[0-9]+\.[0-9]+\.[0-9]+)$", 1), with_v4)
+    h = let(F.regexp_replace(F.lower(host), r"%.*$", ""), with_tail)
+    groups = let(h, _expand_v6)
+    return F.array_join(F.transform(groups, lambda g: F.lpad(g, 4, "0")), "")
+
+
+def _in_hex(hx: Column, bounds) -> Column:
+    cond = F.lit(False)
+    for lo, hi in bounds:
+        cond = cond | hx.between(lo, hi)
+    return cond
+
+
+def ipv6_blocked(hx: Column) -> Column:
+    """Blocked per the stdlib rules; an IPv4-mapped address is always reserved."""
+    def check(x):
+        private = _in_hex(x, V6_PRIVATE) & ~_in_hex(x, V6_PRIVATE_EXCEPT)
+        return F.when(x.startswith(V6_MAPPED_PREFIX), F.lit(True)).otherwise(private | _in_hex(x, V6_OTHER))
+    return let(hx, check)
+
+
 def ip_blocked(host: Column) -> Column:
-    """Native for IPv4; only hosts containing ':' (IPv6) are sent to Python."""
-    v4 = ipv4_number(host)
-    v6 = ip_blocked_any(F.when(F.contains(host, F.lit(":")), host))
-    return F.when(v4.isNotNull(), ipv4_blocked(v4)).otherwise(v6)
+    """Literal IPv4 or IPv6 address → refused?; null when ``host`` is not one.
+    Entirely native (no Python worker)."""
+    def check(h):
+        v4 = ipv4_number(h)
+        return let(v4, lambda n: F.when(n.isNotNull(), ipv4_blocked(n)).otherwise(
+            let(ipv6_hex(h), lambda x: F.when(x.isNotNull() & (x != ""), ipv6_blocked(x)))))
+    return let(host, check)
 
 
 def is_literal_ip(host: Column) -> Column:

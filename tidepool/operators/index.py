@@ -99,12 +99,15 @@ def backlog_cap(docs: DataFrame, n: int) -> DataFrame:
     return global_rank(capped, [key])
 
 
-def sink_index(entries: DataFrame, path: str) -> str:
+def sink_index(entries: DataFrame, path: str, generated: str | None = None) -> str:
     """Write the index as parquet partitioned by month, sorted within files.
 
-    The write goes through Spark's commit protocol: readers see the old or
-    the new version, never a partial one.
+    ``generated`` (a run parameter, e.g. an ISO timestamp) is stored with
+    every entry.  The write goes through Spark's commit protocol: readers see
+    the old or the new version, never a partial one.
     """
+    if generated is not None:
+        entries = entries.withColumn("generated", F.lit(generated))
     (entries.withColumn("month", month_of(F.col("published")))
      .repartition("month", F.substring("path", 1, 64))
      .sortWithinPartitions(*index_order_keys())
@@ -115,3 +118,9 @@ def sink_index(entries: DataFrame, path: str) -> str:
 def scan_index(spark: SparkSession, path: str) -> DataFrame:
     """Read an index written by :func:`sink_index` (partition column ``month``)."""
     return spark.read.parquet(path)
+
+
+def export_index_json(index: DataFrame, path: str) -> str:
+    """JSON lines export, one entry per line (never one document holding every entry)."""
+    index.drop("month").write.mode("overwrite").json(path)
+    return path

@@ -38,6 +38,12 @@ from tidepool.sources import scans as SC
 from tidepool.sources import sinks as SK
 
 
+def _today(run_date: str | None) -> str:
+    """The run date: given, or today's date on the driver (jobs, not checked queries)."""
+    import datetime as _dt
+    return run_date or _dt.date.today().isoformat()
+
+
 def _read(spark: SparkSession, path_or_df) -> DataFrame:
     prepare(spark)
     return path_or_df if isinstance(path_or_df, DataFrame) else spark.read.parquet(path_or_df)
@@ -45,11 +51,12 @@ def _read(spark: SparkSession, path_or_df) -> DataFrame:
 
 # J1 ------------------------------------------------------------------------
 def ingest(spark: SparkSession, registry, seen, fetched, out_path: str, *, feeds=None, pages=None,
-           videos=None, segments=None, run_date: str = C.RUN_DATE) -> DataFrame:
+           videos=None, segments=None, run_date: str | None = None) -> DataFrame:
     """Run the adapters that have input, union their new documents and append
     them to ``out_path`` (parquet partitioned by namespace).  Returns the new
     new documents (namespace, file_name, source, url, date, doc_text), frozen by
     a reliable checkpoint so using them does not rerun the adapters."""
+    run_date = _today(run_date)
     reg, seen_df, fetched_df = (_read(spark, x) for x in (registry, seen, fetched))
     parts = []
     if feeds is not None:
@@ -101,23 +108,28 @@ def writeback(spark: SparkSession, docs, responses, vocabulary, aliases, out_pat
 
 
 # J4 ------------------------------------------------------------------------
-def build_index(spark: SparkSession, docs, out_path: str) -> str:
-    """Index entries of the enriched documents, month-partitioned and ordered."""
-    return I.sink_index(I.index_entry(_read(spark, docs)), out_path)
+def build_index(spark: SparkSession, docs, out_path: str, generated: str | None = None) -> str:
+    """Index entries of the enriched documents, month-partitioned and ordered;
+    ``generated`` defaults to the current UTC time (a driver-side stamp)."""
+    import datetime as _dt
+    stamp = generated or _dt.datetime.now(_dt.timezone.utc).isoformat()
+    return I.sink_index(I.index_entry(_read(spark, docs)), out_path, generated=stamp)
 
 
 # J5 / J6 ---------------------------------------------------------------------
 def window(spark: SparkSession, index_path: str, *, since=None, until=None, topic=None, source=None,
-           limit: int = C.WINDOW_LIMIT, run_date: str = C.RUN_DATE) -> DataFrame:
+           limit: int = C.WINDOW_LIMIT, run_date: str | None = None) -> DataFrame:
     """Newest entries matching the filters; ``since`` may be 'Nd' (run_date − N days)."""
+    run_date = _today(run_date)
     return Q.window_query(I.scan_index(spark, index_path), since=Q.parse_bound(since, run_date),
                           until=Q.parse_bound(until, run_date), topic=topic, source=source, limit=limit)
 
 
 def digest(spark: SparkSession, index_path: str, *, since=None, until=None, limit: int = C.WINDOW_LIMIT,
-           checks=None, dns=None, run_date: str = C.RUN_DATE, out_path: str | None = None) -> DataFrame:
+           checks=None, dns=None, run_date: str | None = None, out_path: str | None = None) -> DataFrame:
     """The topic-grouped digest lines; with ``checks`` (url, status) and ``dns``
     (host, ip) links carry verification tiers.  Optionally written as text."""
+    run_date = _today(run_date)
     tiers = None
     if checks is not None:
         tiers = V.check_tiers(_read(spark, checks), _read(spark, dns))
