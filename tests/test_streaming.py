@@ -66,3 +66,13 @@ def test_backlog_cap_defers_not_drops(spark, tmp_path):
                      str(tmp_path / "ckpt"), cap_per_batch=2, deferred_sink=deferred)
     assert sorted(r.path for r in J.read_sink(spark, res).collect()) == ["p/0.md", "p/1.md"]
     assert sorted(r.path for r in J.read_sink(spark, deferred).collect()) == ["p/2.md", "p/3.md", "p/4.md"]
+
+
+def test_dedup_compaction_keeps_exactly_once(spark, tmp_path):
+    src, sink, ckpt = (str(tmp_path / n) for n in ("src", "sink", "ckpt"))
+    for i in range(5):
+        _write(spark, src, [(10 * i + j, f"k{(i + j) % 4}", 10 * i + j, "v") for j in range(3)])
+    J.stream_dedup(spark, src, SCHEMA, ["k"], "ts", sink, ckpt, max_files_per_trigger=1, compact_every=2)
+    keys = sorted(r.k for r in J.read_sink(spark, sink).collect())
+    assert keys == ["k0", "k1", "k2", "k3"]
+    assert J._latest_compaction(sink)[1] == 3

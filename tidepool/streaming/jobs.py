@@ -88,13 +88,40 @@ def stream_ingest(spark: SparkSession, source_glob: str, schema: str, sink: str,
 # stream_dedup: never emit a key twice, across runs
 # ---------------------------------------------------------------------------
 
+def _latest_compaction(root: str) -> tuple[str | None, int]:
+    """(path, last batch id covered) of the newest committed key compaction."""
+    best, upto = None, -1
+    for d in _batch_dirs_named(os.path.join(root, "_keys"), "upto="):
+        n = int(d.rstrip("/").rsplit("upto=", 1)[1])
+        if n > upto:
+            best, upto = d, n
+    return best, upto
+
+
+def _batch_dirs_named(root: str, prefix: str) -> list[str]:
+    from pyspark import SparkContext
+    sc = SparkContext.getOrCreate()
+    jvm = sc._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    return [st.getPath().toString() for st in fs.listStatus(path)
+            if st.getPath().getName().startswith(prefix)
+            and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS"))]
+
+
 def stream_dedup(spark: SparkSession, source_glob: str, schema: str, keys: list[str], order_col: str,
-                 sink: str, checkpoint: str, max_files_per_trigger: int | None = None) -> None:
+                 sink: str, checkpoint: str, max_files_per_trigger: int | None = None,
+                 compact_every: int = 32) -> None:
     """Emit the first row (by ``order_col``) of every key not emitted before.
 
     The emitted table itself is the dedup state: each batch is reduced to one
     row per key (a partial ``min_by`` aggregation) and anti-joined with the
-    keys already in the sink — no unbounded in-memory state store.
+    keys already emitted — no unbounded in-memory state store.  Every
+    ``compact_every`` batches the emitted keys are compacted into one
+    versioned key table (``_keys/upto=<batch>``), so a batch reads that table
+    plus at most ``compact_every`` newer batch directories.
     """
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
@@ -102,14 +129,29 @@ def stream_dedup(spark: SparkSession, source_glob: str, schema: str, keys: list[
     src = reader.parquet(source_glob)
     cols = [c for c in src.columns if c not in keys]
 
+    def emitted_keys(exclude: int) -> DataFrame | None:
+        comp, upto = _latest_compaction(sink)
+        newer = [d for d in _batch_dirs(sink, exclude=exclude)
+                 if int(d.rstrip("/").rsplit("batch=", 1)[1]) > upto]
+        parts = ([spark.read.parquet(comp)] if comp else []) + \
+            ([spark.read.parquet(*newer).select(*keys)] if newer else [])
+        if not parts:
+            return None
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+
     def per_batch(df: DataFrame, batch_id: int) -> None:
         firsts = df.groupBy(*keys).agg(F.min_by(F.struct(*cols), F.col(order_col)).alias("_r")) \
             .select(*keys, *[F.col("_r")[c].alias(c) for c in cols])
-        prev = _batch_dirs(sink, exclude=batch_id)
-        if prev:
-            seen = spark.read.parquet(*prev).select(*keys)
+        seen = emitted_keys(batch_id)
+        if seen is not None:
             firsts = firsts.join(seen, keys, "left_anti")
         _write_batch(firsts, sink, batch_id)
+        if compact_every and (batch_id + 1) % compact_every == 0:
+            everything = emitted_keys(-1)
+            everything.distinct().write.mode("overwrite").parquet(os.path.join(sink, "_keys", f"upto={batch_id}"))
 
     q = (src.writeStream.queryName("stream_dedup").foreachBatch(per_batch)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
