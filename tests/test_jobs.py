@@ -36,3 +36,57 @@ def test_ingest_index_window_digest(spark, tmp_path):
     assert [r.published for r in w.collect()] == ["2024-01-03", "2024-01-02"]
     lines = [r.line for r in J.digest(spark, idx, since="2024-01-01").orderBy("line_no").collect()]
     assert lines[0] == "# Digest · since 2024-01-01" and "## ai" in lines
+
+
+def test_markdown_documents_to_index(spark, tmp_path):
+    import os
+    from tidepool.operators import index as I
+    from tidepool.sources.scans import scan_documents
+    root = tmp_path / "content"
+    (root / "feed-a").mkdir(parents=True)
+    (root / "feed-a" / "2024-01-05 - First-abc123.md").write_text(
+        "---\ntitle: First\nsource: feed-a\nurl: https://a/1\npublished: 2024-01-05\ntags: news\n"
+        "enriched: true\nsummary: S1\ntopics:\n  primary:\n    - ai\n  secondary: []\n"
+        "entities:\n  organizations: [Acme]\n  people: []\n---\n\nBody one\n")
+    (root / "feed-a" / "Untitled-stem.md").write_text(
+        "---\nsource: feed-a\nenriched: true\ntopics: not-a-mapping\n---\nBody two\n")
+    (root / "feed-a" / "pending.md").write_text("---\ntitle: Pending\nenriched: \"true\"\n---\nx\n")
+    (root / "feed-a" / "broken.md").write_text("---\ntitle: [unclosed\n---\nx\n")
+    docs, bad = scan_documents(spark, str(root))
+    assert [r.path for r in bad.collect()] == ["feed-a/broken.md"]
+    typed = I.documents_from_markdown(docs)
+    entries = {r.path: r for r in I.index_order(I.index_from_documents(typed)).collect()}
+    assert set(entries) == {"feed-a/2024-01-05 - First-abc123.md", "feed-a/Untitled-stem.md"}
+    first = entries["feed-a/2024-01-05 - First-abc123.md"]
+    assert (first.title, first.published, first.tags, first.primary_topics, first.rank) == \
+        ("First", "2024-01-05", ["news"], ["ai"], 1)
+    second = entries["feed-a/Untitled-stem.md"]
+    assert (second.title, second.published, second.primary_topics, second.rank) == ("Untitled-stem", "", [], 2)
+
+
+def test_whole_pass(spark, tmp_path):
+    """ingest → packets → enrich → writeback → index → window/digest."""
+    from tidepool.operators import enrich as EN
+    from tidepool.operators import index as I
+    from tidepool.operators import ingest as G
+    from tidepool.operators import records as R
+    from tidepool.sources import scans as SC
+    feeds = spark.createDataFrame([("src4", RSS)], "source string, xml string")
+    reg = registry_from_sources(spark.createDataFrame([("src4",)], "source string"))
+    seen = spark.createDataFrame([], "namespace string, file_name string")
+    fetched = spark.createDataFrame([], "url string, body string")
+    new = G.ingest_feed_items(SC.scan_feed_raw(feeds), reg, seen, fetched)
+    docs = I.documents_from_ingest(new)
+    backlog = I.filter_backlog(docs).withColumn("content", F.col("body"))
+    packets = EN.build_packets(backlog, {"ai", "policy"})
+    assert packets.count() == 2
+    answers = EN.enrich_with(backlog, EN.lead_text_enricher({"ai", "policy"}), "stand-in") \
+        .withColumn("attempt", F.lit(1))
+    res = R.writeback(answers, {"ai", "policy"}, [])
+    assert R.batch_report(res).first().asDict() == {"succeeded": 2, "failed": 0}
+    merged = R.upsert_metadata(docs, res)
+    idx = I.index_from_documents(merged)
+    assert idx.count() == 2 and {tuple(r.primary_topics) for r in idx.collect()} == {("ai",)}
+    path = I.sink_index(idx, str(tmp_path / "index"))
+    top = J.window(spark, path, since="2024-01-01", run_date="2024-02-01")
+    assert [r.published for r in top.collect()] == ["2024-01-03", "2024-01-02"]

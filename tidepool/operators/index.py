@@ -124,3 +124,56 @@ def export_index_json(index: DataFrame, path: str) -> str:
     """JSON lines export, one entry per line (never one document holding every entry)."""
     index.drop("month").write.mode("overwrite").json(path)
     return path
+
+
+# ---------------------------------------------------------------------------
+# Documents (scanned Markdown or ingest output) → the typed document table
+# ---------------------------------------------------------------------------
+
+def documents_from_markdown(scanned: DataFrame) -> DataFrame:
+    """Scanned files (path, meta VARIANT, body) → typed documents.
+
+    Strings are taken as text (other scalars stringified, e.g. YAML dates);
+    list fields go through ``ensure_list``; ``topics``/``entities`` that are
+    not mappings become empty; ``enriched`` is true only for the boolean true.
+    """
+    from tidepool.sources.scans import ensure_list, meta_bool_true, meta_str
+    from tidepool.operators.records import py_type
+
+    def sub(field, key):
+        x = F.try_variant_get(F.col("meta"), f"$.{field}", "variant")
+        return F.when(py_type(x) == "dict", ensure_list(F.try_variant_get(x, f"$.{key}", "variant"))) \
+            .otherwise(F.array().cast("array<string>"))
+
+    tags = ensure_list(F.try_variant_get(F.col("meta"), "$.tags", "variant"))
+    kt = F.try_variant_get(F.col("meta"), "$.key_takeaways", "variant")
+    return scanned.select(
+        "path",
+        meta_str("title").alias("title"), meta_str("source").alias("source"), meta_str("url").alias("url"),
+        meta_str("published").alias("published"), tags.alias("tags"), meta_str("perspective").alias("perspective"),
+        F.col("body"),
+        meta_bool_true("enriched").alias("enriched"), meta_str("summary").alias("summary"),
+        F.struct(sub("topics", "primary").alias("primary"), sub("topics", "secondary").alias("secondary")).alias("topics"),
+        F.struct(sub("entities", "organizations").alias("organizations"),
+                 sub("entities", "people").alias("people")).alias("entities"),
+        F.when(kt.isNotNull(), ensure_list(kt)).alias("key_takeaways"))
+
+
+def documents_from_ingest(new_docs: DataFrame) -> DataFrame:
+    """Ingest output (namespace, file_name, title, source, link, date, tags,
+    perspective, content) → typed documents, not yet enriched."""
+    empty = F.array().cast("array<string>")
+    return new_docs.select(
+        F.concat("namespace", F.lit("/"), "file_name").alias("path"), "title", "source",
+        F.col("link").alias("url"), F.col("date").alias("published"), "tags", "perspective",
+        F.col("content").alias("body"), F.lit(None).cast("boolean").alias("enriched"),
+        F.lit(None).cast("string").alias("summary"),
+        F.struct(empty.alias("primary"), empty.alias("secondary")).alias("topics"),
+        F.struct(empty.alias("organizations"), empty.alias("people")).alias("entities"),
+        F.lit(None).cast("array<string>").alias("key_takeaways"))
+
+
+def index_from_documents(docs: DataFrame) -> DataFrame:
+    """Typed documents → index entries (enriched only, defaults applied)."""
+    return index_entry(docs.withColumn("primary_topics", F.col("topics.primary"))
+                       .withColumn("secondary_topics", F.col("topics.secondary")))

@@ -116,6 +116,17 @@ def build_index(spark: SparkSession, docs, out_path: str, generated: str | None
     return I.sink_index(I.index_entry(_read(spark, docs)), out_path, generated=stamp)
 
 
+def build_index_from_markdown(spark: SparkSession, content_root: str, out_path: str,
+                              generated: str | None = None) -> tuple[str, DataFrame]:
+    """Index of a folder tree of Markdown documents (YAML frontmatter).
+    Returns the index path and the quarantined (unreadable) file paths."""
+    import datetime as _dt
+    docs, bad = SC.scan_documents(spark, content_root)
+    entries = I.index_from_documents(I.documents_from_markdown(docs))
+    stamp = generated or _dt.datetime.now(_dt.timezone.utc).isoformat()
+    return I.sink_index(entries, out_path, generated=stamp), bad
+
+
 # J5 / J6 ---------------------------------------------------------------------
 def window(spark: SparkSession, index_path: str, *, since=None, until=None, topic=None, source=None,
            limit: int = C.WINDOW_LIMIT, run_date: str | None = None) -> DataFrame:
