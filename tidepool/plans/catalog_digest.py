@@ -354,3 +354,32 @@ def q_sink_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = I.sink_index(I.index_entry(_index_docs(spark, sf_dir)), scratch_path(spark, "index"))
     return I.scan_index(spark, path).groupBy(F.col("month").cast("string").alias("month")) \
         .agg(F.count(F.lit(1)).cast("long").alias("entries"))
+
+
+@register("index_from_markdown", with_views("""
+SELECT path, title, source, coalesce(url, '') AS url, coalesce(published, '') AS published,
+       array_to_string(tags, '|') AS tags, array_to_string(primary_topics, '|') AS primary_topics,
+       array_to_string(secondary_topics, '|') AS secondary_topics, coalesce(summary, '') AS summary, true AS enriched
+FROM v_index""", "v_index"))
+def q_index_from_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Enriched documents written as Markdown (frontmatter with the record), scanned
+    back from the folder tree and projected to index entries."""
+    from tidepool.session import scratch_path
+    from tidepool.sources.scans import scan_documents
+    from tidepool.sources.sinks import export_markdown, render_document
+    idx = fx.v_index(spark, sf_dir)
+    record = {"enriched": F.col("enriched"), "summary": F.col("summary"),
+              "topics": F.struct(F.col("primary_topics").alias("primary"), F.col("secondary_topics").alias("secondary")),
+              "entities": F.struct(F.array().cast("array<string>").alias("organizations"),
+                                   F.array().cast("array<string>").alias("people"))}
+    files = idx.select(F.col("source").alias("namespace"),
+                       F.element_at(F.split("path", "/"), -1).alias("file_name"),
+                       render_document(F.col("title"), F.col("source"), F.col("url"), F.col("published"),
+                                       F.col("tags"), F.lit(""), F.lit("body"), extra=record).alias("doc_text"))
+    root = scratch_path(spark, "content-enriched")
+    export_markdown(files, root)
+    docs, _bad = scan_documents(spark, root)
+    e = I.index_from_documents(I.documents_from_markdown(docs))
+    return e.select("path", "title", "source", "url", "published", F.array_join("tags", "|").alias("tags"),
+                    F.array_join("primary_topics", "|").alias("primary_topics"),
+                    F.array_join("secondary_topics", "|").alias("secondary_topics"), "summary", "enriched")

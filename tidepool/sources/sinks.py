@@ -19,9 +19,19 @@ def json_scalar(c: Column) -> Column:
     return F.regexp_replace(F.to_json(F.array(F.coalesce(c.cast("string"), F.lit("")))), r"^\[|\]$", "")
 
 
+def json_value(c: Column) -> Column:
+    """Any value in JSON syntax (null → null), one line."""
+    return F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
+
+
 def render_document(title: Column, source: Column, url: Column, published: Column, tags: Column,
-                    perspective: Column, body: Column) -> Column:
-    """Markdown text: frontmatter (title, source, url, published, tags, perspective) + body."""
+                    perspective: Column, body: Column, extra: dict[str, Column] | None = None) -> Column:
+    """Markdown text: frontmatter (title, source, url, published, tags, perspective,
+    then any ``extra`` keys — e.g. the enrichment record) + body.
+
+    Values are written in JSON syntax, which YAML reads back unchanged
+    (strings stay strings, lists and mappings keep their shape)."""
+    extra_lines = [F.concat(F.lit(f"{key}: "), json_value(value)) for key, value in (extra or {}).items()]
     fm = F.concat_ws("\n",
                      F.lit("---"),
                      F.concat(F.lit("title: "), json_scalar(title)),
@@ -30,6 +40,7 @@ def render_document(title: Column, source: Column, url: Column, published: Colum
                      F.concat(F.lit("published: "), json_scalar(published)),
                      F.concat(F.lit("tags: "), F.coalesce(F.to_json(tags), F.lit("[]"))),
                      F.concat(F.lit("perspective: "), json_scalar(F.coalesce(perspective, F.lit("")))),
+                     *extra_lines,
                      F.lit("---"))
     return F.concat(fm, F.lit("\n\n"), F.coalesce(body, F.lit("")), F.lit("\n"))
 
