@@ -39,7 +39,6 @@ def test_ingest_index_window_digest(spark, tmp_path):
 
 
 def test_markdown_documents_to_index(spark, tmp_path):
-    import os
     from tidepool.operators import index as I
     from tidepool.sources.scans import scan_documents
     root = tmp_path / "content"

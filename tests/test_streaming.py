@@ -1,9 +1,5 @@
 """Incremental runs equal batch runs, also across a restart from the checkpoint."""
 
-import os
-
-from pyspark.sql import functions as F
-
 from tidepool.streaming import jobs as J
 
 SCHEMA = "id long, k string, ts long, v string"

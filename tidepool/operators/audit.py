@@ -9,7 +9,7 @@ previous bucket's last completion in a small (group, bucket) table.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool import contracts as C

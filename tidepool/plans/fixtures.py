@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool import contracts as C
 from tidepool.session import prepare, read_table
 
 # Fixed inputs of the checked queries (parameters, not results).
