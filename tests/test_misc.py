@@ -57,3 +57,14 @@ def test_frontmatter_parsing_and_enriched_flag(spark):
     assert p["b"].enriched is False            # the string "true" is not enriched
     assert p["c"].readable and p["c"].title is None and p["c"].body == "no frontmatter at all"
     assert p["d"].readable is False            # malformed YAML → quarantined
+
+
+def test_binary_file_scan_with_cap(spark, tmp_path):
+    from tidepool.sources.scans import scan_bodies_capped
+    for name, size in (("a.html", 5), ("b.html", 10), ("c.html", 20), ("d.txt", 1)):
+        (tmp_path / name).write_bytes(b"x" * size)
+    ok, over = scan_bodies_capped(spark, str(tmp_path), glob="*.html", max_bytes=10)
+    assert sorted(r.length for r in ok.select("length").collect()) == [5, 10]
+    assert [r.length for r in over.collect()] == [20]
+    plan = ok._jdf.queryExecution().executedPlan().toString()
+    assert "length" in plan and "<= 10" in plan
