@@ -89,3 +89,13 @@ def test_whole_pass(spark, tmp_path):
     path = I.sink_index(idx, str(tmp_path / "index"))
     top = J.window(spark, path, since="2024-01-01", run_date="2024-02-01")
     assert [r.published for r in top.collect()] == ["2024-01-03", "2024-01-02"]
+
+
+def test_markdown_backlog_requeues_unreadable(spark, tmp_path):
+    root = tmp_path / "c"
+    root.mkdir()
+    (root / "done.md").write_text("---\nenriched: true\n---\nx")
+    (root / "todo.md").write_text("---\ntitle: T\n---\nx")
+    (root / "bad.md").write_text("---\ntitle: [x\n---\nx")
+    got = {(r.path, r.readable) for r in J.markdown_backlog(spark, str(root)).collect()}
+    assert got == {("todo.md", True), ("bad.md", False)}

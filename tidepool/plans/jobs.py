@@ -127,6 +127,16 @@ def build_index_from_markdown(spark: SparkSession, content_root: str, out_path:
     return I.sink_index(entries, out_path, generated=stamp), bad
 
 
+def markdown_backlog(spark: SparkSession, content_root: str) -> DataFrame:
+    """Paths that need enrichment under a Markdown tree: readable documents not
+    marked ``enriched: true``, plus unreadable ones (re-queued every run).
+    Returns (path, readable)."""
+    docs, bad = SC.scan_documents(spark, content_root)
+    typed = I.documents_from_markdown(docs)
+    pending = I.filter_backlog(typed).select("path", F.lit(True).alias("readable"))
+    return pending.unionByName(bad.select("path", F.lit(False).alias("readable")))
+
+
 # J5 / J6 ---------------------------------------------------------------------
 def window(spark: SparkSession, index_path: str, *, since=None, until=None, topic=None, source=None,
            limit: int = C.WINDOW_LIMIT, run_date: str | None = None) -> DataFrame:
