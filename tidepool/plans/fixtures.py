@@ -290,7 +290,7 @@ def v_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def v_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _tbl(spark, sf_dir, "documents")
-    toks = F.slice(F.split(F.col("text"), r"\s+"), 1, 12)
+    toks = F.slice(F.split(F.col("text"), r"\s+", 13), 1, 12)  # limit: only the first tokens are split off
     return (d.select("doc_id", F.posexplode(toks).alias("pos", "tok"))
             .select("doc_id", "pos",
                     F.when(F.col("pos") % 2 == 1, F.upper("tok")).otherwise(F.col("tok")).alias("token")))
@@ -309,7 +309,7 @@ def v_rec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = v_docs(spark, sf_dir).select("doc_id", "path", "lang", "content", "n_chars")
     rows = docs.select("*", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("attempt"))
     k = F.col("doc_id") + F.col("attempt")
-    words = F.split(F.col("content"), " ")
+    words = F.split(F.col("content"), " ", 6)  # limit: the first five words (and the rest in one piece)
     empty = F.array().cast("array<string>")
     summary = F.when(k % 5 == 0, F.substring("content", 1, 50)).otherwise(F.substring("content", 1, 250))
     primary = F.when(k % 7 == 0, F.array(F.col("lang"), F.lit("offtopic"))).otherwise(F.array(F.col("lang")))
