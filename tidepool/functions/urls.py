@@ -168,10 +168,9 @@ def ipv6_hex(host: Column) -> Column:
 
 
 def _in_hex(hx: Column, bounds) -> Column:
-    cond = F.lit(False)
-    for lo, hi in bounds:
-        cond = cond | hx.between(lo, hi)
-    return cond
+    """``hx`` inside any (lo, hi) range: one check over a constant array."""
+    ranges = F.array(*[F.struct(F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for lo, hi in bounds])
+    return F.exists(ranges, lambda r: (hx >= r["lo"]) & (hx <= r["hi"]))
 
 
 def ipv6_blocked(hx: Column) -> Column:
