@@ -79,3 +79,20 @@ def test_stored_index_prunes_months(spark, tmp_path):
     plan = w._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and "month" in plan
     assert [r.path for r in w.collect()] == ["a/two.md", "a-b.md", "z.md"]
+
+
+def test_digest_neutralises_injection(spark):
+    rows = [("p.md", "x](javascript:alert(1)) [", "s", "https://ok.example/a b", "2024-01-02", ["ai"], [],
+             "see <https://evil.example> and [click](javascript:x) `code`")]
+    text = D.digest_text(D.digest(spark.createDataFrame(rows, SCHEMA), limit=5)).first()["digest"]
+    bullet = [ln for ln in text.splitlines() if ln.startswith("- ")][0]
+    assert bullet.startswith("- [x\\](javascript:alert(1)) \\[](<https://ok.example/a%20b>)")
+    snippet = [ln for ln in text.splitlines() if ln.startswith("  _")][0]
+    assert "\\<https://evil.example\\>" in snippet and "\\[click\\]" in snippet and "\\`code\\`" in snippet
+
+
+def test_index_json_lines_round_trip(spark, tmp_path):
+    idx = I.index_entry(index(spark).withColumn("enriched", F.lit(True)))
+    path = I.export_index_json(idx.withColumn("month", F.lit("x")), str(tmp_path / "json"))
+    back = spark.read.json(path)
+    assert back.count() == 5 and "month" not in back.columns
