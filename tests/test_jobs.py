@@ -77,15 +77,15 @@ def test_whole_pass(spark, tmp_path):
     new = G.ingest_feed_items(SC.scan_feed_raw(feeds), reg, seen, fetched)
     docs = I.documents_from_ingest(new)
     backlog = I.filter_backlog(docs).withColumn("content", F.col("body"))
-    packets = EN.build_packets(backlog, {"ai", "policy"})
+    packets = EN.build_packets(backlog, {"markets", "science"})
     assert packets.count() == 2
-    answers = EN.enrich_with(backlog, EN.lead_text_enricher({"ai", "policy"}), "stand-in") \
+    answers = EN.enrich_with(backlog, EN.lead_text_enricher({"markets", "science"}), "stand-in") \
         .withColumn("attempt", F.lit(1))
-    res = R.writeback(answers, {"ai", "policy"}, [])
+    res = R.writeback(answers, {"markets", "science"}, [])
     assert R.batch_report(res).first().asDict() == {"succeeded": 2, "failed": 0}
     merged = R.upsert_metadata(docs, res)
     idx = I.index_from_documents(merged)
-    assert idx.count() == 2 and {tuple(r.primary_topics) for r in idx.collect()} == {("ai",)}
+    assert idx.count() == 2 and {tuple(r.primary_topics) for r in idx.collect()} == {("markets",)}
     path = I.sink_index(idx, str(tmp_path / "index"))
     top = J.window(spark, path, since="2024-01-01", run_date="2024-02-01")
     assert [r.published for r in top.collect()] == ["2024-01-03", "2024-01-02"]

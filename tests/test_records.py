@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from tidepool import contracts as C
 from tidepool.operators import records as R
 
-VOCAB = {"ai", "policy"}
+VOCAB = {"markets", "science"}
 GOOD = {
     "enriched": True,
-    "summary": "s" * 200,
-    "topics": {"primary": ["ai"], "secondary": []},
-    "entities": {"organizations": ["Acme"], "people": []},
+    "summary": "y" * 250,
+    "topics": {"primary": ["science"], "secondary": ["misc"]},
+    "entities": {"organizations": ["Initech"], "people": ["R. Roe"]},
 }
 
 
@@ -55,7 +55,7 @@ def test_type_errors_and_missing(spark):
 
 
 def test_const_and_vocab(spark):
-    rec = {**GOOD, "enriched": False, "topics": {"primary": ["ai", "crypto", "crypto", {"AI": "x"}], "secondary": []}}
+    rec = {**GOOD, "enriched": False, "topics": {"primary": ["science", "crypto", "crypto", {"AI": "x"}], "secondary": []}}
     errs = errors_of(spark, rec)
     assert errs == sorted([
         "Field 'enriched' must equal True, got False",
@@ -67,7 +67,7 @@ def test_const_and_vocab(spark):
 
 def test_typed_validation_agrees(spark):
     recs = [
-        (True, "s" * 200, ["ai"], ["Acme"], None),
+        (True, "s" * 200, ["science"], ["Initech"], None),
         (False, "short", ["nope"], None, ["k"] * 9),
     ]
     df = spark.createDataFrame(recs, "e boolean, s string, p array<string>, o array<string>, k array<string>")
@@ -84,13 +84,13 @@ def test_typed_validation_agrees(spark):
 
 def test_sanitize_drops_injected_and_non_strings(spark):
     rec = {**GOOD, "injected": "x", "key_takeaways": ["a", {"b": 1}, "c", "d", "e", "f", "g", "h", "i"],
-           "topics": {"primary": ["ai", 3], "secondary": [], "extra": ["x"]}}
+           "topics": {"primary": ["science", 3], "secondary": [], "extra": ["x"]}}
     df = spark.createDataFrame([(json.dumps(rec),)], "j string").select(F.try_parse_json("j").alias("v"))
     c = df.select(R.sanitize(F.col("v")).alias("c")).first()["c"]
     assert "injected" not in c.asDict()
     assert c["key_takeaways"] == ["a", "c", "d", "e", "f", "g", "h"]
-    assert c["topics"]["primary"] == ["ai"]
-    assert c["summary"] == "s" * 200
+    assert c["topics"]["primary"] == ["science"]
+    assert c["summary"] == "y" * 250
 
 
 def test_normalize_list(spark):
@@ -122,7 +122,7 @@ def test_writeback_first_valid_attempt(spark):
     df = spark.createDataFrame(rows, "path string, attempt int, raw string")
     out = {r["path"]: r for r in R.writeback(df, VOCAB, []).collect()}
     assert out["a.md"]["ok"] and out["a.md"]["attempts"] == 2 and out["a.md"]["errors"] == []
-    assert out["a.md"]["clean"]["entities"]["organizations"] == ["Acme"]
+    assert out["a.md"]["clean"]["entities"]["organizations"] == ["Initech"]
     assert not out["b.md"]["ok"] and out["b.md"]["attempts"] == 2
     assert out["b.md"]["errors"] == [C.MSG_NO_YAML, "Field 'enriched' must equal True, got False"]
     assert out["c.md"]["errors"] == [C.MSG_NO_YAML]
@@ -135,7 +135,7 @@ def test_upsert_keeps_unknown_and_failed(spark):
                                 "path string, ok boolean, j string")
     res = res.select("path", "ok", R.sanitize(F.try_parse_json("j")).alias("clean"))
     out = {r["path"]: r for r in R.upsert_metadata(docs, res).collect()}
-    assert out["a.md"]["summary"] == "s" * 200 and out["a.md"]["custom"] == "keep" and out["a.md"]["enriched"]
+    assert out["a.md"]["summary"] == "y" * 250 and out["a.md"]["custom"] == "keep" and out["a.md"]["enriched"]
     assert out["b.md"]["summary"] == "old summary" and out["b.md"]["enriched"] is None
 
 
