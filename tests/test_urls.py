@@ -93,16 +93,18 @@ def test_tracker_filter(spark):
         assert r["got"] == r["want"]
 
 
-@pytest.mark.parametrize("base,link", [
-    ("https://a.example/blog/index.html?x=1", "/posts/one"),
-    ("https://a.example/blog/", "//cdn.example/x"),
-    ("https://a.example/blog/list", "post-2"),
-    ("https://a.example/blog/list/", "../up/./here"),
-    ("https://a.example/blog/", "https://b.example/abs"),
-])
-def test_resolve_link_matches_urljoin(spark, base, link):
-    df = spark.createDataFrame([(base, link)], "b string, l string")
-    assert df.select(U.resolve_link(F.col("b"), F.col("l"))).first()[0] == urljoin(base, link)
+def test_resolve_link_matches_urljoin(spark):
+    bases = ["https://a.example/blog/index.html?x=1", "https://a.example/blog/", "https://a.example/blog/list",
+             "http://a/b/c/d;p?q", "https://a.example", "https://u:p@a.example:8443/x/y/z?k=v#frag"]
+    links = ["/posts/one", "//cdn.example/x", "post-2", "../up/./here", "https://b.example/abs", "g", "./g", "g/",
+             "/g", "?y", "g?y", "#s", "g#s", "g?y#s", ";x", "g;x", "", ".", "./", "..", "../", "../g", "../..",
+             "../../", "../../g", "../../../g", "../../../../g", "/./g", "/../g", "g.", ".g", "g..", "..g",
+             "./../g", "./g/.", "g/./h", "g/../h", "http:g", "mailto:x@y", "ftp://f.example/x", "a//b", "HTTPS:g"]
+    pairs = [(b, l) for b in bases for l in links]
+    df = spark.createDataFrame(pairs, "b string, l string")
+    got = [r[0] for r in df.select(U.resolve_link(F.col("b"), F.col("l"))).collect()]
+    bad = [(b, l, g, urljoin(b, l)) for (b, l), g in zip(pairs, got) if g != urljoin(b, l)]
+    assert not bad, bad[:10]
 
 
 def test_url_hash(spark):

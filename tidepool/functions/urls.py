@@ -212,23 +212,81 @@ def request_dropped(url: Column, resource_type: Column) -> Column:
     return resource_type.isin(*C.BLOCKED_RESOURCE_TYPES) | tracker_host(url)
 
 
+# Schemes whose URLs resolve relative references.
+USES_RELATIVE = ("", "ftp", "http", "gopher", "nntp", "imap", "wais", "file", "https", "shttp", "mms",
+                 "prospero", "rtsp", "rtsps", "rtspu", "sftp", "svn", "svn+ssh", "ws", "wss")
+
+
 @F.pandas_udf(T.StringType())
-def _urljoin_udf(base: pd.Series, link: pd.Series) -> pd.Series:
+def urljoin_udf(base: pd.Series, link: pd.Series) -> pd.Series:
+    """Python's ``urljoin`` (reference implementation for tests)."""
     return pd.Series([None if (b is None or l is None) else urljoin(b, l) for b, l in zip(base, link)])
 
 
+def _split_ref(u: Column):
+    """(path, query or null, fragment or null) of a reference without scheme/authority."""
+    frag = F.when(F.contains(u, F.lit("#")), F.regexp_extract(u, r"#(.*)$", 1))
+    no_frag = F.regexp_replace(u, r"#.*$", "")
+    query = F.when(F.contains(no_frag, F.lit("?")), F.regexp_extract(no_frag, r"\?(.*)$", 1))
+    path = F.regexp_replace(no_frag, r"\?.*$", "")
+    return path, query, frag
+
+
+def _resolve_path(base_path: Column, path: Column) -> Column:
+    """Merge and remove dot segments the way ``urljoin`` does."""
+    empty = F.array().cast("array<string>")
+
+    def merged(bp):
+        base_dir = F.when(F.element_at(bp, -1) != "", F.slice(bp, 1, F.size(bp) - 1)).otherwise(bp)
+        return let(F.concat(base_dir, F.split(path, "/")), lambda raw: F.when(
+            F.size(raw) >= 2, F.concat(F.slice(raw, 1, 1),
+                                       F.filter(F.slice(raw, 2, F.greatest(F.size(raw) - 2, F.lit(0))),
+                                                lambda x: x != ""),
+                                       F.slice(raw, -1, 1))).otherwise(raw))
+
+    segs = F.when(path.startswith("/"), F.split(path, "/")).otherwise(let(F.split(base_path, "/"), merged))
+
+    def resolve(sg):
+        out = F.aggregate(sg, empty, lambda acc, x: F.when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1,
+                                                                                                F.lit(0))))
+                          .when(x == ".", acc).otherwise(F.concat(acc, F.array(x))))
+        out = F.when(F.element_at(sg, -1).isin(".", ".."), F.concat(out, F.array(F.lit("")))).otherwise(out)
+        joined = F.array_join(out, "/")
+        return F.when(joined == "", F.lit("/")).when(~joined.startswith("/"), F.concat(F.lit("/"), joined)) \
+            .otherwise(joined)
+    return let(segs, resolve)
+
+
 def resolve_link(base: Column, link: Column) -> Column:
-    """RFC 3986 join of ``base`` + ``link``.
+    """``urljoin(base, link)`` for hierarchical bases, natively.
 
-    Absolute, scheme-relative and dot-free absolute-path links are resolved
-    natively; relative paths and dot segments go through ``urljoin`` in an
-    Arrow-batched UDF that only receives those rows.
+    Absolute links of another (or a non-relative) scheme are returned as is,
+    scheme-relative links take the base scheme, an empty path keeps the base
+    path (and its query unless the link has one), other paths are merged with
+    the base directory and ``.``/``..`` segments removed.
     """
-    origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
-    base_scheme = F.regexp_extract(base, _SCHEME_RE, 1)
-    has_dots = link.rlike(r"(^|/)\.\.?(/|$|[?#])")
-    native = (F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), link)
-               .when(link.startswith("//"), F.concat(base_scheme, F.lit(":"), link))
-               .when(link.startswith("/") & ~has_dots & (origin != ""), F.concat(origin, link)))
-    needs_py = native.isNull() & link.isNotNull() & base.isNotNull()
-    return F.coalesce(native, _urljoin_udf(F.when(needs_py, base), F.when(needs_py, link)))
+    def join(b, l):
+        b_scheme = F.lower(F.regexp_extract(b, _SCHEME_RE, 1))
+        b_netloc = F.regexp_extract(b, r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1)
+        b_rest = F.regexp_replace(F.regexp_replace(b, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*", ""), r"#.*$", "")
+        b_path = F.regexp_replace(b_rest, r"\?.*$", "")
+        b_query = F.when(F.contains(b_rest, F.lit("?")), F.regexp_extract(b_rest, r"\?(.*)$", 1))
+        l_scheme = F.lower(F.regexp_extract(l, _SCHEME_RE, 1))
+        same_scheme = (l_scheme == b_scheme) & l_scheme.isin(*USES_RELATIVE)
+        rel = F.when(l_scheme == "", l).when(same_scheme, F.regexp_replace(l, _SCHEME_RE, ""))
+        has_netloc = rel.startswith("//")
+
+        def finish(path, query, frag):
+            q = F.when(F.coalesce(query, F.lit("")) != "", F.concat(F.lit("?"), query)).otherwise(F.lit(""))
+            f = F.when(F.coalesce(frag, F.lit("")) != "", F.concat(F.lit("#"), frag)).otherwise(F.lit(""))
+            return F.concat(b_scheme, F.lit("://"), b_netloc, path, q, f)
+        path, query, frag = _split_ref(rel)
+        keep_base = finish(b_path, F.when(F.coalesce(query, F.lit("")) != "", query).otherwise(b_query), frag)
+        merged = finish(_resolve_path(b_path, path), query, frag)
+        return (F.when(l == "", b)
+                 .when(rel.isNull(), l)
+                 .when(has_netloc, F.concat(b_scheme, F.lit(":"), rel))
+                 .when(path == "", keep_base)
+                 .otherwise(merged))
+    return F.when(base.isNotNull() & link.isNotNull(),
+                  let(base, lambda b: let(link, lambda l: join(b, l))))
