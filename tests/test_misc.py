@@ -68,3 +68,15 @@ def test_binary_file_scan_with_cap(spark, tmp_path):
     assert [r.length for r in over.collect()] == [20]
     plan = ok._jdf.queryExecution().executedPlan().toString()
     assert "length" in plan and "<= 10" in plan
+
+
+def test_feed_files(spark, tmp_path):
+    from tidepool.sources.scans import scan_feed_files
+    (tmp_path / "a.xml").write_text('<rss version="2.0"><channel><item><title>One</title><link>https://x/1</link>'
+                                    '<pubDate>Tue, 02 Jan 2024 10:00:00 +0000</pubDate></item></channel></rss>')
+    (tmp_path / "b.xml").write_text('<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>Two</title>'
+                                    '<link href="https://x/2"/><published>2024-01-03T00:00:00Z</published>'
+                                    '</entry></feed>')
+    (tmp_path / "c.txt").write_text("not a feed")
+    got = sorted((r.title, r.link, r.date, r.feed_path.rsplit("/", 1)[-1]) for r in scan_feed_files(spark, str(tmp_path)).collect())
+    assert got == [("One", "https://x/1", "2024-01-02", "a.xml"), ("Two", "https://x/2", "2024-01-03", "b.xml")]

@@ -95,6 +95,16 @@ def scan_feed(feeds: DataFrame, xml_col: str = "xml", run_date: str = C.RUN_DATE
     return finish_entries(scan_feed_raw(feeds, xml_col), run_date)
 
 
+def scan_feed_files(spark: SparkSession, path: str, glob: str = "*.xml", run_date: str = C.RUN_DATE) -> DataFrame:
+    """Stored feed files (RSS or Atom, any mix) → entries, one file per row
+    before parsing (feed files are small; files parse in parallel).
+    ``feed_path`` is the file's path (percent-decoded)."""
+    raw = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
+           .text(path, wholetext=True)
+           .select(F.url_decode(F.col("_metadata.file_path")).alias("feed_path"), F.col("value").alias("xml")))
+    return scan_feed(raw, run_date=run_date)
+
+
 # ---------------------------------------------------------------------------
 # Video listings (JSON lines) and transcripts
 # ---------------------------------------------------------------------------
