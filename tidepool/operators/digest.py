@@ -30,7 +30,12 @@ def group_by_topic(index: DataFrame) -> DataFrame:
 
 
 def topic_order(groups: DataFrame) -> DataFrame:
-    """Groups by size desc, then name asc, numbered 1.. (one row per topic)."""
+    """Groups by size desc, then name asc, numbered 1.. (one row per topic).
+
+    The input is already aggregated to one row per primary topic, and primary
+    topics are validated against the controlled vocabulary, so the numbering
+    window runs over at most |vocabulary| + 1 rows.
+    """
     return groups.withColumn(
         "rank", F.row_number().over(Window.orderBy(F.col("n_entries").desc(), F.col("topic").asc())))
 
