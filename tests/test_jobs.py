@@ -99,3 +99,14 @@ def test_markdown_backlog_requeues_unreadable(spark, tmp_path):
     (root / "bad.md").write_text("---\ntitle: [x\n---\nx")
     got = {(r.path, r.readable) for r in J.markdown_backlog(spark, str(root)).collect()}
     assert got == {("todo.md", True), ("bad.md", False)}
+
+
+def test_build_index_from_typed_documents(spark, tmp_path):
+    from tidepool.operators import index as I
+    docs = spark.createDataFrame(
+        [("a.md", "A", "s", "u", "2024-01-01", True, (["x"], ["y"]))],
+        "path string, title string, source string, url string, published string, enriched boolean, "
+        "topics struct<primary: array<string>, secondary: array<string>>")
+    path = J.build_index(spark, docs, str(tmp_path / "idx"), generated="2024-02-01T00:00:00Z")
+    r = I.scan_index(spark, path).first()
+    assert r.primary_topics == ["x"] and r.secondary_topics == ["y"] and r.generated == "2024-02-01T00:00:00Z"

@@ -113,7 +113,10 @@ def build_index(spark: SparkSession, docs, out_path: str, generated: str | None
     ``generated`` defaults to the current UTC time (a driver-side stamp)."""
     import datetime as _dt
     stamp = generated or _dt.datetime.now(_dt.timezone.utc).isoformat()
-    return I.sink_index(I.index_entry(_read(spark, docs)), out_path, generated=stamp)
+    d = _read(spark, docs)
+    # the typed document table carries topics as a struct; flat inputs carry the lists
+    entries = I.index_from_documents(d) if "topics" in d.columns else I.index_entry(d)
+    return I.sink_index(entries, out_path, generated=stamp)
 
 
 def build_index_from_markdown(spark: SparkSession, content_root: str, out_path: str,
