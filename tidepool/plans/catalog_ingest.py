@@ -156,10 +156,10 @@ def q_strip_date_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def _fetched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fetched article bodies keyed by the entry link (the article view of the same item)."""
-    i = fx.v_items(spark, sf_dir).select("doc_id", F.col("link").alias("url"))
-    a = fx.v_article(spark, sf_dir).select("doc_id", "body")
-    return i.join(a, "doc_id").where(F.col("url") != "").select("url", "body")
+    """Fetched article bodies keyed by the entry link (the article view of the same
+    item — one projection of each document row, no join)."""
+    a = fx.v_article(spark, sf_dir)
+    return a.where(F.col("link") != "").select(F.col("link").alias("url"), "body")
 
 
 _FETCHED_SQL = """SELECT i.link AS url, a.body FROM v_items i JOIN v_article a ON a.doc_id = i.doc_id

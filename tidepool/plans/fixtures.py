@@ -88,7 +88,7 @@ def v_article(spark: SparkSession, sf_dir: str) -> DataFrame:
                                          F.lit("\n\n"), F.col("content"))).otherwise(F.col("content"))
     url = F.concat(F.lit("https://"), F.col("source"), F.lit(".example.com/posts/"), F.col("lang"),
                    F.lit("-report_"), _s(did))
-    return i.select("doc_id", "source", url.alias("url"), body.alias("body"))
+    return i.select("doc_id", "source", url.alias("url"), body.alias("body"), "link")
 
 
 # ---------------------------------------------------------------------------
