@@ -99,7 +99,8 @@ def test_resolve_link_matches_urljoin(spark):
     links = ["/posts/one", "//cdn.example/x", "post-2", "../up/./here", "https://b.example/abs", "g", "./g", "g/",
              "/g", "?y", "g?y", "#s", "g#s", "g?y#s", ";x", "g;x", "", ".", "./", "..", "../", "../g", "../..",
              "../../", "../../g", "../../../g", "../../../../g", "/./g", "/../g", "g.", ".g", "g..", "..g",
-             "./../g", "./g/.", "g/./h", "g/../h", "http:g", "mailto:x@y", "ftp://f.example/x", "a//b", "HTTPS:g"]
+             "./../g", "./g/.", "g/./h", "g/../h", "http:g", "mailto:x@y", "ftp://f.example/x", "a//b", "HTTPS:g",
+             "/a?", "/a#", "/a?b#c", "/a/b/", "/", "//", "/a//b", "/a/./b", "/a/../b", "/.", "HTTP://x/y", "/a;p"]
     pairs = [(b, l) for b in bases for l in links]
     df = spark.createDataFrame(pairs, "b string, l string")
     got = [r[0] for r in df.select(U.resolve_link(F.col("b"), F.col("l"))).collect()]

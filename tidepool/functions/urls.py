@@ -273,8 +273,10 @@ def resolve_link(base: Column, link: Column) -> Column:
         b_query = F.when(F.contains(b_rest, F.lit("?")), F.regexp_extract(b_rest, r"\?(.*)$", 1))
         l_scheme = F.lower(F.regexp_extract(l, _SCHEME_RE, 1))
         same_scheme = (l_scheme == b_scheme) & l_scheme.isin(*USES_RELATIVE)
-        rel = F.when(l_scheme == "", l).when(same_scheme, F.regexp_replace(l, _SCHEME_RE, ""))
-        has_netloc = rel.startswith("//")
+        rel0 = F.when(l_scheme == "", l).when(same_scheme, F.regexp_replace(l, _SCHEME_RE, ""))
+        has_netloc = rel0.rlike(r"^//[^/?#]")
+        # '//' with an empty authority: the rest is a path-relative reference
+        rel = F.when(rel0.startswith("//") & ~has_netloc, F.regexp_replace(rel0, r"^//", "")).otherwise(rel0)
 
         def finish(path, query, frag):
             q = F.when(F.coalesce(query, F.lit("")) != "", F.concat(F.lit("?"), query)).otherwise(F.lit(""))
@@ -288,5 +290,18 @@ def resolve_link(base: Column, link: Column) -> Column:
                  .when(has_netloc, F.concat(b_scheme, F.lit(":"), rel))
                  .when(path == "", keep_base)
                  .otherwise(merged))
-    return F.when(base.isNotNull() & link.isNotNull(),
-                  let(base, lambda b: let(link, lambda l: join(b, l))))
+    # Fast path (plain codegen'd expressions) for the two common shapes:
+    # a link of another scheme is returned as is; a rooted path without dot
+    # segments, query or fragment is appended to the base origin.  Everything
+    # else takes the general path (lambda-bound, interpreted).
+    b_scheme = F.lower(F.regexp_extract(base, _SCHEME_RE, 1))
+    b_origin = F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1)
+    l_scheme = F.lower(F.regexp_extract(link, _SCHEME_RE, 1))
+    other_scheme = (l_scheme != "") & ((l_scheme != b_scheme) | ~l_scheme.isin(*USES_RELATIVE))
+    rooted = (link.rlike(r"^/[^/?#]") | (link == "/")) & ~link.rlike(r"[?#]") & \
+        ~link.rlike(r"(^|/)\.\.?(/|$)") & base.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://")
+    fast = (F.when(other_scheme, link)
+             .when(rooted, F.concat(b_scheme, F.lit("://"), b_origin, link)))
+    general = let(base, lambda b: let(link, lambda l: join(b, l)))
+    return F.when(base.isNull() | link.isNull(), F.lit(None).cast("string")) \
+        .when(other_scheme | rooted, fast).otherwise(general)
