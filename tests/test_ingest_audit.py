@@ -134,3 +134,14 @@ def test_run_health(spark):
                                     ("r3", "a", 200)], "run string, source string, status int")
     got = {r.run: r.exit_code for r in A.run_health(checks).collect()}
     assert got == {"r1": 1, "r2": 1, "r3": 0}
+
+
+def test_parse_pub_date_zone_names_match_python(spark):
+    import datetime as dt
+    from email.utils import parsedate_to_datetime
+    vals = ["Tue, 02 Jan 2024 22:00:00 EST", "Tue, 02 Jan 2024 22:00:00 PST", "2 Jan 2024 22:00 +0100",
+            "Tue, 02 Jan 2024 22:00:00 UT", "Wed, 31 Jan 2024 23:59:59 -0000"]
+    df = spark.createDataFrame([(v,) for v in vals], "p string")
+    got = [r[0] for r in df.select(parse_pub_date(F.col("p"))).collect()]
+    want = [parsedate_to_datetime(v).astimezone(dt.timezone.utc).strftime("%Y-%m-%d") for v in vals]
+    assert got == want
