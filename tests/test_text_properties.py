@@ -37,3 +37,15 @@ def test_py_title_agrees_with_python(spark):
     df = spark.createDataFrame([(v,) for v in vals], "s string")
     for r in df.select("s", TX.py_title(F.col("s")).alias("t")).collect():
         assert r.t == r.s.title(), repr(r.s)
+
+
+def test_strip_html_agrees_with_python(spark):
+    import html
+    import re
+    rnd = random.Random(13)
+    parts = ["<p>", "</b>", "<a href='x'>", "&amp;", "&lt;", "&#233;", "&copy;", "&nbsp;", "text", " ", "\n", "é", ">", "<"]
+    vals = ["".join(rnd.choice(parts) for _ in range(rnd.randrange(0, 15))) for _ in range(300)]
+    df = spark.createDataFrame([(v,) for v in vals], "s string")
+    for r in df.select("s", TX.strip_html(F.col("s"), full_entities=True).alias("t")).collect():
+        want = re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]+>", " ", r.s))).strip()
+        assert r.t == want, repr(r.s)
