@@ -49,3 +49,16 @@ def test_strip_html_agrees_with_python(spark):
     for r in df.select("s", TX.strip_html(F.col("s"), full_entities=True).alias("t")).collect():
         want = re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]+>", " ", r.s))).strip()
         assert r.t == want, repr(r.s)
+
+
+def test_native_entities_agree_on_their_subset(spark):
+    import html
+    import re
+    rnd = random.Random(17)
+    parts = ["<i>", "</i>", "&amp;", "&lt;", "&gt;", "&quot;", "&#39;", "&copy;", "&middot;", "&nbsp;", "&hellip;",
+             "&amp;lt;", "a", " ", "\t"]
+    vals = ["".join(rnd.choice(parts) for _ in range(rnd.randrange(0, 15))) for _ in range(300)]
+    df = spark.createDataFrame([(v,) for v in vals], "s string")
+    for r in df.select("s", TX.strip_html(F.col("s")).alias("t")).collect():
+        want = re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]+>", " ", r.s))).strip()
+        assert r.t == want, repr(r.s)
