@@ -17,6 +17,12 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive_round_trip
+
+    return archive_round_trip(read_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokens import count_tokens
 
@@ -36,6 +42,14 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark")).drop("matches", "longest_match")
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .rules import judge, learn
+
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    rules = learn(docs, read_table(spark, sf_dir, "labels"))
+    return judge(docs, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import identify
 
@@ -43,11 +57,21 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op2_token_counts, op3_simhash, op7_decontamination, op10_language)}
+    op1_warc, op2_token_counts, op3_simhash, op7_decontamination, op8_quality_rules, op10_language)}
 
 _WORDS7 = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')"
 
 ORACLE: dict[str, str] = {
+    "op1_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages),
+     q AS (SELECT page_id, strlen(h) AS payload_bytes, max(page_id) OVER (PARTITION BY x) AS keeper,
+                  list_transform([1, 11, 21, 31], lambda k: CAST('0x' || substr(x, k, 10) AS BIGINT)) AS parts FROM p)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           CAST((parts[i // 8 + 1] >> (35 - 5 * (i % 8))) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest,
+       CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> keeper THEN keeper END AS refers_to
+FROM q""",
     "op7_decontamination": f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce({_WORDS7}, []) AS w FROM documents),
      b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS7} AS w FROM benchmark),
