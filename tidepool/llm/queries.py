@@ -36,6 +36,12 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import dedup_lines
+
+    return dedup_lines(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_lines", "n_deleted", "text")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contamination
 
@@ -57,7 +63,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_warc, op2_token_counts, op3_simhash, op7_decontamination, op8_quality_rules, op10_language)}
+    op1_warc, op2_token_counts, op3_simhash, op4_line_dedup, op7_decontamination, op8_quality_rules, op10_language)}
 
 _WORDS7 = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')"
 
@@ -72,6 +78,24 @@ SELECT page_id, payload_bytes,
        CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id <> keeper THEN keeper END AS refers_to
 FROM q""",
+    "op4_line_dedup": """
+WITH l AS (SELECT doc_id, p AS pos, line, length(line) AS ns,
+                  CASE WHEN regexp_full_match(line, '[ \\t\\r\\x0b\\x0c]*') THEN repeat('f', 33) ELSE md5(line) END AS h
+           FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS p
+                 FROM documents WHERE length(text) > 0)),
+     a AS (SELECT *, lag(h) OVER w AS ph, lead(h) OVER w AS nh, lag(ns) OVER w AS pn, lead(ns) OVER w AS nn, count(*) OVER (PARTITION BY doc_id) AS n
+           FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+     s AS (SELECT * FROM a WHERE h <> repeat('f', 33) AND (n = 1 OR h <= ph OR h <= nh OR ns >= 40)),
+     f AS (SELECT h, min((doc_id, pos)) AS first FROM s GROUP BY h HAVING count(*) > 1),
+     m AS (SELECT s.doc_id, s.pos - CAST(coalesce(s.ph = a.ph, false) AS INT) AS lo, s.pos + CAST(coalesce(s.nh = a.nh, false) AS INT) AS hi,
+                  s.ns + CASE WHEN s.ph = a.ph THEN s.pn ELSE 0 END + CASE WHEN s.nh = a.nh THEN s.nn ELSE 0 END AS chars
+           FROM s JOIN f USING (h) JOIN a ON a.doc_id = f.first[1] AND a.pos = f.first[2] WHERE (s.doc_id, s.pos) <> f.first),
+     g AS (SELECT DISTINCT doc_id, unnest(range(lo, hi + 1)) AS pos FROM m WHERE hi > lo OR chars >= 40),
+     r AS (SELECT l.doc_id, count(*) AS n_lines, count(g.pos) AS n_deleted, string_agg(line, chr(10) ORDER BY l.pos) FILTER (g.pos IS NULL) AS text
+           FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.pos = g.pos GROUP BY l.doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_deleted, 0) AS n_deleted,
+       CASE WHEN n_lines IS NULL THEN d.text ELSE coalesce(r.text, '') END AS text
+FROM documents d LEFT JOIN r USING (doc_id)""",
     "op7_decontamination": f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce({_WORDS7}, []) AS w FROM documents),
      b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS7} AS w FROM benchmark),
