@@ -42,6 +42,12 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_lines", "n_deleted", "text")
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import personal_data
+
+    return personal_data(documents(spark, sf_dir))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contamination
 
@@ -63,7 +69,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_warc, op2_token_counts, op3_simhash, op4_line_dedup, op7_decontamination, op8_quality_rules, op10_language)}
+    op1_warc, op2_token_counts, op3_simhash, op4_line_dedup, op5_personal_data, op7_decontamination, op8_quality_rules, op10_language)}
 
 _WORDS7 = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')"
 
