@@ -48,6 +48,12 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(documents(spark, sf_dir))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_documents
+
+    return pack_documents(documents(spark, sf_dir), tokenizer_path())
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contamination
 
@@ -62,6 +68,12 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(docs, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .perplexity import perplexities
+
+    return perplexities(documents(spark, sf_dir), read_table(spark, sf_dir, "labels"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import identify
 
@@ -69,7 +81,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_warc, op2_token_counts, op3_simhash, op4_line_dedup, op5_personal_data, op7_decontamination, op8_quality_rules, op10_language)}
+    op1_warc, op2_token_counts, op3_simhash, op4_line_dedup, op5_personal_data, op6_packing, op7_decontamination, op8_quality_rules, op9_perplexity, op10_language)}
 
 _WORDS7 = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')"
 

@@ -225,7 +225,7 @@ def fingerprint_links(fps: DataFrame, max_bits: int = 4, trees: int = 3) -> Data
     sizes = fps.mapInPandas(routed({}), schema).groupBy("shard").count().where(F.col("count") > SHARD_LIMIT).collect()
     parts = {r["shard"]: -(-2 * r["count"] // SHARD_LIMIT) for r in sizes}
 
-    def linked(key, group: pd.DataFrame) -> pd.DataFrame:
+    def linked(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         points = np.unique(group["fp"].to_numpy(dtype=np.int64)).view(np.uint64)
         np.random.default_rng(SEED).shuffle(points)
         stars = list(shard_links(points, masks[int(key[0]) % trees], radius, max_bits))
@@ -242,15 +242,36 @@ def fingerprint_components(fps: DataFrame, max_bits: int = 4, trees: int = 3) ->
     return found.select(F.col("node").alias("fp"), "component")
 
 
-def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4, max_bits: int = 4) -> DataFrame:
-    """One row per row of ``docs``: its identifier, fingerprint (long ``fp``) and component_id."""
-    marked = staged(docs.select(F.col(id_col).alias("doc_id"), fingerprint_column(F.col(text_col), shingle_words).alias("fp")), "simhash-docs")
-    fps = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-fps")
+def _row_keys(id_col: str, text_col: str) -> list[Column]:
+    """Two hashes that name a row by its identifier and text."""
+    return [F.xxhash64(F.col(id_col), F.col(text_col)).alias("__key"), F.xxhash64(F.col(text_col), F.lit(1), F.col(id_col)).alias("__key2")]
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, max_bits: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, groups): a row's identifier, hashes and fingerprint; a fingerprint's group and its first row."""
+    rows = staged(docs.select(F.col(id_col).alias("doc_id"), *_row_keys(id_col, text_col), fingerprint_column(F.col(text_col), shingle_words).alias("fp")), "simhash-docs")
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "__key", "__key2")
+    fps = staged(rows.groupBy("fp").agg(F.min(place).alias("first")), "simhash-fps")
     linked = staged(fps.join(fingerprint_components(fps.select("fp"), max_bits), "fp", "left")
                     .select("fp", "first", F.coalesce("component", "fp").alias("component")), "simhash-linked")
-    least = staged(linked.groupBy("component").agg(F.min("first").alias("component_id")), "simhash-least")
-    names = staged(linked.select("fp", "component").join(least, "component").select("fp", "component_id"), "simhash-names")
-    return marked.join(names, "fp").select(F.col("doc_id").alias(id_col), "fp", "component_id")
+    least = staged(linked.groupBy("component").agg(F.min("first").alias("least")), "simhash-least")
+    return rows, staged(linked.select("fp", "component").join(least, "component").select("fp", "component", "least"), "simhash-groups")
+
+
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4, max_bits: int = 4) -> DataFrame:
+    """One row per row of ``docs``: its identifier, fingerprint (long ``fp``) and component_id."""
+    rows, groups = _grouped(docs, id_col, text_col, shingle_words, max_bits)
+    return rows.join(groups, "fp").select(F.col("doc_id").alias(id_col), "fp", F.col("least.doc_id").alias("component_id"))
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4, max_bits: int = 4) -> DataFrame:
+    """The first document of each near-duplicate group (smallest identifier, null last), once; columns unchanged."""
+    rows, groups = _grouped(docs, id_col, text_col, shingle_words, max_bits)
+    keepers = staged(groups.select("component", "least.__key", "least.__key2").distinct().select("__key", "__key2"), "simhash-keepers")
+    kept = docs.withColumns(dict(zip(("__key", "__key2"), _row_keys(id_col, text_col)))).join(keepers, ["__key", "__key2"])
+    if not rows.groupBy("__key", "__key2").count().where("count > 1").isEmpty():  # rows that repeat whole
+        kept = kept.dropDuplicates(["__key", "__key2"])
+    return kept.select(*docs.columns)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4, max_bits: int = 4) -> DataFrame:
