@@ -27,7 +27,8 @@ from .common import staged
 
 CAPACITY = 4096
 SHARD_ROWS = 4_000
-OUT = "doc_id long, piece long, start long, n_tokens long, bin_id string, bin_offset long"
+#: Identifiers cross to pandas as text: a column with nulls would become floating point there.
+OUT = "doc_id string, piece long, start long, n_tokens long, bin_id string, bin_offset long"
 
 
 class Bins:
@@ -93,23 +94,23 @@ def pack(docs: DataFrame, length_col: str = "n_tokens", id_col: str = "doc_id",
         F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(length_col), F.lit(0)).cast("long").alias("length"),
         F.xxhash64(F.when(F.col(source_col).isNotNull(), F.col(source_col))).alias("source_hash"), F.col(source_col).isNotNull().alias("has_source"),
         F.col(cluster_col).cast("long").alias("cluster")), "packing-rows").select(
-        "row", "doc_id", "length", F.when(F.col("has_source"), F.col("source_hash")).alias("source"), "cluster")
+        "row", "doc_id", "length", F.when(F.col("has_source"), F.col("source_hash")).cast("string").alias("source"), F.col("cluster").cast("string").alias("cluster"))
     shards = max(1, -(-rows.count() // SHARD_ROWS))
     full = (rows.where(F.col("length") >= capacity)
             .select("row", "doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("length") / capacity) - 1)).alias("piece"))
             .select("doc_id", "piece", (F.col("piece") * capacity).alias("start"), F.lit(capacity).cast("long").alias("n_tokens"),
                     F.concat(F.lit("full:"), F.col("row").cast("string"), F.lit(":"), F.col("piece").cast("string")).alias("bin_id"), F.lit(0).cast("long").alias("bin_offset")))
     rests = rows.where(F.col("length") % capacity > 0).select(
-        F.pmod(F.xxhash64("row"), F.lit(shards)).alias("shard"), "row", "doc_id", F.floor(F.col("length") / capacity).alias("piece"),
+        F.pmod(F.xxhash64("row"), F.lit(shards)).alias("shard"), "row", F.col("doc_id").cast("string"), F.floor(F.col("length") / capacity).alias("piece"),
         (F.col("length") % capacity).alias("length"), "source", "cluster")
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         done = pack_shard(group, capacity)
         return pd.DataFrame({
             "doc_id": done["doc_id"], "piece": done["piece"], "start": done["piece"] * capacity, "n_tokens": done["length"],
-            "bin_id": [f"shared:{key[0]}:{k}" for k in done["bin"]], "bin_offset": done["bin_offset"]}).astype({"doc_id": "Int64"})
+            "bin_id": [f"shared:{key[0]}:{k}" for k in done["bin"]], "bin_offset": done["bin_offset"]})
 
-    packed = rests.groupBy("shard").applyInPandas(run, OUT)
+    packed = rests.groupBy("shard").applyInPandas(run, OUT).withColumn("doc_id", F.col("doc_id").cast("long"))
     none = rows.where(F.col("length") == 0).select("doc_id", F.lit(0).cast("long").alias("piece"), F.lit(0).cast("long").alias("start"),
                                                    F.lit(0).cast("long").alias("n_tokens"), F.lit(None).cast("string").alias("bin_id"), F.lit(None).cast("long").alias("bin_offset"))
     return full.unionByName(packed).unionByName(none)

@@ -39,8 +39,10 @@ PAGE_URN = "urn:page:"
 WARC_DATE = "1970-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
-INDEX = "page_id long, url string, archive string, offset long, length long, payload_bytes long, payload_digest string, record_type string"
-RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
+# Identifiers cross to pandas as text: a column with nulls would become floating point there.
+INDEX = "page_id string, url string, archive string, offset long, length long, payload_bytes long, payload_digest string, record_type string"
+RECORD = "page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string"
+_IDS = ("page_id", "refers_to")
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -58,11 +60,11 @@ def open_store(uri: str):
     return fs.LocalFileSystem(), uri
 
 
-def _urn(page_id: int | None) -> str:
+def _urn(page_id: str | None) -> str:
     return f"{PAGE_URN}{'' if page_id is None else page_id}"
 
 
-def record_bytes(page_id: int | None, url: str | None, payload: bytes, size: int, digest: str, refers_to: int | None, revisit: bool) -> bytes:
+def record_bytes(page_id: str | None, url: str | None, payload: bytes, size: int, digest: str, refers_to: str | None, revisit: bool) -> bytes:
     fields = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", f"<{_urn(page_id)}>"), ("WARC-Date", WARC_DATE)]
     if url is not None:
         fields.append(("WARC-Target-URI", re.sub(r"[\x00-\x20\x7f%]", lambda m: f"%{ord(m[0]):02X}", url)))
@@ -84,9 +86,12 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
     return fields, block[:int(fields["content-length"])]
 
 
-def _page_of(urn: str | None) -> int | None:
-    number = (urn or "").strip("<>").removeprefix(PAGE_URN)
-    return int(number) if number else None
+def _page_of(urn: str | None) -> str | None:
+    return (urn or "").strip("<>").removeprefix(PAGE_URN) or None
+
+
+def _numbered(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("long") for c in _IDS if c in df.columns})
 
 
 def write_archives(pages: DataFrame, root: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0) -> DataFrame:
@@ -110,7 +115,6 @@ def write_archives(pages: DataFrame, root: str, id_col: str = "page_id", url_col
             for batch in batches:
                 made = []
                 for page, url, payload, digest, size, keeper, revisit in zip(*(batch[c] for c in ("page_id", "url", "payload", "digest", "size", "keeper", "revisit"))):
-                    page, keeper = (None if pd.isna(x) else int(x) for x in (page, keeper))
                     raw = record_bytes(page, url, bytes(payload), int(size), digest, keeper, bool(revisit))
                     packer = zlib.compressobj(6, zlib.DEFLATED, 31)
                     member = packer.compress(raw) + packer.flush()
@@ -122,14 +126,15 @@ def write_archives(pages: DataFrame, root: str, id_col: str = "page_id", url_col
                     out.write(member)
                     made.append((page, url, f"{root}/{name}", at, len(member), int(size), digest, "revisit" if revisit else "response"))
                     at += len(member)
-                yield pd.DataFrame(made, columns=[c.split()[0] for c in INDEX.split(", ")]).astype({"page_id": "Int64"})
+                yield pd.DataFrame(made, columns=[c.split()[0] for c in INDEX.split(", ")])
         finally:
             if out is not None:
                 out.close()
 
     path = f"{root}/index"
-    typed.select("page_id", "url", "payload", "digest", "size", "keeper", "revisit").mapInPandas(write, INDEX).write.parquet(path)
-    return pages.sparkSession.read.schema(INDEX).parquet(path)
+    sent = typed.select(F.col("page_id").cast("string"), "url", "payload", "digest", "size", F.col("keeper").cast("string"), "revisit")
+    sent.mapInPandas(write, INDEX).write.parquet(path)
+    return _numbered(pages.sparkSession.read.schema(INDEX).parquet(path))
 
 
 def read_records(selected: DataFrame, with_payload: bool = False) -> DataFrame:
@@ -160,7 +165,7 @@ def read_records(selected: DataFrame, with_payload: bool = False) -> DataFrame:
                 found.append((page, url, int(fields["x-payload-length"]) if revisit else len(payload), digest, fields["warc-type"],
                               _page_of(fields.get("warc-refers-to")), *([payload] if with_payload else [])))
             names = [c.split()[0] for c in RECORD.split(", ")] + ["payload"] * with_payload
-            return pd.DataFrame(found, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
+            return pd.DataFrame(found, columns=names)
 
         archive, group = None, []
         for batch in batches:
@@ -176,7 +181,7 @@ def read_records(selected: DataFrame, with_payload: bool = False) -> DataFrame:
             file.close()
 
     dealt = selected.select("archive", "offset", "length").repartitionByRange("archive", "offset").sortWithinPartitions("archive", "offset")
-    return dealt.mapInPandas(read, RECORD + ", payload binary" * with_payload)
+    return _numbered(dealt.mapInPandas(read, RECORD + ", payload binary" * with_payload))
 
 
 def archive_round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
