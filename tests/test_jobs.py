@@ -14,13 +14,13 @@ RSS = ('<rss version="2.0"><channel><title>F</title>'
 
 
 def test_ingest_index_window_digest(spark, tmp_path):
-    feeds = spark.createDataFrame([("src4", RSS)], "source string, xml string")
-    reg = registry_from_sources(spark.createDataFrame([("src4",)], "source string"))
+    feeds = spark.createDataFrame([("src0", RSS)], "source string, xml string")
+    reg = registry_from_sources(spark.createDataFrame([("src0",)], "source string"))
     seen = spark.createDataFrame([], "namespace string, file_name string")
     fetched = spark.createDataFrame([("https://a.example/1", "word " * 150)], "url string, body string")
     new = J.ingest(spark, reg, seen, fetched, str(tmp_path / "docs"), feeds=feeds)
     rows = {r.url: r for r in new.collect()}
-    assert set(rows) == {"https://a.example/1", "https://a.example/2"}   # src4: no keyword filter, full content on
+    assert set(rows) == {"https://a.example/1", "https://a.example/2"}   # src0: no keyword filter, full content on
     assert rows["https://a.example/1"].file_name.startswith("2024-01-02 - Agents at work-")
     assert "word word" in rows["https://a.example/1"].doc_text           # fetched body replaced the excerpt
     # second run: nothing new once the files exist
@@ -70,8 +70,8 @@ def test_whole_pass(spark, tmp_path):
     from tidepool.operators import ingest as G
     from tidepool.operators import records as R
     from tidepool.sources import scans as SC
-    feeds = spark.createDataFrame([("src4", RSS)], "source string, xml string")
-    reg = registry_from_sources(spark.createDataFrame([("src4",)], "source string"))
+    feeds = spark.createDataFrame([("src0", RSS)], "source string, xml string")
+    reg = registry_from_sources(spark.createDataFrame([("src0",)], "source string"))
     seen = spark.createDataFrame([], "namespace string, file_name string")
     fetched = spark.createDataFrame([], "url string, body string")
     new = G.ingest_feed_items(SC.scan_feed_raw(feeds), reg, seen, fetched)

@@ -34,5 +34,24 @@ def test_no_pairwise_joins_and_no_python_where_native(spark, name):
     plan = plan_of(spark, name)
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert "BatchEvalPython" not in plan                     # never row-at-a-time Python
-    if name in ("status_tier", "url_guard", "resolve_link", "ingest_listing", "leak_scan"):
+    if name in ("status_tier", "url_guard", "resolve_link", "leak_scan"):
         assert "ArrowEvalPython" not in plan                  # these paths are fully native
+    if name == "ingest_listing":                              # rare HTML entities in titles, and nothing else
+        assert all("unescape_full(CASE WHEN" in x for x in plan.splitlines() if "ArrowEvalPython" in x)
+
+
+def test_bounded_adapters_shuffle_no_large_side(spark):
+    """With automatic broadcasts off, what the adapters look up is cut to the kept items by a broadcast semi-join."""
+    from tidepool.operators import ingest as G
+    from tidepool.plans import fixtures as fx
+    reg = fx.registry_from_sources(spark.createDataFrame([("src4",), ("src3",), ("src0",)], "source string"))
+    pages = spark.createDataFrame([(1, "src4", "https://s/blog/", '<a href="/posts/en-report_1">x</a>')], "page_id long, source string, feed_url string, html string")
+    seen = spark.range(50).selectExpr("'ns0' as namespace", "cast(id as string) as file_name")
+    fetched = spark.range(50).selectExpr("concat('https://s/posts/en-report_', id) as url", "repeat('word ', 200) as body")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = G.ingest_listing_items(pages, reg, seen, fetched)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("BroadcastHashJoin") >= 2 and "LeftSemi" in plan

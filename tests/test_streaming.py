@@ -1,5 +1,6 @@
 """Incremental runs equal batch runs, also across a restart from the checkpoint."""
 
+from tidepool.operators import index as I
 from tidepool.streaming import jobs as J
 
 SCHEMA = "id long, k string, ts long, v string"
@@ -45,7 +46,7 @@ def test_index_stream_merges_months(spark, tmp_path):
     spark.createDataFrame(rows1, schema).coalesce(1).write.parquet(src)
     spark.createDataFrame(rows2, schema).coalesce(1).write.mode("append").parquet(src)
     J.stream_index(spark, src, schema, out, ckpt, max_files_per_trigger=1)
-    got = {r.path: (r.title, str(r.month)) for r in spark.read.parquet(out).collect()}
+    got = {r.path: (r.title, str(r.month)) for r in I.scan_index(spark, out).collect()}
     assert got == {"a.md": ("A2", "2024-01"), "b.md": ("B", "2024-02"), "c.md": ("C", "0000-00")}
 
 
@@ -71,4 +72,37 @@ def test_dedup_compaction_keeps_exactly_once(spark, tmp_path):
     J.stream_dedup(spark, src, SCHEMA, ["k"], "ts", sink, ckpt, max_files_per_trigger=1, compact_every=2)
     keys = sorted(r.k for r in J.read_sink(spark, sink).collect())
     assert keys == ["k0", "k1", "k2", "k3"]
-    assert J._latest_compaction(sink)[1] == 3
+    assert J._latest_compaction(sink, 10)[1] == 3 and J._latest_compaction(sink, 3)[1] == 1
+
+
+def test_replay_after_compaction_loses_nothing(spark, tmp_path):
+    """The last batch is replayed when its commit is missing, although its keys are already compacted."""
+    src, sink, ckpt = (str(tmp_path / n) for n in ("src", "sink", "ckpt"))
+    for rows in ([(1, "a", 1, "x")], [(2, "b", 2, "y")]):
+        _write(spark, src, rows)
+        J.stream_dedup(spark, src, SCHEMA, ["k"], "ts", sink, ckpt, compact_every=2)
+    assert J._latest_compaction(sink, 10)[1] == 1
+    (tmp_path / "ckpt" / "commits" / "1").unlink()
+    (tmp_path / "ckpt" / "commits" / ".1.crc").unlink(missing_ok=True)
+    J.stream_dedup(spark, src, SCHEMA, ["k"], "ts", sink, ckpt, compact_every=2)
+    assert sorted(r.k for r in J.read_sink(spark, sink).collect()) == ["a", "b"]
+
+
+ENTRY = ("path string, title string, source string, url string, published string, tags array<string>, "
+         "primary_topics array<string>, secondary_topics array<string>, summary string, enriched boolean")
+
+
+def _entry(path, title, published):
+    return (path, title, "s", "", published, [], ["x"], [], "", True)
+
+
+def test_index_stream_follows_moved_dates_and_a_built_index(spark, tmp_path):
+    src, out, ckpt = (str(tmp_path / n) for n in ("src", "index", "ckpt"))
+    built = spark.createDataFrame([_entry("p1.md", "old", "2024-01-05"), _entry("p2.md", "stays", "2024-01-06")], ENTRY)
+    I.sink_index(I.index_entry(built), out, generated="2024-01-31T00:00:00")
+    rows = [_entry("p1.md", "first", "2024-02-01"), _entry("p1.md", "last", "2024-03-01")]
+    spark.createDataFrame(rows, ENTRY).coalesce(1).write.parquet(src)
+    J.stream_index(spark, src, ENTRY, out, ckpt)
+    got = {r.path: (r.title, r.month) for r in I.scan_index(spark, out).collect()}
+    assert got == {"p1.md": ("last", "2024-03"), "p2.md": ("stays", "2024-01")}
+    assert I.scan_index(spark, out).count() == 2

@@ -7,15 +7,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidepool import contracts as C
-from tidepool.functions.text import py_strip
+from tidepool.functions.text import let, py_strip
 
 # RFC 2822 forms after the optional weekday is removed (pattern letter E is
 # refused when parsing, so the weekday is stripped first).
 _RFC2822_PATTERNS = (
-    "d MMM yyyy HH:mm:ss Z",
-    "d MMM yyyy HH:mm:ss z",
-    "d MMM yyyy HH:mm Z",
-    "d MMM yyyy HH:mm z",
+    "d MMM yyyy H:mm:ss Z",
+    "d MMM yyyy H:mm:ss z",
+    "d MMM yyyy H:mm Z",
+    "d MMM yyyy H:mm z",
 )
 
 
@@ -26,17 +26,30 @@ def _fmt(ts: Column) -> Column:
 def parse_pub_date(pub: Column, run_date: str = C.RUN_DATE) -> Column:
     """Feed date → UTC ``YYYY-MM-DD``.
 
-    Order: RFC 2822 (a date-only ``Www, d Mon yyyy`` is padded with
-    ``00:00:00 GMT``), then ISO 8601 / plain dates, then the run date.
+    Order: RFC 2822 and what feeds make of it (short or full names of days and
+    months, two-digit years, ``Month d, yyyy``, no time, no zone: midnight,
+    UTC), then ISO 8601 / plain dates, then the run date.
     """
     s = py_strip(F.coalesce(pub, F.lit("")))
-    padded = F.when(s.rlike(r"^[A-Z][a-z]{2}, \d{1,2} [A-Z][a-z]{2} \d{4}$"),
-                    F.concat(s, F.lit(" 00:00:00 GMT"))).otherwise(s)
-    no_wday = F.regexp_replace(padded, r"^[A-Za-z]{3},\s*", "")
-    rfc = F.coalesce(*[F.try_to_timestamp(no_wday, F.lit(p)) for p in _RFC2822_PATTERNS])
-    iso = s.try_cast("timestamp")
-    parsed = F.coalesce(rfc, iso)
-    return F.when(s == "", F.lit(run_date)).otherwise(F.coalesce(_fmt(parsed), F.lit(run_date)))
+
+    def parsed(text: Column) -> Column:
+        rfc = F.coalesce(*[F.try_to_timestamp(_rfc_shape(text), F.lit(p)) for p in _RFC2822_PATTERNS])
+        return F.coalesce(_fmt(F.coalesce(rfc, text.try_cast("timestamp"))), F.lit(run_date))
+
+    return let(s, lambda text: F.when(text == "", F.lit(run_date)).otherwise(parsed(text)))
+
+
+def _rfc_shape(s: Column) -> Column:
+    """Free forms of a date written as ``d Mon yyyy HH:mm[:ss] zone``; others unchanged."""
+    t = F.regexp_replace(s, r"(?i)^(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*\.?,?\s+", "")
+    t = F.regexp_replace(t, r"^([A-Za-z]{3,9})\.? (\d{1,2})(?:st|nd|rd|th)?,? (\d{4})", "$2 $1 $3")
+    t = F.regexp_replace(t, r"^(\d{1,2})[ -]([A-Za-z]{3})[a-z]*\.?[ -](\d{2,4})\b", "$1 $2 $3")
+    t = F.regexp_replace(t, r"^(\d{1,2} [A-Za-z]{3}) ([0-6]\d)(?=\s|$)", "$1 20$2")
+    t = F.regexp_replace(t, r"^(\d{1,2} [A-Za-z]{3}) ([7-9]\d)(?=\s|$)", "$1 19$2")
+    t = F.regexp_replace(t, r"^(\d{1,2} [A-Za-z]{3} \d{4}),?$", "$1 00:00:00 GMT")
+    t = F.regexp_replace(t, r"^(\d{1,2} [A-Za-z]{3} \d{4} \d{1,2}:\d{2}(?::\d{2})?)$", "$1 GMT")
+    return F.concat(F.substring(t, 1, F.instr(t, " ")), F.initcap(F.substring(t, F.instr(t, " ") + 1, F.lit(3))),
+                    F.substring(t, F.instr(t, " ") + 4, F.length(t)))
 
 
 def utc_date(ts: Column) -> Column:

@@ -18,8 +18,8 @@ from pyspark.sql import types as T
 from tidepool import contracts as C
 
 # ---------------------------------------------------------------------------
-# HTML entities decoded natively.  ``&amp;`` is last so a
-# single pass never decodes twice (``&amp;lt;`` → ``&lt;``).
+# HTML entities decoded natively.  ``&amp;`` comes last, so text
+# is never decoded twice (``&amp;lt;`` → ``&lt;``).
 # ---------------------------------------------------------------------------
 NATIVE_ENTITIES = (
     ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"),
@@ -28,27 +28,82 @@ NATIVE_ENTITIES = (
     ("&hellip;", "…"), ("&lsquo;", "‘"), ("&rsquo;", "’"),
     ("&ldquo;", "“"), ("&rdquo;", "”"), ("&amp;", "&"),
 )
+# Decimal references decoded natively: U+00A0 up to the surrogates.  The HTML
+# rules remap or refuse some of the others, which the full table takes care of.
+_NUMERIC = r"(?:1[6-9][0-9]|[2-9][0-9]{2}|[1-9][0-9]{3}|[1-4][0-9]{4}|5[0-4][0-9]{3}|55[01][0-9]{2}|552[0-8][0-9]|5529[0-5])"
+_XML_NAMES = ("lt", "gt", "quot", "apos", "amp")
 
 
 def _lit(v) -> Column:
     return v if isinstance(v, Column) else F.lit(v)
 
 
-def decode_entities(c: Column) -> Column:
-    """Decode the common named entities natively (single pass)."""
-    for k, v in NATIVE_ENTITIES:
+def let(value: Column, fn) -> Column:
+    """Evaluate ``value`` once and pass it to ``fn`` (a lambda-bound variable),
+    instead of copying its expression tree into every use."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
+def _named(c: Column, pairs) -> Column:
+    for k, v in pairs:
         c = F.replace(c, F.lit(k), F.lit(v))
     return c
 
 
+def decode_entities(c: Column) -> Column:
+    """Decode the common named entities and decimal references natively."""
+    def one(s: Column, code: Column) -> Column:
+        char = F.decode(F.unhex(F.lpad(F.hex(code.cast("int")), 4, "0")), "UTF-16BE")
+        return F.replace(s, F.concat(F.lit("&#"), code, F.lit(";")), char)
+
+    def numeric(t: Column) -> Column:
+        codes = F.array_distinct(F.regexp_extract_all(t, F.lit(f"&#({_NUMERIC});"), F.lit(1)))
+        return F.when(F.contains(t, F.lit("&#")), F.aggregate(codes, t, one)).otherwise(t)
+
+    def decoded(t: Column) -> Column:
+        return F.when(F.contains(t, F.lit("&")), _named(let(_named(t, NATIVE_ENTITIES[:-1]), numeric), NATIVE_ENTITIES[-1:])).otherwise(t)
+
+    return let(c, decoded)
+
+
+def needs_full_table(c: Column) -> Column:
+    """True where a text holds an entity that :func:`decode_entities` does not know."""
+    known = "|".join(k[1:-1] for k, _ in NATIVE_ENTITIES)
+    return F.coalesce(c.rlike(f"&(?!(?:{known}|#{_NUMERIC});)(?:#|[A-Za-z])"), F.lit(False))
+
+
 @F.pandas_udf(T.StringType())
 def unescape_full(s: pd.Series) -> pd.Series:
     """Full HTML5 entity table (numeric and legacy forms), Arrow-batched."""
     return s.map(lambda x: None if x is None else _html.unescape(x))
 
 
-def unescape(c: Column, full: bool = False) -> Column:
-    return unescape_full(c) if full else decode_entities(c)
+def unescape(c: Column, full: bool = True, source: Column | None = None) -> Column:
+    """HTML entities decoded; rows with rare ones (and only they) go through the full table in Python.
+
+    ``source`` is the text that ``c`` was made from, if the test for rare
+    entities is cheaper there.
+    """
+    if not full:
+        return decode_entities(c)
+    rare = needs_full_table(c if source is None else source)
+    return F.coalesce(unescape_full(F.when(rare, c)), decode_entities(c))
+
+
+@F.pandas_udf(T.StringType())
+def _html_names(s: pd.Series) -> pd.Series:
+    import re
+    from html.entities import html5
+
+    def known(m):
+        return m[0] if m[1] in _XML_NAMES else html5.get(m[1] + ";", m[0])
+    return s.map(lambda x: None if x is None else re.sub(r"&([A-Za-z][A-Za-z0-9]*);", known, x))
+
+
+def decode_html_names(xml: Column) -> Column:
+    """HTML's named entities in an XML text, but for XML's own five, decoded (only such texts go through Python)."""
+    rare = F.coalesce(xml.rlike(f"&(?!(?:{'|'.join(_XML_NAMES)});)[A-Za-z][A-Za-z0-9]*;"), F.lit(False))
+    return F.coalesce(_html_names(F.when(rare, xml)), xml)
 
 
 def collapse_ws(c: Column) -> Column:
@@ -78,10 +133,10 @@ def has_min_words(c: Column, n: int) -> Column:
     return F.coalesce(c, F.lit("")).rlike(rf"(?U)^\s*+(?:\S++\s++){{{n - 1}}}\S")
 
 
-def strip_html(c: Column, full_entities: bool = False) -> Column:
+def strip_html(c: Column, full_entities: bool = True) -> Column:
     """Tags → space, entity-decode, collapse whitespace, strip; null → ''."""
     t = F.regexp_replace(c, r"<[^>]+>", " ")
-    t = unescape(t, full_entities)
+    t = unescape(t, full_entities, source=c)
     return F.coalesce(collapse_ws(t), F.lit(""))
 
 
@@ -89,7 +144,7 @@ def strip_html(c: Column, full_entities: bool = False) -> Column:
 BOILERPLATE_TAGS = ("script", "style", "nav", "header", "footer", "aside")
 
 
-def main_text(html: Column, full_entities: bool = False) -> Column:
+def main_text(html: Column, full_entities: bool = True) -> Column:
     """Readable article text from a full page.
 
     A documented heuristic: comments and boilerplate blocks are removed, the
@@ -105,7 +160,7 @@ def main_text(html: Column, full_entities: bool = False) -> Column:
     return strip_html(body, full_entities)
 
 
-def sanitize_title(c: Column, max_len: int = C.TITLE_MAX_LEN, full_entities: bool = False) -> Column:
+def sanitize_title(c: Column, max_len: int = C.TITLE_MAX_LEN, full_entities: bool = True) -> Column:
     """File-name-safe title (the stem before the hash suffix)."""
     t = unescape(F.coalesce(c, F.lit("")), full_entities)
     t = F.replace(t, F.lit("\x00"), F.lit(""))
@@ -188,15 +243,31 @@ def keyword_match(text: Column, mode: Column, include: Column) -> Column:
              .otherwise(F.exists(include, hit)))
 
 
-def casefold(c: Column) -> Column:
-    """Case folding for the fixture languages: lower-case, then ß → ss.
+_FOLDS_OTHERWISE = "[\u00b5\u0149\u017f\u01f0]|[^\u0000-\u024f]"
 
-    Python's ``casefold`` differs from ``lower`` on ~300 code points; use
-    :func:`casefold_full` where other scripts matter.
-    """
+
+def _casefold_latin(c: Column) -> Column:
     return F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
 
 
+def casefold_array(arr: Column) -> Column:
+    """:func:`casefold` of every string of an array; arrays with a rare letter go through Python."""
+    rare = F.coalesce(F.exists(arr, lambda x: x.rlike(_FOLDS_OTHERWISE)), F.lit(False))
+    return F.coalesce(_casefold_arrays(F.when(rare, arr)), F.transform(arr, _casefold_latin))
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _casefold_arrays(s: pd.Series) -> pd.Series:
+    return s.map(lambda xs: None if xs is None else [None if x is None else x.casefold() for x in xs])
+
+
+def casefold(c: Column) -> Column:
+    """``str.casefold()``: native for Latin text (lower case, ß → ss); rows with
+    other scripts, or one of the few Latin letters that fold otherwise, in Python."""
+    rare = F.coalesce(c.rlike(_FOLDS_OTHERWISE), F.lit(False))
+    return F.coalesce(casefold_full(F.when(rare, c)), _casefold_latin(c))
+
+
 @F.pandas_udf(T.StringType())
 def casefold_full(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else x.casefold())

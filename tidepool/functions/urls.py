@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidepool import contracts as C
+from tidepool.functions.text import let
 
 _SCHEME_RE = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
 _IPV4_OCTET = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
@@ -125,12 +126,6 @@ _V6_FULL = rf"^({_HEX_GROUP}:){{7}}{_HEX_GROUP}$"
 _V6_COMPRESSED = rf"^(({_HEX_GROUP}:)*{_HEX_GROUP})?::(({_HEX_GROUP}:)*{_HEX_GROUP})?$"
 
 
-def let(value: Column, fn) -> Column:
-    """Evaluate ``value`` once and pass it to ``fn`` (a lambda-bound variable),
-    instead of copying its expression tree into every use."""
-    return F.element_at(F.transform(F.array(value), fn), 1)
-
-
 def _expand_v6(h: Column) -> Column:
     """Hex-only IPv6 text (no zone, no dotted tail) → 8 groups, null if invalid."""
     empty = F.array().cast("array<string>")

@@ -23,8 +23,11 @@ def throttle_wait(log: DataFrame, group_col: str = "throttle_group", start_col:
     """Adds ``wait_us`` = max(0, throttle − (start − previous completion in the group)).
 
     No group, a zero throttle, or no previous fetch → 0.  Ordering inside a
-    group is (start, id).
+    group is (start, id).  Rows without a group wait for nobody and take no
+    part in the windows.
     """
+    free = log.where(F.col(group_col).isNull()).withColumn("wait_us", F.lit(0).cast("long"))
+    log = log.where(F.col(group_col).isNotNull())
     b = F.floor(F.col(start_col) / F.lit(bucket_us)).cast("long")
     df = log.withColumn("_b", b)
     order = [F.col(start_col), F.col(id_col)]
@@ -38,7 +41,7 @@ def throttle_wait(log: DataFrame, group_col: str = "throttle_group", start_col:
     prev = F.coalesce(F.col("_prev_in"), F.col("_prev_bucket_end"))
     active = F.col(group_col).isNotNull() & (F.coalesce(F.col(throttle_col), F.lit(0)) > 0) & prev.isNotNull()
     wait = F.when(active, F.greatest(F.lit(0), F.col(throttle_col) - (F.col(start_col) - prev))).otherwise(F.lit(0))
-    return j.withColumn("wait_us", wait.cast("long")).drop("_b", "_prev_in", "_prev_bucket_end")
+    return j.withColumn("wait_us", wait.cast("long")).drop("_b", "_prev_in", "_prev_bucket_end").unionByName(free)
 
 
 def scrape_counts(docs: DataFrame, source_col: str = "source") -> DataFrame:

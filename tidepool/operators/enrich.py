@@ -64,17 +64,18 @@ def build_packets(backlog: DataFrame, vocabulary, max_chars: int = C.PROMPT_MAX_
 ENTITY_RE = r"(\p{Lu}\p{Ll}+)"
 
 
-def native_enrich(backlog: DataFrame, vocabulary, max_entities: int = 5) -> DataFrame:
-    """Typed record per document: summary = lead text, primary = vocabulary
-    terms occurring in the text (case-insensitive), organizations = first
-    distinct capitalised words, no people, no takeaways."""
+def native_enrich(backlog: DataFrame, vocabulary) -> DataFrame:
+    """Typed record per document: summary = the text as far as the record schema
+    lets a summary go, primary = vocabulary terms occurring in the text
+    (case-insensitive), organizations = the distinct capitalised words, no
+    people, no takeaways."""
+    longest = C.ENRICHMENT_SCHEMA["field_specs"]["summary"]["max_len"]
     low = F.lower(F.coalesce(F.col("content"), F.lit("")))
     vocab = F.array(*[F.lit(t) for t in sorted(vocabulary)])
-    orgs = F.slice(F.array_distinct(F.regexp_extract_all(F.coalesce(F.col("content"), F.lit("")),
-                                                         F.lit(ENTITY_RE), 1)), 1, max_entities)
+    orgs = F.array_distinct(F.regexp_extract_all(F.coalesce(F.col("content"), F.lit("")), F.lit(ENTITY_RE), 1))
     rec = F.struct(
         F.lit(True).alias("enriched"),
-        F.substring(collapse_ws(F.coalesce(F.col("content"), F.lit(""))), 1, 400).alias("summary"),
+        F.substring(collapse_ws(F.coalesce(F.col("content"), F.lit(""))), 1, longest).alias("summary"),
         F.struct(F.filter(vocab, lambda t: F.contains(low, t)).alias("primary"),
                  F.array().cast("array<string>").alias("secondary")).alias("topics"),
         F.struct(orgs.alias("organizations"), F.array().cast("array<string>").alias("people")).alias("entities"),
@@ -109,14 +110,14 @@ def enrich_with(backlog: DataFrame, enrich_fn: Callable[[str], tuple[str, dict]]
 
 def lead_text_enricher(vocabulary) -> Callable[[str], tuple[str, dict]]:
     """A deterministic stand-in for a model client: the record's summary is the
-    article's lead text (padded to the minimum length), its primary topic the
+    article's text within the schema's length bounds, its primary topic the
     first vocabulary term; returned as fenced YAML like a model answer."""
     import json
     topic = sorted(vocabulary)[0] if vocabulary else "general"
-    min_len = C.ENRICHMENT_SCHEMA["field_specs"]["summary"]["min_len"]
+    min_len, max_len = (C.ENRICHMENT_SCHEMA["field_specs"]["summary"][k] for k in ("min_len", "max_len"))
 
     def enrich(content: str) -> tuple[str, dict]:
-        summary = " ".join(content.split())[:400].ljust(min_len, ".")
+        summary = " ".join(content.split())[:max_len].ljust(min_len, ".")
         raw = ("```yaml\nenriched: true\nsummary: " + json.dumps(summary, ensure_ascii=False) +
                "\ntopics:\n  primary: [" + json.dumps(topic) + "]\n  secondary: []\n"
                "entities:\n  organizations: []\n  people: []\n```")

@@ -4,12 +4,23 @@ The index is stored as parquet partitioned by ``month`` (``YYYY-MM`` of
 ``published``; entries without a date live in month ``0000-00``), sorted by
 the index order inside each file.  Window queries then prune months and
 push the ``published`` bounds into the row-group statistics.
+
+Layout: ``data/ver=<n>/month=<m>/`` holds what version n wrote, and
+``manifest/<n>.json`` lists the folders that make up the index as of version n.
+A manifest appears by one rename after its data is complete, so a reader sees
+the old index or the new one, never a mixture, and a failed write leaves the old
+one in place.  A refresh writes only the months it touches and takes the other
+folders over from the manifest before.
 """
 
 from __future__ import annotations
 
+import json
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidepool.operators.query import NO_DATE_MONTH, index_order_keys
 from tidepool.session import cut_lineage
@@ -34,7 +45,8 @@ def index_entry(docs: DataFrame) -> DataFrame:
     """Project enriched documents to index entries with defaults.
 
     title → file stem when empty; source/url/published/summary → ''; missing
-    topic or tag lists → [].
+    topic or tag lists → [].  ``entities`` is an open map of category → names
+    (a struct of known categories becomes one; missing → empty).
     """
     empty = F.array().cast("array<string>")
     cols = set(docs.columns)
@@ -42,6 +54,16 @@ def index_entry(docs: DataFrame) -> DataFrame:
     def opt(name, default):
         return F.col(name) if name in cols else default
 
+    entities = F.create_map().cast("map<string,array<string>>")
+    if "entities" in cols:
+        kind = docs.schema["entities"].dataType
+        if kind.typeName() == "struct":
+            made = F.create_map(*[x for g in kind.fieldNames() for x in (F.lit(g), F.col("entities")[g])])
+            made = F.map_filter(made, lambda k, names: F.size(F.coalesce(names, empty)) > 0)
+        else:
+            made = F.col("entities")
+        entities = F.coalesce(made, entities)
+
     return filter_enriched(docs).select(
         F.col("path"),
         F.coalesce(F.nullif(opt("title", F.lit(None).cast("string")), F.lit("")), path_stem(F.col("path"))).alias("title"),
@@ -52,6 +74,7 @@ def index_entry(docs: DataFrame) -> DataFrame:
         F.coalesce(opt("primary_topics", empty), empty).alias("primary_topics"),
         F.coalesce(opt("secondary_topics", empty), empty).alias("secondary_topics"),
         F.coalesce(opt("summary", F.lit("")), F.lit("")).alias("summary"),
+        entities.alias("entities"),
         F.lit(True).alias("enriched"))
 
 
@@ -103,21 +126,82 @@ def sink_index(entries: DataFrame, path: str, generated: str | None = None) -> s
     """Write the index as parquet partitioned by month, sorted within files.
 
     ``generated`` (a run parameter, e.g. an ISO timestamp) is stored with
-    every entry.  The write goes through Spark's commit protocol: readers see
-    the old or the new version, never a partial one.
+    every entry.  Readers see the old or the new version, never a partial one:
+    the new version's manifest is renamed into place after its data is written.
     """
     if generated is not None:
         entries = entries.withColumn("generated", F.lit(generated))
+    write_version(entries, path, replaced=None)
+    return path
+
+
+def _fs(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    fs, folder, _ = _fs(spark, os.path.join(path, "manifest"))
+    if not fs.exists(folder):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(folder)]
+    return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json"))
+
+
+def _manifest(spark: SparkSession, path: str) -> dict | None:
+    """The current version's manifest: its columns and its month folders."""
+    versions = _versions(spark, path)
+    if not versions:
+        return None
+    text = spark.read.text(os.path.join(path, "manifest", f"{versions[-1]}.json"), wholetext=True).first()[0]
+    return json.loads(text)
+
+
+def index_months(spark: SparkSession, path: str) -> dict[str, str]:
+    """Month → folder of the current version ({} when there is no index)."""
+    return (_manifest(spark, path) or {"months": {}})["months"]
+
+
+def write_version(entries: DataFrame, path: str, replaced: list[str] | None) -> None:
+    """Write ``entries`` as a new version; ``replaced`` names the months they stand for
+    (None: all), the folders of other months are taken over."""
+    spark = entries.sparkSession
+    version = (_versions(spark, path) or [0])[-1] + 1
+    data = os.path.join(path, "data", f"ver={version}")
     (entries.withColumn("month", month_of(F.col("published")))
      .repartition("month", F.substring("path", 1, 64))
      .sortWithinPartitions(*index_order_keys())
-     .write.mode("overwrite").partitionBy("month").parquet(path))
-    return path
+     .write.mode("overwrite").partitionBy("month").parquet(data))
+    fs, folder, jvm = _fs(spark, data)
+    before = None if replaced is None else _manifest(spark, path)
+    fields = [f.jsonValue() for f in entries.schema.fields]
+    months: dict[str, str] = {}
+    if before is not None:
+        fields += [f for f in before["fields"] if f["name"] not in entries.columns]
+        months = {m: d for m, d in before["months"].items() if m not in set(replaced)}
+    names = [s.getPath().getName() for s in fs.listStatus(folder)]
+    months |= {n.removeprefix("month="): f"data/ver={version}/{n}" for n in names if n.startswith("month=")}
+    final = jvm.org.apache.hadoop.fs.Path(os.path.join(path, "manifest", f"{version}.json"))
+    pending = jvm.org.apache.hadoop.fs.Path(os.path.join(path, "manifest", f".{version}.pending"))
+    out = fs.create(pending, True)
+    out.write(bytearray(json.dumps({"fields": fields, "months": months}, indent=0).encode()))
+    out.close()
+    if not fs.rename(pending, final):
+        raise RuntimeError(f"version {version} of {path} was written by someone else")
 
 
 def scan_index(spark: SparkSession, path: str) -> DataFrame:
-    """Read an index written by :func:`sink_index` (partition column ``month``)."""
-    return spark.read.parquet(path)
+    """Read the current version of an index (partition column ``month``)."""
+    manifest = _manifest(spark, path)
+    if manifest is None:
+        raise FileNotFoundError(f"no index at {path}")
+    fields = [T.StructField.fromJson(f) for f in manifest["fields"]]
+    schema = T.StructType([*fields, T.StructField("month", T.StringType())])
+    folders = [os.path.join(path, d) for d in manifest["months"].values()]
+    if not folders:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", os.path.join(path, "data")).parquet(*folders)
 
 
 def export_index_json(index: DataFrame, path: str) -> str:
@@ -136,6 +220,8 @@ def documents_from_markdown(scanned: DataFrame) -> DataFrame:
     Strings are taken as text (other scalars stringified, e.g. YAML dates);
     list fields go through ``ensure_list``; ``topics``/``entities`` that are
     not mappings become empty; ``enriched`` is true only for the boolean true.
+    ``entity_groups`` holds every entity category as a map, ``frontmatter`` the
+    whole frontmatter as JSON, so keys this table does not know are kept.
     """
     from tidepool.sources.scans import ensure_list, meta_bool_true, meta_str
     from tidepool.operators.records import py_type
@@ -156,7 +242,18 @@ def documents_from_markdown(scanned: DataFrame) -> DataFrame:
         F.struct(sub("topics", "primary").alias("primary"), sub("topics", "secondary").alias("secondary")).alias("topics"),
         F.struct(sub("entities", "organizations").alias("organizations"),
                  sub("entities", "people").alias("people")).alias("entities"),
-        F.when(kt.isNotNull(), ensure_list(kt)).alias("key_takeaways"))
+        F.when(kt.isNotNull(), ensure_list(kt)).alias("key_takeaways"),
+        _entity_map().alias("entity_groups"), F.to_json(F.col("meta")).alias("frontmatter"))
+
+
+def _entity_map() -> Column:
+    """Every category of the frontmatter's ``entities`` mapping with its names."""
+    from tidepool.operators.records import py_type
+    from tidepool.sources.scans import ensure_list
+    ents = F.try_variant_get(F.col("meta"), "$.entities", "variant")
+    groups = F.try_variant_get(F.when(py_type(ents) == "dict", ents), "$", "map<string,variant>")
+    listed = F.transform_values(groups, lambda k, v: ensure_list(v))
+    return F.map_filter(listed, lambda k, names: F.size(names) > 0)
 
 
 def documents_from_ingest(new_docs: DataFrame) -> DataFrame:
@@ -175,5 +272,7 @@ def documents_from_ingest(new_docs: DataFrame) -> DataFrame:
 
 def index_from_documents(docs: DataFrame) -> DataFrame:
     """Typed documents → index entries (enriched only, defaults applied)."""
-    return index_entry(docs.withColumn("primary_topics", F.col("topics.primary"))
-                       .withColumn("secondary_topics", F.col("topics.secondary")))
+    flat = docs.withColumn("primary_topics", F.col("topics.primary")).withColumn("secondary_topics", F.col("topics.secondary"))
+    if "entity_groups" in docs.columns:
+        flat = flat.withColumn("entities", F.col("entity_groups"))
+    return index_entry(flat)

@@ -45,26 +45,42 @@ def union_adapters(*items: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), items)
 
 
+def first_across_adapters(*items: DataFrame) -> DataFrame:
+    """One document per (namespace, stem) whichever adapter found it: the first by
+    source order, then by the adapters' order here."""
+    tagged = [i.withColumn("_adapter", F.lit(k)) for k, i in enumerate(items)]
+    return first_wins_dedup(union_adapters(*tagged), order=("source_ord", "_adapter")).drop("_adapter")
+
+
 def registry_stats(registry: DataFrame) -> dict:
     """Enabled-source count, largest and summed per-source limit — one small
-    aggregation over the dimension, used for broadcast decisions and bounds."""
+    aggregation over the dimension, used for broadcast decisions and bounds.
+    A missing limit counts as the default."""
+    limit = F.coalesce(F.col("scrape_limit"), F.lit(C.DEFAULT_SCRAPE_LIMIT))
     r = registry.where(F.col("enabled")).agg(
-        F.count(F.lit(1)).alias("n"), F.max("scrape_limit").alias("max_limit"),
-        F.sum("scrape_limit").alias("sum_limit")).first()
+        F.count(F.lit(1)).alias("n"), F.max(limit).alias("max_limit"), F.sum(limit).alias("sum_limit")).first()
     return {"n": int(r["n"] or 0), "max_limit": int(r["max_limit"] or C.DEFAULT_SCRAPE_LIMIT),
             "sum_limit": int(r["sum_limit"] or 0)}
 
 
+def of_type(registry: DataFrame, *types: str) -> DataFrame:
+    """The sources an adapter serves (a registry without ``type`` is taken whole)."""
+    return registry.where(F.col("type").isin(*types)) if "type" in registry.columns else registry
+
+
 def join_registry(items: DataFrame, registry: DataFrame, source_col: str = "source",
                   n_sources: int | None = None) -> DataFrame:
     """Each item carries its (enabled) source's settings; items of disabled or
-    unknown sources drop out.  ``perspective`` defaults to ''.
+    unknown sources drop out.  ``perspective`` defaults to '', a missing
+    ``scrape_limit`` to the default limit.
 
     The registry is broadcast when its enabled row count (given, or counted
     here) is at most :data:`BROADCAST_MAX_ROWS`; otherwise a shuffle join.
     """
     reg = registry.where(F.col("enabled")).withColumnRenamed("name", source_col) \
         .withColumn("perspective", F.coalesce(F.col("perspective"), F.lit("")))
+    if "scrape_limit" in reg.columns:
+        reg = reg.withColumn("scrape_limit", F.coalesce(F.col("scrape_limit"), F.lit(C.DEFAULT_SCRAPE_LIMIT)))
     reg = reg.drop(*[c for c in reg.columns if c in items.columns and c != source_col])
     if n_sources is None:
         reg = checked_broadcast(reg)
@@ -88,22 +104,23 @@ def restrict_to(big: DataFrame, small_keys: DataFrame, keys: list[str], bound: i
 
 def limit_per_source(items: DataFrame, limit_col: str = "scrape_limit", part_col: str = "source",
                      order_col: str = "pos", max_limit: int | None = None) -> DataFrame:
-    """First ``limit`` items per source in feed order.
+    """First ``limit`` items per source in feed order; a null limit is the default one.
 
-    ``max_limit`` (a literal ≥ every per-source limit) enables the
-    WindowGroupLimit pre-filter; it is read from the registry when omitted.
+    ``max_limit`` (a literal ≥ every per-source limit, see
+    :func:`registry_stats`) enables the WindowGroupLimit pre-filter; when
+    omitted it is the largest limit among the items (one more pass over them).
     """
+    limit = F.coalesce(F.col(limit_col), F.lit(C.DEFAULT_SCRAPE_LIMIT))
     if max_limit is None:
-        max_limit = C.DEFAULT_SCRAPE_LIMIT
+        max_limit = items.agg(F.max(limit)).first()[0] or 0
     w = Window.partitionBy(part_col).orderBy(order_col)
-    rn = F.row_number().over(w)
-    pre = items.withColumn("_rn", rn).where(F.col("_rn") <= F.lit(int(max_limit)))
-    return pre.where(F.col("_rn") <= F.col(limit_col)).drop("_rn")
+    pre = items.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= F.lit(int(max_limit)))
+    return pre.where(F.col("_rn") <= limit).drop("_rn")
 
 
 def registry_max_limit(registry: DataFrame) -> int:
     """Largest per-source limit (one value aggregated from the small registry)."""
-    return int(registry.agg(F.max("scrape_limit")).first()[0] or C.DEFAULT_SCRAPE_LIMIT)
+    return int(registry.agg(F.max(F.coalesce(F.col("scrape_limit"), F.lit(C.DEFAULT_SCRAPE_LIMIT)))).first()[0] or C.DEFAULT_SCRAPE_LIMIT)
 
 
 def keyword_filter(items: DataFrame, text: Column, mode_col: str = "kf_mode", include_col: str = "kf_include") -> DataFrame:
@@ -196,6 +213,7 @@ def ingest_feed_items(entries_raw: DataFrame, registry: DataFrame, seen: DataFra
     so the scan below them runs once.
     """
     from tidepool.sources.scans import finish_entries
+    registry = of_type(registry, "rss")
     stats = registry_stats(registry)
     j = join_registry(entries_raw, registry, n_sources=stats["n"]).withColumn("namespace", F.col("output_dir"))
     # ≤ Σ(limits) rows from here on: freeze them once so the scan is not
@@ -216,34 +234,38 @@ def ingest_feed_items(entries_raw: DataFrame, registry: DataFrame, seen: DataFra
 def ingest_listing_items(pages: DataFrame, registry: DataFrame, seen: DataFrame, fetched: DataFrame,
                          run_date: str = C.RUN_DATE) -> DataFrame:
     """Listing adapter: distinct links (first occurrence order) → first N per
-    page → slug keyword filter → fetched article (≥ 100 words, else dropped) →
+    source → slug keyword filter → fetched article (≥ 100 words, else dropped) →
     title from the body's first heading / URL slug → date found in the text →
     keyword filter on title + first 1000 chars → stem (title + hash of the
     full URL) → first wins → anti-join seen.
 
-    The per-page limit is an array slice (no window); the body table is cut
-    to the kept links by a broadcast semi-join when Σ(limits × pages) is
-    within the broadcast bound, otherwise joined by a shuffle.
+    Each page is cut to N links in its row; a source's pages then share one
+    limit.  At most Σ(per-source limits) links remain: they are checkpointed,
+    and the body and seen tables are cut to them by broadcast semi-joins when
+    that bound is within the broadcast limit, else joined by a shuffle.
     """
     from tidepool.functions.text import date_in_text, slug_text, title_from_body
     from tidepool.functions.urls import resolve_link
+    registry = of_type(registry, "listing")
     stats = registry_stats(registry)
     j = join_registry(pages, registry, n_sources=stats["n"]).withColumn("namespace", F.col("output_dir"))
     pattern = F.coalesce(F.col("listing_link_pattern"), F.lit(C.DEFAULT_LISTING_LINK_PATTERN))
     links = F.slice(F.array_distinct(F.regexp_extract_all(F.col("html"), pattern, 1)), 1, F.col("scrape_limit"))
     ex = j.select("*", F.posexplode(links).alias("link_pos", "link")).drop("html")
+    ex = ex.withColumn("pos", F.struct("page_id", "link_pos"))
+    ex = cut_lineage(limit_per_source(first_wins_dedup(ex, keys=("source", "link"), order=("pos",)), max_limit=stats["max_limit"]))
     ex = ex.withColumn("url", resolve_link(F.col("feed_url"), F.col("link")))
     ex = ex.where(keyword_match(slug_text(F.col("link")), F.col("kf_mode"), F.col("kf_include")))
     f = fetched.where(F.col("url") != "").select("url", F.col("body").alias("content"))
+    f = restrict_to(f, ex, ["url"], stats["sum_limit"])
     body = ex.join(f, "url", "inner").where(has_min_words(F.col("content"), min_words_default()))
     body = body.withColumn("title", title_from_body(F.col("content"), F.col("url"))) \
         .withColumn("date", date_in_text(F.col("content"), run_date))
     text2 = F.concat_ws(" ", F.col("title"), F.substring(F.col("content"), 1, 1000))
     kept = body.where(keyword_match(text2, F.col("kf_mode"), F.col("kf_include")))
-    kept = kept.withColumn("stem", stem(F.col("title"), F.col("url"))) \
-        .withColumn("pos", F.col("page_id") * 1000 + F.col("link_pos"))
+    kept = kept.withColumn("stem", stem(F.col("title"), F.col("url")))
     firsts = first_wins_dedup(kept)
-    new = anti_join_seen(firsts, seen)
+    new = anti_join_seen(firsts, seen, bound=stats["sum_limit"])
     return new.withColumn("link", F.col("url")).transform(new_documents)
 
 
@@ -256,14 +278,20 @@ def ingest_video_items(lines: DataFrame, segments: DataFrame, registry: DataFram
     """Video adapter: listing lines → first N videos per source (listing order)
     → transcript of the preferred track (blank ones dropped) → keyword filter
     on title + transcript → stem (title + hash of the URL) → first wins →
-    anti-join seen.  The document date is the upload date."""
+    anti-join seen.  The document date is the upload date.
+
+    The limited videos (≤ Σ limits) are checkpointed, and only their segments
+    are grouped into transcripts."""
     from tidepool.operators.transcripts import video_transcripts
     from tidepool.sources.scans import scan_captions
+    registry = of_type(registry, "youtube")
     stats = registry_stats(registry)
     vids = scan_captions(lines, run_date=run_date)
     j = join_registry(vids, registry, n_sources=stats["n"]).withColumn("namespace", F.col("output_dir"))
-    limited = limit_per_source(j, order_col="line_no", max_limit=stats["max_limit"])
-    tr = video_transcripts(segments).select(F.concat(F.lit("v"), F.col("video").cast("string")).alias("id"),
+    limited = cut_lineage(limit_per_source(j, order_col="line_no", max_limit=stats["max_limit"]))
+    own = segments.withColumn("_id", F.concat(F.lit("v"), F.col("video").cast("string")))
+    own = restrict_to(own, limited.select(F.col("id").alias("_id")), ["_id"], stats["sum_limit"]).drop("_id")
+    tr = video_transcripts(own).select(F.concat(F.lit("v"), F.col("video").cast("string")).alias("id"),
                                             F.col("transcript").alias("content"))
     items = limited.join(tr, "id", "inner")
     items = items.where(keyword_match(F.concat_ws(" ", F.col("title"), F.col("content")),
@@ -272,4 +300,4 @@ def ingest_video_items(lines: DataFrame, segments: DataFrame, registry: DataFram
              .withColumn("pos", F.col("line_no")).withColumn("date", F.col("upload_date"))
              .withColumn("link", F.col("url")))
     firsts = first_wins_dedup(items)
-    return new_documents(anti_join_seen(firsts, seen))
+    return new_documents(anti_join_seen(firsts, seen, bound=stats["sum_limit"]))

@@ -32,11 +32,12 @@ def filter_date_range(df: DataFrame, since: str | None = None, until: str | None
     if since:
         df = df.where(p >= since)
         if has_month:
-            df = df.where(F.col("month") >= since[:7])
+            # dates that do not start with a year and month share one partition, which no bound prunes
+            df = df.where((F.col("month") >= since[:7]) | (F.col("month") == NO_DATE_MONTH))
     if until:
         df = df.where((p <= until) | p.isNull())
         if has_month:
-            df = df.where(F.col("month") <= until[:7])
+            df = df.where((F.col("month") <= until[:7]) | (F.col("month") == NO_DATE_MONTH))
     return df
 
 

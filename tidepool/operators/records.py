@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool import contracts as C
-from tidepool.functions.text import casefold
+from tidepool.functions.text import casefold, casefold_array, let
 from tidepool.sources.scans import yaml_to_json
 
 SPEC = C.ENRICHMENT_SCHEMA
@@ -243,19 +243,20 @@ def alias_map(aliases) -> Column:
 
 
 def _fold_py(s: str) -> str:
-    return s.lower().replace("ß", "ss")
+    return s.casefold()
 
 
 def normalize_list(arr: Column, amap: Column) -> Column:
-    """Strings only → alias → dedupe by folded canonical form (first casing wins) → sorted."""
+    """Strings only → alias → dedupe by folded canonical form (first casing wins) → sorted.
+
+    The distinct folds come from a hash set; each then takes the spelling at its
+    first place.
+    """
     strings = F.coalesce(arr, F.array().cast("array<string>"))
-    canon = F.transform(strings, lambda x: F.coalesce(F.try_element_at(amap, casefold(x)), x))
-    n = F.size(canon)
-    idx = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
-    kept = F.filter(idx, lambda i: (i <= n) & ~F.exists(
-        F.slice(canon, 1, i - 1), lambda p: casefold(p) == casefold(F.element_at(canon, i))))
-    return F.when(arr.isNull(), F.lit(None).cast("array<string>")).otherwise(
-        F.array_sort(F.transform(kept, lambda i: F.element_at(canon, i))))
+    canon = F.zip_with(strings, casefold_array(strings), lambda x, fold: F.coalesce(F.try_element_at(amap, fold), x))
+    pair = F.struct(canon.alias("canon"), casefold_array(canon).alias("folds"))
+    firsts = let(pair, lambda p: F.transform(F.array_distinct(p["folds"]), lambda f: F.element_at(p["canon"], F.array_position(p["folds"], f).cast("int"))))
+    return F.when(arr.isNull(), F.lit(None).cast("array<string>")).otherwise(F.array_sort(firsts))
 
 
 def variant_strings(x: Column) -> Column:
@@ -342,13 +343,15 @@ def sanitize_typed(rec: Column, amap: Column | None = None) -> Column:
         F.slice(rec["key_takeaways"], 1, specs["key_takeaways"]["max_items"]).alias("key_takeaways"))
 
 
-def first_valid_attempt(attempts: DataFrame, key: str = "path", n_col: str = "attempt") -> DataFrame:
+def first_valid_attempt(attempts: DataFrame, key: str = "path", n_col: str = "attempt", retries: int | None = None) -> DataFrame:
     """Per key: the first attempt that validated (its record, errors cleared), or
     — when none did — all attempts' errors in attempt order.
 
-    Attempts per key are bounded by 1 + retries, so gathering their error
-    lists per key is bounded too.
+    With ``retries`` only attempts 1 … 1 + retries count, so the error lists
+    gathered per key are bounded by it.
     """
+    if retries is not None:
+        attempts = attempts.where(F.col(n_col) <= 1 + retries)
     rec_cols = [c for c in attempts.columns if c not in (key, n_col, "ok", "errors")]
     g = attempts.groupBy(key).agg(
         F.min(F.when(F.col("ok"), F.col(n_col))).alias("_win"),
@@ -382,22 +385,29 @@ def upsert_metadata(docs: DataFrame, results: DataFrame, key: str = "path") -> D
 
 
 def writeback(raw: DataFrame, vocabulary, aliases, key: str = "path", n_col: str = "attempt",
-              raw_col: str = "raw") -> DataFrame:
+              raw_col: str = "raw", retries: int | None = None) -> DataFrame:
     """extract → check → (first valid attempt) → normalise → sanitise, per row isolated.
+    Attempts beyond 1 + ``retries`` are not read.
 
     Returns one row per key: ok, attempts, errors, clean (typed record or null).
     """
     amap = alias_map(aliases)
-    # The per-key aggregation below needs rows clustered by key anyway: doing
-    # that shuffle first spreads the Python YAML step over all tasks and
-    # leaves the aggregation shuffle-free (attempts per key are bounded).
-    parsed = raw.repartition(F.col(key)).withColumn("v", parse_record(F.col(raw_col)))
+    if retries is not None:
+        raw = raw.where(F.col(n_col) <= 1 + retries)
+    # Spread the Python YAML step over all tasks; the attempt is part of the key,
+    # so rows that share a path (or have none) do not land in one task.
+    parsed = raw.repartition(F.col(key), F.col(n_col), F.xxhash64(raw_col)).withColumn("v", parse_record(F.col(raw_col)))
     checked = validate(parsed, vocabulary)
     with_clean = checked.withColumn("clean", F.when(F.col("ok"), sanitize(F.col("v"), amap)))
     return first_valid_attempt(with_clean.select(key, n_col, "ok", "errors", "clean"), key, n_col)
 
 
+def batch_failures(results: DataFrame, key: str = "path") -> DataFrame:
+    """The failed paths of a batch, each with its own errors."""
+    return results.where(~F.col("ok")).select(key, "errors")
+
+
 def batch_report(results: DataFrame) -> DataFrame:
-    """Succeeded count and failed count of one batch (failures listed separately)."""
+    """Succeeded count and failed count of one batch; :func:`batch_failures` lists the failures."""
     return results.agg(F.count_if(F.col("ok")).cast("long").alias("succeeded"),
                        F.count_if(~F.col("ok")).cast("long").alias("failed"))

@@ -74,6 +74,10 @@ def check_tiers(checks: DataFrame, dns: DataFrame) -> DataFrame:
 def verification_join(entries: DataFrame, tiers: DataFrame, entries_bound: int | None = None) -> DataFrame:
     """Entry → tier by url; unknown url → 'stale'; empty url → no tier (null).
 
+    Of several checks of a url a guard failure always wins; else the latest
+    counts (column ``checked_at``, if there is one), and on equal times the
+    worse tier: the label fails closed.
+
     With ``entries_bound`` (a proven row bound, e.g. the window limit) the
     tiers table is first cut to the entries' urls by a broadcast semi-join,
     so the large side is scanned once and never shuffled; without one both
@@ -81,8 +85,10 @@ def verification_join(entries: DataFrame, tiers: DataFrame, entries_bound: int |
     """
     from tidepool.operators.ingest import restrict_to
     urls = entries.select(F.col("url")).where(F.col("url") != "")
-    needed = restrict_to(tiers.select("url", "tier"), urls, ["url"], entries_bound)
-    needed = needed.groupBy("url").agg(F.max("tier").alias("tier"))
+    at = F.col("checked_at") if "checked_at" in tiers.columns else F.lit(None).cast("timestamp")
+    severity = F.array_position(F.array(*[F.lit(t) for t in ("live", "stale", "dead", "blocked")]), F.col("tier"))
+    needed = restrict_to(tiers.select("url", "tier", at.alias("_at"), severity.alias("_severity")), urls, ["url"], entries_bound)
+    needed = needed.groupBy("url").agg(F.max_by("tier", F.struct(F.col("tier") == "blocked", "_at", "_severity")).alias("tier"))
     j = entries.join(needed, "url", "left")
     return j.withColumn("tier", F.when(F.coalesce(F.col("url"), F.lit("")) != "",
                                        F.coalesce(F.col("tier"), F.lit("stale"))))

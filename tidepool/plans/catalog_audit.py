@@ -13,7 +13,7 @@ from tidepool.plans.oracle_views import with_views
 
 
 @register("throttle_wait", with_views("""
-SELECT event_id, CAST(CASE WHEN prev_end IS NULL OR throttle_us <= 0 THEN 0
+SELECT event_id, CAST(CASE WHEN throttle_group IS NULL OR prev_end IS NULL OR throttle_us <= 0 THEN 0
                            ELSE greatest(0, throttle_us - (ts_us - prev_end)) END AS BIGINT) AS wait_us
 FROM (SELECT *, lag(end_us) OVER (PARTITION BY throttle_group ORDER BY ts_us, event_id) AS prev_end FROM v_events)""",
     "v_events"))

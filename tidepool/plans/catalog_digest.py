@@ -113,13 +113,19 @@ def _index_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT path, coalesce(nullif(title, ''), regexp_replace(string_split(path, '/')[-1], '\\.[^.]*$', '')) AS title,
        coalesce(source, '') AS source, coalesce(url, '') AS url, coalesce(published, '') AS published,
        array_to_string(tags, '|') AS tags, array_to_string(primary_topics, '|') AS primary_topics,
-       array_to_string(secondary_topics, '|') AS secondary_topics, coalesce(summary, '') AS summary, true AS enriched
+       array_to_string(secondary_topics, '|') AS secondary_topics, coalesce(summary, '') AS summary, entities, true AS enriched
 FROM v_index""", "v_index"))
 def q_index_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = I.index_entry(_index_docs(spark, sf_dir))
     return e.select("path", "title", "source", "url", "published", F.array_join("tags", "|").alias("tags"),
                     F.array_join("primary_topics", "|").alias("primary_topics"),
-                    F.array_join("secondary_topics", "|").alias("secondary_topics"), "summary", "enriched")
+                    F.array_join("secondary_topics", "|").alias("secondary_topics"), "summary", _entities_text(), "enriched")
+
+
+def _entities_text():
+    """The open entity map as one string, categories in order."""
+    entries = F.array_sort(F.map_entries("entities"))
+    return F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], ","))), ";").alias("entities")
 
 
 @register("index_order", with_views(f"""
@@ -359,7 +365,7 @@ def q_sink_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("index_from_markdown", with_views("""
 SELECT path, title, source, coalesce(url, '') AS url, coalesce(published, '') AS published,
        array_to_string(tags, '|') AS tags, array_to_string(primary_topics, '|') AS primary_topics,
-       array_to_string(secondary_topics, '|') AS secondary_topics, coalesce(summary, '') AS summary, true AS enriched
+       array_to_string(secondary_topics, '|') AS secondary_topics, coalesce(summary, '') AS summary, entities, true AS enriched
 FROM v_index""", "v_index"))
 def q_index_from_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Enriched documents written as Markdown (frontmatter with the record), scanned
@@ -370,8 +376,9 @@ def q_index_from_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     idx = fx.v_index(spark, sf_dir)
     record = {"enriched": F.col("enriched"), "summary": F.col("summary"),
               "topics": F.struct(F.col("primary_topics").alias("primary"), F.col("secondary_topics").alias("secondary")),
-              "entities": F.struct(F.array().cast("array<string>").alias("organizations"),
-                                   F.array().cast("array<string>").alias("people"))}
+              "entities": F.struct(F.col("entities")["organizations"].alias("organizations"), F.array().cast("array<string>").alias("people"),
+                                   F.col("entities")["venues"].alias("venues")),
+              "reviewed_by": F.lit("nobody")}
     files = idx.select(F.col("source").alias("namespace"),
                        F.element_at(F.split("path", "/"), -1).alias("file_name"),
                        render_document(F.col("title"), F.col("source"), F.col("url"), F.col("published"),
@@ -382,4 +389,4 @@ def q_index_from_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = I.index_from_documents(I.documents_from_markdown(docs))
     return e.select("path", "title", "source", "url", "published", F.array_join("tags", "|").alias("tags"),
                     F.array_join("primary_topics", "|").alias("primary_topics"),
-                    F.array_join("secondary_topics", "|").alias("secondary_topics"), "summary", "enriched")
+                    F.array_join("secondary_topics", "|").alias("secondary_topics"), "summary", _entities_text(), "enriched")

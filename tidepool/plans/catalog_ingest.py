@@ -29,11 +29,17 @@ def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 _UTC_DATE_SQL = ("strftime(CAST(published || ' ' || lpad(CAST(doc_id % 24 AS VARCHAR), 2, '0') || ':30:00' AS TIMESTAMP)"
                  " + to_hours(CASE doc_id % 4 WHEN 1 THEN 5 WHEN 2 THEN -9 ELSE 0 END), '%Y-%m-%d')")
 
+_READABLE = "doc_id % 50 NOT IN (7, 8)"
+
 _ENTRIES_SQL = f"""
 SELECT doc_id, source, doc_id * 1000 AS pos, {S.strip_html('title')} AS title, link,
        {S.strip_html('description')} AS description, {S.strip_html('description')} AS content,
        guid AS entry_id, {_UTC_DATE_SQL} AS date
-FROM v_items"""
+FROM v_items WHERE {_READABLE}
+UNION ALL
+SELECT doc_id, source, doc_id * 1000 + 1, {S.strip_html("'Second ' || title")}, CASE WHEN link = '' THEN '' ELSE link || '/2' END,
+       {S.strip_html('title')}, {S.strip_html('title')}, CASE WHEN guid = '' THEN '' ELSE guid || '/2' END, {_UTC_DATE_SQL}
+FROM v_items WHERE {_READABLE} AND doc_id % 3 = 0"""
 
 
 @register("scan_feed", with_views("""
@@ -45,8 +51,16 @@ def q_scan_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
                                           "entry_id", "date")
 
 
-@register("parse_pub_date", with_views(f"""
-SELECT doc_id, {_UTC_DATE_SQL} AS date FROM v_items""", "v_items"))
+@register("feed_quarantine", with_views("""
+SELECT doc_id, source, CASE WHEN doc_id % 50 = 7 THEN 'not_a_feed' ELSE 'unreadable' END AS reason
+FROM v_items WHERE doc_id % 50 IN (7, 8)""", "v_items"))
+def q_feed_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feeds that cannot be read, with the reason; the others are in scan_feed."""
+    return SC.feed_quarantine(fx.v_feed(spark, sf_dir)).select("doc_id", "source", "reason")
+
+
+@register("parse_pub_date", with_views("""
+SELECT doc_id, date FROM entries""", "v_items", extra={"entries": _ENTRIES_SQL}))
 def q_parse_pub_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RFC 2822 (with offsets and GMT) and ISO 8601 feed dates → UTC day."""
     raw = SC.scan_feed(fx.v_feed(spark, sf_dir))
@@ -205,7 +219,7 @@ FROM bodies"""
 
 def _ingest_sql() -> str:
     head = with_views("SELECT 1", "v_items", "v_registry", "v_article", "v_seen", "v_dedup",
-                      extra={"entries": _ENTRIES_SQL, "j": _JOIN_SQL, "fetched": _FETCHED_SQL})
+                      extra={"entries": _ENTRIES_SQL, "j": _JOIN_SQL + " AND r.type = 'rss'", "fetched": _FETCHED_SQL})
     return head[: head.rindex("\nSELECT 1")] + _INGEST_SQL
 
 
@@ -285,7 +299,7 @@ def _video_caps_sql() -> str:
 _VIDEO_SQL = f"""
 , vj AS (SELECT c.*, r.source_ord, r.tags, coalesce(r.perspective, '') AS perspective, r.scrape_limit,
                 r.kf_mode, r.kf_include, r.output_dir AS namespace
-         FROM caps c JOIN v_registry r ON r.name = c.source WHERE r.enabled),
+         FROM caps c JOIN v_registry r ON r.name = c.source WHERE r.enabled AND r.type = 'youtube'),
 vl AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY line_no) AS rn FROM vj)
        WHERE rn <= scrape_limit),
 vt AS (SELECT vl.*, t.transcript AS content FROM vl JOIN tr t ON 'v' || CAST(t.video AS VARCHAR) = vl.id
@@ -337,16 +351,18 @@ def _listing_sql_parts():
     return f"""
 , pj AS (SELECT p.page_id, p.source, p.feed_url, p.html, r.source_ord, r.tags, coalesce(r.perspective, '') AS perspective,
                 r.scrape_limit, r.kf_mode, r.kf_include, r.output_dir AS namespace
-         FROM v_listing p JOIN v_registry r ON r.name = p.source WHERE r.enabled),
-pl AS (SELECT * EXCLUDE (ls), generate_subscripts(ls, 1) - 1 AS link_pos, unnest(ls) AS link
-       FROM (SELECT * EXCLUDE (html), ({links})[1:scrape_limit] AS ls FROM pj)),
+         FROM v_listing p JOIN v_registry r ON r.name = p.source WHERE r.enabled AND r.type = 'listing'),
+pa AS (SELECT * EXCLUDE (ls), generate_subscripts(ls, 1) - 1 AS link_pos, unnest(ls) AS link
+       FROM (SELECT * EXCLUDE (html), {links} AS ls FROM pj)),
+pd AS (SELECT * FROM pa QUALIFY row_number() OVER (PARTITION BY source, link ORDER BY page_id, link_pos) = 1),
+pl AS (SELECT * FROM pd QUALIFY row_number() OVER (PARTITION BY source ORDER BY page_id, link_pos) <= scrape_limit),
 pu AS (SELECT *, regexp_extract(feed_url, '^([A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*)', 1) || link AS url FROM pl),
 p1 AS (SELECT * FROM pu WHERE {kw1}),
 pb AS (SELECT p1.*, a.body AS content FROM p1 JOIN v_article a ON a.url = p1.url WHERE {S.words('a.body')} >= 100),
 pt AS (SELECT *, {_title_from_body_sql('content', 'url')} AS title, {date} AS date FROM pb),
 p2 AS (SELECT * FROM pt WHERE {kw2}),
 keyed AS (SELECT *, {S.sanitize_title('title')} || '-' || {S.url_hash('url')} AS stem,
-                 page_id * 1000 + link_pos AS pos FROM p2),
+                 (page_id, link_pos) AS pos FROM p2),
 firsts AS ({_FIRSTS_SQL}),
 new AS (SELECT * FROM firsts f WHERE NOT EXISTS (
    SELECT 1 FROM v_seen s WHERE s.namespace = f.namespace AND {_SEEN_STEM_SQL} = f.stem))
@@ -373,32 +389,35 @@ def q_ingest_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("namespace", "file_name", "source", "url", "date", "doc_text")
 
 
-@register("keyword_filter_targets", "SELECT dialect, CAST(count(*) AS BIGINT) AS new_documents FROM ("
-          "SELECT 'feed' AS dialect FROM (" + _ingest_sql() + ") UNION ALL SELECT 'video' FROM (" +
-          _video_ingest_sql() + ") UNION ALL SELECT 'listing' FROM (" + _listing_ingest_sql() + ")) GROUP BY dialect")
+@register("keyword_filter_targets", "SELECT 'feed' AS dialect, namespace, file_name, doc_text FROM (" + _ingest_sql() +
+          ") UNION ALL SELECT 'video', namespace, file_name, doc_text FROM (" + _video_ingest_sql() +
+          ") UNION ALL SELECT 'listing', namespace, file_name, doc_text FROM (" + _listing_ingest_sql() + ")")
 def q_keyword_filter_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which text each dialect filters on: feed title+description, video title+transcript,
-    listing slug then title + first 1000 chars (new documents per dialect)."""
-    f = ingest_feed_docs(spark, sf_dir).select(F.lit("feed").alias("dialect"), "namespace", "file_name")
-    v = ingest_video_docs(spark, sf_dir).select(F.lit("video").alias("dialect"), "namespace", "file_name")
-    li = ingest_listing_docs(spark, sf_dir).select(F.lit("listing").alias("dialect"), "namespace", "file_name")
-    return G.union_adapters(f, v, li).groupBy("dialect").agg(F.count(F.lit(1)).cast("long").alias("new_documents"))
+    listing slug then title + first 1000 chars; the new documents that pass, whole."""
+    cols = ("namespace", "file_name", "doc_text")
+    f = ingest_feed_docs(spark, sf_dir).select(F.lit("feed").alias("dialect"), *cols)
+    v = ingest_video_docs(spark, sf_dir).select(F.lit("video").alias("dialect"), *cols)
+    li = ingest_listing_docs(spark, sf_dir).select(F.lit("listing").alias("dialect"), *cols)
+    return G.union_adapters(f, v, li)
 
 
 def _union_sql() -> str:
-    return (f"SELECT 'feed' AS dialect, namespace, file_name, url FROM ({_ingest_sql()}) "
-            f"UNION ALL SELECT 'video', namespace, file_name, url FROM ({_video_ingest_sql()}) "
-            f"UNION ALL SELECT 'listing', namespace, file_name, url FROM ({_listing_ingest_sql()})")
+    each = (f"SELECT 'feed' AS dialect, 0 AS k, namespace, file_name, url, source FROM ({_ingest_sql()}) "
+            f"UNION ALL SELECT 'video', 1, namespace, file_name, url, source FROM ({_video_ingest_sql()}) "
+            f"UNION ALL SELECT 'listing', 2, namespace, file_name, url, source FROM ({_listing_ingest_sql()})")
+    return (f"SELECT dialect, namespace, file_name, url FROM ({each}) QUALIFY row_number() OVER (PARTITION BY namespace, {_SEEN_STEM_SQL} "
+            "ORDER BY CAST(regexp_extract(source, '(\\d+)$', 1) AS INTEGER), k) = 1")
 
 
 @register("union_adapters", _union_sql())
 def q_union_adapters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """New documents of all three dialects in one item shape."""
-    f = ingest_feed_docs(spark, sf_dir).select(F.lit("feed").alias("dialect"), "namespace", "file_name",
-                                               F.col("link").alias("url"))
-    v = ingest_video_docs(spark, sf_dir).select(F.lit("video").alias("dialect"), "namespace", "file_name", "url")
-    li = ingest_listing_docs(spark, sf_dir).select(F.lit("listing").alias("dialect"), "namespace", "file_name", "url")
-    return G.union_adapters(f, v, li)
+    """New documents of all three dialects in one item shape, one per (namespace, stem)."""
+    keys = ("namespace", "file_name", "stem", "source_ord")
+    f = ingest_feed_docs(spark, sf_dir).select(F.lit("feed").alias("dialect"), *keys, F.col("link").alias("url"))
+    v = ingest_video_docs(spark, sf_dir).select(F.lit("video").alias("dialect"), *keys, "url")
+    li = ingest_listing_docs(spark, sf_dir).select(F.lit("listing").alias("dialect"), *keys, "url")
+    return G.first_across_adapters(f, v, li).select("dialect", "namespace", "file_name", "url")
 
 
 # ---------------------------------------------------------------------------

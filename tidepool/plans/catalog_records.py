@@ -101,7 +101,7 @@ def q_first_valid_attempt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("sanitize_record", with_views("""
-SELECT path, CAST(attempt AS BIGINT) AS attempt, enriched, summary,
+SELECT path, CAST(attempt AS BIGINT) AS attempt, enriched, CASE WHEN length(summary) <= 20000 THEN summary END AS summary,
        array_to_string(primary_topics, '|') AS primary_topics,
        CAST(CASE WHEN entities_missing THEN NULL ELSE len(organizations) END AS BIGINT) AS n_organizations,
        CAST(least(len(key_takeaways), 7) AS BIGINT) AS n_takeaways
@@ -203,13 +203,21 @@ def q_upsert_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("batch_report", with_views("""
-SELECT CAST(count(*) FILTER (WHERE len(errors) = 0) AS BIGINT) AS succeeded,
-       CAST(count(*) FILTER (WHERE len(errors) > 0) AS BIGINT) AS failed
-FROM checked WHERE attempt = 1""", "v_rec", extra={"checked": _CHECKED_SQL}))
+SELECT CAST(count(*) FILTER (WHERE ok) AS BIGINT) AS succeeded, CAST(count(*) FILTER (WHERE NOT ok) AS BIGINT) AS failed
+FROM firsts""", "v_rec", extra={"checked": _CHECKED_SQL, "firsts": _FIRST_SQL}))
 def q_batch_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One response per document, no retries: succeeded / failed counts."""
-    v = R.validate_typed(_records(spark, sf_dir).where(F.col("attempt") == 1), VOCAB)
-    return R.batch_report(v)
+    """Succeeded / failed documents after all attempts."""
+    v = R.validate_typed(_records(spark, sf_dir), VOCAB)
+    return R.batch_report(R.first_valid_attempt(v.select("path", "attempt", "ok", "errors")))
+
+
+@register("batch_failures", with_views("""
+SELECT path, array_to_string(flatten(list(errors ORDER BY attempt)), '|') AS errors
+FROM (SELECT * FROM checked WHERE attempt <= 2) GROUP BY path HAVING bool_and(len(errors) > 0)""", "v_rec", extra={"checked": _CHECKED_SQL}))
+def q_batch_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that failed with one retry, each with its own errors."""
+    v = R.validate_typed(_records(spark, sf_dir), VOCAB).select("path", "attempt", "ok", "errors")
+    return R.batch_failures(R.first_valid_attempt(v, retries=1)).select("path", F.array_join("errors", "|").alias("errors"))
 
 
 # --------------------------------------------------------------------------- raw responses (rows-only)
@@ -288,12 +296,12 @@ def q_ensure_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("sink_failed_queue", with_views("""
-SELECT path, array_to_string(raw_errors, '|') AS errors FROM raw_checked WHERE attempt = 1 AND len(raw_errors) > 0""",
-    "v_rec", extra={"checked": _CHECKED_SQL, "raw_checked": _RAW_CHECKED_SQL}))
+SELECT path, errors FROM raw_first WHERE NOT ok""",
+    "v_rec", extra={"checked": _CHECKED_SQL, "raw_checked": _RAW_CHECKED_SQL, "raw_first": _RAW_FIRST_SQL}))
 def q_sink_failed_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Failed writebacks appended to the re-run queue (JSON lines) and read back."""
     from tidepool.sources.sinks import sink_failed_queue
-    w = R.writeback(fx.v_raw(spark, sf_dir).where(F.col("attempt") == 1), VOCAB, fx.ALIASES)
+    w = R.writeback(fx.v_raw(spark, sf_dir), VOCAB, fx.ALIASES)
     path = sink_failed_queue(w.where(~F.col("ok")), scratch_path(spark, "failed-queue"))
     back = spark.read.schema("path string, errors array<string>").json(path)
     return back.select("path", F.array_join("errors", "|").alias("errors"))
@@ -348,7 +356,8 @@ def q_sink_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("udf_enricher", with_views(f"""
-SELECT path, substr(trim(regexp_replace(coalesce(content, ''), '\\s+', ' ', 'g')), 1, 400) AS summary,
+SELECT path, substr(trim(regexp_replace(coalesce(content, ''), '\\s+', ' ', 'g')), 1, 20000) AS summary,
+       array_to_string(list_sort(list_distinct(regexp_extract_all(coalesce(content, ''), '\\p{{Lu}}\\p{{Ll}}+'))), '|') AS organizations,
        array_to_string(list_filter({_VOCAB_SQL}, lambda t: contains(lower(coalesce(content, '')), t)), '|')
          AS primary_topics
 FROM v_docs WHERE NOT coalesce(enriched, false)""", "v_docs"))
@@ -356,24 +365,29 @@ def q_udf_enricher(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Default (native) enricher over the backlog."""
     e = EN.native_enrich(_backlog(spark, sf_dir), VOCAB)
     return e.select("path", F.col("record.summary").alias("summary"),
+                    F.array_join(F.array_sort("record.entities.organizations"), "|").alias("organizations"),
                     F.array_join("record.topics.primary", "|").alias("primary_topics"))
 
 
 @register("enrich_batch", with_views("""
-SELECT path, true AS ok, '' AS errors FROM backlog""", "v_docs", extra={"backlog": _BACKLOG_SQL}))
+SELECT path, true AS ok, '' AS errors, 'de' AS primary_topics,
+       rpad(s, CAST(greatest(length(s), 200) AS INTEGER), '.') AS summary
+FROM (SELECT path, substr(trim(regexp_replace(coalesce(content, ''), '\\s+', ' ', 'g')), 1, 20000) AS s FROM backlog)""", "v_docs", extra={"backlog": _BACKLOG_SQL}))
 def q_enrich_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A pluggable enricher run with mapInPandas over the whole backlog, then written back."""
     resp = EN.enrich_with(_backlog(spark, sf_dir), EN.lead_text_enricher(VOCAB), "stand-in")
     w = R.writeback(resp.withColumn("attempt", F.lit(1)), VOCAB, fx.ALIASES)
-    return w.select("path", "ok", F.array_join("errors", "|").alias("errors"))
+    return w.select("path", "ok", F.array_join("errors", "|").alias("errors"), F.array_join("clean.topics.primary", "|").alias("primary_topics"),
+                    F.col("clean.summary").alias("summary"))
 
 
 @register("packet_response_join", with_views(f"""
-SELECT path, CAST(length(p) AS BIGINT) AS prompt_chars FROM (SELECT path, {_prompt_sql('content')} AS p FROM backlog)""",
-    "v_docs", extra={"backlog": _BACKLOG_SQL}))
+SELECT b.path, CAST(r.attempt AS BIGINT) AS attempt, CAST(length(p) AS BIGINT) AS prompt_chars, NOT r.nomap AS has_mapping
+FROM (SELECT path, {_prompt_sql('content')} AS p FROM backlog) b JOIN raw_checked r ON r.path = b.path""",
+    "v_rec", extra={"backlog": _BACKLOG_SQL, "checked": _CHECKED_SQL, "raw_checked": _RAW_CHECKED_SQL}))
 def q_packet_response_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model answers paired with their packet by path (inner equi-join)."""
-    pk = EN.build_packets(_backlog(spark, sf_dir), VOCAB).select("path", "prompt_sha256")
     pk = EN.build_packets(_backlog(spark, sf_dir), VOCAB).select("path", "prompt_chars")
-    raw = fx.v_raw(spark, sf_dir).where(F.col("attempt") == 1).select("path", "raw")
-    return pk.join(raw, "path").select("path", "prompt_chars")
+    raw = fx.v_raw(spark, sf_dir).select("path", "attempt", "raw")
+    return pk.join(raw, "path").select("path", F.col("attempt").cast("long").alias("attempt"), "prompt_chars",
+                                       R.parse_record(F.col("raw")).isNotNull().alias("has_mapping"))

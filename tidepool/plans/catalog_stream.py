@@ -13,6 +13,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidepool.operators import index as I
 from tidepool.plans import fixtures as fx
 from tidepool.plans.catalog import register
 from tidepool.plans.oracle_views import with_views
@@ -85,4 +86,4 @@ def q_stream_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     src = _stage(idx, "index-src", spark, 4, F.col("doc_id") % 4)
     out, ckpt = scratch_path(spark, "index-stream"), scratch_path(spark, "index-ckpt")
     J.stream_index(spark, src, INDEX_SRC_SCHEMA, out, ckpt, max_files_per_trigger=1)
-    return spark.read.parquet(out).select("path", "published", F.col("month").cast("string").alias("month"))
+    return I.scan_index(spark, out).select("path", "published", "month")

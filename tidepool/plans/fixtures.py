@@ -46,8 +46,9 @@ def v_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     published = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (did % 30).cast("int")), "yyyy-MM-dd")
     return d.select(
         did.alias("doc_id"), did.alias("pos"), "source", "lang",
-        F.substring("text", 1, 60).alias("title"),
-        F.substring("text", 1, 200).alias("description"),
+        # longer than a title may be, so that the cut is exercised; some with entities
+        F.concat(F.when(did % 9 == 0, F.lit("Caf&eacute; &#8217;24 &amp;lt; ")).otherwise(F.lit("")), F.substring("text", 1, 150)).alias("title"),
+        F.col("text").alias("description"),
         F.col("text").alias("content"), link.alias("link"), guid.alias("guid"),
         published.alias("published"), F.col("source").alias("namespace"), "n_chars")
 
@@ -77,7 +78,8 @@ def v_index(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.when(did % 13 == 0, F.lit("")).otherwise(F.col("published")).alias("published"),
                     F.array(F.lit("feed"), F.col("lang")).alias("tags"),
                     primary.alias("primary_topics"), secondary.alias("secondary_topics"),
-                    F.substring("content", 1, 300).alias("summary"),
+                    F.col("content").alias("summary"),
+                    F.create_map(F.lit("organizations"), F.array("lang", "source"), F.lit("venues"), F.array("source")).alias("entities"),
                     F.col("enriched")))
 
 
@@ -109,7 +111,7 @@ def registry_from_sources(sources: DataFrame) -> DataFrame:
         n.alias("source_ord"),
         F.when(n % 5 == 3, "youtube").when(n % 5 == 4, "listing").otherwise("rss").alias("type"),
         F.concat(F.lit("https://"), F.col("source"), F.lit(".example.com/feed")).alias("feed_url"),
-        F.col("source").alias("output_dir"),
+        F.concat(F.lit("ns"), _s(n % 4)).alias("output_dir"),  # sources of different types share a folder
         F.array(F.lit("feed"), F.concat(F.lit("t"), _s(n % 3))).alias("tags"),
         F.when(n % 4 == 0, F.lit(None).cast("string")).otherwise(F.concat(F.lit("p"), _s(n))).alias("perspective"),
         (F.lit(10) + (n % 7) * 3).alias("scrape_limit"),
@@ -134,7 +136,7 @@ def v_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _tbl(spark, sf_dir, "documents")
     did = F.col("doc_id")
     key = F.when(did % 10 < 2, did - did % 2).otherwise(did)
-    return (d.select(did.alias("pos"), "source", key.alias("key_id"), F.substring("text", 1, 50).alias("description"))
+    return (d.select(did.alias("pos"), "source", key.alias("key_id"), F.col("text").alias("description"))
             .select("pos", "source", "key_id", "description",
                     F.concat(F.lit("Report "), _s("key_id")).alias("title"),
                     F.when(F.col("key_id") % 11 == 0, F.lit(""))
@@ -176,20 +178,38 @@ def v_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     off_idx = (did % 4).cast("int")
     rfc_off = F.element_at(F.array(*[F.lit(o) for o in _OFFSETS]), off_idx + 1)
     iso_off = F.element_at(F.array(*[F.lit(o) for o in _ISO_OFFSETS]), off_idx + 1)
-    pub_rfc = F.concat(F.date_format(local_ts, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" "), rfc_off)
-    pub_iso = F.concat(F.date_format(local_ts, "yyyy-MM-dd'T'HH:mm:ss"), iso_off)
-    t, d, l, g = (_xml_escape(F.col(c)) for c in ("title", "description", "link", "guid"))
-    rss = F.concat(
-        F.lit('<rss version="2.0"><channel><title>'), F.col("source"), F.lit("</title><item><title>"), t,
-        F.lit("</title><link>"), l, F.lit("</link><pubDate>"), pub_rfc, F.lit("</pubDate><description>"), d,
-        F.lit('</description><guid isPermaLink="false">'), g, F.lit("</guid></item></channel></rss>"))
-    atom = F.concat(
-        F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><title>'), F.col("source"), F.lit("</title><entry><title>"), t,
-        F.lit('</title><link href="'), F.replace(l, F.lit('"'), F.lit("&quot;")), F.lit('"/><id>'), g,
-        F.lit("</id><published>"), pub_iso, F.lit("</published><summary>"), d,
-        F.lit("</summary></entry></feed>"))
-    return i.select("doc_id", "source", F.when(did % 2 == 0, F.lit("rss")).otherwise(F.lit("atom")).alias("dialect"),
-                    F.when(did % 2 == 0, rss).otherwise(atom).alias("xml"))
+    # named columns, so that the long texts are built once and not copied into every use
+    i = i.select("doc_id", "source", *[_xml_escape(F.col(c)).alias(c) for c in ("title", "description", "link", "guid")],
+                 F.concat(F.date_format(local_ts, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" "), rfc_off).alias("pub_rfc"),
+                 F.concat(F.date_format(local_ts, "yyyy-MM-dd'T'HH:mm:ss"), iso_off).alias("pub_iso"))
+    t, d, l, g, pub_rfc, pub_iso = (F.col(c) for c in ("title", "description", "link", "guid", "pub_rfc", "pub_iso"))
+    def rss_item(title, desc, more):
+        return F.concat(F.lit("<item><title>"), title, F.lit("</title><link>"), _suffixed(l, more), F.lit("</link><pubDate>"), pub_rfc,
+                        F.lit("</pubDate><description>"), desc, F.lit('</description><guid isPermaLink="false">'), _suffixed(g, more), F.lit("</guid></item>"))
+
+    def atom_entry(title, desc, more):
+        return F.concat(F.lit("<entry><title>"), title, F.lit('</title><link href="'), F.replace(_suffixed(l, more), F.lit('"'), F.lit("&quot;")), F.lit('"/><id>'),
+                        _suffixed(g, more), F.lit("</id><published>"), pub_iso, F.lit("</published><summary>"), desc, F.lit("</summary></entry>"))
+
+    def entries(make):  # every third feed has a second entry
+        return F.concat(make(t, d, ""), F.when(did % 3 == 0, make(F.concat(F.lit("Second "), t), t, "/2")).otherwise(F.lit("")))
+
+    # what feeds in the wild have before the root element, and an HTML entity
+    prolog = (F.when(did % 5 == 1, F.lit('<?xml version="1.0"?>\n<?xml-stylesheet type="text/xsl" href="feed.xsl"?>\n'))
+               .when(did % 5 == 2, F.lit("\ufeff<!-- " + "c" * 2100 + " -->\n"))
+               .when(did % 5 == 3, F.lit('<!DOCTYPE feed [ <!ENTITY x "y"> ]>\n')).otherwise(F.lit("")))
+    head = F.concat(F.col("source"), F.when(did % 5 == 4, F.lit("&nbsp;&eacute;")).otherwise(F.lit("")))
+    rss = F.concat(F.lit('<rss version="2.0"><channel><title>'), head, F.lit("</title>"), entries(rss_item), F.lit("</channel></rss>"))
+    atom = F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><title>'), head, F.lit("</title>"), entries(atom_entry), F.lit("</feed>"))
+    xml = F.concat(prolog, F.when(did % 2 == 0, rss).otherwise(atom))
+    broken = (F.when(did % 50 == 7, F.lit("<html><body>Not found</body></html>"))
+               .when(did % 50 == 8, F.lit("<rss version='2.0'><channel><item><title>cut of")).otherwise(xml))
+    return i.select("doc_id", "source", F.when(did % 2 == 0, F.lit("rss")).otherwise(F.lit("atom")).alias("dialect"), broken.alias("xml"))
+
+
+def _suffixed(c, more: str):
+    """A link or id of a later entry: empty stays empty."""
+    return F.when(c == "", c).otherwise(F.concat(c, F.lit(more)))
 
 
 # ---------------------------------------------------------------------------
@@ -249,7 +269,8 @@ def v_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _tbl(spark, sf_dir, "events")
     ts_us = F.unix_micros(F.col("ts").cast("timestamp"))
     dur_us = F.floor(F.col("value") * 1000000 + 0.5)
-    return e.select("event_id", F.col("user_id").alias("throttle_group"), ts_us.alias("ts_us"),
+    group = F.when(F.col("event_id") % 8 != 5, F.col("user_id"))  # some fetches have no group
+    return e.select("event_id", group.alias("throttle_group"), ts_us.alias("ts_us"),
                     (ts_us + dur_us).alias("end_us"), F.lit(3600 * 1000000).cast("bigint").alias("throttle_us"),
                     "user_id", "event_type")
 
@@ -290,7 +311,7 @@ def v_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def v_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _tbl(spark, sf_dir, "documents")
-    toks = F.slice(F.split(F.col("text"), r"\s+", 13), 1, 12)  # limit: only the first tokens are split off
+    toks = F.split(F.col("text"), r"\s+")
     return (d.select("doc_id", F.posexplode(toks).alias("pos", "tok"))
             .select("doc_id", "pos",
                     F.when(F.col("pos") % 2 == 1, F.upper("tok")).otherwise(F.col("tok")).alias("token")))
@@ -309,13 +330,13 @@ def v_rec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = v_docs(spark, sf_dir).select("doc_id", "path", "lang", "content", "n_chars")
     rows = docs.select("*", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("attempt"))
     k = F.col("doc_id") + F.col("attempt")
-    words = F.split(F.col("content"), " ", 6)  # limit: the first five words (and the rest in one piece)
+    words = F.split(F.col("content"), " ")
     empty = F.array().cast("array<string>")
-    summary = F.when(k % 5 == 0, F.substring("content", 1, 50)).otherwise(F.substring("content", 1, 250))
+    summary = F.when(k % 5 == 0, F.substring("content", 1, 50)).otherwise(F.col("content"))
     primary = F.when(k % 7 == 0, F.array(F.col("lang"), F.lit("offtopic"))).otherwise(F.array(F.col("lang")))
     secondary = F.when(F.col("n_chars") > 2000, F.array(F.lit("long"))).otherwise(empty)
     entities = F.when(k % 11 == 0, F.lit(None)).otherwise(
-        F.struct(F.slice(words, 1, 3).alias("organizations"), F.slice(words, 4, 2).alias("people")))
+        F.struct(F.filter(words, lambda w: w.rlike("^[A-Z]")).alias("organizations"), F.filter(words, lambda w: F.char_length(w) > 14).alias("people")))
     takeaways = F.when(k % 13 == 0, F.transform(F.sequence(F.lit(1), F.lit(9)),
                                                 lambda x: F.concat(F.lit("point "), _s(x)))) \
         .otherwise(F.array(F.lit("point 1"), F.lit("point 2")))

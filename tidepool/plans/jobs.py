@@ -52,8 +52,8 @@ def _read(spark: SparkSession, path_or_df) -> DataFrame:
 # J1 ------------------------------------------------------------------------
 def ingest(spark: SparkSession, registry, seen, fetched, out_path: str, *, feeds=None, pages=None,
            videos=None, segments=None, run_date: str | None = None) -> DataFrame:
-    """Run the adapters that have input, union their new documents and append
-    them to ``out_path`` (parquet partitioned by namespace).  Returns the new
+    """Run the adapters that have input (each on the sources of its type), keep the
+    first document of each (namespace, stem) across them and append them to ``out_path`` (parquet partitioned by namespace).  Returns the new
     new documents (namespace, file_name, source, url, date, doc_text), frozen by
     a reliable checkpoint so using them does not rerun the adapters."""
     run_date = _today(run_date)
@@ -69,7 +69,8 @@ def ingest(spark: SparkSession, registry, seen, fetched, out_path: str, *, feeds
     if not parts:
         raise ValueError("no adapter input given")
     cols = ["namespace", "file_name", "source", "url", "date", "doc_text"]
-    docs = cut_lineage(G.union_adapters(*[p.select(*cols) for p in parts]))
+    keyed = [p.select(*cols, "stem", "source_ord") for p in parts]
+    docs = cut_lineage(G.first_across_adapters(*keyed).select(*cols))
     SK.sink_documents(docs, out_path)
     return docs
 
@@ -100,7 +101,7 @@ def writeback(spark: SparkSession, docs, responses, vocabulary, aliases, out_pat
               failed_queue: str) -> DataFrame:
     """Validate/normalise/sanitise answers, upsert successful ones into the
     documents (written to ``out_path``), append failures to the queue."""
-    res = R.writeback(_read(spark, responses), vocabulary, aliases)
+    res = cut_lineage(R.writeback(_read(spark, responses), vocabulary, aliases))  # used three times below
     SK.sink_failed_queue(res.where(~F.col("ok")), failed_queue)
     merged = R.upsert_metadata(_read(spark, docs), res)
     merged.write.mode("overwrite").parquet(out_path)

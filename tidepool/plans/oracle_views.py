@@ -16,8 +16,9 @@ def view(name: str, deps: tuple[str, ...], sql: str) -> None:
 
 
 view("v_items", (), f"""
-SELECT doc_id, doc_id AS pos, source, lang, substr(text, 1, 60) AS title,
-       substr(text, 1, 200) AS description, text AS content,
+SELECT doc_id, doc_id AS pos, source, lang,
+       CASE WHEN doc_id % 9 = 0 THEN 'Caf&eacute; &#8217;24 &amp;lt; ' ELSE '' END || substr(text, 1, 150) AS title,
+       text AS description, text AS content,
        CASE WHEN doc_id % 11 = 0 THEN '' ELSE 'https://' || source || '.example.com/' || lang || '/' || CAST(doc_id AS VARCHAR) END AS link,
        CASE WHEN doc_id % 22 = 0 THEN '' ELSE 'g' || CAST(doc_id AS VARCHAR) END AS guid,
        strftime(DATE '2024-01-01' + CAST(doc_id % 30 AS INTEGER), '%Y-%m-%d') AS published,
@@ -35,7 +36,7 @@ SELECT doc_id, path, title, source, link AS url,
        ['feed', lang] AS tags,
        CASE WHEN doc_id % 7 = 0 THEN []::VARCHAR[] WHEN doc_id % 3 = 0 THEN [lang, 'long'] ELSE [lang] END AS primary_topics,
        CASE WHEN toxic = 1 THEN ['flagged'] ELSE []::VARCHAR[] END AS secondary_topics,
-       substr(content, 1, 300) AS summary, enriched
+       content AS summary, 'organizations=' || lang || ',' || source || ';venues=' || source AS entities, enriched
 FROM v_docs WHERE enriched""")
 
 view("v_article", ("v_items",), f"""
@@ -56,7 +57,7 @@ FROM v_items""")
 view("v_registry", (), """
 SELECT source AS name, n AS source_ord,
        CASE WHEN n % 5 = 3 THEN 'youtube' WHEN n % 5 = 4 THEN 'listing' ELSE 'rss' END AS type,
-       'https://' || source || '.example.com/feed' AS feed_url, source AS output_dir,
+       'https://' || source || '.example.com/feed' AS feed_url, 'ns' || CAST(n % 4 AS VARCHAR) AS output_dir,
        ['feed', 't' || CAST(n % 3 AS VARCHAR)] AS tags,
        CASE WHEN n % 4 = 0 THEN NULL ELSE 'p' || CAST(n AS VARCHAR) END AS perspective,
        10 + (n % 7) * 3 AS scrape_limit, (n % 2 = 0) AS scrape_full_content,
@@ -75,7 +76,7 @@ SELECT pos, source, key_id, description, 'Report ' || CAST(key_id AS VARCHAR) AS
        'ns' || CAST(key_id % 4 AS VARCHAR) AS namespace
 FROM (SELECT doc_id AS pos, source,
              CASE WHEN doc_id % 10 < 2 THEN doc_id - doc_id % 2 ELSE doc_id END AS key_id,
-             substr(text, 1, 50) AS description FROM documents)""")
+             text AS description FROM documents)""")
 
 view("v_seen", ("v_dedup",), f"""
 SELECT DISTINCT namespace,
@@ -89,7 +90,7 @@ SELECT conv_id AS video, turn AS seq, text AS segment,
 FROM conversations""")
 
 view("v_events", (), """
-SELECT event_id, user_id AS throttle_group, epoch_us(ts) AS ts_us,
+SELECT event_id, CASE WHEN event_id % 8 <> 5 THEN user_id END AS throttle_group, epoch_us(ts) AS ts_us,
        epoch_us(ts) + CAST(floor(value * 1000000 + 0.5) AS BIGINT) AS end_us,
        CAST(3600000000 AS BIGINT) AS throttle_us, user_id, event_type
 FROM events""")
@@ -109,16 +110,16 @@ FROM conversations""")
 view("v_entities", (), """
 SELECT doc_id, pos, CASE WHEN pos % 2 = 1 THEN replace(upper(tok), 'ẞ', 'SS') ELSE tok END AS token
 FROM (SELECT doc_id, generate_subscripts(toks, 1) - 1 AS pos, unnest(toks) AS tok
-      FROM (SELECT doc_id, regexp_split_to_array(text, '\\s+')[1:12] AS toks FROM documents))""")
+      FROM (SELECT doc_id, regexp_split_to_array(text, '\\s+') AS toks FROM documents))""")
 
 view("v_rec", ("v_docs",), """
 SELECT doc_id, path, attempt, k, ((k % 17) <> 0) AS enriched,
-       CASE WHEN k % 5 = 0 THEN substr(content, 1, 50) ELSE substr(content, 1, 250) END AS summary,
+       CASE WHEN k % 5 = 0 THEN substr(content, 1, 50) ELSE content END AS summary,
        CASE WHEN k % 7 = 0 THEN [lang, 'offtopic'] ELSE [lang] END AS primary_topics,
        CASE WHEN n_chars > 2000 THEN ['long'] ELSE []::VARCHAR[] END AS secondary_topics,
        (k % 11 = 0) AS entities_missing,
-       CASE WHEN k % 11 = 0 THEN NULL ELSE string_split(content, ' ')[1:3] END AS organizations,
-       CASE WHEN k % 11 = 0 THEN NULL ELSE string_split(content, ' ')[4:5] END AS people,
+       CASE WHEN k % 11 = 0 THEN NULL ELSE list_filter(string_split(content, ' '), lambda w: regexp_matches(w, '^[A-Z]')) END AS organizations,
+       CASE WHEN k % 11 = 0 THEN NULL ELSE list_filter(string_split(content, ' '), lambda w: length(w) > 14) END AS people,
        CASE WHEN k % 13 = 0 THEN list_transform(range(1, 10), lambda x: 'point ' || CAST(x AS VARCHAR))
             ELSE ['point 1', 'point 2'] END AS key_takeaways
 FROM (SELECT d.*, a.attempt, d.doc_id + a.attempt AS k

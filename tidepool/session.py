@@ -43,8 +43,36 @@ def build_session(app: str = "tidepool", master: str | None = None,
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the executors' Python workers.
+
+    The package's own files are zipped on the driver and added to the job, once
+    for each Spark application; Arrow functions then work wherever the driver
+    was started and whether or not the package is installed on the executors.
+    """
+    import zipfile
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="tidepool-ship-"), "tidepool.zip")
+    with zipfile.ZipFile(target, "w") as out:
+        for folder, _, names in os.walk(package):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    file = os.path.join(folder, name)
+                    out.write(file, os.path.relpath(file, os.path.dirname(package)))
+    sc.addPyFile(target)
+    _SHIPPED.add(sc.applicationId)
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Apply result-affecting runtime settings to a session we did not build."""
+    """Apply result-affecting runtime settings to a session we did not build,
+    and see that its executors can import this package."""
+    ship_package(spark)
     for k, v in RESULT_CONF.items():
         spark.conf.set(k, v)
     for k, v in PLANNER_CONF.items():

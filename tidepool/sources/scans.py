@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from tidepool import contracts as C
 from tidepool.functions.dates import parse_pub_date, yyyymmdd_to_iso
-from tidepool.functions.text import strip_html
+from tidepool.functions.text import decode_html_names, strip_html
 
 # ---------------------------------------------------------------------------
 # Feeds (RSS 2.0 + Atom)
@@ -42,17 +42,47 @@ def _first_nonempty(*cols: Column) -> Column:
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in cols], F.lit(""))
 
 
-def feed_dialect(xml: Column) -> Column:
-    head = F.substring(xml, 1, 2000)
-    return (F.when(head.rlike(r"(?s)^\s*(<\?xml[^>]*>\s*)?(<!--.*?-->\s*)*<rss\b"), "rss")
-             .when(head.rlike(r"(?s)^\s*(<\?xml[^>]*>\s*)?(<!--.*?-->\s*)*<feed\b"), "atom"))
+# What may stand before a feed's root element: byte order mark, white space,
+# declarations and processing instructions, comments, a document type.
+_PROLOG_RE = (r"(?s)^[\uFEFF\s]*+(?:<\?(?:(?!\?>).)*+\?>\s*+|<!--(?:(?!-->).)*+-->\s*+"
+              r"|<!DOCTYPE[^>\[]*+(?:\[[^\]]*+\]\s*+)?>\s*+)*+")
+
+
+def feed_dialect(body: Column) -> Column:
+    """'rss' or 'atom' by the root element a feed starts with, else null."""
+    return F.when(body.rlike(r"^<rss\b"), "rss").when(body.rlike(r"^<(?:\w+:)?feed\b"), "atom")
+
+
+def _feeds_by_dialect(feeds: DataFrame, xml_col: str) -> DataFrame:
+    # from the root element on, HTML's named entities (which XML does not know) decoded
+    d = feeds.withColumn(xml_col, F.regexp_replace(F.col(xml_col), _PROLOG_RE, ""))
+    d = d.withColumn(xml_col, decode_html_names(F.col(xml_col)))
+    return d.withColumn("_dialect", feed_dialect(F.col(xml_col)))
+
+
+def feed_quarantine(feeds: DataFrame, xml_col: str = "xml") -> DataFrame:
+    """Feeds that give no entries because they cannot be read: (…, reason).
+
+    ``not_a_feed``: no RSS or Atom root element; ``unreadable``: the XML does
+    not parse.  A feed that parses and has no entries is not listed.
+    """
+    keep = [c for c in feeds.columns if c != xml_col]
+    d = _feeds_by_dialect(feeds, xml_col)
+    rss = F.from_xml(F.col(xml_col), RSS_SCHEMA, {"columnNameOfCorruptRecord": "_bad"})
+    atom = F.from_xml(F.col(xml_col), ATOM_SCHEMA, {"columnNameOfCorruptRecord": "_bad"})
+    reason = (F.when(F.col("_dialect").isNull(), "not_a_feed")
+               .when((F.col("_dialect") == "rss") & rss["channel"].isNull(), "unreadable")
+               .when((F.col("_dialect") == "atom") & atom["title"].isNull() & atom["entry"].isNull()
+                     & ~F.col(xml_col).rlike(r"(?s)^<(?:\w+:)?feed\b[^>]*(/>|>.*</(?:\w+:)?feed\s*>)\s*$"), "unreadable"))
+    return d.withColumn("reason", reason).where(F.col("reason").isNotNull()).select(*keep, "reason")
 
 
 def scan_feed_raw(feeds: DataFrame, xml_col: str = "xml") -> DataFrame:
     """Entries as parsed, before any text cleaning: (…, pos, title, link, pub_raw,
-    summary_raw, content_raw, entry_id).  Cheap enough to run before a limit."""
+    summary_raw, content_raw, entry_id).  Cheap enough to run before a limit.
+    What cannot be read is listed by :func:`feed_quarantine`."""
     keep = [c for c in feeds.columns if c != xml_col]
-    d = feeds.withColumn("_dialect", feed_dialect(F.col(xml_col)))
+    d = _feeds_by_dialect(feeds, xml_col)
     rss = (d.where(F.col("_dialect") == "rss")
            .select(*keep, F.posexplode(F.from_xml(F.col(xml_col), RSS_SCHEMA)["channel"]["item"]).alias("pos", "e"))
            .select(*keep, "pos",
@@ -101,7 +131,7 @@ def scan_feed_files(spark: SparkSession, path: str, glob: str = "*.xml", run_dat
     ``feed_path`` is the file's path (percent-decoded)."""
     raw = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
            .text(path, wholetext=True)
-           .select(F.url_decode(F.col("_metadata.file_path")).alias("feed_path"), F.col("value").alias("xml")))
+           .select(percent_decode(F.col("_metadata.file_path")).alias("feed_path"), F.col("value").alias("xml")))
     return scan_feed(raw, run_date=run_date)
 
 
@@ -158,10 +188,10 @@ def distinct_links(pages: DataFrame, pattern: str | Column = C.DEFAULT_LISTING_L
 
 def cap_bodies(bodies: DataFrame, body_col: str = "body", status_col: str | None = "status",
                max_bytes: int = C.MAX_BODY_BYTES) -> DataFrame:
-    """An error status (≥ 400) yields an empty body (nothing is read); otherwise a
-    body over ``max_bytes`` is rejected whole (``rejected`` = true, body null)."""
+    """A redirect or error status (≥ 300) yields an empty body (nothing is read); otherwise
+    a body over ``max_bytes`` is rejected whole (``rejected`` = true, body null)."""
     size = F.octet_length(F.col(body_col))
-    failed = (F.col(status_col) >= 400) if status_col else F.lit(False)
+    failed = (F.col(status_col) >= 300) if status_col else F.lit(False)
     over = (size > max_bytes) & ~failed
     body = F.when(failed, F.lit(b"").cast("binary")).when(over, F.lit(None).cast("binary")).otherwise(F.col(body_col))
     return bodies.withColumn("body_bytes", size.cast("long")).withColumn("rejected", over) \
@@ -270,13 +300,18 @@ def scan_documents(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame
            .text(root, wholetext=True)
            .select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("file_path")))
     root_uri = root.rstrip("/") + "/"
-    rel = F.regexp_replace(F.url_decode(F.col("file_path")), r"^(file:)?/*" + _re_escape(root_uri.lstrip("/")), "")
+    rel = F.regexp_replace(percent_decode(F.col("file_path")), r"^(file:)?/*" + _re_escape(root_uri.lstrip("/")), "")
     parsed = parse_documents(raw.withColumn("path", rel))
     ok = parsed.where(F.col("readable"))
     bad = parsed.where(~F.col("readable")).select("path")
     return ok, bad
 
 
+def percent_decode(path: Column) -> Column:
+    """%XX escapes decoded; a plus sign stays one (paths are not form data)."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
 def _re_escape(s: str) -> str:
     import re
     return re.escape(s)
@@ -287,7 +322,7 @@ def meta_str(key: str) -> Column:
     v = F.try_variant_get(F.col("meta"), f"$.{key}", "variant")
     t = F.schema_of_variant(v)
     return F.when(t == "STRING", F.try_variant_get(v, "$", "string")) \
-        .when(t.isin("NULL") | v.isNull(), F.lit(None).cast("string")) \
+        .when(t.isin("NULL", "VOID") | v.isNull(), F.lit(None).cast("string")) \
         .otherwise(F.to_json(v))
 
 
@@ -305,7 +340,7 @@ def ensure_list(v: Column) -> Column:
     arr = F.try_variant_get(v, "$", "array<variant>")
     as_str = F.transform(arr, lambda x: F.when(F.schema_of_variant(x) == "STRING",
                                                 F.try_variant_get(x, "$", "string")).otherwise(F.to_json(x)))
-    return (F.when(v.isNull() | (t == "NULL"), F.array().cast("array<string>"))
+    return (F.when(v.isNull() | t.isin("NULL", "VOID"), F.array().cast("array<string>"))
              .when(t == "STRING", F.array(F.try_variant_get(v, "$", "string")))
              .when(t.startswith("ARRAY"), as_str)
              .otherwise(F.array().cast("array<string>")))

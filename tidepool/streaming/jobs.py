@@ -88,12 +88,13 @@ def stream_ingest(spark: SparkSession, source_glob: str, schema: str, sink: str,
 # stream_dedup: never emit a key twice, across runs
 # ---------------------------------------------------------------------------
 
-def _latest_compaction(root: str) -> tuple[str | None, int]:
-    """(path, last batch id covered) of the newest committed key compaction."""
+def _latest_compaction(root: str, before: int) -> tuple[str | None, int]:
+    """(path, last batch id covered) of the newest committed key compaction that
+    covers only batches before ``before`` (a replayed batch must not meet its own keys)."""
     best, upto = None, -1
     for d in _batch_dirs_named(os.path.join(root, "_keys"), "upto="):
         n = int(d.rstrip("/").rsplit("upto=", 1)[1])
-        if n > upto:
+        if upto < n < before:
             best, upto = d, n
     return best, upto
 
@@ -129,10 +130,9 @@ def stream_dedup(spark: SparkSession, source_glob: str, schema: str, keys: list[
     src = reader.parquet(source_glob)
     cols = [c for c in src.columns if c not in keys]
 
-    def emitted_keys(exclude: int) -> DataFrame | None:
-        comp, upto = _latest_compaction(sink)
-        newer = [d for d in _batch_dirs(sink, exclude=exclude)
-                 if int(d.rstrip("/").rsplit("batch=", 1)[1]) > upto]
+    def emitted_keys(before: int) -> DataFrame | None:
+        comp, upto = _latest_compaction(sink, before)
+        newer = [d for d in _batch_dirs(sink) if upto < int(d.rstrip("/").rsplit("batch=", 1)[1]) < before]
         parts = ([spark.read.parquet(comp)] if comp else []) + \
             ([spark.read.parquet(*newer).select(*keys)] if newer else [])
         if not parts:
@@ -150,7 +150,7 @@ def stream_dedup(spark: SparkSession, source_glob: str, schema: str, keys: list[
             firsts = firsts.join(seen, keys, "left_anti")
         _write_batch(firsts, sink, batch_id)
         if compact_every and (batch_id + 1) % compact_every == 0:
-            everything = emitted_keys(-1)
+            everything = emitted_keys(batch_id + 1)
             everything.distinct().write.mode("overwrite").parquet(os.path.join(sink, "_keys", f"upto={batch_id}"))
 
     q = (src.writeStream.queryName("stream_dedup").foreachBatch(per_batch)
@@ -199,9 +199,9 @@ def stream_index(spark: SparkSession, source_glob: str, schema: str, index_path:
                  max_files_per_trigger: int | None = None) -> None:
     """Merge each batch of enriched entries into the month-partitioned index.
 
-    Only the months a batch touches are rewritten (dynamic partition
-    overwrite).  The merged rows of those months are checkpointed first, so
-    the overwrite never reads the files it replaces.
+    Of several rows of one path in a batch the last one to arrive counts.  A batch rewrites the months it writes to and those that held its paths before,
+    so a document whose date moves leaves its old month; the new version becomes
+    visible by its manifest (see :mod:`tidepool.operators.index`).
     """
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
@@ -209,26 +209,22 @@ def stream_index(spark: SparkSession, source_glob: str, schema: str, index_path:
     src = reader.parquet(source_glob)
 
     def per_batch(df: DataFrame, batch_id: int) -> None:
-        new = I.index_entry(df).withColumn("month", I.month_of(F.col("published")))
-        months = [r[0] for r in new.select("month").distinct().collect()]  # ≤ distinct months of one batch
+        entries = I.index_entry(df).withColumn("_arrival", F.monotonically_increasing_id())
+        cols = [c for c in entries.columns if c not in ("path", "_arrival")]
+        new = entries.groupBy("path").agg(F.max_by(F.struct(*cols), "_arrival").alias("_e")).select("path", "_e.*")
+        new = cut_lineage(new.withColumn("month", I.month_of(F.col("published"))))
+        touched = new.select("month")
+        current = I.index_months(spark, index_path)
+        old = I.scan_index(spark, index_path) if current else None
+        if old is not None:  # months that held the batch's paths: only path and month are read
+            touched = touched.union(old.select("path", "month").join(new.select("path"), "path", "left_semi").select("month"))
+        months = [r[0] for r in touched.distinct().collect()]  # at most the months of the index
         merged = new
-        if _exists(index_path):
-            old = spark.read.parquet(index_path).where(F.col("month").cast("string").isin(months)) \
-                .withColumn("month", F.col("month").cast("string"))
-            keep_old = old.join(new.select("path"), "path", "left_anti")
-            merged = keep_old.unionByName(new.select(*old.columns))
-        merged = cut_lineage(merged)
-        (merged.repartition("month", F.substring("path", 1, 64)).sortWithinPartitions(*I.index_order_keys())
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("month").parquet(index_path))
+        if old is not None:
+            kept = old.where(F.col("month").isin(months)).join(new.select("path"), "path", "left_anti")
+            merged = kept.unionByName(new, allowMissingColumns=True)
+        I.write_version(merged.drop("month"), index_path, replaced=months)
 
     q = (src.writeStream.queryName("stream_index").foreachBatch(per_batch)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     _run(q)
-
-
-def _exists(path: str) -> bool:
-    from pyspark import SparkContext
-    sc = SparkContext.getOrCreate()
-    p = sc._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(sc._jsc.hadoopConfiguration()).exists(p)
