@@ -27,9 +27,9 @@ from .common import letters_present
 
 UNDEFINED = "und"
 #: Rows a language is learned from, letters kept of them, letters of all languages, languages.
-TRAIN_ROWS, TRAIN_CHARS, TRAIN_CHARS_ALL, LANGUAGES = 80, 60_000, 480_000, 256
+TRAIN_ROWS, TRAIN_CHARS, TRAIN_CHARS_ALL, LANGUAGES = 80, 45_000, 360_000, 256
 #: Words a worker remembers; the table starts anew beyond it.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 _WORD = re.compile(r"[^\W\d_]+")
 _FIELD = 40  # bits of one language's count in a packed sum
 
