@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tidepool import contracts as C
 from tidepool.functions.text import casefold, casefold_array, let
+from tidepool.session import cut_lineage
 from tidepool.sources.scans import yaml_to_json
 
 SPEC = C.ENRICHMENT_SCHEMA
@@ -396,7 +397,10 @@ def writeback(raw: DataFrame, vocabulary, aliases, key: str = "path", n_col: str
         raw = raw.where(F.col(n_col) <= 1 + retries)
     # Spread the Python YAML step over all tasks; the attempt is part of the key,
     # so rows that share a path (or have none) do not land in one task.
-    parsed = raw.repartition(F.col(key), F.col(n_col), F.xxhash64(raw_col)).withColumn("v", parse_record(F.col(raw_col)))
+    # The parsed answers are checkpointed: the YAML step runs once, and the many
+    # checks below read a stored VARIANT instead of parsing the JSON again.
+    parsed = raw.repartition(F.col(key), F.col(n_col), F.xxhash64(raw_col)).select(key, n_col, parse_record(F.col(raw_col)).alias("v"))
+    parsed = cut_lineage(parsed)
     checked = validate(parsed, vocabulary)
     with_clean = checked.withColumn("clean", F.when(F.col("ok"), sanitize(F.col("v"), amap)))
     return first_valid_attempt(with_clean.select(key, n_col, "ok", "errors", "clean"), key, n_col)
