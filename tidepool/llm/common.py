@@ -1,12 +1,14 @@
-"""Small helpers shared by the operators: staged tables and keyed skew-safe joins."""
+"""Small helpers shared by the operators: staged tables, the shared store."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidepool.session import read_table, scratch_path
 
-__all__ = ["documents", "read_table", "scratch_path", "staged", "letters_present"]
+__all__ = ["documents", "letters_present", "open_store", "read_table", "scratch_path", "staged"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,3 +31,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 def letters_present(text) -> object:
     """True where a text holds at least one letter of any script."""
     return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+
+
+def open_store(uri: str):
+    """(file system, path) of a URI or plain path."""
+    from pyarrow import fs
+
+    if re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*:", uri):
+        return fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", re.sub(r"^file:/+", "file:///", uri)))
+    return fs.LocalFileSystem(), uri

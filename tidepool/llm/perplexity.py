@@ -1,7 +1,7 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
 For each language the model is trained on the characters of the words (pieces
-between white space, lower case) of trusted documents.  A word is read with a
+between white space, lower case, digits as 0) of trusted documents.  A word is read with a
 start and an end mark; n-grams reach back to the start at most, ``ORDER``
 characters.  All counts come from Spark: words by language, from them the n-grams
 of the highest order, from those the continuation counts of each lower order (how
@@ -14,8 +14,9 @@ A document's perplexity is taken over all characters and word ends of its whole
 text.  The threshold of a language is a quantile of the perplexities of its
 trusted documents; documents above it are not kept.
 
-Up to ``MODEL_ROWS`` rows, a bound that is checked, the model is broadcast and
-workers remember the scores of words.  A larger model is not: then the distinct
+Up to ``MODEL_ROWS`` rows, a bound that is checked, each worker reads the model's
+table from the shared folder (the driver never holds it) and remembers the scores
+of words.  A larger model is not: then the distinct
 words of the corpus are joined with it, shard by shard, and the documents' word
 counts with their scores.  Both ways give the same numbers.
 
@@ -28,31 +29,32 @@ scored one by one; without labels nothing is trusted and all worded texts stay.
 from __future__ import annotations
 
 import math
-import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import staged
+from .common import open_store, scratch_path, staged
 
 ORDER = 5
 START, END = "\x02", "\x03"
 #: Quantile of the trusted documents' perplexities that a document may reach.
 QUANTILE = 0.99
-#: Identifiers of trusted documents, and model rows, that are broadcast at most.
-TRUSTED_IDS, MODEL_ROWS = 1_000_000, 600_000
+#: Identifiers of trusted documents that are broadcast, and model rows that a worker holds, at most.
+#: A row takes about 100 bytes of a worker's memory.
+TRUSTED_IDS, MODEL_ROWS = 1_000_000, 2_000_000
 #: Words a worker remembers for each language; the table starts anew beyond it.
 CACHE_WORDS = 400_000
 NO_LANGUAGE = "und"
+_DIGITS = bytes.maketrans(b"123456789", b"000000000")
 
 
 def _words(text):
-    return F.filter(F.split(F.lower(text), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    return F.filter(F.split(F.translate(F.lower(text), "123456789", "000000000"), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
 
 
 def words_of(text: str) -> list[str]:
     """As ``_words``: white space is ASCII white space."""
-    return [w.decode() for w in text.lower().encode().split()]
+    return [w.decode() for w in text.lower().encode().translate(_DIGITS).split()]
 
 
 def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -86,8 +88,8 @@ def ngram_counts(words: DataFrame) -> list[DataFrame]:
     return tables
 
 
-def model_table(words: DataFrame) -> DataFrame:
-    """Rows (lang, kind, gram, v): log probability of a gram (kind p), log back-off of a context (kind b), log uniform (kind u)."""
+def write_model(words: DataFrame, path: str) -> None:
+    """Writes rows (lang, kind, gram, v): log probability of a gram (kind p), log back-off of a context (kind b), log uniform (kind u)."""
     tables = ngram_counts(words)
     sizes = staged(tables[0].groupBy("lang").agg((F.count(F.lit(1)) + 1).alias("symbols")), "kn-symbols")
     below = None
@@ -121,7 +123,7 @@ def model_table(words: DataFrame) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return staged(out, "kn-model")
+    out.write.parquet(path)
 
 
 class WordScores(dict):
@@ -149,28 +151,31 @@ class WordScores(dict):
         return total
 
 
-def _models(table: pd.DataFrame) -> dict[str, WordScores]:
-    made = {}
-    for lang, rows in table.groupby("lang"):
-        of = {kind: dict(zip(part["gram"], part["v"])) for kind, part in rows.groupby("kind")}
-        made[lang] = WordScores(of.get("p", {}), of.get("b", {}), of["u"][""])
-    return made
+def _models(path: str) -> dict[str, WordScores]:
+    from pyarrow import parquet
+
+    store, folder = open_store(path)
+    names: dict[str, str] = {}  # a gram that is also a context is held once
+    parts: dict[str, dict[str, dict[str, float]]] = {}
+    for batch in parquet.ParquetDataset(folder, filesystem=store).read(["lang", "kind", "gram", "v"]).to_batches(max_chunksize=65_536):
+        for lang, kind, gram, v in zip(*(c.to_pylist() for c in batch.columns)):
+            parts.setdefault(lang, {"p": {}, "b": {}, "u": {}})[kind][names.setdefault(gram, gram)] = v
+    return {lang: WordScores(of["p"], of["b"], of["u"][""]) for lang, of in parts.items()}
 
 
 _LOADED: dict[str, dict[str, WordScores]] = {}
 
 
-def _score_by_broadcast(docs: DataFrame, model: DataFrame) -> DataFrame:
-    shared, name = docs.sparkSession.sparkContext.broadcast(model.toPandas()), uuid.uuid4().hex
+def _score_in_workers(docs: DataFrame, path: str) -> DataFrame:
 
     @F.pandas_udf("n_symbols long, log_p double")
     def scored(langs: pd.Series, texts: pd.Series) -> pd.DataFrame:
-        if name not in _LOADED:
+        if path not in _LOADED:
             _LOADED.clear()
-            _LOADED[name] = _models(shared.value)
+            _LOADED[path] = _models(path)
         rows = []
         for lang, text in zip(langs, texts):
-            scores, words = _LOADED[name].get(lang), words_of(text) if text else []
+            scores, words = _LOADED[path].get(lang), words_of(text) if text else []
             rows.append((sum(map(len, words)) + len(words), math.fsum(map(scores.__getitem__, words)) if scores is not None and words else None))
         return pd.DataFrame(rows, columns=["n_symbols", "log_p"]).astype({"log_p": "float64"})
 
@@ -215,8 +220,10 @@ def perplexities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     named = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit(NO_LANGUAGE)).alias("lang"), F.col(text_col).alias("text"))
     known = _with_trust(named, trusted_ids(labels, id_col))
     words = known.where("trusted").select("lang", F.explode(_words(F.col("text"))).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
-    model = model_table(staged(words, "kn-words"))
-    scored = _score_by_broadcast(known, model) if model.count() <= model_rows else _score_by_joins(known, model)
+    path = scratch_path(docs.sparkSession, "kn-model")
+    write_model(staged(words, "kn-words"), path)
+    model = docs.sparkSession.read.schema("lang string, kind string, gram string, v double").parquet(path)
+    scored = _score_in_workers(known, path) if model.count() <= model_rows else _score_by_joins(known, model)
     scored = staged(scored.withColumn("perplexity", F.exp(F.try_divide(-F.col("log_p"), F.col("n_symbols")))), "kn-scored")
     limits = staged(scored.where("trusted").groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("threshold")), "kn-limits")
     return scored.join(limits, "lang", "left").select(

@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import scratch_path, staged
+from .common import open_store, scratch_path, staged
 
 ARCHIVE_BYTES = 1 << 30
 READ_BYTES, GAP_BYTES = 4 << 20, 64 << 10
@@ -51,15 +51,6 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.concat(*digits), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def open_store(uri: str):
-    """(file system, path) of a URI or plain path."""
-    from pyarrow import fs
-
-    if re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*:", uri):
-        return fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", re.sub(r"^file:/+", "file:///", uri)))
-    return fs.LocalFileSystem(), uri
-
-
 def _urn(page_id: str | None) -> str:
     return f"{PAGE_URN}{'' if page_id is None else page_id}"
 
