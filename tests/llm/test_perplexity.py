@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidepool.llm import perplexity as kn
 
@@ -115,3 +116,44 @@ def test_empty_tables(spark):
     assert kn.perplexities(df.limit(0), lf).count() == 0
     none = kn.perplexities(df.limit(40), lf.limit(0)).collect()
     assert all(r.perplexity is None and r.kept for r in none)
+
+
+def test_insults_in_clean_prose(spark):
+    rng = random.Random(11)
+    parts = ["the", "er", "ing", "st", "on", "ble", "and", "wh"]
+    insults = ["Idiot,", "clown", "pathetic!", "«moron»"]
+    docs, labels, toxic, clean = [], [], [], []
+    for k in range(500):
+        words = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 3))) for _ in range(150)]
+        bad = k % 4 == 0
+        for _ in range(2 * bad):
+            words[rng.randrange(60, 75)] = rng.choice(insults)
+        docs.append((k, " ".join(words), "en"))
+        if k < 320:
+            labels.append((k, 1, int(bad)))
+        else:  # nothing was learnt from these
+            (toxic if bad else clean).append(k)
+    df, lf = spark.createDataFrame(docs, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    out = {r.doc_id: r for r in kn.perplexities(df, lf).collect()}
+    assert not any(out[k].kept for k in toxic)
+    assert sum(out[k].kept for k in clean) >= 0.95 * len(clean)
+    joined = {r.doc_id: r for r in kn.perplexities(df, lf, model_rows=0).collect()}
+    assert all(joined[k].kept == r.kept and joined[k].toxicity == pytest.approx(r.toxicity, abs=1e-8) for k, r in out.items())
+    assert sum(r.toxicity > 0 for r in out.values()) >= 125
+    no_toxic = kn.perplexities(df, lf.where("toxic = 0")).where("toxicity > 0").count()
+    assert no_toxic == 0
+
+
+def test_worst_span_is_of_consecutive_terms():
+    weights = {b"a": 1.0, b"b": 2.0}
+    text = "A, b" + " x" * kn.SPAN + " b " + "x " * (kn.SPAN - 2) + "(b)" + " x a"
+    assert kn.worst_span(weights, text) == 4.0
+    assert kn.worst_span(weights, "x") == kn.worst_span({}, text) == 0.0
+
+
+def test_terms_alike_in_spark_and_python(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("aZ9é«»—“”’_-·ªµº×ß中。 \t\n.#[]`{|\x7f\xa0\u2028") for _ in range(60)) for _ in range(200)] + ["", " ", "idiot### (clown), moron"]
+    df = spark.createDataFrame([(x,) for x in texts], "text string")
+    for r in df.select("text", kn._terms(F.col("text")).alias("terms")).collect():
+        assert [x.decode() for x in kn.terms_of(r.text)] == r.terms

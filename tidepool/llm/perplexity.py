@@ -14,24 +14,37 @@ A document's perplexity is taken over all characters and word ends of its whole
 text.  The threshold of a language is a quantile of the perplexities of its
 trusted documents; documents above it are not kept.
 
+Insults in clean prose hardly move that mean, so toxicity has a score of its own.
+A term is a word without punctuation.  Its weight is the lower bound (``SURE``
+standard errors) of the logarithm of how much more often documents labelled toxic
+hold it than trusted ones of the same languages do; only weights above 0 count.  A
+document's toxicity is the largest sum of weights in ``SPAN`` consecutive terms.
+One in ``HELD_OUT`` trusted documents is held out of the counts, and the limit of a
+language is the same quantile of their toxicities (of all held-out ones where the
+language has none); documents above it are not kept.
+
 Up to ``MODEL_ROWS`` rows, a bound that is checked, each worker reads the model's
 table from the shared folder (the driver never holds it) and remembers the scores
 of words.  A larger model is not: then the distinct
 words of the corpus are joined with it, shard by shard, and the documents' word
-counts with their scores.  Both ways give the same numbers.
+counts with their scores.  Both ways give the same numbers.  The terms with a weight
+are held in the same way, up to ``TERMS``.
 
 Defined cases: null, empty and wordless texts have perplexity null and are kept
 false; a null language is a language of its own; a language without trusted text
 has no model, its documents have perplexity null and are kept; repeated rows are
-scored one by one; without labels nothing is trusted and all worded texts stay.
+scored one by one; without labels nothing is trusted and all worded texts stay;
+without toxic labels, or with no trusted document held out, toxicity rejects nothing.
 """
 
 from __future__ import annotations
 
 import math
+import re
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.window import Window
 
 from .common import open_store, scratch_path, staged
 
@@ -44,8 +57,17 @@ QUANTILE = 0.99
 TRUSTED_IDS, MODEL_ROWS = 1_000_000, 2_000_000
 #: Words a worker remembers for each language; the table starts anew beyond it.
 CACHE_WORDS = 400_000
+#: Terms whose weights are summed, standard errors taken off a weight, one in so many trusted documents held out.
+SPAN, SURE, HELD_OUT = 16, 2.33, 5
+#: Terms with a weight that a worker holds, at most.
+TERMS = 1_000_000
 NO_LANGUAGE = "und"
 _DIGITS = bytes.maketrans(b"123456789", b"000000000")
+#: What lies between terms: controls, spaces and punctuation, said so that Java and Python agree.
+_BETWEEN = "[\\x00-/:-@\\[-`{-\\xA9\\xAB-\\xB4\\xB6-\\xB9\\xBB-\\xBF\\u2000-\\u206F\\u3000-\\u303F]+"
+_BETWEEN_ALL = re.compile(_BETWEEN)
+#: The ASCII part of it as a table of bytes.
+_SPACED = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 
 
 def _words(text):
@@ -57,18 +79,58 @@ def words_of(text: str) -> list[str]:
     return [w.decode() for w in text.lower().encode().translate(_DIGITS).split()]
 
 
-def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Identifiers that are labelled good and not toxic, by all their labels."""
-    seen = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__trusted")).agg(
+def _terms(text):
+    return F.filter(F.split(F.lower(text), _BETWEEN), lambda w: w != "")
+
+
+def terms_of(text: str) -> list[bytes]:
+    """As ``_terms``, in UTF-8."""
+    low = text.lower()
+    return (low if low.isascii() else _BETWEEN_ALL.sub(" ", low)).encode().translate(_SPACED).split()
+
+
+def worst_span(weights: dict[bytes, float], text: str) -> float:
+    """The largest sum of weights in ``SPAN`` consecutive terms."""
+    found = [(i, weights[w]) for i, w in enumerate(terms_of(text)) if w in weights]
+    first, worst = 0, 0.0
+    for k, (i, _) in enumerate(found):
+        while found[first][0] <= i - SPAN:
+            first += 1
+        worst = max(worst, math.fsum(v for _, v in found[first:k + 1]))
+    return round(worst, 9)
+
+
+def judged_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Identifiers that are labelled good and not toxic (trusted), or toxic, by all their labels."""
+    seen = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__judged")).agg(
         F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t"))
-    return seen.where((F.col("q") == 1) & (F.col("t") == 0)).select("__trusted")
+    return seen.select("__judged", F.coalesce((F.col("q") == 1) & (F.col("t") == 0), F.lit(False)).alias("trusted"),
+                       (F.col("t") == 1).alias("toxic")).where("trusted or toxic")
 
 
-def _with_trust(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """``docs`` (id, lang, text) with the flag ``trusted``."""
-    ids = staged(trusted, "kn-trusted")
+def _with_trust(docs: DataFrame, judged: DataFrame) -> DataFrame:
+    """``docs`` (id, lang, text) with the flags ``trusted`` and ``toxic``."""
+    ids = staged(judged, "kn-judged")
     ids = F.broadcast(ids) if ids.count() <= TRUSTED_IDS else ids
-    return docs.join(ids, F.col("id") == F.col("__trusted"), "left").withColumn("trusted", F.col("__trusted").isNotNull()).drop("__trusted")
+    return docs.join(ids, F.col("id") == F.col("__judged"), "left").select(
+        "id", "lang", "text", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("trusted", "toxic")])
+
+
+def _held_out():
+    return F.col("trusted") & (F.pmod(F.xxhash64("id"), F.lit(HELD_OUT)) == 0)
+
+
+def toxic_terms(known: DataFrame) -> DataFrame:
+    """(term, weight) of the terms that toxic documents surely hold more often than trusted ones, language by language."""
+    judged = known.where(F.col("toxic") | (F.col("trusted") & ~_held_out())).where(F.length("text") > 0)
+    n = [F.sum(F.col(c).cast("double")).alias(c) for c in ("toxic", "trusted")]
+    sizes = staged(judged.groupBy("lang").agg(*n).where("trusted > 0").select("lang", F.col("toxic").alias("nt"), F.col("trusted").alias("nc")), "kn-judged-sizes")
+    counts = (judged.select("lang", "toxic", "trusted", F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
+              .groupBy("lang", "term").agg(*n).join(F.broadcast(sizes), "lang")  # a row for each language
+              .groupBy("term").agg(F.sum("toxic").alias("o"), F.sum("trusted").alias("c"), F.sum(F.col("trusted") * F.col("nt") / F.col("nc")).alias("e")))
+    ratio = sizes.agg(F.try_divide(F.sum("nt"), F.sum("nc"))).first()[0] or 0.0
+    weight = F.log((F.col("o") + 0.5) / (F.col("e") + 0.5 * ratio)) - SURE * F.sqrt(1 / (F.col("o") + 0.5) + 1 / (F.col("c") + 0.5))
+    return counts.where("o > 0").select("term", weight.alias("weight")).where("weight > 0")
 
 
 def ngram_counts(words: DataFrame) -> list[DataFrame]:
@@ -127,27 +189,27 @@ def write_model(words: DataFrame, path: str) -> None:
 
 
 class WordScores(dict):
-    """Log probabilities of words under one language's model."""
+    """Log probabilities of words, in UTF-8, under one language's model."""
 
     def __init__(self, p: dict[str, float], b: dict[str, float], uniform: float):
         super().__init__()
         self.p, self.b, self.uniform = p, b, uniform
 
-    def __missing__(self, word: str) -> float:
-        p, b, s, total = self.p, self.b, START + word + END, 0.0
+    def __missing__(self, key: bytes) -> float:
+        word = key.decode()
+        p, b, s, total = self.p.get, self.b.get, START + word + END, 0.0
         for i in range(1, len(s)):
-            for first in range(max(0, i - ORDER + 1), i + 1):
-                found = p.get(s[first:i + 1])
-                if found is not None:
-                    total += found
-                    break
-                total += b.get(s[first:i], 0.0)
-            else:
-                total += self.uniform
+            gram = s[max(0, i - ORDER + 1):i + 1]
+            found = p(gram)
+            while found is None:
+                total += b(gram[:-1], 0.0)
+                gram = gram[1:]
+                found = p(gram) if gram else self.uniform
+            total += found
         if len(word) <= 40:
             if len(self) >= CACHE_WORDS:
                 self.clear()
-            self[word] = total
+            self[key] = total
         return total
 
 
@@ -163,23 +225,33 @@ def _models(path: str) -> dict[str, WordScores]:
     return {lang: WordScores(of["p"], of["b"], of["u"][""]) for lang, of in parts.items()}
 
 
-_LOADED: dict[str, dict[str, WordScores]] = {}
+def _weights(path: str) -> dict[bytes, float]:
+    from pyarrow import parquet
+
+    store, folder = open_store(path)
+    held = parquet.ParquetDataset(folder, filesystem=store).read(["term", "weight"])
+    return dict(zip((term.encode() for term in held["term"].to_pylist()), held["weight"].to_pylist()))
 
 
-def _score_in_workers(docs: DataFrame, path: str) -> DataFrame:
+_LOADED: dict[str, tuple[dict[str, WordScores], dict[str, float]]] = {}
 
-    @F.pandas_udf("n_symbols long, log_p double")
+
+def _score_in_workers(docs: DataFrame, path: str, terms_path: str) -> DataFrame:
+
+    @F.pandas_udf("n_symbols long, log_p double, toxicity double")
     def scored(langs: pd.Series, texts: pd.Series) -> pd.DataFrame:
         if path not in _LOADED:
             _LOADED.clear()
-            _LOADED[path] = _models(path)
+            _LOADED[path] = _models(path), _weights(terms_path)
+        models, weights = _LOADED[path]
         rows = []
         for lang, text in zip(langs, texts):
-            scores, words = _LOADED[path].get(lang), words_of(text) if text else []
-            rows.append((sum(map(len, words)) + len(words), math.fsum(map(scores.__getitem__, words)) if scores is not None and words else None))
-        return pd.DataFrame(rows, columns=["n_symbols", "log_p"]).astype({"log_p": "float64"})
+            scores, words = models.get(lang), text.lower().encode().translate(_DIGITS).split() if text else []
+            rows.append((len(b"".join(words).decode()) + len(words), math.fsum(map(scores.__getitem__, words)) if scores is not None and words else None,
+                         worst_span(weights, text) if text and weights else 0.0))
+        return pd.DataFrame(rows, columns=["n_symbols", "log_p", "toxicity"]).astype({"log_p": "float64"})
 
-    return docs.select("id", "lang", "trusted", scored("lang", "text").alias("s")).select("id", "lang", "trusted", "s.n_symbols", "s.log_p")
+    return docs.select("id", "lang", "trusted", scored("lang", "text").alias("s")).select("id", "lang", "trusted", "s.n_symbols", "s.log_p", "s.toxicity")
 
 
 def word_scores(words: DataFrame, model: DataFrame) -> DataFrame:
@@ -204,28 +276,48 @@ def word_scores(words: DataFrame, model: DataFrame) -> DataFrame:
     return summed.groupBy("lang", "word").agg(F.sum(F.col("r.v") + F.when(F.col("r.done"), 0.0).otherwise(F.col("u"))).alias("log_p"))
 
 
-def _score_by_joins(docs: DataFrame, model: DataFrame) -> DataFrame:
-    rows = staged(docs.select(F.monotonically_increasing_id().alias("row"), "id", "lang", "trusted", _words(F.col("text")).alias("words")), "kn-docs")
-    counts = rows.select("row", "lang", F.explode("words").alias("word")).groupBy("row", "lang", "word").agg(F.count(F.lit(1)).alias("n"))
+def _worst_spans(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """(row, toxicity) as ``worst_span``, of the rows that hold a term with a weight."""
+    span = Window.partitionBy("row").orderBy("pos").rangeBetween(-(SPAN - 1), 0)
+    held = F.broadcast(terms) if terms.count() <= TERMS else terms
+    hits = rows.select("row", F.posexplode(_terms(F.col("text"))).alias("pos", "term")).join(held, "term")
+    return hits.select("row", F.sum("weight").over(span).alias("v")).groupBy("row").agg(F.round(F.max("v"), 9).alias("toxicity"))
+
+
+def _score_by_joins(docs: DataFrame, model: DataFrame, terms: DataFrame) -> DataFrame:
+    rows = staged(docs.select(F.monotonically_increasing_id().alias("row"), "id", "lang", "trusted", "text"), "kn-docs")
+    worded = rows.withColumn("words", _words(F.col("text")))
+    counts = worded.select("row", "lang", F.explode("words").alias("word")).groupBy("row", "lang", "word").agg(F.count(F.lit(1)).alias("n"))
     counts = staged(counts, "kn-doc-words")
     scores = staged(word_scores(counts.select("lang", "word").distinct(), model), "kn-word-scores")
     logs = staged(counts.join(scores, ["lang", "word"]).groupBy("row").agg(F.sum(F.col("n") * F.col("log_p")).alias("log_p")), "kn-doc-scores")
+    worst = staged(_worst_spans(rows, terms), "kn-doc-toxicity")
     n = F.aggregate("words", F.lit(0).cast("long"), lambda s, w: s + F.length(w) + 1)
-    return rows.select("row", "id", "lang", "trusted", F.coalesce(n, F.lit(0).cast("long")).alias("n_symbols")).join(logs, "row", "left").drop("row")
+    return (worded.select("row", "id", "lang", "trusted", F.coalesce(n, F.lit(0).cast("long")).alias("n_symbols")).join(logs, "row", "left")
+            .join(worst, "row", "left").drop("row").withColumn("toxicity", F.coalesce("toxicity", F.lit(0.0))))
 
 
 def perplexities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
                  quantile: float = QUANTILE, model_rows: int = MODEL_ROWS) -> DataFrame:
-    """Per document: lang, n_symbols, perplexity, threshold, kept."""
+    """Per document: lang, n_symbols, perplexity, threshold, toxicity, toxicity_limit, kept."""
     named = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit(NO_LANGUAGE)).alias("lang"), F.col(text_col).alias("text"))
-    known = _with_trust(named, trusted_ids(labels, id_col))
+    known = _with_trust(named, judged_ids(labels, id_col))
     words = known.where("trusted").select("lang", F.explode(_words(F.col("text"))).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
     path = scratch_path(docs.sparkSession, "kn-model")
     write_model(staged(words, "kn-words"), path)
     model = docs.sparkSession.read.schema("lang string, kind string, gram string, v double").parquet(path)
-    scored = _score_in_workers(known, path) if model.count() <= model_rows else _score_by_joins(known, model)
+    terms_path = scratch_path(docs.sparkSession, "kn-toxic-terms")
+    toxic_terms(known).write.parquet(terms_path)
+    terms = docs.sparkSession.read.schema("term string, weight double").parquet(terms_path)
+    in_workers = model.count() <= model_rows and terms.count() <= TERMS
+    scored = _score_in_workers(known, path, terms_path) if in_workers else _score_by_joins(known, model, terms)
     scored = staged(scored.withColumn("perplexity", F.exp(F.try_divide(-F.col("log_p"), F.col("n_symbols")))), "kn-scored")
-    limits = staged(scored.where("trusted").groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("threshold")), "kn-limits")
+    worst = F.percentile_approx(F.when(_held_out(), F.col("toxicity")), quantile, 10_000)
+    limits = staged(scored.where("trusted").groupBy("lang").agg(
+        F.percentile_approx("perplexity", quantile, 10_000).alias("threshold"), worst.alias("toxicity_limit")), "kn-limits")
+    everywhere = scored.where("trusted").agg(worst).first()[0]
+    limit = F.coalesce("toxicity_limit", F.lit(everywhere).cast("double"))
     return scored.join(limits, "lang", "left").select(
-        F.col("id").alias(id_col), "lang", "n_symbols", "perplexity", "threshold",
-        ((F.col("n_symbols") > 0) & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))).alias("kept"))
+        F.col("id").alias(id_col), "lang", "n_symbols", "perplexity", "threshold", "toxicity", limit.alias("toxicity_limit"),
+        ((F.col("n_symbols") > 0) & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
+         & F.coalesce(F.col("toxicity") <= limit, F.lit(True))).alias("kept"))
