@@ -157,3 +157,13 @@ def test_terms_alike_in_spark_and_python(spark):
     df = spark.createDataFrame([(x,) for x in texts], "text string")
     for r in df.select("text", kn._terms(F.col("text")).alias("terms")).collect():
         assert [x.decode() for x in kn.terms_of(r.text)] == r.terms
+
+
+def test_digits_are_told_apart(spark):
+    docs = [(k, "room 10 and room 10 by road 10", "en") for k in range(20)] + [(50, "room 10 and road 10", "en"), (51, "room 97 and road 97", "en")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    lf = spark.createDataFrame([(k, 1, 0) for k in range(20)], "doc_id long, quality int, toxic int")
+    out = {r.doc_id: r.perplexity for r in kn.perplexities(df, lf).collect()}
+    assert out[51] > 1.5 * out[50]
+    joined = {r.doc_id: r.perplexity for r in kn.perplexities(df, lf, model_rows=0).collect()}
+    assert joined[51] == pytest.approx(out[51], rel=1e-9)

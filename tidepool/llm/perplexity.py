@@ -1,7 +1,7 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
 For each language the model is trained on the characters of the words (pieces
-between white space, lower case, digits as 0) of trusted documents.  A word is read with a
+between white space, lower case) of trusted documents.  A word is read with a
 start and an end mark; n-grams reach back to the start at most, ``ORDER``
 characters.  All counts come from Spark: words by language, from them the n-grams
 of the highest order, from those the continuation counts of each lower order (how
@@ -62,7 +62,6 @@ SPAN, SURE, HELD_OUT = 16, 2.33, 5
 #: Terms with a weight that a worker holds, at most.
 TERMS = 1_000_000
 NO_LANGUAGE = "und"
-_DIGITS = bytes.maketrans(b"123456789", b"000000000")
 #: What lies between terms: controls, spaces and punctuation, said so that Java and Python agree.
 _BETWEEN = "[\\x00-/:-@\\[-`{-\\xA9\\xAB-\\xB4\\xB6-\\xB9\\xBB-\\xBF\\u2000-\\u206F\\u3000-\\u303F]+"
 _BETWEEN_ALL = re.compile(_BETWEEN)
@@ -71,12 +70,12 @@ _SPACED = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 
 
 def _words(text):
-    return F.filter(F.split(F.translate(F.lower(text), "123456789", "000000000"), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    return F.filter(F.split(F.lower(text), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
 
 
 def words_of(text: str) -> list[str]:
     """As ``_words``: white space is ASCII white space."""
-    return [w.decode() for w in text.lower().encode().translate(_DIGITS).split()]
+    return [w.decode() for w in text.lower().encode().split()]
 
 
 def _terms(text):
@@ -246,7 +245,7 @@ def _score_in_workers(docs: DataFrame, path: str, terms_path: str) -> DataFrame:
         models, weights = _LOADED[path]
         rows = []
         for lang, text in zip(langs, texts):
-            scores, words = models.get(lang), text.lower().encode().translate(_DIGITS).split() if text else []
+            scores, words = models.get(lang), text.lower().encode().split() if text else []
             rows.append((len(b"".join(words).decode()) + len(words), math.fsum(map(scores.__getitem__, words)) if scores is not None and words else None,
                          worst_span(weights, text) if text and weights else 0.0))
         return pd.DataFrame(rows, columns=["n_symbols", "log_p", "toxicity"]).astype({"log_p": "float64"})
