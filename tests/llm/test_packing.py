@@ -88,3 +88,23 @@ def test_documents_are_packed_by_their_tokens(spark):
     held = {r.doc_id: r.bin_id for r in out if r.piece == 0}
     assert held[1] != held[2] and held[3] is None and held[4] is None and held[None] is not None  # equal texts are kept apart
     assert len([r for r in out if r.doc_id == 5]) == 3
+
+
+def test_near_copies_are_kept_apart(spark):
+    from tidepool.llm.simhash import fingerprint
+
+    rng = random.Random(4)
+    rows = []
+    for k in range(30):
+        words = [f"w{rng.randrange(10_000)}" for _ in range(300)]
+        near = words[:299] + ["other"]
+        a, b = " ".join(words), " ".join(near)
+        if 0 < (fingerprint(a.encode()) ^ fingerprint(b.encode())).bit_count() <= 4:
+            rows += [(2 * k, a, f"s{2 * k}"), (2 * k + 1, b, f"s{2 * k + 1}")]
+    assert len(rows) >= 10
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    bins = {r.doc_id: r.bin_id for r in packing.pack_documents(df, tokenizer_path()).collect()}
+    assert all(bins[i] != bins[i + 1] for i, _, _ in rows[::2])
+    pair = spark.createDataFrame(rows[:2], df.schema)
+    alone = [len({r.bin_id for r in packing.pack_documents(pair, tokenizer_path(), near=near).collect()}) for near in (True, False)]
+    assert alone == [2, 1]  # there is room for both in one bin

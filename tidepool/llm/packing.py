@@ -116,10 +116,20 @@ def pack(docs: DataFrame, length_col: str = "n_tokens", id_col: str = "doc_id",
     return full.unionByName(packed).unionByName(none)
 
 
-def pack_documents(docs: DataFrame, model_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Packs whole documents by their token counts; equal texts are a duplicate cluster."""
+def pack_documents(docs: DataFrame, model_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+                   near: bool = True) -> DataFrame:
+    """Packs whole documents by their token counts; near duplicates (a SimHash group of op3) are a duplicate cluster.
+
+    ``near`` may be false where each group has one document left: then equal texts are one.
+    """
+    from .simhash import fingerprint_column, fingerprint_components
     from .tokens import token_count
 
     text = F.col(text_col)
-    sized = docs.select(F.col(id_col), F.col(source_col), token_count(text, model_path).alias("__tokens"), F.xxhash64(text).alias("__cluster"))
-    return pack(sized, "__tokens", id_col, source_col, "__cluster", capacity)
+    mark = fingerprint_column(text) if near else F.xxhash64(text)
+    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), token_count(text, model_path).alias("tokens"), mark.alias("cluster"))
+    if near:
+        sized = staged(sized, "packing-sized")
+        groups = staged(fingerprint_components(sized.select(F.col("cluster").alias("fp")).distinct()), "packing-groups")
+        sized = sized.join(groups, F.col("cluster") == F.col("fp"), "left").select("id", "source", "tokens", F.coalesce("component", "cluster").alias("cluster"))
+    return pack(sized, "tokens", "id", "source", "cluster", capacity)
