@@ -76,3 +76,9 @@ def test_defined_cases(spark):
     assert langid.identify(df.limit(0)).count() == 0 and langid.keep_identified(df.limit(0)).count() == 0
     unlabelled = df.withColumn("lang", F.lit(None).cast("string"))
     assert {r.lang_pred for r in langid.identify(unlabelled).collect()} == {"und"}
+
+
+def test_unlabelled_documents_with_letters_are_kept(spark):
+    df = spark.createDataFrame([(1, "some words", None), (2, "123 !", None), (3, None, None), (4, "été", None)], "doc_id long, text string, lang string")
+    kept = langid.keep_identified(df)
+    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {1, 4}

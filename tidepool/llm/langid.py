@@ -195,8 +195,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The documents with a recognised language; their columns unchanged."""
+    """The documents with a recognised language, or with a letter where no language could be learnt; their columns unchanged."""
     samples = learn(docs, id_col, text_col, lang_col)
     if not samples:
-        return docs.limit(0)
+        return docs.where(letters_present(F.col(text_col)))
     return docs.withColumn("__p", predicted(F.col(text_col), samples)).where(F.col("__p.lang") != UNDEFINED).select(*docs.columns)
