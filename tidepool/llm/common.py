@@ -6,11 +6,17 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidepool.session import read_table, scratch_path
+from tidepool import session
+from tidepool.session import scratch_path
 
 __all__ = ["documents", "letters_present", "open_store", "read_table", "scratch_path", "staged"]
 
 
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One table, in a session that is made ready first: executors can import this package."""
+    return session.read_table(session.prepare(spark), sf_dir, name)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents")
 
