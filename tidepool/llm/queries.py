@@ -80,6 +80,18 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents(spark, sf_dir))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .phrases import collocations
+
+    return collocations(documents(spark, sf_dir))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ranking import ranked
+
+    return ranked(documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark"))
+
+
 def op13_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .hyperminhash import near_duplicate_sets
 
@@ -88,13 +100,45 @@ def op13_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_warc, op2_token_counts, op3_simhash, op4_line_dedup, op5_personal_data, op6_packing, op7_decontamination, op8_quality_rules, op9_perplexity, op10_language,
-    op13_hyperminhash)}
+    op11_collocations, op12_ranked_search, op13_hyperminhash)}
 
 _WORDS7 = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')"
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_TERMS12 = f"regexp_extract_all({_LOWER}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')"
+
 ORACLE: dict[str, str] = {
+    "op11_collocations": f"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+     w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p),
+     n AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+     g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+           FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest(range(1, 6)) AS k) WHERE len(w) >= k)),
+     f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+     c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+     cut AS (SELECT lang, phrase, a, cut, array_to_string(w[1:cut], ' ') AS x, array_to_string(w[cut + 1:], ' ') AS y
+             FROM (SELECT *, unnest(range(1, k)) AS cut FROM c)),
+     s AS (SELECT lang, phrase, a, n, cut, fx.f AS l, fy.f AS r, (1000::HUGEINT * a * n) // (fx.f::HUGEINT * fy.f) AS score
+           FROM cut JOIN f fx USING (lang) JOIN f fy USING (lang) JOIN n USING (lang) WHERE fx.phrase = x AND fy.phrase = y),
+     m AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+     i AS (SELECT DISTINCT lang, phrase, a FROM (SELECT lang, a, array_to_string(w[at:at + size - 1], ' ') AS phrase
+           FROM (SELECT lang, a, w, size, unnest(range(1, k - size + 2)) AS at FROM (SELECT *, unnest(range(2, k)) AS size FROM c)))),
+     o AS (SELECT m.* FROM m WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.lang = m.lang AND i.phrase = m.phrase AND i.a >= m.a)),
+     t AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM o)
+SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM t WHERE rank <= 2000""",
+    "op12_ranked_search": f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, {_TERMS12} AS w FROM documents),
+     b AS (SELECT row_number() OVER () AS item, item_id, {_TERMS12} AS w FROM benchmark),
+     s AS (SELECT count(*) FILTER (len(w) > 0) AS docs, sum(len(w))::BIGINT AS terms FROM d),
+     q AS (SELECT item, item_id, term, count(*) AS c FROM (SELECT item, item_id, unnest(w) AS term FROM b) GROUP BY ALL),
+     tf AS (SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+     wt AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, s GROUP BY term),
+     m AS (SELECT row, doc_id, 75 + (25 * len(w) * docs) // terms AS m FROM d, s WHERE len(w) > 0),
+     x AS (SELECT item, item_id, row, doc_id, sum(c * wt.w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+           FROM q JOIN tf USING (term) JOIN wt USING (term) JOIN m USING (row) GROUP BY ALL)
+SELECT item_id, (row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score
+FROM x WHERE score > 0 QUALIFY rank <= 20""",
     "op13_hyperminhash": f"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
      s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
