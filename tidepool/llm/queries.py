@@ -117,13 +117,13 @@ WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOW
            FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest(range(1, 6)) AS k) WHERE len(w) >= k)),
      f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
      c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
-     cut AS (SELECT lang, phrase, a, cut, array_to_string(w[1:cut], ' ') AS x, array_to_string(w[cut + 1:], ' ') AS y
+     cuts AS (SELECT lang, phrase, a, cut, array_to_string(w[1:cut], ' ') AS x, array_to_string(w[cut + 1:], ' ') AS y
              FROM (SELECT *, unnest(range(1, k)) AS cut FROM c)),
-     s AS (SELECT lang, phrase, a, n, cut, fx.f AS l, fy.f AS r, (1000::HUGEINT * a * n) // (fx.f::HUGEINT * fy.f) AS score
-           FROM cut JOIN f fx USING (lang) JOIN f fy USING (lang) JOIN n USING (lang) WHERE fx.phrase = x AND fy.phrase = y),
+     s AS (SELECT lang, cuts.phrase AS phrase, cuts.a AS a, n, cut, fx.f AS l, fy.f AS r, (1000::HUGEINT * a * n) // (fx.f::HUGEINT * fy.f) AS score
+           FROM cuts JOIN f fx USING (lang) JOIN f fy USING (lang) JOIN n USING (lang) WHERE fx.phrase = x AND fy.phrase = y),
      m AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
-     i AS (SELECT DISTINCT lang, phrase, a FROM (SELECT lang, a, array_to_string(w[at:at + size - 1], ' ') AS phrase
-           FROM (SELECT lang, a, w, size, unnest(range(1, k - size + 2)) AS at FROM (SELECT *, unnest(range(2, k)) AS size FROM c)))),
+     i AS (SELECT DISTINCT lang, phrase, a FROM (SELECT lang, a, array_to_string(w[pos:pos + size - 1], ' ') AS phrase
+           FROM (SELECT lang, a, w, size, unnest(range(1, k - size + 2)) AS pos FROM (SELECT *, unnest(range(2, k)) AS size FROM c)))),
      o AS (SELECT m.* FROM m WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.lang = m.lang AND i.phrase = m.phrase AND i.a >= m.a)),
      t AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM o)
 SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM t WHERE rank <= 2000""",
