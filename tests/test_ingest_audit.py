@@ -108,7 +108,7 @@ def test_transcripts(spark):
     assert t == {1: "hello world"}
 
 
-def test_throttle_wait_across_buckets(spark):
+def test_throttle_wait_across_ranges(spark):
     s = 1_000_000
     log = spark.createDataFrame([
         (1, "g", 0, 65 * s, 10 * s),         # 65 s fetch
@@ -117,11 +117,32 @@ def test_throttle_wait_across_buckets(spark):
         (4, None, 0, 1, 10 * s),
         (5, "h", 0, 1, 0),
     ], "event_id long, throttle_group string, ts_us long, end_us long, throttle_us long")
-    for bucket in (A.DAY_US, 50 * s):        # also split into 50 s buckets
-        got = {r.event_id: r.wait_us for r in A.throttle_wait(log, bucket_us=bucket).collect()}
+    for ranges in (1, 2, 7):
+        got = {r.event_id: r.wait_us for r in A.throttle_wait(log, ranges=ranges).collect()}
         assert got == {1: 0, 2: 5 * s, 3: 0, 4: 0, 5: 0}
 
 
+def test_throttle_wait_spreads_one_group_on_one_day(spark):
+    """A single group, many fetches of the same instants: all ranges have rows, and the waits are those of one lag."""
+    s, n = 1_000_000, 4_000
+    log = spark.range(n).selectExpr("id AS event_id", "'g' AS throttle_group", f"(id DIV 3) * {s} AS ts_us",
+                                    f"(id DIV 3) * {s} + (id % 5) * {s // 4} AS end_us", f"{s}L AS throttle_us")
+    got = A.throttle_wait(log, ranges=8)
+    ends = [(i // 3) * s + (i % 5) * (s // 4) for i in range(n)]
+    want = {i: max(0, s - ((i // 3) * s - ends[i - 1])) if i else 0 for i in range(n)}
+    assert {r.event_id: r.wait_us for r in got.collect()} == want
+    sizes = [r["count"] for r in log.repartitionByRange(8, "throttle_group", "ts_us", "event_id").groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < n / 4
+
+
+def test_dry_run_counts_a_missing_limit_as_the_default(spark):
+    registry = spark.createDataFrame([("f", "rss", None, True), ("g", "rss", 3, True), ("v", "youtube", None, True), ("off", "rss", None, False)],
+                                     "name string, type string, scrape_limit int, enabled boolean")
+    entries = spark.createDataFrame([("f",)] * 30 + [("g",)] * 2, "source string")
+    got = {r.source: r.would_scrape for r in A.dry_run_preview(entries, registry).collect()}
+    assert got == {"f": 10, "g": 2, "v": 10, "TOTAL": 22}
+
+
 def test_leak_scan(spark):
     docs = spark.createDataFrame([(1, "clean line\nmail me at bob@mail.example.com\nnoreply@x.example.com"),
                                   (2, 'token = "0123456789abcdef0123"\nat 10.0.0.1 now')], "doc_id long, text string")

@@ -40,18 +40,55 @@ def test_no_pairwise_joins_and_no_python_where_native(spark, name):
         assert all("unescape_full(CASE WHEN" in x for x in plan.splitlines() if "ArrowEvalPython" in x)
 
 
-def test_bounded_adapters_shuffle_no_large_side(spark):
-    """With automatic broadcasts off, what the adapters look up is cut to the kept items by a broadcast semi-join."""
+def _ancestors(plan, leaf):
+    """Operator names above the first plan line that holds ``leaf``, nearest first."""
+    lines = plan.splitlines()
+    at = next(i for i, x in enumerate(lines) if leaf in x)
+
+    def depth(x):
+        return len(x) - len(x.lstrip(" :+-*()0123456789"))
+    found, level = [], depth(lines[at])
+    for x in reversed(lines[:at]):
+        if depth(x) < level:
+            level = depth(x)
+            found.append(x.lstrip(" :+-*()0123456789"))
+    return found
+
+
+@pytest.mark.parametrize("limit", [10, 1_000_000])
+def test_adapters_shuffle_no_large_side(spark, limit):
+    """However many items are possible, seen files and bodies meet a Bloom filter before any exchange."""
+    from pyspark.sql import functions as F
     from tidepool.operators import ingest as G
     from tidepool.plans import fixtures as fx
-    reg = fx.registry_from_sources(spark.createDataFrame([("src4",), ("src3",), ("src0",)], "source string"))
+    reg = fx.registry_from_sources(spark.createDataFrame([("src4",), ("src3",), ("src0",)], "source string")).withColumn("scrape_limit", F.lit(limit))
     pages = spark.createDataFrame([(1, "src4", "https://s/blog/", '<a href="/posts/en-report_1">x</a>')], "page_id long, source string, feed_url string, html string")
-    seen = spark.range(50).selectExpr("'ns0' as namespace", "cast(id as string) as file_name")
-    fetched = spark.range(50).selectExpr("concat('https://s/posts/en-report_', id) as url", "repeat('word ', 200) as body")
-    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    seen = spark.range(50_001).selectExpr("'ns0' as namespace", "cast(id as string) as file_name")
+    fetched = spark.range(50_002).selectExpr("concat('https://s/posts/en-report_', id) as url", "repeat('word ', 200) as body")
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.optimizer.runtime.bloomFilter.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         plan = G.ingest_listing_items(pages, reg, seen, fetched)._jdf.queryExecution().executedPlan().toString()
     finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
-    assert plan.count("BroadcastHashJoin") >= 2 and "LeftSemi" in plan
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    for leaf in ("Range (0, 50001", "Range (0, 50002"):
+        above = _ancestors(plan, leaf)
+        first = next(x for x in above if x.startswith(("Exchange", "BroadcastHashJoin", "SortMergeJoin")))
+        assert first.startswith("BroadcastHashJoin"), (leaf, above)
+
+
+def test_bloom_filter_holds_every_key_and_few_others(spark):
+    from pyspark.sql import functions as F
+    from tidepool.operators import bloom as B
+    words = B.words_for(20_000)
+    keys = spark.range(20_000).selectExpr("concat('k', id) AS k", "id % 7 AS n").union(spark.createDataFrame([(None, 1)], "k string, n long"))
+    big = spark.range(60_000).selectExpr("concat('k', id) AS k", "id % 7 AS n", "id", "1 AS _x")
+    passed = B.might_hold(big, B.bloom_of(keys, ["k", "n"], words), ["k", "n"], words)
+    assert passed.columns == big.columns
+    assert passed.where("id < 20000").count() == 20_000 and passed.where("id >= 20000").count() < 2_000
+    full = B.bloom_of(keys, ["k", "n"], 1)  # a filter far too small still loses nothing
+    assert full.count() == 1 and B.might_hold(big, full, ["k", "n"], 1).where(F.col("id") < 20_000).count() == 20_000
+    assert B.words_for(None) == B.words_for(10 ** 12) == B.MAX_WORDS

@@ -2,9 +2,10 @@
 
 All aggregations here are partial (map-side combined) so a hot source,
 day or model is reduced before the shuffle.  The throttle audit is a
-per-group ``lag``; to keep a hot group from landing in one task it is
-split into time buckets and only the first row of each bucket looks up the
-previous bucket's last completion in a small (group, bucket) table.
+per-group ``lag`` over rows that are range-partitioned by (group, start, id): a
+hot group, even of one instant, is spread over as many tasks as its rows fill,
+and only the first row of a group in a range looks up the completion before it
+in a small table of one row for each (group, range).
 """
 
 from __future__ import annotations
@@ -13,24 +14,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool import contracts as C
-
-DAY_US = 86_400 * 1_000_000
-
+from tidepool.session import cut_lineage
 
 def throttle_wait(log: DataFrame, group_col: str = "throttle_group", start_col: str = "ts_us",
                   end_col: str = "end_us", throttle_col: str = "throttle_us", id_col: str = "event_id",
-                  bucket_us: int = DAY_US) -> DataFrame:
+                  ranges: int | None = None) -> DataFrame:
     """Adds ``wait_us`` = max(0, throttle − (start − previous completion in the group)).
 
     No group, a zero throttle, or no previous fetch → 0.  Ordering inside a
     group is (start, id).  Rows without a group wait for nobody and take no
-    part in the windows.
+    part in the windows.  ``ranges`` (default: the session's shuffle partitions) is
+    the number of ranges that all rows are dealt to.
     """
+    spark = log.sparkSession
     free = log.where(F.col(group_col).isNull()).withColumn("wait_us", F.lit(0).cast("long"))
     log = log.where(F.col(group_col).isNotNull())
-    b = F.floor(F.col(start_col) / F.lit(bucket_us)).cast("long")
-    df = log.withColumn("_b", b)
     order = [F.col(start_col), F.col(id_col)]
+    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # The ranges' bounds are sampled: the checkpoint keeps each row in its range for good.
+    df = cut_lineage(log.repartitionByRange(ranges, group_col, *order).withColumn("_b", F.spark_partition_id()))
     w = Window.partitionBy(group_col, "_b").orderBy(*order)
     df = df.withColumn("_prev_in", F.lag(end_col).over(w))
     last = df.groupBy(group_col, "_b").agg(
@@ -53,12 +55,12 @@ def scrape_counts(docs: DataFrame, source_col: str = "source") -> DataFrame:
 
 def dry_run_preview(entries: DataFrame, registry: DataFrame) -> DataFrame:
     """Per enabled source: feeds would scrape min(#entries, limit); other types their limit.
-    Plus a 'TOTAL' row.  Nothing is written."""
+    A missing limit is the default one.  Plus a 'TOTAL' row.  Nothing is written."""
     counts = entries.groupBy("source").agg(F.count(F.lit(1)).alias("_n"))
     reg = registry.where(F.col("enabled")).select(F.col("name").alias("source"), "type", "scrape_limit")
     j = reg.join(counts, "source", "left")
-    n = F.when(F.col("type") == "rss", F.least(F.coalesce(F.col("_n"), F.lit(0)), F.col("scrape_limit"))) \
-        .otherwise(F.col("scrape_limit"))
+    limit = F.coalesce(F.col("scrape_limit"), F.lit(C.DEFAULT_SCRAPE_LIMIT))
+    n = F.when(F.col("type") == "rss", F.least(F.coalesce(F.col("_n"), F.lit(0)), limit)).otherwise(limit)
     per = j.select("source", "type", n.cast("long").alias("would_scrape"))
     total = per.agg(F.sum("would_scrape").alias("would_scrape")).select(
         F.lit("TOTAL").alias("source"), F.lit(None).cast("string").alias("type"),

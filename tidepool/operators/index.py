@@ -5,19 +5,16 @@ The index is stored as parquet partitioned by ``month`` (``YYYY-MM`` of
 the index order inside each file.  Window queries then prune months and
 push the ``published`` bounds into the row-group statistics.
 
-Layout: ``data/ver=<n>/month=<m>/`` holds what version n wrote, and
-``manifest/<n>.json`` lists the folders that make up the index as of version n.
-A manifest appears by one rename after its data is complete, so a reader sees
-the old index or the new one, never a mixture, and a failed write leaves the old
-one in place.  A refresh writes only the months it touches and takes the other
-folders over from the manifest before.
+Writes are Spark's own dynamic partition overwrites: tasks write beside the
+index, and only the committed job puts the new months in the place of the old
+ones, so a failed write leaves the index as it was and a refresh touches only
+the months it names.  A month that has lost its last entry is overwritten by a
+row without a path, which readers skip.
 """
 
 from __future__ import annotations
 
-import json
-import os
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -126,82 +123,51 @@ def sink_index(entries: DataFrame, path: str, generated: str | None = None) -> s
     """Write the index as parquet partitioned by month, sorted within files.
 
     ``generated`` (a run parameter, e.g. an ISO timestamp) is stored with
-    every entry.  Readers see the old or the new version, never a partial one:
-    the new version's manifest is renamed into place after its data is written.
+    every entry.  Months of the index before that hold no entry any more are emptied.
     """
     if generated is not None:
         entries = entries.withColumn("generated", F.lit(generated))
-    write_version(entries, path, replaced=None)
+    overwrite_months(entries, path, [NO_DATE_MONTH, *index_months(entries.sparkSession, path)])
     return path
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
-
-
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    fs, folder, _ = _fs(spark, os.path.join(path, "manifest"))
-    if not fs.exists(folder):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(folder)]
-    return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json"))
-
+def overwrite_months(entries: DataFrame, path: str, months: list[str]) -> None:
+    """Replace the months of ``entries``, and those named, by ``entries``; other months stay.
 
-def _manifest(spark: SparkSession, path: str) -> dict | None:
-    """The current version's manifest: its columns and its month folders."""
-    versions = _versions(spark, path)
-    if not versions:
-        return None
-    text = spark.read.text(os.path.join(path, "manifest", f"{versions[-1]}.json"), wholetext=True).first()[0]
-    return json.loads(text)
+    ``entries`` may come from the index itself: the old files go when the job commits.
+    """
+    stamped = entries.withColumn("month", month_of(F.col("published")))
+    emptied = entries.sparkSession.createDataFrame([(m,) for m in sorted(set(months))], "month string")
+    (stamped.unionByName(emptied, allowMissingColumns=True)
+     .repartition("month", F.substring("path", 1, 64))
+     .sortWithinPartitions("month", *index_order_keys())
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path))
 
 
-def index_months(spark: SparkSession, path: str) -> dict[str, str]:
-    """Month → folder of the current version ({} when there is no index)."""
-    return (_manifest(spark, path) or {"months": {}})["months"]
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """All rows of the index with every month's columns, or None where there is no index."""
+    try:
+        found = spark.read.option("mergeSchema", "true").parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+    fields = [T.StructField("month", T.StringType()) if f.name == "month" else f for f in found.schema]
+    return spark.read.schema(T.StructType(fields)).parquet(path)
 
 
-def write_version(entries: DataFrame, path: str, replaced: list[str] | None) -> None:
-    """Write ``entries`` as a new version; ``replaced`` names the months they stand for
-    (None: all), the folders of other months are taken over."""
-    spark = entries.sparkSession
-    version = (_versions(spark, path) or [0])[-1] + 1
-    data = os.path.join(path, "data", f"ver={version}")
-    (entries.withColumn("month", month_of(F.col("published")))
-     .repartition("month", F.substring("path", 1, 64))
-     .sortWithinPartitions(*index_order_keys())
-     .write.mode("overwrite").partitionBy("month").parquet(data))
-    fs, folder, jvm = _fs(spark, data)
-    before = None if replaced is None else _manifest(spark, path)
-    fields = [f.jsonValue() for f in entries.schema.fields]
-    months: dict[str, str] = {}
-    if before is not None:
-        fields += [f for f in before["fields"] if f["name"] not in entries.columns]
-        months = {m: d for m, d in before["months"].items() if m not in set(replaced)}
-    names = [s.getPath().getName() for s in fs.listStatus(folder)]
-    months |= {n.removeprefix("month="): f"data/ver={version}/{n}" for n in names if n.startswith("month=")}
-    final = jvm.org.apache.hadoop.fs.Path(os.path.join(path, "manifest", f"{version}.json"))
-    pending = jvm.org.apache.hadoop.fs.Path(os.path.join(path, "manifest", f".{version}.pending"))
-    out = fs.create(pending, True)
-    out.write(bytearray(json.dumps({"fields": fields, "months": months}, indent=0).encode()))
-    out.close()
-    if not fs.rename(pending, final):
-        raise RuntimeError(f"version {version} of {path} was written by someone else")
+def index_months(spark: SparkSession, path: str) -> list[str]:
+    """The months of an index ([] when there is none); only the folders' names are read."""
+    rows = _stored(spark, path)
+    return [] if rows is None else sorted(r["month"] for r in rows.select("month").distinct().collect())
 
 
 def scan_index(spark: SparkSession, path: str) -> DataFrame:
-    """Read the current version of an index (partition column ``month``)."""
-    manifest = _manifest(spark, path)
-    if manifest is None:
+    """Read an index (partition column ``month``)."""
+    rows = _stored(spark, path)
+    if rows is None:
         raise FileNotFoundError(f"no index at {path}")
-    fields = [T.StructField.fromJson(f) for f in manifest["fields"]]
-    schema = T.StructType([*fields, T.StructField("month", T.StringType())])
-    folders = [os.path.join(path, d) for d in manifest["months"].values()]
-    if not folders:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("basePath", os.path.join(path, "data")).parquet(*folders)
+    return rows.where(F.col("path").isNotNull())
 
 
 def export_index_json(index: DataFrame, path: str) -> str:

@@ -29,6 +29,7 @@ from tidepool import contracts as C
 from tidepool.functions.dates import file_stem
 from tidepool.functions.text import has_min_words, keyword_match, sanitize_title
 from tidepool.functions.urls import url_hash
+from tidepool.operators.bloom import bloom_of, might_hold, words_for
 from tidepool.session import cut_lineage
 
 BROADCAST_MAX_ROWS = 200_000
@@ -90,16 +91,14 @@ def join_registry(items: DataFrame, registry: DataFrame, source_col: str = "sour
 
 
 def restrict_to(big: DataFrame, small_keys: DataFrame, keys: list[str], bound: int | None) -> DataFrame:
-    """Rows of ``big`` whose keys occur in ``small_keys``.
+    """Rows of ``big`` whose keys may occur in ``small_keys``: all that do, and a few chance hits.
 
-    When ``bound`` (a proven upper bound on ``small_keys`` rows) is within the
-    broadcast limit, this is a broadcast semi-join: ``big`` is scanned once and
-    never shuffled.  Otherwise ``big`` is returned as is (the caller's join
-    shuffles both sides).
+    A Bloom filter of the keys is tested in the scan of ``big``, which is never
+    shuffled whole, however many keys there are; the caller's join then decides.
+    ``bound`` (an upper bound on ``small_keys`` rows) sizes the filter.
     """
-    if bound is not None and bound <= BROADCAST_MAX_ROWS:
-        return big.join(F.broadcast(small_keys.select(*keys).distinct()), keys, "left_semi")
-    return big
+    words = words_for(bound)
+    return might_hold(big, bloom_of(small_keys, keys, words), keys, words)
 
 
 def limit_per_source(items: DataFrame, limit_col: str = "scrape_limit", part_col: str = "source",
@@ -163,8 +162,8 @@ def first_wins_dedup(items: DataFrame, keys=("namespace", "stem"), order=("sourc
 def anti_join_seen(items: DataFrame, seen: DataFrame, keys=("namespace",), bound: int | None = None) -> DataFrame:
     """Drop items whose stem already exists as a file in the namespace, any date.
 
-    With a proven ``bound`` on the item count, the (large, ever-growing) seen
-    table is first cut to the candidate stems by a broadcast semi-join.
+    The (large, ever-growing) seen table is first cut to the candidate stems by
+    a Bloom filter; ``bound`` is an upper bound on the item count.
     """
     existing = seen.select(*keys, file_stem(F.col("file_name")).alias("stem"))
     existing = restrict_to(existing, items, [*keys, "stem"], bound).distinct()
@@ -177,9 +176,8 @@ def full_body_join(items: DataFrame, fetched: DataFrame, min_words: int = C.MIN_
     with ≥ ``min_words`` words replaces the excerpt (``content_from`` says which).
 
     ``fetched`` holds one body per url (the output of a fetch job keyed by
-    url).  With a proven ``bound`` on the item count, only the bodies of the
-    items' links are read past the scan (broadcast semi-join); the body table
-    is never shuffled whole.
+    url).  Only the bodies of the items' links pass the scan (Bloom filter,
+    sized by ``bound``); the body table is never shuffled whole.
     """
     f = fetched.where(F.col("url") != "").select(F.col("url").alias("link"), F.col("body").alias("_fetched"))
     f = restrict_to(f, items.where(F.coalesce(F.col("link"), F.lit("")) != ""), ["link"], bound)
@@ -208,8 +206,8 @@ def ingest_feed_items(entries_raw: DataFrame, registry: DataFrame, seen: DataFra
     ``entries_raw`` comes from :func:`tidepool.sources.scans.scan_feed_raw`;
     cleaning runs after the per-source limit, so only kept entries pay for it.
     After the limit at most Σ(per-source limits) rows remain — a bound known
-    from the registry — and the large seen/body tables are cut by broadcast
-    semi-joins instead of being shuffled.  The limited rows are checkpointed
+    from the registry — and the large seen/body tables are cut by Bloom
+    filters of that size instead of being shuffled.  The limited rows are checkpointed
     so the scan below them runs once.
     """
     from tidepool.sources.scans import finish_entries
@@ -241,8 +239,7 @@ def ingest_listing_items(pages: DataFrame, registry: DataFrame, seen: DataFrame,
 
     Each page is cut to N links in its row; a source's pages then share one
     limit.  At most Σ(per-source limits) links remain: they are checkpointed,
-    and the body and seen tables are cut to them by broadcast semi-joins when
-    that bound is within the broadcast limit, else joined by a shuffle.
+    and the body and seen tables are cut to them by Bloom filters before they are joined.
     """
     from tidepool.functions.text import date_in_text, slug_text, title_from_body
     from tidepool.functions.urls import resolve_link

@@ -78,10 +78,9 @@ def verification_join(entries: DataFrame, tiers: DataFrame, entries_bound: int |
     counts (column ``checked_at``, if there is one), and on equal times the
     worse tier: the label fails closed.
 
-    With ``entries_bound`` (a proven row bound, e.g. the window limit) the
-    tiers table is first cut to the entries' urls by a broadcast semi-join,
-    so the large side is scanned once and never shuffled; without one both
-    sides are joined by key (AQE may still broadcast at run time).
+    The tiers table is first cut to the entries' urls by a Bloom filter, so the
+    large side is scanned once and never shuffled whole; ``entries_bound`` (an
+    upper bound on the entries, e.g. the window limit) sizes the filter.
     """
     from tidepool.operators.ingest import restrict_to
     urls = entries.select(F.col("url")).where(F.col("url") != "")

@@ -25,7 +25,7 @@ def q_throttle_wait(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("dry_run_preview", with_views("""
 WITH per AS (
   SELECT r.name AS source, r.type,
-         CAST(CASE WHEN r.type = 'rss' THEN least(coalesce(c.n, 0), r.scrape_limit) ELSE r.scrape_limit END AS BIGINT)
+         CAST(CASE WHEN r.type = 'rss' THEN least(coalesce(c.n, 0), coalesce(r.scrape_limit, 10)) ELSE coalesce(r.scrape_limit, 10) END AS BIGINT)
            AS would_scrape
   FROM v_registry r LEFT JOIN (SELECT source, count(*) AS n FROM v_items GROUP BY source) c ON c.source = r.name
   WHERE r.enabled)

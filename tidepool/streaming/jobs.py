@@ -200,8 +200,7 @@ def stream_index(spark: SparkSession, source_glob: str, schema: str, index_path:
     """Merge each batch of enriched entries into the month-partitioned index.
 
     Of several rows of one path in a batch the last one to arrive counts.  A batch rewrites the months it writes to and those that held its paths before,
-    so a document whose date moves leaves its old month; the new version becomes
-    visible by its manifest (see :mod:`tidepool.operators.index`).
+    so a document whose date moves leaves its old month (see :mod:`tidepool.operators.index`).
     """
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
@@ -213,17 +212,15 @@ def stream_index(spark: SparkSession, source_glob: str, schema: str, index_path:
         cols = [c for c in entries.columns if c not in ("path", "_arrival")]
         new = entries.groupBy("path").agg(F.max_by(F.struct(*cols), "_arrival").alias("_e")).select("path", "_e.*")
         new = cut_lineage(new.withColumn("month", I.month_of(F.col("published"))))
-        touched = new.select("month")
-        current = I.index_months(spark, index_path)
-        old = I.scan_index(spark, index_path) if current else None
-        if old is not None:  # months that held the batch's paths: only path and month are read
-            touched = touched.union(old.select("path", "month").join(new.select("path"), "path", "left_semi").select("month"))
-        months = [r[0] for r in touched.distinct().collect()]  # at most the months of the index
-        merged = new
-        if old is not None:
+        months = [r[0] for r in new.select("month").distinct().collect()]  # at most the months of the index
+        if I.index_months(spark, index_path):
+            old = I.scan_index(spark, index_path)
+            # months that held the batch's paths: only path and month are read
+            moved = old.select("path", "month").join(new.select("path"), "path", "left_semi").select("month").distinct()
+            months = sorted({*months, *(r[0] for r in moved.collect())})
             kept = old.where(F.col("month").isin(months)).join(new.select("path"), "path", "left_anti")
-            merged = kept.unionByName(new, allowMissingColumns=True)
-        I.write_version(merged.drop("month"), index_path, replaced=months)
+            new = kept.unionByName(new, allowMissingColumns=True)
+        I.overwrite_months(new.drop("month"), index_path, months)
 
     q = (src.writeStream.queryName("stream_index").foreachBatch(per_batch)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
