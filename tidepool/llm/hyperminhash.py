@@ -42,6 +42,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tidepool.operators.bloom import bloom_of, might_hold, words_for
+
 from .common import staged
 from .components import connected_components
 from .words import byte_table, mix, words
@@ -126,13 +128,21 @@ def sketch(shingles: np.ndarray, size: int) -> np.ndarray:
 
 def estimates(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
     """Collision-corrected Jaccard estimates of sketches, over the last axis."""
-    equal = ((a == b) & (a != 0)).sum(axis=-1)
-    used = ((a != 0) | (b != 0)).sum(axis=-1)
+    return _corrected(((a == b) & (a != 0)).sum(axis=-1), ((a != 0) | (b != 0)).sum(axis=-1), size_a, size_b)
+
+
+def _corrected(equal: np.ndarray, used: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
+    """The estimate from the numbers of equal and of used registers."""
     product = size_a.astype(float) * size_b
     chance = COLLISIONS * BUCKETS / 2 ** MANTISSA * 4 * product / (size_a.astype(float) + size_b) ** 2
     return (equal - chance) / np.maximum(used, 1)
 
 
+def _packed(flags: np.ndarray) -> np.ndarray:
+    """Rows of BUCKETS flags as 64-bit words."""
+    return np.packbits(flags, axis=1).view(np.uint64)
+
+
 def least_estimate(threshold: float) -> float:
     return threshold - DEVIATIONS * (threshold * (1 - threshold) / BUCKETS) ** 0.5
 
@@ -201,16 +211,18 @@ def _compared(group: pd.DataFrame, percent: int):
     least = least_estimate(percent / 100)
     names, counts = np.unique(comp, return_counts=True)
     largest = names[np.argmax(counts)]
+    filled = _packed(registers != 0)
 
     def partners(x: int, label: np.ndarray) -> np.ndarray:
         apart = (label != label[x]) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x]))
         apart &= (home == low + high - home[x]) if low != high else True
         # of two members outside the largest component, the first looks at the second
         apart &= (comp == largest) | (np.arange(len(n)) > x)
-        at = np.flatnonzero(apart)
-        if not len(at):
-            return at
-        at = at[estimates(registers[at], registers[x], n[at], n[x]) >= least]
+        if not apart.any():
+            return np.empty(0, np.int64)
+        equal = np.bitwise_count(_packed(registers == registers[x]) & filled).sum(axis=1)
+        used = np.bitwise_count(filled | filled[x]).sum(axis=1)
+        at = np.flatnonzero(apart & (_corrected(equal, used, n, n[x]) >= least))
         agree = (registers[at] == registers[x])[:, :BANDS * ROWS].reshape(len(at), BANDS, ROWS).all(axis=2)
         return at[agree.argmax(axis=1) == band]  # a pair belongs to its first common band
 
@@ -333,7 +345,10 @@ def _row_keys(id_col: str, text_col: str):
 def _full_sets(docs: DataFrame, sets: DataFrame, wanted: DataFrame, shingle_words: int, name: str) -> DataFrame:
     """(sid, shingles) of the wanted sets, each made again from the text of its first row."""
     places = staged(sets.join(wanted, "sid").select("sid", "first.key", "first.key2"), f"{name}-places")
-    texts = docs.join(places, ["key", "key2"]).dropDuplicates(["key", "key2"]).select("sid", "text")
+    # a filter in the scan keeps the other rows' texts out of the join's shuffle
+    size = words_for(places.count())
+    near = might_hold(docs, bloom_of(places, ["key", "key2"], size), ["key", "key2"], size)
+    texts = near.join(places, ["key", "key2"]).dropDuplicates(["key", "key2"]).select("sid", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
