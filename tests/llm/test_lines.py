@@ -1,6 +1,5 @@
-"""Line dedup against a plain version that matches each selected line with its first place."""
+"""Line dedup against a plain version: any run that has an earlier equal place."""
 
-import hashlib
 import random
 import re
 
@@ -10,37 +9,23 @@ from tidepool.llm import lines
 
 
 def brute(docs, window, long_chars):
-    """{key: (lines, deleted positions)} for distinct (doc_id, text); doc_ids are distinct."""
-    LAST = "f" * 33
-    hashed = {d: [LAST if re.fullmatch(r"[ \t\r\x0b\x0c]*", x) else hashlib.md5(x.encode()).hexdigest() for x in t.split("\n")] for d, t in docs if t}
-    text = dict(docs)
-    chosen = {}
-    for d, hs in hashed.items():
-        keep = set()
-        for s in range(max(1, len(hs) - window + 1)):
-            part = hs[s:s + window]
-            keep |= {s + k for k, h in enumerate(part) if h == min(part) and h != LAST}
-        keep |= {k for k, x in enumerate(text[d].split("\n")) if len(x) >= long_chars and hs[k] != LAST}
-        chosen[d] = sorted(keep)
-    first = {}
-    for d in sorted(chosen, key=lambda d: (d is not None, d)):
-        for p in chosen[d]:
-            first.setdefault(hashed[d][p], (d, p))
+    """{doc_id: deleted positions}: lines in a run of ``window`` lines or ``long_chars`` characters that occurs earlier; doc_ids are distinct."""
+    text = {d: t.split("\n") for d, t in docs if t}
     gone = {d: set() for d, _ in docs}
-    for d, places in chosen.items():
-        parts = text[d].split("\n")
-        for p in places:
-            fd, fp = first[hashed[d][p]]
-            if (fd, fp) == (d, p):
-                continue
-            lo = hi = p
-            a, b = hashed[d], hashed[fd]
-            while lo and fp - (p - lo) and a[lo - 1] == b[fp - (p - lo) - 1]:
-                lo -= 1
-            while hi + 1 < len(a) and fp + hi - p + 1 < len(b) and a[hi + 1] == b[fp + hi - p + 1]:
-                hi += 1
-            if hi - lo + 1 >= window or sum(len(parts[k]) for k in range(lo, hi + 1)) >= long_chars:
-                gone[d].update(range(lo, hi + 1))
+    earlier = set()
+    for d in sorted(text, key=lambda d: (d is not None, d)):
+        parts = text[d]
+        for p in range(len(parts)):
+            for size in range(1, window + 1):
+                run = tuple(parts[p:p + size])
+                if len(run) < size or all(re.fullmatch(r"[ \t\r\x0b\x0c]*", x) for x in run):
+                    continue
+                run = tuple("" if re.fullmatch(r"[ \t\r\x0b\x0c]*", x) else x for x in run)
+                if size < window and sum(len(x) for x in parts[p:p + size]) < long_chars:
+                    continue
+                if run in earlier:
+                    gone[d].update(range(p, p + size))
+                earlier.add(run)
     return gone
 
 
@@ -78,6 +63,13 @@ def test_guarantee_for_runs_of_window_lines(spark):
     assert out == {1: docs[0][1], 2: "other", 3: "last", 4: "second\nalone"}
 
 
+def test_runs_are_found_whichever_document_held_their_lines_first(spark):
+    """The run of 3 is in 2; its lines' first places are in 0 and 1, with other neighbours."""
+    docs = [(0, "a\nx"), (1, "y\nb"), (2, "p\na\nb\nq"), (3, "a\nb"), (4, "x\na\nb\ny")]
+    out = {r.doc_id: r.text for r in lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert out == {0: "a\nx", 1: "y\nb", 2: "p\na\nb\nq", 3: "", 4: "x\ny"}
+
+
 def test_nulls_repeated_rows_clashing_columns_and_long_texts(spark):
     long_text = "\n".join(f"line number {k}" for k in range(20_000))
     data = [(1, "one line that is long enough to be deleted later\nb", 5), (1, "one line that is long enough to be deleted later\nb", 5), (2, None, 6), (3, "", 7),

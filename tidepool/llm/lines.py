@@ -1,22 +1,23 @@
 """Line dedup by winnowing over line hashes, in DataFrame functions only.
 
-A line is a piece between line feeds; its hash is its MD5.  In every window of
-``WINDOW`` consecutive lines of a document the smallest hash is selected, so any
-run of that many lines that two places share has a selected line in common; long
-lines (``LONG_CHARS``) are selected too.  Selected lines are joined with their
-first place: the smallest (document, position).  A match is extended both ways while
-the lines agree: each selected line sees WINDOW - 1 neighbours, matches that touch
-on one diagonal are merged, and the few runs that still agree at an end go on
-through the documents' line hashes, ``BLOCK`` lines a round.  A later run is deleted
-where it has ``WINDOW`` lines or ``LONG_CHARS`` characters at least; the first
-place stays.
-
-Only selected lines (hash, place, neighbours' hashes) are shuffled, by hash, then
-their matches by document.  Each occurrence meets one first place, never all
-others, so a line that many documents share costs one row each.
-
-Defined cases: null and empty texts stay as they are; blank lines are never
-selected, but belong to runs; documents come in the order of their identifiers,
+A line is a piece between line feeds; its hash is its MD5.  Every window of
+``WINDOW`` consecutive lines of a document is represented by its smallest hash, and
+counts where that is not a blank line's.  The fingerprint of a window is the window
+as its minimum finds it: a run of WINDOW lines that two places share is a whole
+window at both, so each such run is found, whatever precedes or follows it.  Shorter
+runs have a fingerprint where they hold ``LONG_CHARS`` characters.
+
+Fingerprints are joined with their first place: the smallest (document, position).
+Those found elsewhere are matches; matches that touch or overlap are one run, which
+so extends both ways as far as windows repeat.  Runs are deleted; a line stays where
+no run with an earlier equal place holds it, so the first place of a line stays.
+
+Only fingerprints (two longs and a place) are shuffled, by their hash, then matches
+by document.  Each occurrence meets one first place, never all others, so a line
+that many documents share costs one row each.
+
+Defined cases: null and empty texts stay as they are; blank lines alone are no run,
+but belong to runs; documents come in the order of their identifiers,
 null first, ties by a hash of the text; repeated rows (same identifier and text)
 are one document and get the same result; a document all of whose lines repeat
 is left with the empty text.  Texts are never cut; ``n_deleted`` counts lines.
@@ -31,8 +32,6 @@ from .common import staged
 
 WINDOW = 2
 LONG_CHARS = 40
-#: Line hashes a row holds when runs are extended beyond what their selected lines saw.
-BLOCK = 512
 #: Sorts after every MD5: a blank line's stand-in.
 _LAST = "f" * 33
 
@@ -45,39 +44,33 @@ def _hash(line: Column) -> Column:
     return F.when(F.trim(F.translate(line, "\t\r\x0b\x0c", "    ")) == "", F.lit(_LAST)).otherwise(F.md5(line.cast("binary")))
 
 
-def selected_lines(docs: DataFrame, window: int = WINDOW, long_chars: int = LONG_CHARS) -> DataFrame:
-    """The selected lines: id, key, pos, h, chars, and the neighbours' hashes and lengths, nearest first.
+def fingerprints(docs: DataFrame, window: int = WINDOW, long_chars: int = LONG_CHARS) -> DataFrame:
+    """The fingerprints (id, key, pos, size, k1, k2) of the documents (id, key, text).
 
-    ``docs`` has id, key, text.
+    One for each window of ``window`` lines whose smallest hash is not a blank
+    line's, and one for each shorter run of ``long_chars`` characters or more.
     """
     at = docs.where(F.length("text") > 0).select("id", "key", _lines(F.col("text")).alias("lines"))
     at = at.select("id", "key", F.transform("lines", _hash).alias("hs"), F.transform("lines", lambda x: F.length(x)).alias("ns"))
     n = F.size("hs")
-    # minimum of the window that starts at each line (one shorter window for a short document)
-    minima = F.transform(F.sequence(F.lit(1), F.greatest(n - (window - 1), F.lit(1))), lambda s: F.array_min(F.slice("hs", s, F.lit(window))))
-    at = at.select("id", "key", "hs", "ns", minima.alias("minima"))
 
-    def chosen(i: Column) -> Column:  # i from 0; the windows that hold it start at low..high
-        last = F.size("minima") - 1
-        low, high = F.least(F.greatest(i - (window - 1), F.lit(0)), last), F.least(i, last)
-        h = F.get("hs", i)
-        return (h != _LAST) & (F.array_contains(F.slice("minima", low + 1, high - low + 1), h) | (F.get("ns", i) >= long_chars))
+    def of(size: int) -> Column:
+        starts = F.when(n >= size, F.sequence(F.lit(0), n - size)).otherwise(F.array().cast("array<int>"))
 
-    places = F.filter(F.sequence(F.lit(0), F.size("hs") - 1), chosen)
-    rows = at.select("id", "key", "hs", "ns", F.explode(places).alias("pos"))
-    side = window - 1
-    before = F.least(F.col("pos"), F.lit(side))
-    return rows.select(
-        "id", "key", "pos", F.get("hs", F.col("pos")).alias("h"), F.get("ns", F.col("pos")).alias("chars"),
-        F.reverse(F.slice("hs", F.col("pos") - before + 1, before)).alias("hs_before"), F.reverse(F.slice("ns", F.col("pos") - before + 1, before)).alias("ns_before"),
-        F.slice("hs", F.col("pos") + 2, F.lit(side)).alias("hs_after"), F.slice("ns", F.col("pos") + 2, F.lit(side)).alias("ns_after"))
+        def wanted(s: Column) -> Column:
+            lines = F.slice("hs", s + 1, F.lit(size))
+            some = F.array_min(lines) != _LAST
+            if size == window:
+                return some
+            return some & (F.aggregate(F.slice("ns", s + 1, F.lit(size)), F.lit(0).cast("long"), lambda t, x: t + x) >= long_chars)
 
+        def made(s: Column) -> Column:
+            lines = F.slice("hs", s + 1, F.lit(size))
+            return F.struct(s.alias("pos"), F.lit(size).alias("size"), F.xxhash64(lines).alias("k1"), F.xxhash64(F.lit(size), lines).alias("k2"))
 
-def _agreeing(a: Column, b: Column) -> Column:
-    """How many leading elements of two arrays are equal."""
-    both = F.least(F.size(a), F.size(b))
-    same = F.zip_with(F.slice(a, F.lit(1), both), F.slice(b, F.lit(1), both), lambda x, y: x == y)
-    return F.coalesce(F.nullif(F.array_position(same, False), F.lit(0)) - 1, F.size(same).cast("long")).cast("int")
+        return F.transform(F.filter(starts, wanted), made)
+
+    return at.select("id", "key", F.explode(F.flatten(F.array(*[of(k) for k in range(1, window + 1)]))).alias("f")).select("id", "key", "f.*")
 
 
 def _merged(ranges: DataFrame, by: list[str]) -> DataFrame:
@@ -87,69 +80,14 @@ def _merged(ranges: DataFrame, by: list[str]) -> DataFrame:
     return ranges.withColumn("new", (F.coalesce(reach, F.lit(-2)) < F.col("lo") - 1).cast("int")).withColumn("run", F.sum("new").over(order))
 
 
-def line_blocks(docs: DataFrame) -> DataFrame:
-    """(id, key, block, hs): the 64-bit line hashes of each document, ``BLOCK`` lines a row."""
-    hs = F.transform(_lines(F.col("text")), lambda x: F.xxhash64(x))
-    at = docs.where(F.length("text") > 0).select("id", "key", hs.alias("hs"))
-    at = at.select("id", "key", "hs", F.explode(F.sequence(F.lit(0), F.floor((F.size("hs") - 1) / BLOCK).cast("int"))).alias("block"))
-    return at.select("id", "key", "block", F.slice("hs", F.col("block") * BLOCK + 1, F.lit(BLOCK)).alias("hs")).distinct()
-
-
-def _extended(runs: DataFrame, blocks: DataFrame, end: str, step: int) -> DataFrame:
-    """Moves ``end`` (lo or hi) of the open runs on, up (-1) or down (+1), as far as the lines agree."""
-    done = []
-    by = [c for c in runs.columns if c not in {end, "open"}]
-    todo = runs.where("open")
-    done.append(runs.where("not open"))
-    own = blocks.select(F.col("id").alias("a_id"), F.col("key").alias("a_key"), F.col("block").alias("a_block"), F.col("hs").alias("a"))
-    other = blocks.select(F.col("id").alias("b_id"), F.col("key").alias("b_key"), F.col("block").alias("b_block"), F.col("hs").alias("b"))
-    while not todo.isEmpty():
-        at = todo.withColumn("p", (F.col(end) + step).cast("int")).withColumn("q", (F.col("p") - F.col("diagonal")).cast("int"))
-        for side, place, i, k in ((own, "p", "id", "key"), (other, "q", "of_id", "of_key")):
-            x = "a" if side is own else "b"
-            at = staged(at, "lines-open").join(side, (F.col(k) == F.col(f"{x}_key")) & (F.floor(F.col(place) / BLOCK) == F.col(f"{x}_block"))
-                                               & F.col(i).eqNullSafe(F.col(f"{x}_id")), "left")
-        within = lambda place: (F.pmod(F.col(place), F.lit(BLOCK)) + 1).cast("int")
-        rest = lambda x, place: (F.slice(x, within(place), F.lit(BLOCK)) if step > 0
-                                 else F.reverse(F.slice(x, F.lit(1), F.least(within(place), F.size(x)))))
-        inside = F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("p") >= 0) & (F.col("q") >= 0)
-        a, b = rest("a", "p"), rest("b", "q")
-        agreed = F.when(inside, _agreeing(a, b)).otherwise(0)
-        moved = staged(at.select(*by, end, agreed.alias("agreed"), F.when(inside, F.least(F.size(a), F.size(b))).otherwise(0).alias("seen")).select(
-            *by, (F.col(end) + step * F.col("agreed")).alias(end), ((F.col("seen") > 0) & (F.col("agreed") == F.col("seen"))).alias("open")), "lines-moved")
-        done.append(moved.where("not open"))
-        todo = moved.where("open")
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionByName(part)
-    return out.drop("open")
-
-
 def deleted_runs(docs: DataFrame, window: int = WINDOW, long_chars: int = LONG_CHARS) -> DataFrame:
     """(id, key, runs): for each document with later repeated runs their line ranges, sorted, disjoint."""
-    lines = staged(selected_lines(docs, window, long_chars), "lines-selected")
-    first = staged(lines.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "key", "pos", "hs_before", "hs_after")).alias("first"))
-                   .where("n > 1").select("h", "first"), "lines-first")
-    later = lines.join(first, "h").where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("key") == F.col("first.key")) & (F.col("pos") == F.col("first.pos"))))
-    up, down = _agreeing(F.col("hs_before"), F.col("first.hs_before")), _agreeing(F.col("hs_after"), F.col("first.hs_after"))
-    total = lambda lengths, n: F.aggregate(F.slice(lengths, F.lit(1), n), F.lit(0).cast("long"), lambda s, x: s + x)
-    matches = later.select(
-        "id", "key", F.col("first.id").alias("of_id"), F.col("first.key").alias("of_key"), (F.col("pos") - F.col("first.pos")).alias("diagonal"),
-        "pos", "chars", up.alias("up"), down.alias("down"), "ns_before", "ns_after").select(
-        "id", "key", "of_id", "of_key", "diagonal", (F.col("pos") - F.col("up")).alias("lo"), (F.col("pos") + F.col("down")).alias("hi"),
-        (F.col("up") == window - 1).alias("up_open"), (F.col("down") == window - 1).alias("down_open"),
-        (F.col("chars") + total(F.col("ns_before"), F.col("up")) + total(F.col("ns_after"), F.col("down"))).alias("chars")).distinct()
-    by = ["id", "key", "of_id", "of_key", "diagonal"]
-    # A run is open where its outermost selected line agreed as far as it could see.
-    runs = staged(_merged(matches, by).groupBy(*by, "run").agg(
-        F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("chars").alias("chars"),
-        F.min(F.struct("lo", "up_open")).alias("first"), F.max(F.struct("hi", "down_open")).alias("last")).drop("run")
-        .withColumns({"up_open": F.col("first.up_open"), "down_open": F.col("last.down_open")}).drop("first", "last"), "lines-runs")
-    blocks = staged(line_blocks(docs), "lines-blocks")
-    runs = _extended(runs.withColumnRenamed("down_open", "open"), blocks, "hi", 1)
-    runs = _extended(staged(runs.withColumnRenamed("up_open", "open"), "lines-runs-down"), blocks, "lo", -1)
-    lasting = runs.where((F.col("hi") - F.col("lo") + 1 >= window) | (F.col("chars") >= long_chars)).select("id", "key", "lo", "hi").distinct()
-    whole = _merged(lasting, ["id", "key"]).groupBy("id", "key", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    found = staged(fingerprints(docs, window, long_chars), "lines-fingerprints")
+    first = staged(found.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "key", "pos")).alias("first"))
+                   .where("n > 1").select("k1", "k2", "first"), "lines-first")
+    at_first = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("key") == F.col("first.key")) & (F.col("pos") == F.col("first.pos"))
+    matches = found.join(first, ["k1", "k2"]).where(~at_first).select("id", "key", F.col("pos").alias("lo"), (F.col("pos") + F.col("size") - 1).alias("hi")).distinct()
+    whole = _merged(staged(matches, "lines-matches"), ["id", "key"]).groupBy("id", "key", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     return whole.groupBy("id", "key").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("runs"))
 
 

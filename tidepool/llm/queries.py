@@ -165,16 +165,11 @@ WITH l AS (SELECT doc_id, p AS pos, line, length(line) AS ns,
                   CASE WHEN regexp_full_match(line, '[ \\t\\r\\x0b\\x0c]*') THEN repeat('f', 33) ELSE md5(line) END AS h
            FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS p
                  FROM documents WHERE length(text) > 0)),
-     a AS (SELECT *, lag(h) OVER w AS ph, lead(h) OVER w AS nh, count(*) OVER (PARTITION BY doc_id) AS n
-           FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
-     s AS (SELECT * FROM a WHERE h <> repeat('f', 33) AND (n = 1 OR h <= ph OR h <= nh OR ns >= 40)),
-     f AS (SELECT h, min((doc_id, pos)) AS first FROM s GROUP BY h HAVING count(*) > 1),
-     m AS (SELECT s.doc_id, s.pos, f.first[1] AS cdoc, s.pos - f.first[2] AS diag FROM s JOIN f USING (h) WHERE (s.doc_id, s.pos) <> f.first),
-     e AS (SELECT t.doc_id, t.cdoc, t.diag, x.pos, x.ns, x.pos - row_number() OVER (PARTITION BY t.doc_id, t.cdoc, t.diag ORDER BY x.pos) AS island
-           FROM (SELECT DISTINCT doc_id, cdoc, diag FROM m) t JOIN l x ON x.doc_id = t.doc_id JOIN l y ON y.doc_id = t.cdoc AND y.pos = x.pos - t.diag AND y.h = x.h),
-     k AS (SELECT e.doc_id, e.cdoc, e.diag, e.island, bool_or(m.pos IS NOT NULL) AS seeded, count(*) AS n, sum(e.ns) AS chars
-           FROM e LEFT JOIN m ON m.doc_id = e.doc_id AND m.cdoc = e.cdoc AND m.diag = e.diag AND m.pos = e.pos GROUP BY ALL),
-     g AS (SELECT DISTINCT e.doc_id, e.pos FROM e JOIN k USING (doc_id, cdoc, diag, island) WHERE seeded AND (k.n >= 2 OR k.chars >= 40)),
+     a AS (SELECT *, lead(h) OVER (PARTITION BY doc_id ORDER BY pos) AS nh FROM l),
+     u AS (SELECT doc_id, pos, 2 AS size, h || nh AS run FROM a WHERE nh IS NOT NULL AND least(h, nh) <> repeat('f', 33)
+           UNION ALL SELECT doc_id, pos, 1, h FROM a WHERE ns >= 40 AND h <> repeat('f', 33)),
+     e AS (SELECT *, min((doc_id, pos)) OVER (PARTITION BY run) AS first FROM u),
+     g AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + size)) AS pos FROM e WHERE (doc_id, pos) <> first),
      r AS (SELECT l.doc_id, count(*) AS n_lines, count(g.pos) AS n_deleted, string_agg(line, chr(10) ORDER BY l.pos) FILTER (g.pos IS NULL) AS text
            FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.pos = g.pos GROUP BY l.doc_id)
 SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_deleted, 0) AS n_deleted,
