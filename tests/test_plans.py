@@ -80,6 +80,33 @@ def test_adapters_shuffle_no_large_side(spark, limit):
         assert first.startswith("BroadcastHashJoin"), (leaf, above)
 
 
+def test_updating_documents_moves_no_bodies(spark, tmp_path):
+    """The document side of the upsert is read in its buckets: its first exchange, join or write is the join."""
+    from tidepool.sources import doctable as DT
+    docs = spark.range(40).selectExpr("concat('p', id) AS path", "'2024-01-05' AS published", "repeat('b', 50) AS body")
+    table = DT.store_documents(docs, "plan_documents", str(tmp_path / "docs"))
+    res = spark.createDataFrame([("p1", True, (True, "s"))], "path string, ok boolean, clean struct<enriched: boolean, summary: string>")
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        clean = res.selectExpr("path", "ok", "named_struct('enriched', clean.enriched, 'summary', clean.summary, 'topics', CAST(NULL AS struct<primary: array<string>, secondary: array<string>>), "
+                               "'entities', CAST(NULL AS struct<organizations: array<string>, people: array<string>>), 'key_takeaways', CAST(NULL AS array<string>)) AS clean")
+        plan = DT.merged_documents(spark, table, clean)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    scan = next(x for x in plan.splitlines() if "Scan parquet" in x and "body#" in x)
+    first = next(x for x in _ancestors(plan, scan.strip()) if x.startswith(("Exchange", "SortMergeJoin")))
+    assert first.startswith("SortMergeJoin"), plan
+    spark.sql(f"DROP TABLE {table}")
+
+
+def test_alias_lookup_is_a_join(spark):
+    assert "Join" in plan_of(spark, "alias_join")
+
+
 def test_bloom_filter_holds_every_key_and_few_others(spark):
     from pyspark.sql import functions as F
     from tidepool.operators import bloom as B

@@ -145,3 +145,43 @@ def test_ensure_list(spark):
     df = spark.createDataFrame([(v,) for v in vals], "j string")
     got = [r[0] for r in df.select(ensure_list(F.try_parse_json("j"))).collect()]
     assert got == [["x"], ["a", "1"], [], [], []]
+
+
+def test_long_entity_lists_are_normalised_in_one_scan(spark):
+    """100 000 names, half of them repeats in another casing."""
+    names = [f"Name {i}" for i in range(50_000)] + [f"NAME {i}" for i in range(50_000)]
+    got = spark.createDataFrame([(names,)], "e array<string>").select(R.normalize_list(F.col("e"), R.alias_map([("name 7", "Seven")])).alias("n")).first().n
+    assert got == sorted([f"Name {i}" for i in range(50_000) if i != 7] + ["Seven"])
+
+
+def test_alias_join_takes_the_last_alias_and_keeps_unknown_values(spark):
+    ents = spark.createDataFrame([(1, 0, "THE"), (1, 1, "Other"), (2, 0, None)], "doc_id int, pos int, token string")
+    aliases = spark.createDataFrame([(0, "the", "first"), (1, "The", "last"), (2, "unused", "x")], "alias_ord int, alias string, canonical string")
+    assert sorted((r.doc_id, r.pos, r.canonical) for r in R.alias_join(ents, aliases).collect()) == [(1, 0, "last"), (1, 1, "Other"), (2, 0, None)]
+
+
+def test_document_table_is_updated_in_place(spark, tmp_path):
+    """Only the months of updated documents are written; a new session finds the table by its files."""
+    from tidepool.sources import doctable as DT
+
+    folder = tmp_path / "docs"
+    docs = spark.createDataFrame([("a", "2024-01-05", "A", "old"), ("b", "2024-02-05", "B", None), ("c", None, "C", None), ("d", "2024-01-09", "D", None)],
+                                 "path string, published string, body string, summary string")
+    DT.store_documents(docs, "upsert_documents", str(folder), buckets=8)
+    shape = "path string, ok boolean, clean struct<enriched: boolean, summary: string, topics: struct<primary: array<string>, secondary: array<string>>, " \
+            "entities: struct<organizations: array<string>, people: array<string>>, key_takeaways: array<string>>"
+    res = spark.createDataFrame([("a", True, (True, "new", (["ai"], []), None, None)), ("b", False, None), ("gone", True, (True, "x", None, None, None))], shape)
+
+    def files(month):
+        return sorted(f.name for f in (folder / f"month={month}").glob("*.parquet"))
+
+    before = {m: files(m) for m in ("2024-01", "2024-02", "0000-00")}
+    got = {r.path: (r.body, r.enriched, r.summary, r.topics and r.topics.primary) for r in DT.upsert_documents(spark, "upsert_documents", res).collect()}
+    assert got == {"a": ("A", True, "new", ["ai"]), "b": ("B", None, None, None), "c": ("C", None, None, None), "d": ("D", None, None, None)}
+    assert files("2024-02") == before["2024-02"] and files("0000-00") == before["0000-00"] and files("2024-01") != before["2024-01"]
+    spark.sql("DROP TABLE upsert_documents")
+    DT.open_documents(spark, "reopened_documents", str(folder), buckets=8)
+    more = spark.createDataFrame([("b", True, (True, "later", None, None, ["k"]))], shape)
+    got = {r.path: (r.summary, r.key_takeaways) for r in DT.upsert_documents(spark, "reopened_documents", more).collect()}
+    assert got == {"a": ("new", None), "b": ("later", ["k"]), "c": (None, None), "d": (None, None)}
+    spark.sql("DROP TABLE reopened_documents")

@@ -250,14 +250,15 @@ def _fold_py(s: str) -> str:
 def normalize_list(arr: Column, amap: Column) -> Column:
     """Strings only → alias → dedupe by folded canonical form (first casing wins) → sorted.
 
-    The distinct folds come from a hash set; each then takes the spelling at its
-    first place.
+    The (fold, place, spelling) triples are sorted once; of equal folds, which then lie
+    side by side, the first is kept.
     """
     strings = F.coalesce(arr, F.array().cast("array<string>"))
     canon = F.zip_with(strings, casefold_array(strings), lambda x, fold: F.coalesce(F.try_element_at(amap, fold), x))
     pair = F.struct(canon.alias("canon"), casefold_array(canon).alias("folds"))
-    firsts = let(pair, lambda p: F.transform(F.array_distinct(p["folds"]), lambda f: F.element_at(p["canon"], F.array_position(p["folds"], f).cast("int"))))
-    return F.when(arr.isNull(), F.lit(None).cast("array<string>")).otherwise(F.array_sort(firsts))
+    triples = let(pair, lambda p: F.array_sort(F.transform(p["canon"], lambda x, i: F.struct(F.get(p["folds"], i).alias("fold"), i.alias("at"), x.alias("canon")))))
+    firsts = let(triples, lambda t: F.filter(t, lambda x, i: (i == 0) | (x["fold"] != F.get(t, i - 1)["fold"])))
+    return F.when(arr.isNull(), F.lit(None).cast("array<string>")).otherwise(F.array_sort(F.transform(firsts, lambda x: x["canon"])))
 
 
 def variant_strings(x: Column) -> Column:
@@ -274,23 +275,27 @@ def normalize_entity_groups(v: Column, amap: Column) -> Column:
     return F.when(is_dict, F.struct(*groups))
 
 
+def alias_join(ents: DataFrame, aliases: DataFrame, value_col: str = "token") -> DataFrame:
+    """``ents`` with ``canonical``: the value's alias (compared folded, the last of repeated aliases), else the value.
+
+    A join with the alias table, of any size: Spark broadcasts it where its bytes
+    allow and shuffles both sides by the folded value otherwise, splitting skewed values at run time.
+    """
+    last = (aliases.withColumn("_fold", casefold(F.col("alias"))).groupBy("_fold")
+            .agg(F.max_by("canonical", "alias_ord").alias("_canonical")))
+    j = ents.withColumn("_fold", casefold(F.col(value_col))).join(last, "_fold", "left")
+    return j.withColumn("canonical", F.coalesce("_canonical", value_col)).drop("_fold", "_canonical")
+
+
 def normalize_entities_table(ents: DataFrame, aliases: DataFrame, id_col: str = "doc_id",
                              pos_col: str = "pos", value_col: str = "token") -> DataFrame:
     """Exploded entities (id, pos, value) → (id, entities sorted).
 
-    The alias table is a dimension: reduced to one canonical per folded key
-    (last wins) and broadcast after its row count is checked.  Dedup is a ``min_by`` aggregation
-    (partial) on (id, folded canonical); the final list per id is bounded by
-    that record's entities.
+    Dedup is a ``min_by`` aggregation (partial) on (id, folded canonical); the
+    final list per id is bounded by that record's entities.
     """
-    a = aliases.withColumn("fold", casefold(F.col("alias")))
-    last = Window.partitionBy("fold").orderBy(F.col("alias_ord").desc())
-    a = a.withColumn("_r", F.row_number().over(last)).where(F.col("_r") == 1).select("fold", "canonical")
-    e = ents.withColumn("fold", casefold(F.col(value_col)))
-    from tidepool.operators.ingest import checked_broadcast
-    j = e.join(checked_broadcast(a), "fold", "left")
-    canon = F.coalesce(F.col("canonical"), F.col(value_col))
-    j = j.select(id_col, pos_col, canon.alias("canon")).withColumn("cfold", casefold(F.col("canon")))
+    j = alias_join(ents, aliases, value_col)
+    j = j.select(id_col, pos_col, F.col("canonical").alias("canon")).withColumn("cfold", casefold(F.col("canon")))
     firsts = j.groupBy(id_col, "cfold").agg(F.min_by("canon", pos_col).alias("canon"))
     return firsts.groupBy(id_col).agg(F.array_sort(F.collect_list("canon")).alias("entities"))
 

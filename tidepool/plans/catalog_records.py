@@ -13,7 +13,7 @@ from tidepool.plans import fixtures as fx
 from tidepool.plans import sqlfn as S
 from tidepool.plans.catalog import register
 from tidepool.plans.oracle_views import with_views
-from tidepool.session import scratch_path
+from tidepool.session import cut_lineage, scratch_path
 
 VOCAB = fx.VOCABULARY
 _VOCAB_SQL = "[" + ", ".join(f"'{t}'" for t in VOCAB) + "]"
@@ -134,11 +134,8 @@ FROM v_entities e LEFT JOIN alias_red a ON a.fold = {S.casefold('e.token')}""",
     extra={"aliases": _aliases_sql(), "alias_red": _ALIAS_RED_SQL}))
 def q_alias_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Folded token → canonical form (duplicate alias keys: the last wins), else the token."""
-    from tidepool.functions.text import casefold
-    e = fx.v_entities(spark, sf_dir)
-    amap = R.alias_map(fx.ALIASES)
-    return e.select("doc_id", F.col("pos").cast("long").alias("pos"),
-                    F.coalesce(F.try_element_at(amap, casefold(F.col("token"))), F.col("token")).alias("canonical"))
+    e = R.alias_join(fx.v_entities(spark, sf_dir), fx.v_aliases(spark))
+    return e.select("doc_id", F.col("pos").cast("long").alias("pos"), "canonical")
 
 
 @register("normalize_entities", with_views(f"""
@@ -192,12 +189,15 @@ SELECT d.path, d.title, w.enriched, w.summary, array_to_string(w.primary_topics,
          AS n_takeaways
 FROM v_docs d LEFT JOIN win w ON w.path = d.path""", "v_rec", extra={"checked": _CHECKED_SQL}))
 def q_upsert_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Successful records merged into every document; failed ones untouched."""
+    """Successful records put into the document table (bodies included); failed ones untouched."""
+    from tidepool.sources import doctable as DT
+
     t = R.validate_typed(_records(spark, sf_dir), VOCAB)
     t = t.withColumn("clean", F.when(F.col("ok"), R.sanitize_typed(F.col("record"), R.alias_map(fx.ALIASES))))
-    res = R.first_valid_attempt(t.select("path", "attempt", "ok", "errors", "clean"))
-    docs = fx.v_docs(spark, sf_dir).select("path", "title", "source")
-    m = R.upsert_metadata(docs, res)
+    res = cut_lineage(R.first_valid_attempt(t.select("path", "attempt", "ok", "errors", "clean")))
+    docs = fx.v_docs(spark, sf_dir).select("path", "title", "source", "published", F.col("content").alias("body"))
+    folder = scratch_path(spark, "documents")
+    m = DT.upsert_documents(spark, DT.store_documents(docs, folder.rsplit("/", 1)[-1].replace("-", "_"), folder), res)
     return m.select("path", "title", "enriched", "summary", F.array_join("topics.primary", "|").alias("primary_topics"),
                     F.size("key_takeaways").cast("long").alias("n_takeaways"))
 
