@@ -90,6 +90,17 @@ def unescape(c: Column, full: bool = True, source: Column | None = None) -> Colu
     return F.coalesce(unescape_full(F.when(rare, c)), decode_entities(c))
 
 
+@F.pandas_udf(T.StringType())
+def unescape_markup(s: pd.Series) -> pd.Series:
+    """The full entity table over a text that is still markup: what would become markup stays an entity."""
+    import re
+
+    def decoded(m):
+        made = _html.unescape(m[0])
+        return m[0] if made == m[0] else _html.escape(made, quote=False)
+    return s.map(lambda x: None if x is None else re.sub(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]{0,31};?)", decoded, x))
+
+
 @F.pandas_udf(T.StringType())
 def _html_names(s: pd.Series) -> pd.Series:
     import re
@@ -140,24 +151,73 @@ def strip_html(c: Column, full_entities: bool = True) -> Column:
     return F.coalesce(collapse_ws(t), F.lit(""))
 
 
-# Blocks dropped before reading the main text.
-BOILERPLATE_TAGS = ("script", "style", "nav", "header", "footer", "aside")
+# Elements that hold no article text, and elements that end a block of text.
+BOILERPLATE_TAGS = ("head", "script", "style", "noscript", "template", "nav", "header", "footer", "aside")
+BLOCK_TAGS = ("address", "article", "blockquote", "body", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "form",
+              "h1", "h2", "h3", "h4", "h5", "h6", "hr", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tr", "ul")
+# The word counts and link densities of the decision tree of Kohlschütter,
+# Fankhauser and Nejdl, "Boilerplate Detection using Shallow Text Features" (2010), number-of-words form.
+MAX_LINK_DENSITY, MAX_LINK_DENSITY_BEFORE = 0.333333, 0.555556
+FEW_WORDS, FEW_WORDS_NEXT, FEW_WORDS_BEFORE = 16, 15, 4
+FEW_WORDS_AFTER_LINKS, FEW_WORDS_NEXT_AFTER_LINKS = 40, 17
+
+
+def _is_content(before: Column, block: Column, after: Column) -> Column:
+    """Whether a block is article text, from its own and its neighbours' words and share of link words."""
+    def words(b):
+        return F.coalesce(b["n"], F.lit(0))
+
+    links_before = F.coalesce(before["links"] / before["n"], F.lit(0.0)) > MAX_LINK_DENSITY_BEFORE
+    short = (words(block) <= FEW_WORDS) & (words(after) <= FEW_WORDS_NEXT) & (words(before) <= FEW_WORDS_BEFORE)
+    short_after_links = (words(block) <= FEW_WORDS_AFTER_LINKS) & (words(after) <= FEW_WORDS_NEXT_AFTER_LINKS)
+    return _mostly_text(block) & ~F.when(links_before, short_after_links).otherwise(short)
+
+
+def _mostly_text(block: Column) -> Column:
+    return block["links"] / block["n"] <= MAX_LINK_DENSITY
+
+
+def text_blocks(html: Column) -> Column:
+    """The page's blocks of text in order: (text, n words, links: words inside links).
+
+    Comments and elements without article text go; block elements end a block,
+    inline markup and table cells do not.
+    """
+    h = F.regexp_replace(html, r"[\x02-\x04]", " ")
+    h = F.regexp_replace(h, r"(?s)<!--.*?-->", " ")
+    for tag in BOILERPLATE_TAGS:
+        h = F.regexp_replace(h, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "\x02")
+    h = F.regexp_replace(h, rf"(?i)</?(?:{'|'.join(BLOCK_TAGS)})\b[^>]*>", "\x02")
+    h = F.regexp_replace(h, r"(?i)<a\b[^>]*>", " \x03")
+    h = F.regexp_replace(h, r"(?i)</a\s*>", "\x04 ")
+    h = F.regexp_replace(h, r"<[^>]+>", " ")
+
+    def block(x: Column) -> Column:
+        linked = F.array_join(F.regexp_extract_all(x, F.lit(r"\x03([^\x03\x04]*)"), 1), " ")
+        text = F.translate(x, "\x03\x04", "  ")
+        return F.struct(text.alias("text"), word_count(text).alias("n"), word_count(linked).alias("links"))
+
+    return F.filter(F.transform(F.split(h, "\x02"), block), lambda b: b["n"] > 0)
 
 
 def main_text(html: Column, full_entities: bool = True) -> Column:
     """Readable article text from a full page.
 
-    A documented heuristic: comments and boilerplate blocks are removed, the
-    first ``<article>`` element is preferred when it has content, and the
-    result is passed through :func:`strip_html`.  Tables and inline markup
-    inside the article are kept as text.
+    The page is cut into blocks, and each block is kept or not by how many words
+    it and its neighbours have and how many of them are links (see
+    :func:`text_blocks`); where no block passes, those that are mostly not links
+    are kept.  The kept text is entity-decoded and its white space collapsed; null → ''.
     """
-    h = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
-    for tag in BOILERPLATE_TAGS:
-        h = F.regexp_replace(h, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", " ")
-    art = F.regexp_extract(h, r"(?is)<article\b[^>]*>(.*?)</article\s*>", 1)
-    body = F.when(art != "", art).otherwise(h)
-    return strip_html(body, full_entities)
+    def chosen(blocks: Column) -> Column:
+        content = F.filter(blocks, lambda b, i: _is_content(F.get(blocks, i - 1), b, F.get(blocks, i + 1)))
+        return F.when(F.size(content) > 0, content).otherwise(F.filter(blocks, _mostly_text))
+
+    page = F.coalesce(html, F.lit(""))
+    if full_entities:  # pages with rare entities (and only they) go through the full table in Python
+        page = F.coalesce(unescape_markup(F.when(needs_full_table(html), html)), page)
+    kept = let(text_blocks(page), chosen)
+    text = F.array_join(F.transform(kept, lambda b: b["text"]), " ")
+    return F.coalesce(collapse_ws(decode_entities(text)), F.lit(""))
 
 
 def sanitize_title(c: Column, max_len: int = C.TITLE_MAX_LEN, full_entities: bool = True) -> Column:

@@ -93,11 +93,26 @@ def strip_html(x: str) -> str:
 
 
 def main_text(h: str) -> str:
-    x = f"regexp_replace({h}, '(?s)<!--.*?-->', ' ', 'g')"
-    for tag in ("script", "style", "nav", "header", "footer", "aside"):
-        x = f"regexp_replace({x}, '(?is)<{tag}\\b[^>]*>.*?</{tag}\\s*>', ' ', 'g')"
-    art = f"regexp_extract({x}, '(?is)<article\\b[^>]*>(.*?)</article\\s*>', 1)"
-    return strip_html(f"(CASE WHEN {art} <> '' THEN {art} ELSE {x} END)")
+    x = f"regexp_replace(coalesce({h}, ''), '[\\x02-\\x04]', ' ', 'g')"
+    x = f"regexp_replace({x}, '(?s)<!--.*?-->', ' ', 'g')"
+    for tag in ("head", "script", "style", "noscript", "template", "nav", "header", "footer", "aside"):
+        x = f"regexp_replace({x}, '(?is)<{tag}\\b[^>]*>.*?</{tag}\\s*>', chr(2), 'g')"
+    ends = ("address|article|blockquote|body|center|dd|details|div|dl|dt|fieldset|figcaption|figure|form|h[1-6]|hr|li|main|ol|p|pre|section|summary|table|tr|ul")
+    x = f"regexp_replace({x}, '(?i)</?(?:{ends})\\b[^>]*>', chr(2), 'g')"
+    x = f"regexp_replace({x}, '(?i)<a\\b[^>]*>', ' ' || chr(3), 'g')"
+    x = f"regexp_replace({x}, '(?i)</a\\s*>', chr(4) || ' ', 'g')"
+    x = f"regexp_replace({x}, '<[^>]+>', ' ', 'g')"
+    plain = "translate(b, chr(3) || chr(4), '  ')"
+    linked = "array_to_string(regexp_extract_all(b, '\\x03([^\\x03\\x04]*)', 1), ' ')"
+    made = f"{{'t': {plain}, 'n': {words(plain)}, 'k': {words(linked)}}}"
+    blocks = f"list_filter(list_transform(string_split({x}, chr(2)), lambda b: {made}), lambda b: b.n > 0)"
+    few = "(b.n <= 16 AND coalesce(bs[i + 1].n, 0) <= 15 AND (i = 1 OR bs[i - 1].n <= 4))"
+    few_after = "(b.n <= 40 AND coalesce(bs[i + 1].n, 0) <= 17)"
+    after_links = "(i > 1 AND bs[greatest(i - 1, 1)].k / bs[greatest(i - 1, 1)].n > 0.555556)"
+    content = f"list_filter(bs, lambda b, i: b.k / b.n <= 0.333333 AND NOT CASE WHEN {after_links} THEN {few_after} ELSE {few} END)"
+    chosen = f"CASE WHEN len({content}) > 0 THEN {content} ELSE list_filter(bs, lambda b: b.k / b.n <= 0.333333) END"
+    text = f"array_to_string(list_transform(list_transform([{blocks}], lambda bs: {chosen})[1], lambda b: b.t), ' ')"
+    return f"coalesce({collapse_ws(decode_entities(text))}, '')"
 
 
 def sanitize_title(x: str, max_len: int = 100) -> str:
