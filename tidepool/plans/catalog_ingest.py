@@ -287,7 +287,7 @@ def q_filter_empty_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _video_lines_sql() -> str:
     from tidepool.plans.catalog_text import _listing_lines_sql
     base = _listing_lines_sql()
-    return base.replace("SELECT conv_id AS line_no,", "SELECT conv_id AS line_no, 'src' || CAST(conv_id % 20 AS VARCHAR) AS source,", 1)
+    return base.replace("SELECT turn * 10000000000 + conv_id AS line_no,", "SELECT turn * 10000000000 + conv_id AS line_no, 'src' || CAST(conv_id % 20 AS VARCHAR) AS source,", 1)
 
 
 def _video_caps_sql() -> str:

@@ -50,17 +50,17 @@ def q_filter_min_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --------------------------------------------------------------------------- titles
 @register("sanitize_title", with_views(f"""
-SELECT pos, {S.sanitize_title('title')} AS stem_title FROM v_items""", "v_items"))
+SELECT pos, {S.sanitize_title('description')} AS stem_title FROM v_items""", "v_items"))
 def q_sanitize_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = fx.v_items(spark, sf_dir)
-    return i.select("pos", TX.sanitize_title(F.col("title")).alias("stem_title"))
+    return i.select("pos", TX.sanitize_title(F.col("description")).alias("stem_title"))
 
 
 @register("md_escape", with_views(f"""
-SELECT pos, {S.md_escape('title')} AS escaped FROM v_items""", "v_items"))
+SELECT pos, {S.md_escape('description')} AS escaped FROM v_items""", "v_items"))
 def q_md_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = fx.v_items(spark, sf_dir)
-    return i.select("pos", TX.md_escape(F.col("title")).alias("escaped"))
+    return i.select("pos", TX.md_escape(F.col("description")).alias("escaped"))
 
 
 @register("url_hash", f"SELECT page_id, {S.url_hash('url')} AS url_hash FROM pages")
@@ -162,24 +162,24 @@ def q_safe_link(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("host_allowlist", f"""
-SELECT conv_id, url, {S.url_scheme('url')} = 'https' AND lower({S.url_netloc('url')}) IN
+SELECT conv_id, turn, url, {S.url_scheme('url')} = 'https' AND lower({S.url_netloc('url')}) IN
        ('www.youtube.com', 'youtube.com', 'm.youtube.com', 'youtu.be') AS allowed
-FROM (SELECT conv_id, CASE conv_id % 5 WHEN 0 THEN 'https://www.youtube.com/@c' || CAST(conv_id AS VARCHAR)
+FROM (SELECT conv_id, turn, CASE (conv_id + turn) % 5 WHEN 0 THEN 'https://www.youtube.com/@c' || CAST(conv_id AS VARCHAR)
                                        WHEN 1 THEN 'http://youtube.com/@c' || CAST(conv_id AS VARCHAR)
                                        WHEN 2 THEN 'https://youtu.be:443/c' || CAST(conv_id AS VARCHAR)
                                        WHEN 3 THEN 'https://M.YouTube.com/c' || CAST(conv_id AS VARCHAR)
                                        ELSE 'https://evil.example.com/youtube.com/' || CAST(conv_id AS VARCHAR) END AS url
-      FROM conversations WHERE turn = 0)""")
+      FROM conversations)""")
 def q_host_allowlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Channel URLs may only be read over https from the exact video hosts."""
-    c = fx._tbl(spark, sf_dir, "conversations").where(F.col("turn") == 0)
-    cid = F.col("conv_id").cast("string")
-    url = (F.when(F.col("conv_id") % 5 == 0, F.concat(F.lit("https://www.youtube.com/@c"), cid))
-            .when(F.col("conv_id") % 5 == 1, F.concat(F.lit("http://youtube.com/@c"), cid))
-            .when(F.col("conv_id") % 5 == 2, F.concat(F.lit("https://youtu.be:443/c"), cid))
-            .when(F.col("conv_id") % 5 == 3, F.concat(F.lit("https://M.YouTube.com/c"), cid))
+    c = fx._tbl(spark, sf_dir, "conversations")
+    cid, kind = F.col("conv_id").cast("string"), (F.col("conv_id") + F.col("turn")) % 5
+    url = (F.when(kind == 0, F.concat(F.lit("https://www.youtube.com/@c"), cid))
+            .when(kind == 1, F.concat(F.lit("http://youtube.com/@c"), cid))
+            .when(kind == 2, F.concat(F.lit("https://youtu.be:443/c"), cid))
+            .when(kind == 3, F.concat(F.lit("https://M.YouTube.com/c"), cid))
             .otherwise(F.concat(F.lit("https://evil.example.com/youtube.com/"), cid)))
-    return c.select("conv_id", url.alias("url")).select("conv_id", "url", U.host_allowed(F.col("url")).alias("allowed"))
+    return c.select("conv_id", "turn", url.alias("url")).select("conv_id", "turn", "url", U.host_allowed(F.col("url")).alias("allowed"))
 
 
 def _tracker_sql() -> str:
@@ -243,11 +243,12 @@ def q_decode_body(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _listing_lines_sql() -> str:
     day = "strftime(DATE '2024-01-01' + CAST(conv_id % 30 AS INTEGER), '%Y%m%d')"
     upload = f"CASE WHEN conv_id % 4 = 1 THEN '' WHEN conv_id % 4 = 2 THEN substr({day}, 1, 6) ELSE {day} END"
-    title = "CASE WHEN conv_id % 5 = 0 THEN '' ELSE ',\"title\":' || to_json(substr(text, 1, 40)) END"
-    id_part = "CASE WHEN conv_id % 7 = 3 THEN '\"kind\":\"video\"' ELSE '\"id\":\"v' || CAST(conv_id AS VARCHAR) || '\"' END"
+    title = "CASE WHEN conv_id % 5 = 0 THEN '' ELSE ',\"title\":' || to_json(text) END"
+    turn = "CASE WHEN turn > 0 THEN '-' || CAST(turn AS VARCHAR) ELSE '' END"
+    id_part = f"CASE WHEN conv_id % 7 = 3 THEN '\"kind\":\"video\"' ELSE '\"id\":\"v' || CAST(conv_id AS VARCHAR) || {turn} || '\"' END"
     line = f"'{{' || {id_part} || {title} || ',\"upload_date\":\"' || {upload} || '\"}}'"
-    return f"""SELECT conv_id AS line_no, CASE WHEN conv_id % 9 = 4 THEN '{{not json' WHEN conv_id % 9 = 8 THEN ''
-                ELSE {line} END AS line FROM conversations WHERE turn = 0"""
+    return f"""SELECT turn * 10000000000 + conv_id AS line_no, CASE WHEN conv_id % 9 = 4 THEN '{{not json' WHEN conv_id % 9 = 8 THEN ''
+                ELSE {line} END AS line FROM conversations"""
 
 
 _CAPTIONS_SQL = """

@@ -246,21 +246,24 @@ def v_conv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def v_video_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One JSON line per video listing entry (first turn of each conversation);
-    some lines are malformed, lack an id, a title, or have odd upload dates."""
-    c = _tbl(spark, sf_dir, "conversations").where(F.col("turn") == 0)
+    """One JSON line per video listing entry, one for each turn of each conversation, with
+    the turn's whole text as title; conversations' first turns are listed first.
+    Only those have captions (:func:`v_conv`).  Some lines are malformed, lack
+    an id, a title, or have odd upload dates."""
+    c = _tbl(spark, sf_dir, "conversations")
+    line_no = F.col("turn") * F.lit(10_000_000_000) + F.col("conv_id")
     cid = F.col("conv_id")
     day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (cid % 30).cast("int")), "yyyyMMdd")
     upload = F.when(cid % 4 == 1, F.lit("")).when(cid % 4 == 2, F.substring(day, 1, 6)).otherwise(day)
     # to_json(array(x)) → ["..."]; keep the quoted element only
     title_part = F.when(cid % 5 == 0, F.lit("")).otherwise(
-        F.concat(F.lit(',"title":'), F.regexp_replace(F.to_json(F.array(F.substring("text", 1, 40))), r"^\[|\]$", "")))
+        F.concat(F.lit(',"title":'), F.regexp_replace(F.to_json(F.array("text")), r"^\[|\]$", "")))
     id_part = F.when(cid % 7 == 3, F.lit('"kind":"video"')).otherwise(
-        F.concat(F.lit('"id":"v'), _s(cid), F.lit('"')))
+        F.concat(F.lit('"id":"v'), _s(cid), F.when(F.col("turn") > 0, F.concat(F.lit("-"), _s("turn"))).otherwise(F.lit("")), F.lit('"')))
     line = F.concat(F.lit("{"), id_part, title_part, F.lit(',"upload_date":"'), upload, F.lit('"}'))
     line = F.when(cid % 9 == 4, F.lit("{not json")).when(cid % 9 == 8, F.lit("")).otherwise(line)
     src = F.concat(F.lit("src"), _s(cid % 20))
-    return c.select(cid.alias("line_no"), src.alias("source"), line.alias("line"))
+    return c.select(line_no.alias("line_no"), src.alias("source"), line.alias("line"))
 
 
 def v_events(spark: SparkSession, sf_dir: str) -> DataFrame:
