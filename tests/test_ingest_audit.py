@@ -1,5 +1,6 @@
 """Ingest order rules, dedup, feeds, transcripts, throttle audit and leak scan."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidepool.functions.dates import parse_pub_date, yyyymmdd_to_iso
@@ -166,3 +167,15 @@ def test_parse_pub_date_zone_names_match_python(spark):
     got = [r[0] for r in df.select(parse_pub_date(F.col("p"))).collect()]
     want = [parsedate_to_datetime(v).astimezone(dt.timezone.utc).strftime("%Y-%m-%d") for v in vals]
     assert got == want
+
+
+@pytest.mark.parametrize("raw,day", [
+    ("May 20th, 2026", "2026-05-20"), ("20 May 2026 at 3pm EST", "2026-05-20"), ("Friday the", None), ("Tuesday, 3rd of September 2024 11:30 pm EDT", "2024-09-04"),
+    ("2024 March 5", "2024-03-05"), ("05/06/2024", "2024-05-06"), ("25/06/2024", "2024-06-25"), ("25.06.24", "2024-06-25"), ("2024/07/08 01:00 +0200", "2024-07-07"),
+    ("20240229", "2024-02-29"), ("20230229", None), ("May 2024", "2024-05-01"), ("March 5", "2024-03-05"), ("3 days ago", None), ("soon", None), ("12 Foober 2024", None),
+    ("Dec 31 1999 12 a.m.", "1999-12-31"), ("31 Dec, 99 12:30 p.m. PST", "1999-12-31"), ("Sept. 9, 2024 (updated)", "2024-09-09"), ("1/2/3/4", None), ("", None), (None, None)])
+def test_free_form_dates_and_what_fits_none(spark, raw, day):
+    from tidepool.functions.dates import pub_date
+    df = spark.createDataFrame([(raw,)], "p string")
+    assert df.select(pub_date(F.col("p"), "2024-02-01").alias("d")).first().d == day
+    assert df.select(parse_pub_date(F.col("p"), "2024-02-01").alias("d")).first().d == (day or "2024-02-01")

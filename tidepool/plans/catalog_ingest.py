@@ -67,6 +67,26 @@ def q_parse_pub_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.select("doc_id", Dt.parse_pub_date(F.col("pub_raw")).alias("date"))
 
 
+_FREE_DATES_SQL = """
+SELECT pos, CASE pos % 10 WHEN 9 THEN NULL WHEN 6 THEN strftime(CAST(published AS DATE) + 1, '%Y-%m-%d') ELSE published END AS date, pos % 10 <> 9 AS known FROM v_items"""
+
+
+@register("parse_pub_date_free", with_views(_FREE_DATES_SQL, "v_items"))
+def q_parse_pub_date_free(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every item's date written in one of ten free forms (one of them no date) → UTC day, and whether one was found."""
+    day = F.to_date("published")
+    th = F.when(F.day(day).isin(1, 21, 31), "st").when(F.day(day).isin(2, 22), "nd").when(F.day(day).isin(3, 23), "rd").otherwise("th")
+    forms = ("yyyy", "MMMM d", "EEEE d", "MMM. d, yyyy 'at' h:mm a", "yyyy MMMM dd", "dd.MM.yyyy", "MMMM d yyyy '11:30pm EST'", "d-MMM-yy", "yyyyMMdd")
+    made = [F.date_format(F.to_timestamp(day), f) for f in forms]
+    texts = [F.concat(made[1], th, F.lit(", "), F.year(day)), F.concat(made[2], th, F.lit(" of "), F.date_format(day, "MMMM yyyy")), made[3], made[4],
+             F.concat(F.date_format(day, "yyyy/MM/dd"), F.lit(" 07:15:00 +0100")), F.concat(F.date_format(day, "d MMM"), F.lit(", "), F.year(day), F.lit(" 10 a.m. UTC")),
+             made[6], F.concat(F.lit("on "), made[7]), made[8], F.lit("some time soon")]
+    items = fx.v_items(spark, sf_dir)
+    text = F.element_at(F.array(*texts), (F.col("pos") % 10 + 1).cast("int"))
+    found = items.select("pos", Dt.pub_date(text).alias("date"))
+    return found.select("pos", "date", F.col("date").isNotNull().alias("known"))
+
+
 # ---------------------------------------------------------------------------
 # Registry, limit, keyword filter
 # ---------------------------------------------------------------------------

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidepool import contracts as C
-from tidepool.functions.dates import parse_pub_date, yyyymmdd_to_iso
+from tidepool.functions.dates import pub_date, yyyymmdd_to_iso
 from tidepool.functions.text import decode_html_names, strip_html
 
 # ---------------------------------------------------------------------------
@@ -107,21 +107,23 @@ def finish_entries(raw: DataFrame, run_date: str = C.RUN_DATE) -> DataFrame:
     """Tag-strip title/description/content and parse the date.
 
     content is ``content:encoded`` when present (even if empty), else the
-    description; ``date`` is the UTC day of the first non-empty date field.
+    description; ``date`` is the UTC day of the first non-empty date field, and
+    ``date_known`` is false where that is missing or fits no form (the run date stands in).
     """
     description = strip_html(F.col("summary_raw"))
     return (raw.withColumn("title", strip_html(F.col("title")))
             .withColumn("description", description)
             .withColumn("content", F.when(F.col("content_raw").isNotNull(), strip_html(F.col("content_raw")))
                         .otherwise(description))
-            .withColumn("date", parse_pub_date(F.col("pub_raw"), run_date))
-            .drop("summary_raw", "content_raw"))
+            .withColumn("_date", pub_date(F.col("pub_raw"), run_date))
+            .withColumn("date", F.coalesce("_date", F.lit(run_date))).withColumn("date_known", F.col("_date").isNotNull())
+            .drop("summary_raw", "content_raw", "_date"))
 
 
 def scan_feed(feeds: DataFrame, xml_col: str = "xml", run_date: str = C.RUN_DATE) -> DataFrame:
     """One row per feed entry, in feed order (``pos``), both dialects in one shape:
     the input's other columns + pos, title, link, pub_raw, description, content,
-    entry_id, date (see :func:`scan_feed_raw` and :func:`finish_entries`)."""
+    entry_id, date, date_known (see :func:`scan_feed_raw` and :func:`finish_entries`)."""
     return finish_entries(scan_feed_raw(feeds, xml_col), run_date)
 
 
