@@ -2,6 +2,7 @@
 
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidepool import contracts as C
@@ -80,3 +81,28 @@ def test_feed_files(spark, tmp_path):
     (tmp_path / "c.txt").write_text("not a feed")
     got = sorted((r.title, r.link, r.date, r.feed_path.rsplit("/", 1)[-1]) for r in scan_feed_files(spark, str(tmp_path)).collect())
     assert got == [("One", "https://x/1", "2024-01-02", "a.xml"), ("Two", "https://x/2", "2024-01-03", "b.xml")]
+
+
+def test_file_tree_commits_together_on_any_store(spark, tmp_path):
+    """A URI as root; a failing task leaves no file and no staging folder; names cannot leave the tree."""
+    from tidepool.sources.filetree import write_files
+
+    root = tmp_path / "tree"
+    rows = spark.range(20).selectExpr("concat('ns', id % 3, '/sub') AS dir", "concat(id, ' é + %20.md') AS name", "concat('text ', id) AS body").repartition(4)
+    write_files(rows, root.as_uri())
+    files = {str(f.relative_to(root)): f.read_text() for f in root.rglob("*") if f.is_file()}
+    assert files == {f"ns{i % 3}/sub/{i} é + %20.md": f"text {i}" for i in range(20)}
+    failing = rows.withColumn("body", F.when(F.col("name").startswith("7 "), F.raise_error(F.lit("stop"))).otherwise("new"))
+    for bad in (failing, rows.withColumn("name", F.lit("../../out.md"))):
+        with pytest.raises(Exception):
+            write_files(bad, str(root))
+        assert {str(f.relative_to(root)): f.read_text() for f in root.rglob("*") if f.is_file()} == files
+        assert not list(root.glob(".staging-*"))
+    write_files(rows.where("dir = 'ns0/sub'").withColumn("body", F.lit("replaced")), str(root))
+    assert (root / "ns0/sub/0 é + %20.md").read_text() == "replaced" and len(list(root.rglob("*.md"))) == 20
+
+
+def test_truncated_pages_keep_whole_characters(spark):
+    from tidepool.sources.scans import truncate_bodies
+    df = spark.createDataFrame([("é" * 10,), ("abc",), (None,), ("x" * 11,)], "body string")
+    assert [(r.body, r.truncated) for r in truncate_bodies(df, max_bytes=10).collect()] == [("é" * 10, True), ("abc", False), (None, False), ("x" * 10, True)]

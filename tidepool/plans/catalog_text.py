@@ -12,6 +12,7 @@ from tidepool.plans import fixtures as fx
 from tidepool.plans import sqlfn as S
 from tidepool.plans.catalog import register
 from tidepool.plans.oracle_views import with_views
+from tidepool.session import scratch_path
 from tidepool.sources import scans as SC
 
 OVERRIDE = fx.LISTING_LINK_OVERRIDE
@@ -229,6 +230,33 @@ def q_scan_bodies_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("page_id", "body_bytes", "rejected", F.octet_length("body").cast("long").alias("kept_bytes"))
 
 
+@register("scan_bodies_files", """
+SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS body_bytes, octet_length(encode(coalesce(html, ''))) <= 4000 AS accepted,
+       CASE WHEN octet_length(encode(coalesce(html, ''))) <= 4000 THEN md5(coalesce(html, '')) END AS body_md5
+FROM pages""")
+def q_scan_bodies_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's body as a file, read back by a binaryFile scan whose cap looks at file lengths only."""
+    from tidepool.sources.filetree import write_files
+    p = fx.v_pages(spark, sf_dir)
+    folder = F.concat(F.lit("p"), (F.col("page_id") % 16).cast("string"))
+    root = write_files(p.select(folder.alias("dir"), F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("name"), F.col("html").alias("body")),
+                       scratch_path(spark, "bodies"))
+    accepted, over = SC.scan_bodies_capped(spark, root, "*.html", max_bytes=4000)
+    page = F.regexp_extract("path", r"(\d+)\.html$", 1).cast("long").alias("page_id")
+    size = F.col("length").cast("long").alias("body_bytes")
+    return (accepted.select(page, size, F.lit(True).alias("accepted"), F.md5("content").alias("body_md5"))
+            .unionByName(over.select(page, size, F.lit(False).alias("accepted"), F.lit(None).cast("string").alias("body_md5"))))
+
+
+@register("truncate_bodies", """
+SELECT page_id, octet_length(encode(html)) > 2000 AS truncated,
+       md5(CASE WHEN octet_length(encode(html)) > 2000 THEN substr(html, 1, 2000) ELSE html END) AS body_md5 FROM pages""")
+def q_truncate_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rendered pages cut at the cap, which never splits a character."""
+    t = SC.truncate_bodies(fx.v_pages(spark, sf_dir).withColumnRenamed("html", "body"), max_bytes=2000)
+    return t.select("page_id", "truncated", F.md5(F.col("body").cast("binary")).alias("body_md5"))
+
+
 @register("decode_body", f"""
 SELECT page_id, {S.strip_html('html')} AS text FROM pages""")
 def q_decode_body(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -200,6 +200,15 @@ def cap_bodies(bodies: DataFrame, body_col: str = "body", status_col: str | None
         .withColumn(body_col, body)
 
 
+def truncate_bodies(pages: DataFrame, body_col: str = "body", max_bytes: int = C.MAX_BODY_BYTES) -> DataFrame:
+    """Rendered pages over the cap are cut, not rejected: text of more than ``max_bytes``
+    UTF-8 bytes keeps its first ``max_bytes`` characters (a cut never splits a
+    character); ``truncated`` marks them."""
+    over = F.coalesce(F.octet_length(body_col) > max_bytes, F.lit(False))
+    cut = F.when(over, F.substring(body_col, 1, max_bytes)).otherwise(F.col(body_col))
+    return pages.withColumn("truncated", over).withColumn(body_col, cut)
+
+
 def scan_bodies_capped(spark: SparkSession, path: str, glob: str = "*",
                        max_bytes: int = C.MAX_BODY_BYTES) -> tuple[DataFrame, DataFrame]:
     """``binaryFile`` scan: (accepted, over_cap) — the length predicate is a data filter

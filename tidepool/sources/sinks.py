@@ -2,14 +2,11 @@
 
 Canonical storage is parquet/JSON through Spark's writers (commit protocol:
 a failed job leaves no partial output).  ``export_markdown`` additionally
-writes one ``.md`` file per document for tools that read files; it needs a
-path every executor can reach (a shared mount), like any file export.
+writes one ``.md`` file per document for tools that read files, on any shared store.
 """
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,16 +56,9 @@ def sink_documents(docs: DataFrame, path: str, mode: str = "append") -> str:
 
 def export_markdown(docs: DataFrame, root: str, dir_col: str = "namespace",
                     name_col: str = "file_name", text_col: str = "doc_text") -> None:
-    """One file per row at ``root/<dir>/<file_name>`` (shared mount required on a cluster)."""
-    def write_part(rows):
-        for r in rows:
-            d = os.path.join(root, r[dir_col])
-            os.makedirs(d, exist_ok=True)
-            tmp = os.path.join(d, "." + r[name_col] + ".tmp")
-            with open(tmp, "w", encoding="utf-8") as fh:
-                fh.write(r[text_col])
-            os.replace(tmp, os.path.join(d, r[name_col]))
-    docs.select(dir_col, name_col, text_col).foreachPartition(write_part)
+    """One file per row at ``root/<dir>/<file_name>``, committed together (see :mod:`tidepool.sources.filetree`)."""
+    from tidepool.sources.filetree import write_files
+    write_files(docs.select(F.col(dir_col).alias("dir"), F.col(name_col).alias("name"), F.col(text_col).alias("body")), root)
 
 
 def sink_packets(packets: DataFrame, path: str) -> str:
