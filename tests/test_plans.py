@@ -103,6 +103,13 @@ def test_updating_documents_moves_no_bodies(spark, tmp_path):
     spark.sql(f"DROP TABLE {table}")
 
 
+def test_feeds_are_scanned_and_parsed_once(spark):
+    from tidepool.sources.scans import scan_feed_raw
+    feeds = spark.range(50_003).selectExpr("id", "concat('<rss><channel><item><title>', id, '</title></item></channel></rss>') AS xml")
+    plan = scan_feed_raw(feeds)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Range (0, 50003") == 1 and plan.count("from_xml") <= 1 and "Union" not in plan
+
+
 def test_alias_lookup_is_a_join(spark):
     assert "Join" in plan_of(spark, "alias_join")
 

@@ -36,6 +36,8 @@ ATOM_ENTRY = T.StructType([
     T.StructField("id", _S), T.StructField("published", _S), T.StructField("updated", _S),
     T.StructField("summary", _S), T.StructField("content", _S)])
 ATOM_SCHEMA = T.StructType([T.StructField("title", _S), T.StructField("entry", T.ArrayType(ATOM_ENTRY))])
+#: Both dialects at once.
+FEED_SCHEMA = T.StructType([*RSS_SCHEMA.fields, T.StructField("entry", T.ArrayType(ATOM_ENTRY))])
 
 
 def _first_nonempty(*cols: Column) -> Column:
@@ -82,25 +84,30 @@ def scan_feed_raw(feeds: DataFrame, xml_col: str = "xml") -> DataFrame:
     summary_raw, content_raw, entry_id).  Cheap enough to run before a limit.
     What cannot be read is listed by :func:`feed_quarantine`."""
     keep = [c for c in feeds.columns if c != xml_col]
-    d = _feeds_by_dialect(feeds, xml_col)
-    rss = (d.where(F.col("_dialect") == "rss")
-           .select(*keep, F.posexplode(F.from_xml(F.col(xml_col), RSS_SCHEMA)["channel"]["item"]).alias("pos", "e"))
-           .select(*keep, "pos",
-                   F.col("e.title").alias("title"), F.coalesce(F.col("e.link"), F.lit("")).alias("link"),
-                   _first_nonempty(F.col("e.published"), F.col("e.updated"), F.col("e.pubDate")).alias("pub_raw"),
-                   F.col("e.description").alias("summary_raw"), F.col("`e`.`content:encoded`").alias("content_raw"),
-                   F.coalesce(F.col("e.guid"), F.lit("")).alias("entry_id")))
-    alt = lambda links: F.filter(links, lambda l: F.coalesce(l["_rel"], F.lit("alternate")) == "alternate")
-    atom = (d.where(F.col("_dialect") == "atom")
-            .select(*keep, F.posexplode(F.from_xml(F.col(xml_col), ATOM_SCHEMA)["entry"]).alias("pos", "e"))
-            .select(*keep, "pos",
-                    F.col("e.title").alias("title"),
-                    F.coalesce(F.try_element_at(alt(F.col("e.link")), F.lit(1))["_href"],
-                               F.try_element_at(F.col("e.link"), F.lit(1))["_href"], F.lit("")).alias("link"),
-                    _first_nonempty(F.col("e.published"), F.col("e.updated")).alias("pub_raw"),
-                    F.col("e.summary").alias("summary_raw"), F.col("e.content").alias("content_raw"),
-                    F.coalesce(F.col("e.id"), F.lit("")).alias("entry_id")))
-    return rss.unionByName(atom).withColumn("pos", F.col("pos").cast("long"))
+    d = _feeds_by_dialect(feeds, xml_col).where(F.col("_dialect").isNotNull())
+    # one parse for both dialects: the root element's name does not matter to from_xml
+    d = d.select(*keep, "_dialect", F.from_xml(F.col(xml_col), FEED_SCHEMA).alias("_feed"))
+    found = F.when(F.col("_dialect") == "rss", F.transform(F.col("_feed")["channel"]["item"], _rss_entry)) \
+        .otherwise(F.transform(F.col("_feed")["entry"], _atom_entry))
+    return d.select(*keep, F.posexplode(found).alias("pos", "_e")).select(*keep, F.col("pos").cast("long").alias("pos"), "_e.*")
+
+
+def _rss_entry(e: Column) -> Column:
+    return F.struct(
+        e["title"].alias("title"), F.coalesce(e["link"], F.lit("")).alias("link"),
+        _first_nonempty(e["published"], e["updated"], e["pubDate"]).alias("pub_raw"),
+        e["description"].alias("summary_raw"), e["content:encoded"].alias("content_raw"),
+        F.coalesce(e["guid"], F.lit("")).alias("entry_id"))
+
+
+def _atom_entry(e: Column) -> Column:
+    alternate = F.filter(e["link"], lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate")
+    return F.struct(
+        e["title"].alias("title"),
+        F.coalesce(F.get(alternate, F.lit(0))["_href"], F.get(e["link"], F.lit(0))["_href"], F.lit("")).alias("link"),
+        _first_nonempty(e["published"], e["updated"]).alias("pub_raw"),
+        e["summary"].alias("summary_raw"), e["content"].alias("content_raw"),
+        F.coalesce(e["id"], F.lit("")).alias("entry_id"))
 
 
 def finish_entries(raw: DataFrame, run_date: str = C.RUN_DATE) -> DataFrame:
