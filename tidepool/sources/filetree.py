@@ -10,6 +10,7 @@ store that pyarrow's file systems reach (file, s3, gs, hdfs, …), not a local f
 from __future__ import annotations
 
 import re
+import time
 import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -53,21 +54,26 @@ class FileTreeWriter(DataSourceWriter):
         folder = f"{self._staging(base)}/{uuid.uuid4().hex}"
         made: set[str] = set()
         count = 0
+
+        def make(at: str) -> None:  # never the staging folder itself: once a failed job has removed it, its last tasks fail too
+            if at not in made:
+                if at != folder:
+                    make(at.rsplit("/", 1)[0])
+                store.create_dir(at, recursive=False)
+                made.add(at)
+
         try:
             for row in rows:
                 parts = [p for p in f"{row['dir']}/{row['name']}".split("/") if p]
                 if ".." in parts:
                     raise ValueError(f"a file outside the tree: {row['dir']}/{row['name']}")
                 at = "/".join([folder, *parts[:-1]])
-                if at not in made:
-                    store.create_dir(at, recursive=True)
-                    made.add(at)
+                make(at)
                 with store.open_output_stream(f"{at}/{parts[-1]}") as out:
                     out.write(bytes(row["body"] or b""))
                 count += 1
         except BaseException:
-            if made:
-                store.delete_dir(folder)
+            self._remove(store, folder)
             raise
         return Staged(folder, count)
 
@@ -76,7 +82,6 @@ class FileTreeWriter(DataSourceWriter):
 
         store, base = open_store(self.root)
         base = base.rstrip("/")
-        store.create_dir(base, recursive=True)
         made: set[str] = set()
         with ThreadPoolExecutor(MOVERS) as pool:
             for message in (m for m in messages if m is not None and m.files):
@@ -89,12 +94,21 @@ class FileTreeWriter(DataSourceWriter):
         self.abort(messages)
 
     def abort(self, messages: list) -> None:
+        store, base = open_store(self.root)
+        self._remove(store, self._staging(base))
+
+    @staticmethod
+    def _remove(store, folder: str) -> None:
+        """Remove a folder that another task may still write to."""
         from pyarrow import fs
 
-        store, base = open_store(self.root)
-        staging = self._staging(base)
-        if store.get_file_info(staging).type == fs.FileType.Directory:
-            store.delete_dir(staging)
+        for wait in (0.1, 0.5, 2.0):
+            try:
+                if store.get_file_info(folder).type == fs.FileType.Directory:
+                    store.delete_dir(folder)
+                return
+            except OSError:
+                time.sleep(wait)
 
 
 class FileTree(DataSource):
@@ -108,7 +122,10 @@ class FileTree(DataSource):
     def writer(self, schema: StructType, overwrite: bool) -> FileTreeWriter:
         if overwrite:
             raise ValueError("file_tree appends; files of the same name are replaced")
-        return FileTreeWriter(self.options["path"])
+        writer = FileTreeWriter(self.options["path"])
+        store, base = open_store(writer.root)
+        store.create_dir(writer._staging(base), recursive=True)
+        return writer
 
 
 def write_files(df: DataFrame, root: str) -> str:
