@@ -89,6 +89,14 @@ def test_whole_pass(spark, tmp_path):
     path = I.sink_index(idx, str(tmp_path / "index"))
     top = J.window(spark, path, since="2024-01-01", run_date="2024-02-01")
     assert [r.published for r in top.collect()] == ["2024-01-03", "2024-01-02"]
+    # the same answers written back into a document table
+    from tidepool.sources import doctable as DT
+    DT.store_documents(docs, "whole_pass_documents", str(tmp_path / "table"))
+    report = J.writeback_documents(spark, "whole_pass_documents", answers, {"markets", "science"}, [], str(tmp_path / "failed"))
+    assert report.first().asDict() == {"succeeded": 2, "failed": 0}
+    stored = {r.path: (r.body, r.summary) for r in spark.table("whole_pass_documents").collect()}
+    assert stored == {r.path: (r.body, r.summary) for r in merged.collect()} and all(s for _, s in stored.values())
+    spark.sql("DROP TABLE whole_pass_documents")
 
 
 def test_markdown_backlog_requeues_unreadable(spark, tmp_path):

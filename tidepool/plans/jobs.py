@@ -34,6 +34,7 @@ from tidepool.operators import query as Q
 from tidepool.operators import records as R
 from tidepool.operators import verify as V
 from tidepool.session import cut_lineage, prepare
+from tidepool.sources import doctable as DT
 from tidepool.sources import scans as SC
 from tidepool.sources import sinks as SK
 
@@ -108,6 +109,15 @@ def writeback(spark: SparkSession, docs, responses, vocabulary, aliases, out_pat
     return R.batch_report(res)
 
 
+def writeback_documents(spark: SparkSession, table: str, responses, vocabulary, aliases, failed_queue: str) -> DataFrame:
+    """As :func:`writeback`, into a document table (:mod:`tidepool.sources.doctable`): bodies
+    are not moved, and only the months of updated documents are written."""
+    res = cut_lineage(R.writeback(_read(spark, responses), vocabulary, aliases))  # used three times below
+    SK.sink_failed_queue(res.where(~F.col("ok")), failed_queue)
+    DT.upsert_documents(spark, table, res)
+    return R.batch_report(res)
+
+
 # J4 ------------------------------------------------------------------------
 def build_index(spark: SparkSession, docs, out_path: str, generated: str | None = None) -> str:
     """Index entries of the enriched documents, month-partitioned and ordered;
