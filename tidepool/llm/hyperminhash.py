@@ -55,6 +55,8 @@ ROWS, BANDS = 7, 36
 INSERTIONS = 2048
 #: Standard deviations below the threshold at which an estimate is dropped.
 DEVIATIONS = 5
+#: Bytes of text whose words are hashed at once.
+TEXT_BLOCK = 1 << 19
 #: Band members whose sketches, and shingles whose sets, are one part of a band.
 PART_MEMBERS, PART_SHINGLES = 1_024, 1_000_000
 #: The constant of the expected number of chance collisions (Yu and Weber, HyperMinHash, 2019).
@@ -81,7 +83,7 @@ def shingle_sets(texts, shingle_words: int = 3) -> Iterator[np.ndarray]:
             found = mix(found * np.uint64(0x9E3779B97F4A7C15) + h[i:i + n])
         return np.unique(found)
 
-    for block in words(texts, _TABLE):
+    for block in words(texts, _TABLE, block=TEXT_BLOCK):
         if not len(block):
             continue
         cuts = np.flatnonzero(np.diff(block.text)) + 1

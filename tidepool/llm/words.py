@@ -16,7 +16,7 @@ from functools import cache
 import numpy as np
 
 #: Bytes of text that are laid out at once (a longer word is laid out whole).
-BLOCK = 1 << 19
+BLOCK = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SPACE = 0x20
 
