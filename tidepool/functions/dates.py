@@ -75,11 +75,13 @@ def free_form_date(text: Column, run_date: str = C.RUN_DATE) -> Column:
     def placed(t: Column) -> Column:
         rest = t["rest"]
         zone = F.regexp_extract(rest, rf"@\s*\b({'|'.join(_ZONES)})\b", 1)
-        named = F.coalesce(*[F.when(zone == k, F.lit(v * 3600)) for k, v in _ZONES.items()], F.lit(0))
+        hours = F.create_map(*[F.lit(x) for kv in _ZONES.items() for x in kv])
+        named = F.coalesce(F.try_element_at(hours, zone), F.lit(0)) * 3600
         sign = F.regexp_extract(rest, _OFFSET, 1)
         minutes = F.regexp_extract(rest, _OFFSET, 2).try_cast("int") * 60 + F.regexp_extract(rest, _OFFSET, 3).try_cast("int")
         offset = F.when(sign == "", named).otherwise(F.when(sign == "-", -minutes).otherwise(minutes) * 60)
-        month = F.coalesce(*[F.when(rest.rlike(rf"\b{m}\b"), F.lit(k + 1)) for k, m in enumerate(_MONTHS)])
+        starts = F.array(*[F.lit(m[:3]) for m in _MONTHS])
+        month = F.nullif(F.array_position(starts, F.substring(F.regexp_extract(rest, month_name, 0), 1, 3)).cast("int"), F.lit(0))
         left = F.regexp_replace(rest, _OFFSET, " ")
         left = F.regexp_replace(left, rf"@\s*\b(?:{'|'.join(_ZONES)})\b|\([^)]*\)|@", " ")
         left = F.regexp_replace(left, month_name, " ")
