@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import random
 
 from pyspark.sql import functions as F
 
@@ -60,6 +61,19 @@ def test_selected_records_come_back_whole(spark, monkeypatch):
     assert {r.url for r in some} == {f"http://a/{k}" for k in range(300) if k % 7 == 3}
 
 
+def test_reading_is_dealt_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(warc, "LEAST_SPLIT", 1_000)
+    monkeypatch.setattr(warc, "SPLIT_BYTES", 20_000)
+    rng = random.Random(3)
+    pages = spark.createDataFrame([(k, None, rng.randbytes(1 if k < 1_500 else 500).hex()) for k in range(2_000)], SCHEMA).repartition(2)
+    index = warc.write_archives(pages, scratch_path(spark, "warc-test"))
+    sizes = [r.n for r in warc._dealt(index).groupBy(F.spark_partition_id()).agg(F.sum("length").alias("n")).collect()]
+    longest, total = index.agg(F.max("length")).first()[0], index.agg(F.sum("length")).first()[0]
+    assert sum(sizes) == total and len(sizes) >= total / 20_000 and max(sizes) <= 20_000 + longest
+    assert warc.read_records(index).count() == 2_000
+    assert warc.read_records(index.limit(0)).collect() == []
+
+
 def test_record_format():
     raw = warc.record_bytes("3", "http://x/ y", b"ab", 2, "D", None, False)
     fields, payload = warc.parse_record(raw)

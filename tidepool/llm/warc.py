@@ -8,10 +8,12 @@ attempt) leaves at most a file that nothing names.  Pages with equal payloads
 are stored once, as the response with the largest identifier; the others become
 revisit records that name it.
 
-Reading: index rows are selected by any filter, dealt out by (archive, offset)
-ranges, and neighbours are coalesced into one byte-range read each (gaps up to
-``GAP_BYTES`` are read over, a read holds up to ``READ_BYTES`` unless one record is
-larger).  Archives are opened through ``pyarrow.fs`` by their URI.
+Reading: index rows are selected by any filter and dealt out by bytes: laid end to
+end, the archives are cut into stretches of at most ``SPLIT_BYTES`` (fewer bytes where
+that would leave cores idle), one task each.  Neighbours are coalesced into one
+byte-range read each (gaps up to ``GAP_BYTES`` are read over, a read holds up to
+``READ_BYTES`` unless one record is larger).  Archives are opened through
+``pyarrow.fs`` by their URI.
 
 Defined cases: null and empty payloads are records of 0 bytes and equal each
 other; a null URL has no target field; repeated rows with the response's
@@ -29,12 +31,14 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import open_store, scratch_path, staged
 
 ARCHIVE_BYTES = 1 << 30
 READ_BYTES, GAP_BYTES = 4 << 20, 64 << 10
+#: Bytes of archives that one reading task is dealt.
+SPLIT_BYTES, LEAST_SPLIT = 64 << 20, 1 << 20
 PAGE_URN = "urn:page:"
 WARC_DATE = "1970-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -128,6 +132,23 @@ def write_archives(pages: DataFrame, root: str, id_col: str = "page_id", url_col
     return _numbered(pages.sparkSession.read.schema(INDEX).parquet(path))
 
 
+def _dealt(selected: DataFrame) -> DataFrame:
+    """The records (archive, offset, length) of each task, in order: tasks hold equal stretches of the archives.
+
+    Only one row for each archive passes the window.
+    """
+    rows = selected.select("archive", "offset", "length")
+    ends = rows.groupBy("archive").agg(F.max(F.col("offset") + F.col("length")).alias("end"))
+    before = F.sum("end").over(Window.orderBy("archive").rowsBetween(Window.unboundedPreceding, -1))
+    places = staged(ends.select("archive", "end", F.coalesce(before, F.lit(0)).alias("base")), "warc-places")
+    total = places.agg(F.sum("end")).first()[0] or 0
+    cores = selected.sparkSession.sparkContext.defaultParallelism
+    split = min(SPLIT_BYTES, max(LEAST_SPLIT, -(-total // (2 * cores))))
+    part = F.floor((F.col("base") + F.col("offset")) / split).cast("int")
+    placed = rows.join(places.select("archive", "base"), "archive").select("archive", "offset", "length", part.alias("part"))
+    return placed.repartitionById(total // split + 1, "part").drop("part").sortWithinPartitions("archive", "offset")
+
+
 def read_records(selected: DataFrame, with_payload: bool = False) -> DataFrame:
     """The records that the index rows name, parsed, with the digest and size of what was read.
 
@@ -171,8 +192,7 @@ def read_records(selected: DataFrame, with_payload: bool = False) -> DataFrame:
         for file in opened.values():
             file.close()
 
-    dealt = selected.select("archive", "offset", "length").repartitionByRange("archive", "offset").sortWithinPartitions("archive", "offset")
-    return _numbered(dealt.mapInPandas(read, RECORD + ", payload binary" * with_payload))
+    return _numbered(_dealt(selected).mapInPandas(read, RECORD + ", payload binary" * with_payload))
 
 
 def archive_round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
