@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
@@ -71,11 +72,51 @@ def test_against_every_window(spark, seed, monkeypatch):
 def test_longest_matches_and_their_places():
     test = dc.TestWindows([("a", " ".join(f"w{k}" for k in range(30)).encode())])
     text = "x y " + " ".join(f"w{k}" for k in range(5, 25)) + " z " + " ".join(f"w{k}" for k in range(12)) + " w14 w15"
-    lengths, matches = dc.shard_matches([text.encode(), None, b"w1 w2"], test)
-    assert lengths == [2 + 20 + 1 + 12 + 2, 0, 2] and matches[1:] == [[], []]
+    lengths, matches, items = dc.shard_matches([text.encode(), None, b"w1 w2"], test)
+    assert lengths == [2 + 20 + 1 + 12 + 2, 0, 2] and matches[1:] == [[], []] and items == [["a"], [], []]
     assert sorted((m["doc_start"], m["item_start"], m["n_words"]) for m in matches[0]) == [(2, 5, 20), (23, 0, 12)]
 
 
+def test_every_position_has_its_longest_match():
+    rng = random.Random(7)
+    word = lambda n: " ".join(rng.choice("abc") for _ in range(n))
+    for _ in range(60):
+        items = [(str(k), word(rng.randint(1, 14)).encode()) for k in range(rng.randint(1, 6))]
+        texts = [word(rng.randint(0, 40)) for _ in range(3)]
+        _, matches, named = dc.shard_matches([t.encode() for t in texts], dc.TestWindows(items, 3))
+        own = [(i, t.decode().split()) for i, t in items]
+        for text, found, names in zip(texts, matches, named):
+            words, want = text.split(), []
+            assert sorted(names) == sorted(i for i, t in own if any(words[p:p + len(w)] == w for w in ([t[a:a + 3] for a in range(len(t) - 2)] or [t]) for p in range(len(words) - len(w) + 1)))
+            for m in found:  # each is verbatim
+                item = dict(own)[m["item_id"]]
+                assert words[m["doc_start"]:m["doc_start"] + m["n_words"]] == item[m["item_start"]:m["item_start"] + m["n_words"]]
+            for p in range(len(words)):
+                longest = 0
+                for _, t in own:
+                    for a in range(len(t)):
+                        n = 0
+                        while p + n < len(words) and a + n < len(t) and words[p + n] == t[a + n]:
+                            n += 1
+                        longest = max(longest, n if len(t) >= 3 else 0)
+                want.append(longest if longest >= 3 else 0)
+            kept = {(p, n) for p, n in enumerate(want) if n and not (p and want[p - 1] == n + 1)}
+            assert kept == {(m["doc_start"], m["n_words"]) for m in found if len(dict(own)[m["item_id"]]) >= 3}
+
+
+def test_periodic_text_and_shared_passages_stay_linear():
+    began = time.monotonic()
+    test = dc.TestWindows([("p", b"ha " * 2_000)])
+    lengths, matches, items = dc.shard_matches([b"ha " * 100_000], test)
+    assert lengths == [100_000] and items == [["p"]]
+    assert matches[0][0]["n_words"] == 2_000 and len(matches[0]) == 98_001
+    passage = " ".join(f"s{k}" for k in range(20))
+    test = dc.TestWindows([(str(k), f"own{k} {passage} more{k}".encode()) for k in range(2_000)])
+    _, matches, items = dc.shard_matches([f"d{k} {passage} e{k}".encode() for k in range(500)], test)
+    assert all(len(m) == 1 and m[0]["n_words"] == 20 for m in matches) and all(len(i) == 2_000 for i in items)
+    assert time.monotonic() - began < 30  # seconds; pairs of places would take minutes
+
+
 def test_empty_tables_and_clashing_columns(spark):
     docs = spark.createDataFrame([(1, "a b c", "keep", 5)], "doc_id long, text string, matches string, n_words int")
     none = spark.createDataFrame([], "item_id long, text string")

@@ -57,7 +57,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contamination
 
-    return contamination(documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark")).drop("matches", "longest_match")
+    return contamination(documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark")).drop("matches", "longest_match", "items")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
