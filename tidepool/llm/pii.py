@@ -25,11 +25,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidepool.functions.text import let
+
 from .common import staged
 
 KINDS = ("email", "ip", "card", "phone", "remove", "generalise")
 #: Characters on either side of a span whose words are looked at.
 CONTEXT = 60
+#: Pieces of a text that a context is cut from: no context makes Spark walk the whole text.
+PIECE = 1024
+#: Lengths that are added up at a time; both loops below stay short for millions of spans.
+STRETCH = 256
+#: Places of spans are compared within cells of this many characters.
+CELL = 4096
 SUPPORT = 2
 REMOVE, GENERALISE = 0.95, 0.75
 
@@ -61,22 +69,43 @@ def _parts_fit(value: Column) -> Column:
     return value.rlike(r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\.|$)){4}$")
 
 
+def _sums(lengths: Column) -> Column:
+    """Running totals of an array of lengths: within stretches, then over the totals before each.
+
+    Appending to an array copies it, so one loop over all would take quadratic time.
+    """
+    def append(s: Column, x: Column) -> Column:
+        at = s["at"] + x
+        return F.struct(at.alias("at"), F.concat(s["out"], F.array(at)).alias("out"))
+
+    start = lambda at: F.struct(at.alias("at"), F.array().cast("array<int>").alias("out"))
+    running = lambda xs, at: F.aggregate(xs, start(at), append, lambda s: s["out"])
+
+    def whole(xs: Column) -> Column:
+        firsts = F.sequence(F.lit(0), F.greatest(F.size(xs) - 1, F.lit(0)), F.lit(STRETCH))
+        return let(F.transform(firsts, lambda k: F.slice(xs, k + 1, F.lit(STRETCH))), stretches)
+
+    def stretches(parts: Column) -> Column:
+        totals = F.transform(parts, lambda p: F.aggregate(p, F.lit(0), lambda n, x: n + x))
+        return let(running(totals, F.lit(0)), lambda ends: F.flatten(F.transform(
+            parts, lambda p, k: running(p, F.when(k == 0, 0).otherwise(F.get(ends, k - 1))))))
+
+    return let(lengths, whole)
+
+
 def _found(text: Column, rank: int, pattern: str, fits=None) -> Column:
     """All matches as spans: the texts between them give their places."""
     between, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(F.slice(between, F.lit(1), F.size(matches)), matches, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("m")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
 
-    def step(s: Column, x: Column) -> Column:
-        first = s["at"] + x["gap"]
-        end = first + F.length(x["m"])
-        span = F.struct(first.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), x["m"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(s["out"], F.array(span)).alias("out"))
+    def placed(found: Column) -> Column:
+        lengths = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda g, m: F.length(g) + F.length(m))
+        return F.zip_with(found, _sums(lengths), lambda m, end: F.struct(
+            (end - F.length(m)).alias("start"), F.lit(rank).alias("rank"), end.alias("end"), m.alias("value")))
 
-    spans = F.aggregate(pairs, start, step, lambda s: s["out"])
+    spans = let(matches, placed)
     if fits is not None:
         spans = F.filter(spans, lambda s: fits(s["value"]))
-    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(_SPAN))
+    return F.when(text.rlike(pattern), spans).otherwise(F.array()).cast(_SPAN)
 
 
 def base_spans(text: Column) -> Column:
@@ -99,16 +128,29 @@ def _words_with_places(piece: Column, offset: Column) -> Column:
     return F.aggregate(pieces, start, step, lambda s: s["out"])
 
 
-def _context_words(text: Column, span: Column) -> Column:
-    """Whole words within ``CONTEXT`` characters before and after a span."""
+def _context(pieces: Column, length: Column, span: Column) -> Column:
+    """The text up to ``CONTEXT`` characters before and after a span, of a text in pieces."""
+    def cut(at: Column, size: Column) -> Column:  # at most CONTEXT characters, so of two pieces
+        k = F.floor(at / PIECE).cast("int")
+        two = F.concat(F.coalesce(F.get(pieces, k), F.lit("")), F.coalesce(F.get(pieces, k + 1), F.lit("")))
+        return F.substring(two, at - k * PIECE + 1, size)
+
     low = F.greatest(span["start"] - CONTEXT, F.lit(0))
-    before = F.substring(text, low + 1, span["start"] - low)
-    after = F.substring(text, span["end"] + 1, F.lit(CONTEXT))
-    # a word that the window cuts is left out, unless the text starts or ends there
-    cut = F.when(low > 0, F.length(F.regexp_extract(before, r"^[\p{L}\p{N}]*", 0))).otherwise(0)
-    ends = F.length(text) <= span["end"] + CONTEXT
-    tail = F.when(ends, after).otherwise(F.regexp_replace(after, r"[\p{L}\p{N}]+$", ""))
-    return F.concat(_words_with_places(F.substring(before, cut + 1, F.lit(CONTEXT)), low + cut), _words_with_places(tail, span["end"]))
+    return F.struct(_entity(span["rank"], span["value"]).alias("entity"), low.alias("low"), span["end"].alias("end"), cut(low, span["start"] - low).alias("before"),
+                    cut(span["end"], F.lit(CONTEXT)).alias("after"), (length <= span["end"] + CONTEXT).alias("last"))
+
+
+def _contexts(text: Column, spans: Column) -> Column:
+    """For each span its entity and the text around it."""
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    return let(F.struct(pieces.alias("pieces"), F.length(text).alias("length")), lambda t: F.transform(spans, lambda s: _context(t["pieces"], t["length"], s)))
+
+
+def _context_words(c: Column) -> Column:
+    """The whole words of a context: one that its ends cut is left out, unless the text starts or ends there."""
+    gone = F.when(c["low"] > 0, F.length(F.regexp_extract(c["before"], r"^[\p{L}\p{N}]*", 0))).otherwise(0)
+    tail = F.when(c["last"], c["after"]).otherwise(F.regexp_replace(c["after"], r"[\p{L}\p{N}]+$", ""))
+    return F.concat(_words_with_places(F.substring(c["before"], gone + 1, F.lit(CONTEXT)), c["low"] + gone), _words_with_places(tail, c["end"]))
 
 
 def _entity(rank: Column, value: Column) -> Column:
@@ -143,19 +185,35 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """Per row of ``docs``: id, key (a hash of the text), base spans and the added term spans."""
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
     spans = texts.withColumn("spans", base_spans(F.col("text")))
-    around = F.transform("spans", lambda s: F.struct(_entity(s["rank"], s["value"]).alias("entity"), _context_words(F.col("text"), s).alias("words")))
-    base = staged(spans.select("id", "key", "spans", F.when(F.size("spans") > 0, around).alias("around")), "pii-base")
-    contexts = base.select("id", "key", F.explode("around").alias("a")).select(
-        "id", "key", F.col("a.entity").alias("entity"), F.xxhash64(F.transform("a.words", lambda w: w["term"])).alias("context"), F.explode("a.words").alias("w"))
+    around = F.when(F.size("spans") > 0, _contexts(F.col("text"), F.col("spans")))
+    base = staged(spans.select("id", "key", "spans", around.alias("around")), "pii-base")
+    # the words are taken one context a row: those of all spans of a long text would not fit one row
+    each = base.select("id", "key", F.explode("around").alias("a")).select("id", "key", F.col("a.entity").alias("entity"), _context_words(F.col("a")).alias("words"))
+    contexts = each.select("id", "key", "entity", F.xxhash64(F.transform("words", lambda w: w["term"])).alias("context"), F.explode("words").alias("w"))
     words = staged(contexts.select("id", "key", "entity", "context", F.col("w.term").alias("term"), F.col("w.start").alias("start"), F.col("w.end").alias("end")), "pii-words")
     told = staged(disclosing_terms(texts, words.select("id", "key", "entity", "context", "term").distinct()), "pii-told")
-    added = (words.join(told, ["entity", "term"]).groupBy("id", "key", "start", "end").agg(F.min("rank").alias("rank"))
-             .groupBy("id", "key").agg(F.collect_list(F.struct("start", "rank", "end")).alias("added")))
-    added = staged(added.select(F.col("id").alias("of"), F.col("key").alias("of_key"), "added"), "pii-added")
-    joined = base.join(added, (F.col("key") == F.col("of_key")) & F.col("id").eqNullSafe(F.col("of")), "left")
-    free = F.filter(F.coalesce("added", F.array().cast("array<struct<start:int,rank:int,end:int>>")),
-                    lambda t: ~F.exists("spans", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-    return joined.select(F.col("id").alias(id_col), "key", "spans", free.alias("added"))
+    near = staged(words.join(told, ["entity", "term"]).groupBy("id", "key", "start", "end").agg(F.min("rank").alias("rank")), "pii-near")
+    added = (_apart(near, base).groupBy("id", "key").agg(F.collect_list(F.struct("start", "rank", "end")).alias("added"))
+             .select(F.col("id").alias("of"), F.col("key").alias("of_key"), "added"))
+    joined = base.join(staged(added, "pii-added"), (F.col("key") == F.col("of_key")) & F.col("id").eqNullSafe(F.col("of")), "left")
+    return joined.select(F.col("id").alias(id_col), "key", "spans", F.coalesce("added", F.array().cast("array<struct<start:int,rank:int,end:int>>")).alias("added"))
+
+
+def _apart(terms: DataFrame, base: DataFrame) -> DataFrame:
+    """The terms (id, key, start, end, rank) that overlap no base span.
+
+    Both sides are dealt out by document and cell, so a document with very many
+    spans is worked on by many tasks and no term meets all of its spans.
+    """
+    cells = lambda s, e: F.explode(F.sequence(F.floor(s / CELL), F.floor((e - 1) / CELL)))
+    marked = base.join(terms.select("key").distinct(), "key", "left_semi").select("id", "key", F.explode("spans").alias("s"))
+    marked = marked.select(F.col("id").alias("of"), F.col("key").alias("of_key"), F.col("s.start").alias("a"), F.col("s.end").alias("b"),
+                           cells(F.col("s.start"), F.col("s.end")).alias("of_cell"))
+    placed = terms.withColumn("cell", cells(F.col("start"), F.col("end")))
+    same = (F.col("key") == F.col("of_key")) & (F.col("cell") == F.col("of_cell")) & F.col("id").eqNullSafe(F.col("of"))
+    hit = placed.join(marked, same & (F.col("a") < F.col("end")) & (F.col("start") < F.col("b")), "left_semi").select("id", "key", "start", "end")
+    hit = staged(hit.distinct().toDF("of", "of_key", "a", "b"), "pii-hit")
+    return terms.join(hit, (F.col("key") == F.col("of_key")) & (F.col("start") == F.col("a")) & (F.col("end") == F.col("b")) & F.col("id").eqNullSafe(F.col("of")), "left_anti")
 
 
 def _named(span: Column) -> Column:
