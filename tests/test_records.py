@@ -185,3 +185,10 @@ def test_document_table_is_updated_in_place(spark, tmp_path):
     got = {r.path: (r.summary, r.key_takeaways) for r in DT.upsert_documents(spark, "reopened_documents", more).collect()}
     assert got == {"a": ("new", None), "b": ("later", ["k"]), "c": (None, None), "d": (None, None)}
     spark.sql("DROP TABLE reopened_documents")
+
+
+def test_first_fenced_block_of_any_answer(spark):
+    answers = ["x ```YAML \n\n a: 1\n``` y ```yml\nb: 2\n```", "```yml\nopen: 1", "``` yaml\nno: 1\n```", "```yaml a: 1\n```\n```yml\nc: 3```", "```yaml\n```", "", None]
+    df = spark.createDataFrame([(i, a) for i, a in enumerate(answers)], "i int, raw string")
+    got = [r.b for r in df.select("i", R.extract_block(F.col("raw")).alias("b")).orderBy("i").collect()]
+    assert got == [" a: 1\n", answers[1], answers[2], "c: 3", "", "", None]
