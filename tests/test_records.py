@@ -192,3 +192,28 @@ def test_first_fenced_block_of_any_answer(spark):
     df = spark.createDataFrame([(i, a) for i, a in enumerate(answers)], "i int, raw string")
     got = [r.b for r in df.select("i", R.extract_block(F.col("raw")).alias("b")).orderBy("i").collect()]
     assert got == [" a: 1\n", answers[1], answers[2], "c: 3", "", "", None]
+
+
+def test_normalised_entities_run_natively_and_group_by_id_once(spark):
+    """No Python worker, and one exchange less than a dedup of its own needed."""
+    ents = spark.createDataFrame([(1, 0, "THE"), (1, 1, "the"), (1, 2, "ΣΑΣ"), (1, 3, "σας"), (1, 4, "ﬁx"), (1, 5, "FIX"), (2, 0, None), (None, 0, "a")], "doc_id int, pos int, token string")
+    aliases = spark.createDataFrame([(0, "the", "Old"), (1, "The", "Fix")], "alias_ord int, alias string, canonical string")
+    out = R.normalize_entities_table(ents, aliases)
+    assert {r.doc_id: r.entities for r in out.collect()} == {1: ["Fix", "ΣΑΣ"], 2: [], None: ["a"]}
+    assert "Python" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_candidate_records_are_spread_before_they_are_made(spark):
+    """A table stored in one part is still worked on by all tasks."""
+    from tidepool.plans import fixtures as fx
+    for view in (fx.v_raw, fx.v_entities):
+        plan = view(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "RepartitionByExpression" in plan and plan.index("Generate") < plan.index("RepartitionByExpression")
+
+
+def test_entity_groups_are_normalised_once(spark):
+    """The alias lookup appears in no filter below the projection."""
+    import __spark_entry__ as E
+    plan = E.queries()["normalize_entity_groups"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Filter" in x.split("(")[0] and "element_at" in x]
+    assert "Python" not in plan

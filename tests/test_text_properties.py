@@ -62,3 +62,11 @@ def test_native_entities_agree_on_their_subset(spark):
     for r in df.select("s", TX.strip_html(F.col("s")).alias("t")).collect():
         want = re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]+>", " ", r.s))).strip()
         assert r.t == want, repr(r.s)
+
+
+def test_casefold_tables_cover_every_letter(spark):
+    letters = [c for c in map(chr, range(0x110000)) if c.casefold() != c]
+    df = spark.createDataFrame([("a" + c + "Ω",) for c in letters], "s string")
+    out = df.select("s", TX.casefold(F.col("s")).alias("f"))
+    assert "Python" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.s for r in out.collect() if r.f != r.s.casefold()] == []
