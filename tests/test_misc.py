@@ -106,3 +106,20 @@ def test_truncated_pages_keep_whole_characters(spark):
     from tidepool.sources.scans import truncate_bodies
     df = spark.createDataFrame([("é" * 10,), ("abc",), (None,), ("x" * 11,)], "body string")
     assert [(r.body, r.truncated) for r in truncate_bodies(df, max_bytes=10).collect()] == [("é" * 10, True), ("abc", False), (None, False), ("x" * 10, True)]
+
+
+def test_python_gets_rows_by_bytes(spark):
+    """Batches of long texts hold fewer rows, for Arrow functions and mapInPandas alike."""
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    from tidepool.session import prepare
+    prepare(spark)
+    texts = spark.range(0, 400, 1, 1).select(F.repeat(F.lit("x"), 100_000).alias("t"))  # 40 MB
+
+    @F.pandas_udf("long")
+    def rows(s: pd.Series) -> pd.Series:
+        return pd.Series([len(s)] * len(s))
+    most = texts.select(rows("t").alias("n")).agg(F.max("n")).first()[0]
+    mapped = texts.mapInPandas(lambda bs: (pd.DataFrame({"n": [len(b)]}) for b in bs), "n long").agg(F.max("n")).first()[0]
+    assert most <= 50 and mapped <= 50
