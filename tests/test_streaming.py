@@ -108,14 +108,19 @@ def test_index_stream_follows_moved_dates_and_a_built_index(spark, tmp_path):
     assert I.scan_index(spark, out).count() == 2
 
 
-def test_staged_files_grow_in_number_with_the_rows_and_keep_keys_whole(spark, monkeypatch):
+def test_staged_files_grow_in_number_with_the_rows_and_batches_hold_whole_keys(spark, monkeypatch):
     from pyspark.sql import functions as F
 
     from tidepool.plans import catalog_stream as S
     monkeypatch.setattr(S, "STAGED_ROWS", 50)
-    path, files = S._stage(spark.range(3000).select((F.col("id") % 1000).alias("doc_id")), "staged", spark, 3, "doc_id", 3000)
-    staged = spark.read.parquet(path).withColumn("file", F.input_file_name())
-    sizes = [r["count"] for r in staged.groupBy("file").count().collect()]
-    assert sum(sizes) == 3000 and max(sizes) <= 200 and len(sizes) > 30  # three files of 1000 before
-    assert staged.groupBy("doc_id").agg(F.count_distinct("file").alias("n")).where("n > 1").count() == 0
-    assert -(-len(sizes) // files) == 3
+    seen, batch_of = {}, {}
+    rows = spark.range(3000).select((F.col("id") % 1000).alias("doc_id"))
+    for b, path in enumerate(S._stage(rows, "staged", spark, 3, "doc_id", 3000)):
+        staged = spark.read.parquet(path).withColumn("file", F.input_file_name()).collect()
+        for r in staged:
+            if r.file not in seen or seen[r.file] == b:
+                seen[r.file] = b
+                assert batch_of.setdefault(r.doc_id, b) == b  # never in two batches
+    sizes = [r["count"] for r in spark.read.parquet(path).groupBy(F.input_file_name()).count().collect()]
+    assert sum(sizes) == 3000 and len(batch_of) == 1000
+    assert max(sizes) <= 200 and len(sizes) > 20  # three files before, of up to 2000 rows
