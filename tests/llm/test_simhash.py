@@ -21,6 +21,20 @@ def brute_fingerprint(text, k=4):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
+def test_fingerprints_of_a_batch():
+    rng = random.Random(6)
+    texts = ["".join(rng.choice(["a", "Bc", "É", " ", "  ", "\n", "\t", "\x1c", "\x00", "word" * 3, "long" * 20]) for _ in range(rng.randint(0, 80))) for _ in range(600)]
+    texts += ["", " ", "one", "one two three", "x" * 5000 + " b c d e", "p q " * 9000]
+    for k in (1, 3, 4):
+        found = simhash.fingerprints([None, *(t.encode() for t in texts)], k)
+        assert found.tolist() == [0, *(brute_fingerprint(t, k) for t in texts)]
+    raw = bytes(rng.randrange(256) for _ in range(2000))
+    starts = np.array([rng.randrange(1700) for _ in range(3000)])
+    ends = starts + np.array([rng.randrange(simhash.HASH_BYTES + 1) for _ in starts])
+    assert simhash.slice_hashes(raw, starts, ends).tolist() == [xxhash.xxh64_intdigest(raw[s:e], simhash.SEED) for s, e in zip(starts, ends)]
+    assert not len(simhash.fingerprints([]))
+
+
 def groups(nodes, edges):
     up = {n: n for n in nodes}
 

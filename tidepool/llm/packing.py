@@ -123,11 +123,11 @@ def pack_documents(docs: DataFrame, model_path: str, capacity: int = CAPACITY, i
     ``near`` may be false where each group has one document left: then equal texts are one.
     """
     from .simhash import fingerprint_column, fingerprint_components
-    from .tokens import token_count
+    from .tokens import batch_token_count
 
     text = F.col(text_col)
     mark = fingerprint_column(text) if near else F.xxhash64(text)
-    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), token_count(text, model_path).alias("tokens"), mark.alias("cluster"))
+    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), batch_token_count(text, model_path).alias("tokens"), mark.alias("cluster"))
     if near:
         sized = staged(sized, "packing-sized")
         groups = staged(fingerprint_components(sized.select(F.col("cluster").alias("fp")).distinct()), "packing-groups")

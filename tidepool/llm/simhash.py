@@ -34,8 +34,7 @@ non-null identifier (null if there is none).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import accumulate
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -54,30 +53,98 @@ LEAF = 192
 PROBE = 4_096
 SEED = 42
 
-_BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
+#: Shingles hashed at once, and bytes beyond which one is hashed alone.
+HASH_BLOCK, HASH_BYTES = 1 << 14, 256
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (
+    0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+_CLEAN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\v\f\r", b"abcdefghijklmnopqrstuvwxyz     ")
+
+
+def _turn(x: np.ndarray, bits: int) -> np.ndarray:
+    return (x << np.uint64(bits)) | (x >> np.uint64(64 - bits))
+
+
+def slice_hashes(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """XXH64 (seed ``SEED``) of the slices raw[start:end], of at most ``HASH_BYTES`` bytes each."""
+    padded = raw + bytes(8)
+    octets = np.frombuffer(padded, dtype=np.uint8)
+    lanes = np.ndarray(len(raw) + 1, dtype="<u8", buffer=padded, strides=(1,))  # the eight bytes from each place on
+    seed, size = np.uint64(SEED), (ends - starts).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        h = size + (seed + _P5)
+        wide = np.flatnonzero(size >= 32)
+        wide = wide[np.argsort(size[wide])[::-1]]
+        if len(wide):
+            at, stripes = starts[wide], size[wide] >> np.uint64(5)
+            sums = [np.full(len(wide), x) for x in (seed + _P1 + _P2, seed + _P2, seed, seed - _P1)]
+            for k in range(int(stripes[0])):
+                n = np.count_nonzero(stripes > k)
+                for j, v in enumerate(sums):
+                    v[:n] = _turn(v[:n] + lanes[at[:n] + (32 * k + 8 * j)] * _P2, 31) * _P1
+            whole = _turn(sums[0], 1) + _turn(sums[1], 7) + _turn(sums[2], 12) + _turn(sums[3], 18)
+            for v in sums:
+                whole = (whole ^ (_turn(v * _P2, 31) * _P1)) * _P1 + _P4
+            h[wide] = whole + size[wide]
+        rest = (size & np.uint64(31)).astype(np.int64)
+        at = ends - rest
+        for k in range(3):
+            own = np.flatnonzero(rest >= 8 * k + 8)
+            h[own] = _turn(h[own] ^ (_turn(lanes[at[own] + 8 * k] * _P2, 31) * _P1), 27) * _P1 + _P4
+        own = np.flatnonzero(rest & 4)
+        h[own] = _turn(h[own] ^ ((lanes[at[own] + (rest[own] & 24)] & np.uint64(0xFFFFFFFF)) * _P1), 23) * _P2 + _P3
+        for k in (3, 2, 1):
+            own = np.flatnonzero((rest & 3) >= k)
+            h[own] = _turn(h[own] ^ (octets[ends[own] - k] * _P5), 11) * _P1
+        h = (h ^ (h >> np.uint64(33))) * _P2
+        h = (h ^ (h >> np.uint64(29))) * _P3
+        return h ^ (h >> np.uint64(32))
+
+
+def _bit_counts(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """How many hashes of each text have each bit; the texts' hashes lie one after another, at least one each."""
+    runs = -(-sizes // 255)  # so many hashes add up in a byte
+    first, first_run = np.cumsum(sizes) - sizes, np.cumsum(runs) - runs
+    at = np.repeat(first, runs) + 255 * (np.arange(runs.sum()) - np.repeat(first_run, runs))
+    counts = np.empty((len(sizes), 8, 8), dtype=np.int64)
+    for k in range(8):
+        sums = np.add.reduceat((hashes >> np.uint64(k)) & np.uint64(0x0101010101010101), at).astype("<u8")
+        counts[:, :, k] = np.add.reduceat(sums.view(np.uint8).reshape(-1, 8).astype(np.int64), first_run, axis=0)
+    return counts.reshape(-1, 64)
+
+
+def fingerprints(raws: Iterable[bytes | None], shingle_words: int = 4) -> np.ndarray:
+    """The SimHashes of UTF-8 texts; A-Z are lower-cased, words lie between ASCII white space."""
+    import xxhash
 
+    texts = [(raw or b"").translate(_CLEAN).strip(b" ") for raw in raws]
+    texts = [b" ".join(t.split()) if b"  " in t else t for t in texts]
+    found = np.zeros(len(texts), dtype=np.uint64)
+    filled = np.flatnonzero([len(t) > 0 for t in texts])
+    if not len(filled):
+        return found
+    n_words = np.array([texts[t].count(b" ") + 1 for t in filled])
+    joined = b" ".join(texts[t] for t in filled)
+    ends = np.append(np.flatnonzero(np.frombuffer(joined, dtype=np.uint8) == 32), len(joined))
+    starts = np.append(0, ends[:-1] + 1)
+    sizes = np.maximum(n_words - shingle_words + 1, 1)
+    of, past = np.repeat(np.arange(len(filled)), sizes), np.cumsum(n_words)
+    first = np.arange(len(of)) + np.repeat(past - n_words - (np.cumsum(sizes) - sizes), sizes)  # a shingle's first word
+    starts, ends = starts[first], ends[np.minimum(first + shingle_words, past[of]) - 1]
+    hashes = np.empty(len(of), dtype=np.uint64)
+    for at in range(0, len(of), HASH_BLOCK):
+        s, e = starts[at:at + HASH_BLOCK], ends[at:at + HASH_BLOCK]
+        short = e - s <= HASH_BYTES
+        hashes[at:at + HASH_BLOCK][short] = slice_hashes(joined[s[0]:e[-1]], s[short] - s[0], e[short] - s[0])
+        for k in np.flatnonzero(~short).tolist():
+            hashes[at + k] = xxhash.xxh64_intdigest(joined[s[k]:e[k]], SEED)
+    bits = 2 * _bit_counts(hashes, sizes) > sizes[:, None]
+    found[filled] = np.packbits(bits, axis=1, bitorder="little").view("<u8")[:, 0]
+    return found
 
-def fingerprint(raw: bytes | None, shingle_words: int = 4) -> int:
-    """The SimHash of a UTF-8 text; A-Z are lower-cased, words lie between ASCII white space."""
-    import xxhash
 
-    words = raw.lower().split() if raw else []
-    if not words:
-        return 0
-    hash_of = xxhash.xxh64_intdigest
-    text = b" ".join(words)
-    if len(words) <= shingle_words:
-        return hash_of(text, SEED)
-    ends = list(accumulate(len(w) + 1 for w in words))
-    starts = [0, *ends[:-1]]
-    counts, total = np.zeros(64, dtype=np.int64), len(words) - shingle_words + 1
-    for at in range(0, total, 1 << 16):  # a very long text never makes one large array
-        stop = min(total, at + (1 << 16))
-        hashes = np.array([hash_of(text[s:e - 1], SEED) for s, e in zip(starts[at:stop], ends[at + shingle_words - 1:stop + shingle_words - 1])], dtype="<u8")
-        octets = hashes.view(np.uint8).reshape(-1, 8)
-        for k in range(8):
-            counts[8 * k:8 * k + 8] += np.bincount(octets[:, k], minlength=256) @ _BYTE_BITS
-    return int(sum(1 << i for i in np.flatnonzero(2 * counts > total).tolist()))
+def fingerprint(raw: bytes | None, shingle_words: int = 4) -> int:
+    """The SimHash of one text."""
+    return int(fingerprints([raw], shingle_words)[0])
 
 
 def fingerprint_column(text: Column, shingle_words: int = 4) -> Column:
@@ -85,8 +152,7 @@ def fingerprint_column(text: Column, shingle_words: int = 4) -> Column:
 
     @F.pandas_udf("long")
     def made(raws: pd.Series) -> pd.Series:
-        values = np.fromiter((fingerprint(r, shingle_words) for r in raws), dtype=np.uint64, count=len(raws))
-        return pd.Series(values.view(np.int64))
+        return pd.Series(fingerprints(raws, shingle_words).view(np.int64))
 
     return made(text.cast("binary"))
 

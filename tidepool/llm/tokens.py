@@ -20,7 +20,9 @@ from __future__ import annotations
 import functools
 import heapq
 import re
+from collections.abc import Iterable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -29,6 +31,8 @@ SPACE = "▁"
 CACHE_UNITS = 1_000_000
 #: Units of more characters are not remembered.
 CACHE_CHARS = 64
+#: Units that are merged side by side, and the rank of what is no pair.
+BATCH_UNITS, NO_PAIR = 1 << 14, 1 << 40
 
 
 def _unit_pattern(pieces) -> str:
@@ -115,6 +119,117 @@ class PieceCounter:
         return total
 
 
+class BatchCounter:
+    """The counts of :class:`PieceCounter` for many texts at once.
+
+    The new words of a batch are counted side by side: in every round each unit merges its lowest-ranked pair, the leftmost on
+    equal ranks.  Units that are long or hold a character the vocabulary lacks go to :meth:`PieceCounter.merge_count`.
+    """
+
+    def __init__(self, model_path: str):
+        self.single = PieceCounter(model_path)
+        ranks = self.single.ranks
+        ids = {piece: k for k, piece in enumerate(ranks)}
+        self.stride = len(ids)
+        parts = sorted((ids[piece[:k]] * self.stride + ids[piece[k:]], rank, ids[piece])
+                       for piece, rank in ranks.items() for k in range(1, len(piece)) if piece[:k] in ids and piece[k:] in ids)
+        self.pairs, self.pair_ranks, self.merged = (np.array(x, dtype=np.int64) for x in zip(*parts))
+        alphabet = [c for c in ids if len(c) == 1 and c != "\0"]
+        self.id_of = np.full(max(map(ord, alphabet)) + 2, -1, dtype=np.int64)
+        self.id_of[[ord(c) for c in alphabet]] = [ids[c] for c in alphabet]
+        self.spans = re.compile(f"{SPACE}+[^{SPACE}]*")  # a word start, as often as it comes, and what follows
+        self.words: dict[str, int] = {}  # without the word start
+
+    def _ranked(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of symbols; ``NO_PAIR`` where they make no vocabulary entry or one is missing (-1)."""
+        keys = left * self.stride + right
+        at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
+        return np.where((self.pairs[at] == keys) & (left >= 0) & (right >= 0), self.pair_ranks[at], NO_PAIR)
+
+    def _merged(self, units: list[str], width: int) -> np.ndarray:
+        """Tokens of units of at most ``width`` characters; -1 where the vocabulary lacks one."""
+        codes = np.array(units, dtype=f"<U{width}").view("<u4").reshape(-1, width)
+        symbols = self.id_of[np.minimum(codes, len(self.id_of) - 1)]
+        sizes = np.fromiter(map(len, units), dtype=np.int64, count=len(units))
+        tokens = np.where((symbols >= 0).sum(axis=1) == sizes, sizes, -1)
+        rows = np.flatnonzero(tokens > 1)
+        symbols = np.pad(symbols[rows], ((0, 0), (0, 1)), constant_values=-1)
+        ranks = np.pad(self._ranked(symbols[:, :-1], symbols[:, 1:]), ((0, 0), (0, 1)), constant_values=NO_PAIR)
+        columns = np.arange(width + 1)
+        while True:
+            at = ranks.argmin(axis=1)
+            live = np.flatnonzero(ranks[np.arange(len(rows)), at] < NO_PAIR)
+            if not len(live):
+                return tokens
+            rows, at, symbols, ranks = rows[live], at[live], symbols[live], ranks[live]
+            own = np.arange(len(rows))
+            tokens[rows] -= 1
+            made = self.merged[np.searchsorted(self.pairs, symbols[own, at] * self.stride + symbols[own, at + 1])]
+            kept = np.minimum(columns + (columns > at[:, None]), width)  # the right one goes, the last column is empty
+            symbols, ranks = np.take_along_axis(symbols, kept, axis=1), np.take_along_axis(ranks, kept, axis=1)
+            symbols[own, at] = made
+            ranks[own, at] = self._ranked(made, symbols[own, at + 1])
+            inner = np.flatnonzero(at)
+            ranks[inner, at[inner] - 1] = self._ranked(symbols[inner, at[inner] - 1], made[inner])
+
+    def unit_counts(self, units: list[str]) -> np.ndarray:
+        """Tokens of each unit."""
+        tokens = np.full(len(units), -1, dtype=np.int64)
+        sizes = np.fromiter(map(len, units), dtype=np.int64, count=len(units))
+        for width in range(4, CACHE_CHARS + 1, 4):
+            own = np.flatnonzero((sizes <= width) & (sizes > width - 4))
+            for at in range(0, len(own), BATCH_UNITS):
+                part = own[at:at + BATCH_UNITS]
+                tokens[part] = self._merged([units[k] for k in part.tolist()], width)
+        for k in np.flatnonzero(tokens < 0).tolist():
+            tokens[k] = self.single.merge_count(units[k])
+        return tokens
+
+    def word_counts(self, words: Iterable[str]) -> dict[str, int]:
+        """Tokens of a word start and what follows it, for each of the words."""
+        odd = [w for w in words if not w or SPACE in w]
+        plain = [w for w in words if w and SPACE not in w]
+        parts = self.single.units.findall("".join(SPACE + w for w in plain))  # each word's first unit begins with the word start
+        place = {unit: k for k, unit in enumerate(dict.fromkeys(parts))}
+        at = np.fromiter(map(place.__getitem__, parts), dtype=np.int64, count=len(parts))
+        heads = np.flatnonzero(np.fromiter((unit[0] == SPACE for unit in place), dtype=bool, count=len(place))[at])
+        counts = dict(zip(plain, np.add.reduceat(self.unit_counts(list(place))[at], heads).tolist())) if plain else {}
+        return counts | {w: int(self.unit_counts(self.single.units.findall(SPACE + w)).sum()) for w in odd}
+
+    def counts(self, texts: Iterable[str | None]) -> list[int]:
+        if len(self.words) >= CACHE_UNITS:
+            self.words.clear()
+        totals, fresh = [], []
+        for text in texts:
+            if not text:
+                words = []
+            elif "  " in text or text[0] == " " or text[-1] == " " or SPACE in text:
+                words = [w[1:] for w in self.spans.findall(SPACE + text.replace(" ", SPACE))]
+            else:
+                words = text.split(" ")
+            known = list(map(self.words.get, words))
+            fresh.append([w for w, n in zip(words, known) if n is None] if None in known else [])
+            totals.append(sum(filter(None, known)))
+        found = self.word_counts(set().union(*fresh))
+        self.words.update((word, n) for word, n in found.items() if len(word) <= CACHE_CHARS)
+        return [total + sum(map(found.__getitem__, words)) for total, words in zip(totals, fresh)]
+
+
+@functools.lru_cache(maxsize=2)
+def _batch_counter(model_path: str) -> BatchCounter:
+    return BatchCounter(model_path)
+
+
+def batch_token_count(text: Column, model_path: str) -> Column:
+    """As :func:`token_count`, the words of many texts at once."""
+
+    @F.pandas_udf("long")
+    def counted(texts: pd.Series) -> pd.Series:
+        return pd.Series(_batch_counter(model_path).counts(texts), dtype="int64")
+
+    return counted(text)
+
+
 @functools.lru_cache(maxsize=2)
 def _counter(model_path: str) -> PieceCounter:
     return PieceCounter(model_path)
