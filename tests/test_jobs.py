@@ -63,6 +63,23 @@ def test_markdown_documents_to_index(spark, tmp_path):
     assert (second.title, second.published, second.primary_topics, second.rank) == ("Untitled-stem", "", [], 2)
 
 
+def test_many_small_markdown_files_take_few_tasks(spark, tmp_path):
+    """Small files share tasks (Spark alone puts 32 into one), none is lost, and each frontmatter is parsed once."""
+    from tidepool.operators import index as I
+    from tidepool.sources.scans import scan_documents
+    n = 1000
+    for i in range(n):
+        folder = tmp_path / f"s{i % 3}"
+        folder.mkdir(exist_ok=True)
+        (folder / f"{i}.md").write_bytes(b"\xef\xbb\xbfplain\r\n" if i == 0 else f"---\ntitle: é{i}\nenriched: true\n---\nbody {i}\n".encode())
+    docs, bad = scan_documents(spark, str(tmp_path))
+    entries = I.index_from_documents(I.documents_from_markdown(docs))
+    assert entries.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    assert entries._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython [") == 1
+    assert {(r.path, r.title) for r in entries.collect()} == {(f"s{i % 3}/{i}.md", f"é{i}") for i in range(1, n)}
+    assert docs.where("meta IS NULL").select("path", "body").collect() == [("s0/0.md", "\ufeffplain\r\n")] and bad.count() == 0
+
+
 def test_whole_pass(spark, tmp_path):
     """ingest → packets → enrich → writeback → index → window/digest."""
     from tidepool.operators import enrich as EN
