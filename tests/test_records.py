@@ -203,6 +203,20 @@ def test_normalised_entities_run_natively_and_group_by_id_once(spark):
     assert "Python" not in out._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_entities_are_dealt_by_id_once(spark):
+    """One exchange by the id serves all groupings; where the texts were dealt so, their words are not dealt at all."""
+    import __spark_entry__ as E
+    from tidepool.plans import fixtures as fx
+    rows = [(1, 0, "Acme"), (1, 1, "ACME"), (1, 2, "La"), (1, 5, "acme"), (2, 0, None), (None, 0, "b"), (None, 1, "B"), (3, None, "x")] * 2
+    ents = spark.createDataFrame(rows, "doc_id int, pos int, token string").repartition(3)
+    out = R.normalize_entities_table(ents, fx.v_aliases(spark))
+    query = E.queries()["normalize_entities"](spark, "/root/testdata/sf0.001")
+    for found in (out, query):
+        dealt = [x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning(doc_id" in x]
+        assert len(dealt) == 1 and "token" not in dealt[0]
+    assert {r.doc_id: r.entities for r in out.collect()} == {1: ["Acme", "La Maison"], 2: [], None: ["b"], 3: []}
+
+
 def test_candidate_records_are_spread_before_they_are_made(spark):
     """A table stored in one part is still worked on by all tasks."""
     from tidepool.plans import fixtures as fx
