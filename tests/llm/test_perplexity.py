@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidepool.llm import perplexity as kn
+from tidepool.session import scratch_path
 
 
 def plain_model(words, order=kn.ORDER):
@@ -167,3 +168,63 @@ def test_digits_are_told_apart(spark):
     assert out[51] > 1.5 * out[50]
     joined = {r.doc_id: r.perplexity for r in kn.perplexities(df, lf, model_rows=0).collect()}
     assert joined[51] == pytest.approx(out[51], rel=1e-9)
+
+
+def test_words_scored_by_shards_and_pieces_as_the_plain_model(spark, monkeypatch):
+    rng = random.Random(8)
+    letters = "abcdeéß\x00\U0001F600中"
+    word = lambda n: "".join(rng.choice(letters) for _ in range(rng.randint(1, n)))
+    learnt = {lang: Counter(word(9) for _ in range(300)) for lang in ("xx", "yy")}
+    asked = {lang: list(learnt[lang])[:50] + [word(9) + "?" + word(3) for _ in range(50)] + ["?", "?!a", word(300), "a" * 64] for lang in learnt}
+    plain = {lang: plain_model(w) for lang, w in learnt.items()}
+    made = scratch_path(spark, "kn-test-model")
+    kn.write_model(spark.createDataFrame([(lang, w, n) for lang, of in learnt.items() for w, n in of.items()], "lang string, word string, n long"), made)
+    model = spark.read.schema("lang string, kind string, gram string, v double").parquet(made)
+    n = model.count()
+    spark.createDataFrame([], "term string, weight double").write.parquet(terms := scratch_path(spark, "kn-test-terms"))
+    for model_rows, room in ((10 * n, None), (n // 3, None), (n // 3, 0), (1, 0)):
+        path = scratch_path(spark, "kn-test-shards")
+        shards = kn.shard_model(model, path, model_rows)
+        assert (len({x for of in shards.values() for x in of.values()}) > 1) == (model_rows < n)
+        scorer = kn.Scorer(path, shards, model_rows if room is None else room, terms, True)
+        assert bool(scorer.block) == (room == 0) and len(scorer.held) == (0 if room == 0 else len({x for of in shards.values() for x in of.values()}))
+        for symbols in (kn.SYMBOLS, 20):
+            monkeypatch.setattr(kn, "SYMBOLS", symbols)
+            for lang, words in asked.items():
+                assert scorer.log_p(lang, words).tolist() == pytest.approx([plain_log(plain[lang], w) for w in words], rel=1e-9)
+        monkeypatch.undo()
+
+
+def test_texts_are_neither_staged_nor_dealt_however_large_the_model(spark, monkeypatch):
+    import glob
+    import os
+
+    rng = random.Random(2)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(300)]
+    docs = [(k, " ".join(rng.choice(vocabulary) for _ in range(2000)), "en") for k in range(200)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    lf = spark.createDataFrame([(k, 1, 0) for k in range(50)], "doc_id long, quality int, toxic int")
+    staged = lambda: {x: os.path.getsize(x) for x in glob.glob(f"{os.path.dirname(scratch_path(spark, 'kn'))}/kn-*/**/*.parquet", recursive=True)}
+    before = staged()
+    out = kn.perplexities(df, lf, model_rows=100)
+    assert sum(n for x, n in staged().items() if x not in before) < sum(len(text) for _, text, _ in docs) / 4
+    assert out.count() == 200
+    monkeypatch.setattr(kn, "TRUSTED_IDS", 10)
+    ids = kn.judged_ids(lf)
+    parts = kn._judged(df.withColumnRenamed("doc_id", "id"), ids, ids.count())
+    assert len(parts) == 5 and sorted(r.id for part in parts for r in part.collect()) == list(range(50))
+    for part in parts:
+        plan = part._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join Inner" in plan and "rightHint=(strategy=broadcast)" in plan
+
+
+def test_many_identifiers_and_terms_give_the_same(spark, monkeypatch):
+    df, lf, docs, _ = frames(spark)
+    rows = lambda: sorted(((r.doc_id is None, r.doc_id, r.lang, r.n_symbols, r.kept) + tuple(None if x is None else round(x, 9) for x in (r.perplexity, r.threshold, r.toxicity, r.toxicity_limit))
+                           for r in kn.perplexities(df, lf).collect()), key=str)
+    usual = rows()
+    assert any(r[7] for r in usual)
+    monkeypatch.setattr(kn, "TRUSTED_IDS", 9)
+    assert rows() == usual
+    monkeypatch.setattr(kn, "TERMS", 0)
+    assert rows() == usual

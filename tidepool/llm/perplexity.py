@@ -23,12 +23,15 @@ One in ``HELD_OUT`` trusted documents is held out of the counts, and the limit o
 language is the same quantile of their toxicities (of all held-out ones where the
 language has none); documents above it are not kept.
 
-Up to ``MODEL_ROWS`` rows, a bound that is checked, each worker reads the model's
-table from the shared folder (the driver never holds it) and remembers the scores
-of words.  A larger model is not: then the distinct
-words of the corpus are joined with it, shard by shard, and the documents' word
-counts with their scores.  Both ways give the same numbers.  The terms with a weight
-are held in the same way, up to ``TERMS``.
+The workers score the words of the texts they are given; texts and words are never dealt
+between tasks.  The model's table lies in the shared folder (the driver never holds it),
+in shards of about ``MODEL_ROWS`` rows: a shard has all rows that a symbol's probability
+can need, told by the symbol before it.  A worker keeps shards as sorted arrays as far as
+``MODEL_ROWS`` times ``ROW_BYTES`` go, and remembers the scores of words.  Further shards
+are read again for each block of texts, one at a time, and a word's score is the sum of
+its shards' parts.  All ways give the same numbers.  The terms with a weight are held up to
+``TERMS``; of more, each block of texts looks up its own.  Identifiers of judged
+documents are broadcast ``TRUSTED_IDS`` at a time.
 
 Defined cases: null, empty and wordless texts have perplexity null and are kept
 false; a null language is a language of its own; a language without trusted text
@@ -41,10 +44,11 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.window import Window
 
 from .common import open_store, scratch_path, staged
 
@@ -52,9 +56,13 @@ ORDER = 5
 START, END = "\x02", "\x03"
 #: Quantile of the trusted documents' perplexities that a document may reach.
 QUANTILE = 0.99
-#: Identifiers of trusted documents that are broadcast, and model rows that a worker holds, at most.
-#: A row takes about 100 bytes of a worker's memory.
+#: Identifiers of judged documents that are broadcast at once, and model rows of a shard, at most
+#: (more only where the grams of one symbol are more).
 TRUSTED_IDS, MODEL_ROWS = 1_000_000, 2_000_000
+#: A worker's memory for the model, in bytes for each of ``MODEL_ROWS``.  A row takes 16 of them.
+ROW_BYTES = 100
+#: Symbols scored at once, and characters of text for which shards are read again.
+SYMBOLS, BLOCK = 1 << 17, 32 << 20
 #: Words a worker remembers for each language; the table starts anew beyond it.
 CACHE_WORDS = 400_000
 #: Terms whose weights are summed, standard errors taken off a weight, one in so many trusted documents held out.
@@ -107,25 +115,43 @@ def judged_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
                        (F.col("t") == 1).alias("toxic")).where("trusted or toxic")
 
 
-def _with_trust(docs: DataFrame, judged: DataFrame) -> DataFrame:
-    """``docs`` (id, lang, text) with the flags ``trusted`` and ``toxic``."""
-    ids = staged(judged, "kn-judged")
-    ids = F.broadcast(ids) if ids.count() <= TRUSTED_IDS else ids
-    return docs.join(ids, F.col("id") == F.col("__judged"), "left").select(
-        "id", "lang", "text", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("trusted", "toxic")])
+def _judged(docs: DataFrame, ids: DataFrame, n: int) -> list[DataFrame]:
+    """The judged documents of ``docs`` (id, lang, text) with the flags ``trusted`` and ``toxic``.
+
+    One frame for each ``TRUSTED_IDS`` of the ``n`` identifiers, to be worked on one after another: a
+    frame broadcasts its own identifiers, so that no text is dealt, however many they are.
+    """
+    k = max(1, -(-n // TRUSTED_IDS))
+    share = [ids.where(F.pmod(F.xxhash64("__judged"), F.lit(k)) == j) for j in range(k)] if k > 1 else [ids]
+    return [docs.join(F.broadcast(own), F.col("id") == F.col("__judged")).drop("__judged") for own in share]
+
+
+def _summed(parts: list[DataFrame], keys: list[str], make: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """``make`` of all parts, counts by ``keys``, added up; several are staged one after another."""
+    made = [staged(make(part), name) for part in parts] if len(parts) > 1 else [make(parts[0])]
+    out = made[0]
+    for more in made[1:]:
+        out = out.unionByName(more)
+    return out.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in out.columns if c not in keys]) if made[1:] else out
 
 
 def _held_out():
     return F.col("trusted") & (F.pmod(F.xxhash64("id"), F.lit(HELD_OUT)) == 0)
 
 
-def toxic_terms(known: DataFrame) -> DataFrame:
+def toxic_terms(parts: list[DataFrame]) -> DataFrame:
     """(term, weight) of the terms that toxic documents surely hold more often than trusted ones, language by language."""
-    judged = known.where(F.col("toxic") | (F.col("trusted") & ~_held_out())).where(F.length("text") > 0)
     n = [F.sum(F.col(c).cast("double")).alias(c) for c in ("toxic", "trusted")]
-    sizes = staged(judged.groupBy("lang").agg(*n).where("trusted > 0").select("lang", F.col("toxic").alias("nt"), F.col("trusted").alias("nc")), "kn-judged-sizes")
-    counts = (judged.select("lang", "toxic", "trusted", F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
-              .groupBy("lang", "term").agg(*n).join(F.broadcast(sizes), "lang")  # a row for each language
+
+    def learnt(part: DataFrame) -> DataFrame:
+        return part.where(F.col("toxic") | (F.col("trusted") & ~_held_out())).where(F.length("text") > 0)
+
+    def held(part: DataFrame) -> DataFrame:
+        return learnt(part).select("lang", "toxic", "trusted", F.explode(F.array_distinct(_terms(F.col("text")))).alias("term")).groupBy("lang", "term").agg(*n)
+
+    sizes = _summed(parts, ["lang"], lambda part: learnt(part).groupBy("lang").agg(*n), "kn-judged-parts").where("trusted > 0")
+    sizes = staged(sizes.select("lang", F.col("toxic").alias("nt"), F.col("trusted").alias("nc")), "kn-judged-sizes")
+    counts = (_summed(parts, ["lang", "term"], held, "kn-terms").join(F.broadcast(sizes), "lang")  # a row for each language
               .groupBy("term").agg(F.sum("toxic").alias("o"), F.sum("trusted").alias("c"), F.sum(F.col("trusted") * F.col("nt") / F.col("nc")).alias("e")))
     ratio = sizes.agg(F.try_divide(F.sum("nt"), F.sum("nc"))).first()[0] or 0.0
     weight = F.log((F.col("o") + 0.5) / (F.col("e") + 0.5 * ratio)) - SURE * F.sqrt(1 / (F.col("o") + 0.5) + 1 / (F.col("c") + 0.5))
@@ -187,129 +213,289 @@ def write_model(words: DataFrame, path: str) -> None:
     out.write.parquet(path)
 
 
-class WordScores(dict):
-    """Log probabilities of words, in UTF-8, under one language's model."""
-
-    def __init__(self, p: dict[str, float], b: dict[str, float], uniform: float):
-        super().__init__()
-        self.p, self.b, self.uniform = p, b, uniform
-
-    def __missing__(self, key: bytes) -> float:
-        word = key.decode()
-        p, b, s, total = self.p.get, self.b.get, START + word + END, 0.0
-        for i in range(1, len(s)):
-            gram = s[max(0, i - ORDER + 1):i + 1]
-            found = p(gram)
-            while found is None:
-                total += b(gram[:-1], 0.0)
-                gram = gram[1:]
-                found = p(gram) if gram else self.uniform
-            total += found
-        if len(word) <= 40:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[key] = total
+def shard_model(model: DataFrame, path: str, model_rows: int) -> dict[str, dict[str, int]]:
+    """Writes the model's rows in folders ``shard=n`` of about ``model_rows`` rows; says the shard of a symbol by language and symbol before it.
+
+    The rows that say something of a symbol after ``c`` are the grams with ``c`` before their last
+    symbol and the contexts that end with ``c``.  Single symbols, the empty context and
+    the uniform probability serve all shards and are in ``shard=-1``.
+    """
+    before = F.when((F.col("kind") == "p") & (F.length("gram") > 1), F.substring("gram", -2, 1)).when(F.col("kind") == "b", F.substring("gram", -1, 1)).otherwise("")
+    rows = model.withColumn("before", before)
+    shards: dict[str, dict[str, int]] = {}
+    shard, size = 0, 0
+    for lang, c, n in sorted(map(tuple, rows.groupBy("lang", "before").count().collect())):  # a row for each symbol of a language
+        if not c:
+            continue
+        if size and size + n > model_rows:
+            shard, size = shard + 1, 0
+        size += n
+        shards.setdefault(lang, {})[c] = shard
+    places = [(lang, c, shard) for lang, of in shards.items() for c, shard in of.items()]
+    placed = F.broadcast(model.sparkSession.createDataFrame(places, "lang string, before string, shard int"))
+    (rows.join(placed, ["lang", "before"], "left").select("lang", "kind", "gram", "v", F.coalesce("shard", F.lit(-1)).alias("shard"))
+     .repartition("shard", F.pmod(F.xxhash64("gram"), F.lit(8))).write.partitionBy("shard").parquet(path))
+    return shards
+
+
+def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, whether it is there) of ``wanted`` in sorted keys."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.searchsorted(keys, wanted)
+    at[at == len(keys)] = 0
+    return at, keys[at] == wanted
+
+
+class Grams:
+    """Values of grams.  Level k has those of k symbols, sorted by the place of the last k - 1 symbols in the level below and the first symbol.
+
+    The model holds with a gram, or context, all that remains when symbols at its front go.
+    """
+
+    def __init__(self, codes: np.ndarray, lengths: np.ndarray, values: np.ndarray, most: int):
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+        for k in range(1, most + 1):
+            own = lengths == k
+            key = self._down(codes[own], k) << 21 | codes[own, 0]
+            order = np.argsort(key)
+            self.levels.append((key[order], values[own][order]))
+
+    def _down(self, codes: np.ndarray, k: int) -> np.ndarray:
+        at = np.zeros(len(codes), np.int64)
+        for j, (keys, _) in enumerate(self.levels, 1):
+            at, there = _find(keys, at << 21 | codes[:, k - j])
+            if not there.all():
+                raise ValueError("the model holds a gram without its end")
+        return at
+
+    def walk(self, symbols: np.ndarray, last: np.ndarray, most: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each length: which of the grams that end at ``last``, of at most ``most`` symbols, are there, and their values."""
+        of, at = np.arange(len(last)), np.zeros(len(last), np.int64)
+        for k, (keys, values) in enumerate(self.levels, 1):
+            on = most[of] >= k
+            of = of[on]
+            at, there = _find(keys, at[on] << 21 | symbols[last[of] - k + 1])
+            of, at = of[there], at[there]
+            yield of, values[at]
+
+    @property
+    def nbytes(self) -> int:
+        return sum(a.nbytes for level in self.levels for a in level)
+
+
+class Model:
+    """One language's model, or a shard of it."""
+
+    def __init__(self, rows):
+        import pyarrow.compute as pc
+
+        held = {}
+        for kind, most in (("p", ORDER), ("b", ORDER - 1)):
+            own = rows.filter(pc.equal(rows["kind"], kind))
+            held[kind] = Grams(_codes(own["gram"]), pc.utf8_length(own["gram"]).to_numpy(), own["v"].to_numpy(), most)
+        self.p, self.b = held["p"], held["b"]
+        short = rows.filter(pc.equal(rows["gram"], ""))
+        single = dict(zip(short["kind"].to_pylist(), short["v"].to_pylist()))
+        self.uniform, self.empty = single["u"], single.get("b", 0.0)
+
+    @property
+    def nbytes(self) -> int:
+        return self.p.nbytes + self.b.nbytes
+
+    def log_p(self, symbols: np.ndarray, at: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Log probabilities of the symbols at ``at``, at a distance of ``place`` from their word's start mark."""
+        depth = np.minimum(place + 1, ORDER)
+        total, longest = np.full(len(at), self.uniform + self.empty), np.zeros(len(at), np.int64)
+        for k, (of, values) in enumerate(self.p.walk(symbols, at, depth), 1):
+            total[of], longest[of] = values, k
+        for k, (of, values) in enumerate(self.b.walk(symbols, at - 1, depth - 1), 1):
+            off = k >= longest[of]
+            total[of[off]] += values[off]
         return total
 
 
-def _models(path: str) -> dict[str, WordScores]:
-    from pyarrow import parquet
-
-    store, folder = open_store(path)
-    names: dict[str, str] = {}  # a gram that is also a context is held once
-    parts: dict[str, dict[str, dict[str, float]]] = {}
-    for batch in parquet.ParquetDataset(folder, filesystem=store).read(["lang", "kind", "gram", "v"]).to_batches(max_chunksize=65_536):
-        for lang, kind, gram, v in zip(*(c.to_pylist() for c in batch.columns)):
-            parts.setdefault(lang, {"p": {}, "b": {}, "u": {}})[kind][names.setdefault(gram, gram)] = v
-    return {lang: WordScores(of["p"], of["b"], of["u"][""]) for lang, of in parts.items()}
-
-
-def _weights(path: str) -> dict[bytes, float]:
-    from pyarrow import parquet
-
-    store, folder = open_store(path)
-    held = parquet.ParquetDataset(folder, filesystem=store).read(["term", "weight"])
-    return dict(zip((term.encode() for term in held["term"].to_pylist()), held["weight"].to_pylist()))
-
-
-_LOADED: dict[str, tuple[dict[str, WordScores], dict[str, float]]] = {}
-
+def _codes(grams) -> np.ndarray:
+    """Code points of at most ``ORDER`` symbols, a row for each gram."""
+    parts = [np.array(x.to_pylist(), dtype=f"U{ORDER}").view(np.uint32).reshape(-1, ORDER) for c in grams.chunks for x in (c.slice(i, 65_536) for i in range(0, len(c), 65_536))]
+    return np.concatenate(parts).astype(np.int64) if parts else np.zeros((0, ORDER), np.int64)
+
+
+def _laid_out(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(symbols, places to score, their distance from the start mark, their word), about ``SYMBOLS`` at once."""
+    group: list[str] = []
+    first = size = 0
+    for i, word in enumerate(words + [""]):
+        if group and (i == len(words) or size + len(word) > SYMBOLS):
+            lengths = np.fromiter(map(len, group), np.int64, len(group)) + 2
+            place = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            at = np.flatnonzero(place)
+            yield _points(START + (END + START).join(group) + END), at, place[at], np.repeat(np.arange(first, i), lengths - 1)
+            group, size = [], 0
+        if len(word) > SYMBOLS:  # in pieces, each with the symbols before it that its grams reach
+            for begin in range(1, len(word) + 2, SYMBOLS):
+                back = max(0, begin - ORDER + 1)
+                symbols = _points((START + word + END)[back:begin + SYMBOLS])
+                at = np.arange(begin - back, len(symbols))
+                yield symbols, at, at + back, np.full(len(at), i)
+        elif i < len(words):
+            first = first if group else i
+            group.append(word)
+            size += len(word) + 2
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+
+
+class Scorer:
+    """Scores texts in a worker: the model's shards and the terms' weights as far as they are held, and the words remembered."""
+
+    def __init__(self, path: str, shards: dict[str, dict[str, int]], model_rows: int, terms_path: str, hold_terms: bool):
+        self.path, self.room, self.terms_path = path, model_rows * ROW_BYTES, terms_path
+        self.shards = {lang: (np.array(list(map(ord, sorted(of))), np.int64), np.array([of[c] for c in sorted(of)])) for lang, of in shards.items()}
+        self.held: dict[int, dict[str, Model]] = {}
+        self.known: dict[str, dict[str, float]] = {lang: {} for lang in shards}
+        self.weights = self._weights(None) if hold_terms else None
+        self.block = 0  # a batch at a time, as long as everything is held
+        for shard in sorted({n for of in shards.values() for n in of.values()}):
+            models = self._load(shard)
+            self.room -= sum(model.nbytes for model in models.values())
+            if self.room < 0:
+                self.block = BLOCK
+                break
+            self.held[shard] = models
+        if self.weights is None:
+            self.block = BLOCK
+
+    def _load(self, shard: int) -> dict[str, Model]:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        from pyarrow import parquet
+
+        store, folder = open_store(self.path)
+        rows = pa.concat_tables([parquet.ParquetDataset(f"{folder}/shard={n}", filesystem=store, partitioning=None).read(["lang", "kind", "gram", "v"]) for n in (-1, shard)])
+        return {lang: Model(rows.filter(pc.equal(rows["lang"], lang))) for lang, (_, of) in self.shards.items() if shard in of}
+
+    def _weights(self, only: set[bytes] | None) -> dict[bytes, float]:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        from pyarrow import dataset
+
+        store, folder = open_store(self.terms_path)
+        wanted = None if only is None else pa.array([term.decode() for term in only], pa.string())
+        found: dict[bytes, float] = {}
+        for batch in dataset.dataset(folder, filesystem=store, format="parquet").to_batches(columns=["term", "weight"]):
+            batch = batch if wanted is None else batch.filter(pc.is_in(batch["term"], value_set=wanted))
+            found.update(zip((term.encode() for term in batch["term"].to_pylist()), batch["weight"].to_pylist()))
+        return found
+
+    def log_p(self, lang: str, words: list[str]) -> np.ndarray:
+        """Log probabilities of words."""
+        total = np.zeros(len(words))
+        before, of = self.shards[lang]
+        for shard in np.unique(of).tolist():
+            model = (self.held.get(shard) or self._load(shard))[lang]
+            for symbols, at, place, word in _laid_out(words):
+                if (of != shard).any():  # after a symbol that the model does not know, the first shard's single symbols serve
+                    k, there = _find(before, symbols[at - 1])
+                    mine = np.where(there, of[k], of.min()) == shard
+                    at, place, word = at[mine], place[mine], word[mine]
+                if len(at):
+                    parts = np.bincount(word - word[0], weights=model.log_p(symbols, at, place))
+                    total[word[0]:word[0] + len(parts)] += parts
+        return total
 
-def _score_in_workers(docs: DataFrame, path: str, terms_path: str) -> DataFrame:
+    def _known(self, lang: str, words: list[str]) -> np.ndarray:
+        """``log_p`` of different words, most of them remembered."""
+        known = self.known[lang]
+        missing = [word for word in words if word not in known]
+        if len(known) + len(missing) > CACHE_WORDS:
+            known.clear()
+            missing = words
+        known.update(zip(missing, self.log_p(lang, missing).tolist()))
+        values = np.fromiter(map(known.__getitem__, words), float, len(words))
+        for word in missing:
+            if len(word) > 40:
+                del known[word]
+        if len(known) > CACHE_WORDS:
+            known.clear()
+        return values
+
+    def score(self, langs: list[str], texts: list[str | None]) -> pd.DataFrame:
+        """Symbols, log probability and toxicity of each text."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        n_symbols, log_p = np.zeros(len(texts), np.int64), np.full(len(texts), np.nan)
+        for lang in set(langs):
+            rows = np.array([i for i, x in enumerate(langs) if x == lang])
+            cut = pc.ascii_split_whitespace(pa.array([(texts[i] or "").lower() for i in rows], pa.large_string()))
+            of = np.repeat(np.arange(len(rows)), pc.list_value_length(cut).to_numpy())
+            coded = cut.flatten().dictionary_encode()
+            at, sizes = coded.indices.to_numpy(), pc.utf8_length(coded.dictionary).to_numpy()
+            n_symbols[rows] = np.bincount(of, weights=(sizes + (sizes > 0))[at], minlength=len(rows)).astype(np.int64)
+            if lang in self.known:
+                values = np.zeros(len(sizes))
+                values[sizes > 0] = self._known(lang, [word for word in coded.dictionary.to_pylist() if word])
+                log_p[rows] = np.bincount(of, weights=values[at], minlength=len(rows))
+        log_p[n_symbols == 0] = np.nan
+        weights = self._weights({term for text in texts if text for term in terms_of(text)}) if self.weights is None else self.weights
+        return pd.DataFrame({"n_symbols": n_symbols, "log_p": log_p, "toxicity": [worst_span(weights, text) if text and weights else 0.0 for text in texts]})
+
+
+def _blocks(batches: Iterable[tuple[pd.Series, pd.Series]], block: int) -> Iterator[list[tuple[pd.Series, pd.Series]]]:
+    """Batches of together at least ``block`` characters."""
+    held, size = [], 0
+    for langs, texts in batches:
+        held.append((langs, texts))
+        size += sum(len(text) for text in texts if text)
+        if size >= block:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+_LOADED: dict[str, Scorer] = {}
+
+
+def _score_in_workers(docs: DataFrame, path: str, shards: dict[str, dict[str, int]], model_rows: int, terms_path: str, hold_terms: bool) -> DataFrame:
 
     @F.pandas_udf("n_symbols long, log_p double, toxicity double")
-    def scored(langs: pd.Series, texts: pd.Series) -> pd.DataFrame:
+    def scored(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         if path not in _LOADED:
             _LOADED.clear()
-            _LOADED[path] = _models(path), _weights(terms_path)
-        models, weights = _LOADED[path]
-        rows = []
-        for lang, text in zip(langs, texts):
-            scores, words = models.get(lang), text.lower().encode().split() if text else []
-            rows.append((len(b"".join(words).decode()) + len(words), math.fsum(map(scores.__getitem__, words)) if scores is not None and words else None,
-                         worst_span(weights, text) if text and weights else 0.0))
-        return pd.DataFrame(rows, columns=["n_symbols", "log_p", "toxicity"]).astype({"log_p": "float64"})
-
-    return docs.select("id", "lang", "trusted", scored("lang", "text").alias("s")).select("id", "lang", "trusted", "s.n_symbols", "s.log_p", "s.toxicity")
-
-
-def word_scores(words: DataFrame, model: DataFrame) -> DataFrame:
-    """(lang, word, log_p) by joins of all n-grams of the words with the model's rows."""
-    of = {kind: model.where(F.col("kind") == kind).select("lang", "gram", F.col("v").alias(kind)) for kind in "pbu"}
-    marked = words.select("lang", "word", F.concat(F.lit(START), "word", F.lit(END)).alias("s"))
-    at = marked.select("lang", "word", "s", F.explode(F.sequence(F.lit(2), F.length("s"))).alias("i"))
-    steps = at.select("lang", "word", "s", "i", F.explode(F.sequence(F.greatest(F.col("i") - (ORDER - 1), F.lit(1)), F.col("i"))).alias("first"))
-    steps = steps.select("lang", "word", "i", "first", F.col("s").substr(F.col("first"), F.col("i") - F.col("first") + 1).alias("gram"),
-                         F.col("s").substr(F.col("first"), F.col("i") - F.col("first")).alias("ctx"))
-    found = (steps.join(of["p"], ["lang", "gram"], "left")
-             .join(of["b"].withColumnRenamed("gram", "ctx"), ["lang", "ctx"], "left"))
-    best = found.groupBy("lang", "word", "i").agg(F.array_sort(F.collect_list(F.struct("first", "p", "b"))).alias("steps"))
-    begin = F.struct(F.lit(0.0).alias("v"), F.lit(False).alias("done"))
-
-    def step(s, x):
-        more = F.when(s["done"], F.lit(0.0)).when(x["p"].isNotNull(), x["p"]).otherwise(F.coalesce(x["b"], F.lit(0.0)))
-        return F.struct((s["v"] + more).alias("v"), (s["done"] | x["p"].isNotNull()).alias("done"))
-
-    state = F.aggregate("steps", begin, step)
-    summed = best.select("lang", "word", state.alias("r")).join(of["u"].select("lang", "u"), "lang")
-    return summed.groupBy("lang", "word").agg(F.sum(F.col("r.v") + F.when(F.col("r.done"), 0.0).otherwise(F.col("u"))).alias("log_p"))
-
-
-def _worst_spans(rows: DataFrame, terms: DataFrame) -> DataFrame:
-    """(row, toxicity) as ``worst_span``, of the rows that hold a term with a weight."""
-    span = Window.partitionBy("row").orderBy("pos").rangeBetween(-(SPAN - 1), 0)
-    held = F.broadcast(terms) if terms.count() <= TERMS else terms
-    hits = rows.select("row", F.posexplode(_terms(F.col("text"))).alias("pos", "term")).join(held, "term")
-    return hits.select("row", F.sum("weight").over(span).alias("v")).groupBy("row").agg(F.round(F.max("v"), 9).alias("toxicity"))
-
-
-def _score_by_joins(docs: DataFrame, model: DataFrame, terms: DataFrame) -> DataFrame:
-    rows = staged(docs.select(F.monotonically_increasing_id().alias("row"), "id", "lang", "trusted", "text"), "kn-docs")
-    worded = rows.withColumn("words", _words(F.col("text")))
-    counts = worded.select("row", "lang", F.explode("words").alias("word")).groupBy("row", "lang", "word").agg(F.count(F.lit(1)).alias("n"))
-    counts = staged(counts, "kn-doc-words")
-    scores = staged(word_scores(counts.select("lang", "word").distinct(), model), "kn-word-scores")
-    logs = staged(counts.join(scores, ["lang", "word"]).groupBy("row").agg(F.sum(F.col("n") * F.col("log_p")).alias("log_p")), "kn-doc-scores")
-    worst = staged(_worst_spans(rows, terms), "kn-doc-toxicity")
-    n = F.aggregate("words", F.lit(0).cast("long"), lambda s, w: s + F.length(w) + 1)
-    return (worded.select("row", "id", "lang", "trusted", F.coalesce(n, F.lit(0).cast("long")).alias("n_symbols")).join(logs, "row", "left")
-            .join(worst, "row", "left").drop("row").withColumn("toxicity", F.coalesce("toxicity", F.lit(0.0))))
+            _LOADED[path] = Scorer(path, shards, model_rows, terms_path, hold_terms)
+        scorer = _LOADED[path]
+        for block in _blocks(batches, scorer.block):
+            rows = scorer.score([lang for langs, _ in block for lang in langs], [text for _, texts in block for text in texts])
+            done = 0
+            for langs, _ in block:
+                yield rows.iloc[done:done + len(langs)].reset_index(drop=True)
+                done += len(langs)
+
+    return docs.select("id", "lang", scored("lang", "text").alias("s")).select("id", "lang", "s.n_symbols", "s.log_p", "s.toxicity")
 
 
 def perplexities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
                  quantile: float = QUANTILE, model_rows: int = MODEL_ROWS) -> DataFrame:
     """Per document: lang, n_symbols, perplexity, threshold, toxicity, toxicity_limit, kept."""
     named = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit(NO_LANGUAGE)).alias("lang"), F.col(text_col).alias("text"))
-    known = _with_trust(named, judged_ids(labels, id_col))
-    words = known.where("trusted").select("lang", F.explode(_words(F.col("text"))).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
-    path = scratch_path(docs.sparkSession, "kn-model")
-    write_model(staged(words, "kn-words"), path)
-    model = docs.sparkSession.read.schema("lang string, kind string, gram string, v double").parquet(path)
-    terms_path = scratch_path(docs.sparkSession, "kn-toxic-terms")
-    toxic_terms(known).write.parquet(terms_path)
-    terms = docs.sparkSession.read.schema("term string, weight double").parquet(terms_path)
-    in_workers = model.count() <= model_rows and terms.count() <= TERMS
-    scored = _score_in_workers(known, path, terms_path) if in_workers else _score_by_joins(known, model, terms)
+    ids = staged(judged_ids(labels, id_col), "kn-judged")
+    n_ids = ids.count()
+    parts, spark = _judged(named, ids, n_ids), docs.sparkSession
+    words = _summed(parts, ["lang", "word"], lambda part: part.where("trusted").select("lang", F.explode(_words(F.col("text"))).alias("word"))
+                    .groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")), "kn-word-parts")
+    made, path, terms_path = (scratch_path(spark, name) for name in ("kn-model", "kn-shards", "kn-toxic-terms"))
+    write_model(staged(words, "kn-words"), made)
+    shards = shard_model(spark.read.schema("lang string, kind string, gram string, v double").parquet(made), path, model_rows)
+    toxic_terms(parts).write.parquet(terms_path)
+    hold_terms = spark.read.schema("term string, weight double").parquet(terms_path).count() <= TERMS
+    scored = _score_in_workers(named, path, shards, model_rows, terms_path, hold_terms)
+    # the texts are done with: only their scores meet the identifiers
+    scored = scored.join(F.broadcast(ids) if n_ids <= TRUSTED_IDS else ids, F.col("id") == F.col("__judged"), "left").select(
+        "id", "lang", F.coalesce("trusted", F.lit(False)).alias("trusted"), "n_symbols", "log_p", "toxicity")
     scored = staged(scored.withColumn("perplexity", F.exp(F.try_divide(-F.col("log_p"), F.col("n_symbols")))), "kn-scored")
     worst = F.percentile_approx(F.when(_held_out(), F.col("toxicity")), quantile, 10_000)
     limits = staged(scored.where("trusted").groupBy("lang").agg(
